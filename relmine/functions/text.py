@@ -9,10 +9,11 @@ Unicode-aware. Java patterns are therefore prefixed with ``(?U)``
 (UNICODE_CHARACTER_CLASS), which makes the same classes Unicode-aware on any
 JDK.
 
-A note on higher-order functions: lambda bodies below only touch their own
-lambda variables. Arrays are passed to ``zip_with``/``filter``/``transform``
-as *arguments*, never captured inside a lambda, so a collapsed projection can
-never turn an O(n log n) step into a per-element re-evaluation.
+A note on higher-order functions: an intermediate array that is used more
+than once is bound to a lambda variable with ``let`` (a one-element
+``transform``). Lambda bodies then refer to variables, never to array
+expressions, so neither a collapsed projection nor a pushed-down predicate
+can re-evaluate an O(n log n) step per element or grow the plan.
 """
 
 from __future__ import annotations
@@ -109,6 +110,16 @@ def sentences(text: Column, min_len: int = 10) -> Column:
     return F.filter(stripped, lambda s: F.length(s) > min_len)
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once to a lambda variable and evaluate ``body(var)``.
+
+    Referencing the variable several times inside ``body`` costs nothing,
+    and if Catalyst inlines the expression elsewhere (predicate pushdown,
+    collapsed projections) its size stays linear.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def runs(sorted_arr: Column) -> Column:
     """Run-length encode a sorted array: ``array<struct<v, cnt:int>>``.
 
@@ -117,19 +128,25 @@ def runs(sorted_arr: Column) -> Column:
     position and the next run start gives the length. The padded last pair of
     the shifted zip is the end sentinel.
     """
-    s = sorted_arr
-    shifted = F.concat(F.slice(s, 1, 1), s)
-    pairs = F.zip_with(s, shifted, lambda a, b: F.struct(a.alias("v"), a.eqNullSafe(b).alias("same")))
-    marks = F.filter(
-        F.transform(
-            pairs,
-            lambda p, i: F.struct(p["v"].alias("v"), i.alias("pos"), ((i == 0) | ~p["same"]).alias("new")),
-        ),
-        lambda p: p["new"],
-    )
-    nxt = F.slice(marks, 2, F.greatest(F.size(marks), F.lit(0)))
-    counted = F.zip_with(marks, nxt, lambda a, b: F.struct(a["v"].alias("v"), (b["pos"] - a["pos"]).alias("cnt")))
-    return F.filter(counted, lambda r: r["v"].isNotNull() & r["cnt"].isNotNull())
+
+    def body(s):
+        shifted = F.concat(F.slice(s, 1, 1), s)
+        pairs = F.zip_with(s, shifted, lambda a, b: F.struct(a.alias("v"), a.eqNullSafe(b).alias("same")))
+        marks = F.filter(
+            F.transform(
+                pairs,
+                lambda p, i: F.struct(p["v"].alias("v"), i.alias("pos"), ((i == 0) | ~p["same"]).alias("new")),
+            ),
+            lambda p: p["new"],
+        )
+        return let(marks, counted)
+
+    def counted(marks):
+        nxt = F.slice(marks, 2, F.greatest(F.size(marks), F.lit(0)))
+        pairs = F.zip_with(marks, nxt, lambda a, b: F.struct(a["v"].alias("v"), (b["pos"] - a["pos"]).alias("cnt")))
+        return F.filter(pairs, lambda r: r["v"].isNotNull() & r["cnt"].isNotNull())
+
+    return let(sorted_arr, body)
 
 
 def term_counts(tokens: Column) -> Column:

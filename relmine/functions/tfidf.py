@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relmine.functions.text import runs
+from relmine.functions.text import let, runs
 
 MAX_FEATURES = 500  # fixed value: vectoriser vocabulary cap of the reference
 
@@ -44,45 +44,43 @@ def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_featur
         F.transform(F.col(tok_a), lambda x: F.struct(x.alias("t"), F.lit(0).alias("side"))),
         F.transform(F.col(tok_b), lambda x: F.struct(x.alias("t"), F.lit(1).alias("side"))),
     )
-    df = df.withColumn("_pc_s", F.array_sort(tagged))
-    df = df.withColumn("_pc_r", runs(F.col("_pc_s")))
-    r = F.col("_pc_r")
-    # one entry per term: A-run (side 0) sorts before the B-run of the same term
-    a1 = F.zip_with(r, F.slice(r, 2, F.greatest(F.size(r), F.lit(0))), lambda c, nx: F.struct(c.alias("c"), nx.alias("nx")))
-    a2 = F.zip_with(
-        a1,
-        F.concat(F.slice(r, 1, 1), r),
-        lambda x, pv: F.struct(x["c"].alias("c"), x["nx"].alias("nx"), pv.alias("pv")),
-    )
-    merged = F.filter(
-        F.transform(
-            a2,
-            lambda x, i: F.struct(
-                x["c"]["v"]["t"].alias("term"),
-                F.when(x["c"]["v"]["side"] == 0, x["c"]["cnt"]).otherwise(F.lit(0)).alias("a"),
-                F.when(x["c"]["v"]["side"] == 1, x["c"]["cnt"])
-                .when(x["nx"]["v"]["t"] == x["c"]["v"]["t"], x["nx"]["cnt"])
-                .otherwise(F.lit(0))
-                .alias("b"),
-                ((i == 0) | (x["pv"]["v"]["t"] != x["c"]["v"]["t"])).alias("first"),
+
+    def merge(r):
+        # one entry per term: the A-run (side 0) sorts before the B-run of the same term
+        a1 = F.zip_with(
+            r, F.slice(r, 2, F.greatest(F.size(r), F.lit(0))), lambda c, nx: F.struct(c.alias("c"), nx.alias("nx"))
+        )
+        a2 = F.zip_with(
+            a1,
+            F.concat(F.slice(r, 1, 1), r),
+            lambda x, pv: F.struct(x["c"].alias("c"), x["nx"].alias("nx"), pv.alias("pv")),
+        )
+        return F.filter(
+            F.transform(
+                a2,
+                lambda x, i: F.struct(
+                    x["c"]["v"]["t"].alias("term"),
+                    F.when(x["c"]["v"]["side"] == 0, x["c"]["cnt"]).otherwise(F.lit(0)).alias("a"),
+                    F.when(x["c"]["v"]["side"] == 1, x["c"]["cnt"])
+                    .when(x["nx"]["v"]["t"] == x["c"]["v"]["t"], x["nx"]["cnt"])
+                    .otherwise(F.lit(0))
+                    .alias("b"),
+                    ((i == 0) | (x["pv"]["v"]["t"] != x["c"]["v"]["t"])).alias("first"),
+                ),
             ),
-        ),
-        lambda v: v["first"] & v["term"].isNotNull(),
-    )
-    df = df.withColumn("_pc_v", merged)
-    capped = F.slice(
-        F.array_sort(
+            lambda v: v["first"] & v["term"].isNotNull(),
+        )
+
+    def cap(vocab):
+        ranked = F.array_sort(
             F.transform(
-                F.col("_pc_v"),
+                vocab,
                 lambda v: F.struct(
                     (-(v["a"] + v["b"])).alias("k"), v["term"].alias("term"), v["a"].alias("a"), v["b"].alias("b")
                 ),
             )
-        ),
-        1,
-        max_features,
-    )
-    df = df.withColumn("_pc_c", capped)
+        )
+        return F.slice(ranked, 1, max_features)
 
     def step(acc, v):
         dfv = (v["a"] > 0).cast("int") + (v["b"] > 0).cast("int")
@@ -94,15 +92,19 @@ def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_featur
         )
 
     zero = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("na"), F.lit(0.0).alias("nb"))
-    df = df.withColumn("_pc_a", F.aggregate(F.col("_pc_c"), zero, step))
-    st = F.col("_pc_a")
-    cos = (
-        F.when(F.col("_pc_c").isNull(), F.lit(None).cast("double"))
-        .when(F.size(F.col("_pc_c")) == 0, F.lit(0.5))
-        .when((st["na"] == 0) | (st["nb"] == 0), F.lit(0.0))
-        .otherwise(st["dot"] / (F.sqrt(st["na"]) * F.sqrt(st["nb"])))
-    )
-    return df.withColumn(out, cos).drop("_pc_s", "_pc_r", "_pc_v", "_pc_c", "_pc_a")
+
+    def cosine(vocab):
+        def finish(st):
+            return (
+                F.when(F.size(vocab) == 0, F.lit(0.5))
+                .when((st["na"] == 0) | (st["nb"] == 0), F.lit(0.0))
+                .otherwise(st["dot"] / (F.sqrt(st["na"]) * F.sqrt(st["nb"])))
+            )
+
+        return let(F.aggregate(vocab, zero, step), finish)
+
+    vocab = let(let(runs(F.array_sort(tagged)), merge), cap)
+    return df.withColumn(out, F.when(F.col(tok_a).isNotNull() & F.col(tok_b).isNotNull(), let(vocab, cosine)))
 
 
 def explode_terms(df: DataFrame, keys: list[str], tokens: str) -> DataFrame:

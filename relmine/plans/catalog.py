@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relmine.operators import drift as DR
 from relmine.operators import faithfulness as FG
 from relmine.plans import sqltext as Q
 from relmine.sources import tables as S
@@ -85,6 +86,40 @@ def faithfulness_summary(spark: SparkSession, sf: str) -> DataFrame:
     return FG.summary(faithfulness_conversations(spark, sf))
 
 
+# ------------------------------------------------------------------- drift
+
+_DR_EV_SQL = Q.drift_events()
+DR_COLS = [
+    "user_id", "event_id", "trust_score", "is_hallucination", "sentence_idx",
+    "detected_drift_point", "actual_drift_point", "post_drift", "prediction_correct",
+]
+
+
+@register("drift_events", f"SELECT * FROM ({_DR_EV_SQL})")
+def drift_events(spark: SparkSession, sf: str) -> DataFrame:
+    """DR1+DR2: drift point of every user's score sequence and per-event labels."""
+    seqs = S.event_sequences(spark, sf)
+    return DR.label_sequences(seqs, ["user_id"], ["ts", "event_id"]).select(*DR_COLS)
+
+
+@register("drift_accuracy", f"SELECT avg(prediction_correct::DOUBLE) AS accuracy FROM ({_DR_EV_SQL})")
+def drift_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """DR3: sentence-level accuracy of the post-drift flag."""
+    return DR.sentence_accuracy(drift_events(spark, sf))
+
+
+@register(
+    "drift_summary",
+    f"""SELECT count(DISTINCT user_id) AS responses,
+          count(DISTINCT user_id) FILTER (WHERE detected_drift_point IS NOT NULL) AS responses_with_drift,
+          avg(prediction_correct::DOUBLE) AS sentence_accuracy
+        FROM ({_DR_EV_SQL})""",
+)
+def drift_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """DR7: responses, responses with a drift point, accuracy."""
+    return DR.drift_summary(drift_events(spark, sf), ["user_id"])
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return faithfulness_conversations(spark, sf)
 

@@ -148,3 +148,36 @@ SELECT r.doc_id, c.text AS context, r.text AS response, (l.quality = 1) AS is_fa
 FROM documents r JOIN documents c ON c.doc_id + 1 = r.doc_id
 LEFT JOIN labels l ON l.doc_id = r.doc_id
 """
+
+
+def drift_events(threshold: float = 0.3) -> str:
+    """DR1/DR2 over events: per user, ordered by ts; score = value / 500."""
+    return f"""
+WITH ev AS (
+  SELECT user_id, event_id, ts, value / 500.0::DOUBLE AS trust_score, event_type = 'error' AS is_hallucination
+  FROM events
+),
+pos AS (
+  SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS sentence_idx,
+         count(*) OVER (PARTITION BY user_id) AS n
+  FROM ev
+),
+d AS (
+  SELECT *, avg(trust_score) OVER (PARTITION BY user_id ORDER BY sentence_idx
+                                   ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) - trust_score AS drop_
+  FROM pos
+),
+best AS (
+  SELECT user_id, sentence_idx AS detected_drift_point FROM d
+  WHERE sentence_idx >= 1 AND drop_ > {threshold} AND n >= 3
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY drop_ DESC, sentence_idx) = 1
+),
+act AS (
+  SELECT user_id, min(sentence_idx) FILTER (WHERE is_hallucination)::INTEGER AS actual_drift_point FROM pos GROUP BY user_id
+)
+SELECT d.user_id, d.event_id, d.trust_score, d.is_hallucination, d.sentence_idx,
+       best.detected_drift_point::INTEGER AS detected_drift_point, act.actual_drift_point,
+       coalesce(d.sentence_idx >= best.detected_drift_point, false) AS post_drift,
+       coalesce(d.sentence_idx >= best.detected_drift_point, false) = d.is_hallucination AS prediction_correct
+FROM d LEFT JOIN best USING (user_id) JOIN act USING (user_id)
+"""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from relmine.operators import drift as DR
 from relmine.operators import faithfulness as FG
+from relmine.operators import features as QF
 from relmine.plans import sqltext as Q
 from relmine.sources import tables as S
 
@@ -120,6 +121,36 @@ def drift_summary(spark: SparkSession, sf: str) -> DataFrame:
     return DR.drift_summary(drift_events(spark, sf), ["user_id"])
 
 
+# ---------------------------------------------------------- prompt features
+
+LF_COLS = [
+    "has_numeric_claim", "has_named_entity", "asks_about_person_raw", "asks_for_list_raw",
+    "asks_specific_count", "query_length", "response_length",
+]
+
+
+@register("prompt_features_documents", f"SELECT * FROM ({Q.prompt_features(Q.DOCUMENT_QUERIES, ['doc_id'])})")
+def prompt_features_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """QF1–QF15 with every document text as a prompt."""
+    docs = S.table(spark, sf, "documents").select("doc_id", F.col("text").alias("query"))
+    return QF.extract(docs).drop("query")
+
+
+@register(
+    "prompt_features_conversations", f"SELECT * FROM ({Q.prompt_features(Q.CONVERSATION_QUERIES, ['prompt_id'])})"
+)
+def prompt_features_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """QF1–QF15 on the opening turn of every conversation."""
+    return QF.extract(S.conversation_prompts(spark, sf)).drop("query", "is_hallucination")
+
+
+@register("label_features_conversations", f"SELECT * FROM ({Q.label_features(Q.CONVERSATION_QR, ['conv_id', 'turn'])})")
+def label_features_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """LF1–LF5: query = the turn before, response = the assistant turn."""
+    pairs = S.conversation_pairs(spark, sf).withColumnRenamed("context", "query")
+    return QF.label_features(pairs).select("conv_id", "turn", *LF_COLS)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return faithfulness_conversations(spark, sf)
 

@@ -181,3 +181,83 @@ SELECT d.user_id, d.event_id, d.trust_score, d.is_hallucination, d.sentence_idx,
        coalesce(d.sentence_idx >= best.detected_drift_point, false) = d.is_hallucination AS prediction_correct
 FROM d LEFT JOIN best USING (user_id) JOIN act USING (user_id)
 """
+
+
+def _search(text: str, pattern: str) -> str:
+    return f"regexp_matches({uw(text)}, '{pattern}', 'i')::INTEGER"
+
+
+def _cut(x: str, bins) -> str:
+    arms = " ".join(f"WHEN {x} > {lo} AND {x} <= {hi} THEN '{label}'" for lo, hi, label in bins)
+    return f"CASE {arms} END"
+
+
+def prompt_features(source_sql: str, keys: list[str]) -> str:
+    """QF1–QF15 over a relation with columns keys + query."""
+    from relmine.operators import features as QF
+
+    t = "coalesce(query, '')"
+    st = f"regexp_replace(lower({t}), '^\\s+|\\s+$', '', 'g')"
+    qt = []
+    for label, prefixes, contains in QF.QUESTION_TYPES:
+        conds = [f"starts_with({st}, '{p}')" for p in prefixes] + [f"contains({st}, '{c}')" for c in contains]
+        qt.append(f"WHEN {' OR '.join(conds)} THEN '{label}'")
+    numeric = _search(t, "|".join(QF.NUMERIC_PATTERNS))
+    temporal = _search(t, "|".join(QF.TEMPORAL_PATTERNS))
+    specific = _search(t, "|".join(QF.SPECIFICITY_PATTERNS))
+    listing = _search(t, QF.LIST_PATTERN)
+    return f"""
+WITH src AS ({source_sql}),
+f AS (
+  SELECT {', '.join(keys)},
+    len(regexp_extract_all({t}, '\\S+'))::INTEGER AS query_word_count,
+    length({t})::INTEGER AS query_char_count,
+    contains({t}, '?')::INTEGER AS has_question_mark,
+    CASE {' '.join(qt)} ELSE 'other' END AS question_type,
+    {numeric} AS demands_numeric,
+    {temporal} AS has_temporal_ref,
+    {specific} AS demands_specificity,
+    {_search(t, "|".join(QF.PERSON_PATTERNS))} AS asks_about_person,
+    {listing} AS asks_for_list,
+    {_search(t, QF.ACADEMIC_PATTERN)} AS domain_academic,
+    {_search(t, QF.FINANCE_PATTERN)} AS domain_finance,
+    {_search(t, QF.MEDICAL_PATTERN)} AS domain_medical
+  FROM src
+)
+SELECT *,
+  (demands_numeric + demands_specificity + asks_for_list + has_temporal_ref)::INTEGER AS specificity_demand_score,
+  {_cut('query_word_count', QF.LENGTH_BINS)} AS length_bin,
+  {_cut('(demands_numeric + demands_specificity + asks_for_list + has_temporal_ref)', QF.SPECIFICITY_BINS)} AS specificity_bin
+FROM f
+"""
+
+
+def label_features(source_sql: str, keys: list[str]) -> str:
+    """LF1–LF5 over a relation with columns keys + query + response."""
+    from relmine.operators import features as QF
+
+    q = "lower(coalesce(query, ''))"
+    r = "coalesce(response, '')"
+    person = " OR ".join(f"contains({q}, '{w}')" for w in QF.PERSON_WORDS)
+    listing = " OR ".join(f"contains({q}, '{w}')" for w in QF.LIST_WORDS)
+    return f"""
+WITH src AS ({source_sql})
+SELECT {', '.join(keys)},
+  regexp_matches({r}, '\\d+') AS has_numeric_claim,
+  regexp_matches({r}, '[A-Z][a-z]+(?:\\s[A-Z][a-z]+)*') AS has_named_entity,
+  ({person}) AS asks_about_person_raw,
+  ({listing}) AS asks_for_list_raw,
+  regexp_matches({q}, '{QF.SPECIFIC_COUNT_PATTERN}') AS asks_specific_count,
+  len(regexp_extract_all(coalesce(query, ''), '\\S+'))::INTEGER AS query_length,
+  len(regexp_extract_all({r}, '\\S+'))::INTEGER AS response_length
+FROM src
+"""
+
+
+DOCUMENT_QUERIES = "SELECT doc_id, text AS query FROM documents"
+CONVERSATION_QUERIES = "SELECT conv_id AS prompt_id, text AS query FROM conversations WHERE turn = 0"
+CONVERSATION_QR = """
+SELECT r.conv_id, r.turn, c.text AS query, r.text AS response
+FROM conversations r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn + 1 = r.turn
+WHERE r.role = 'assistant'
+"""

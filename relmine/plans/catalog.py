@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relmine.operators import consistency as SC
 from relmine.operators import drift as DR
 from relmine.operators import faithfulness as FG
 from relmine.operators import features as QF
@@ -151,6 +152,63 @@ def label_features_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return QF.label_features(pairs).select("conv_id", "turn", *LF_COLS)
 
 
+# --------------------------------------------------------- self-consistency
+
+_SC_SQL = Q.consistency(Q.CONVERSATION_PROMPTS, Q.CONVERSATION_SAMPLES)
+_SC_OUT = f"SELECT prompt_id, is_hallucination, {', '.join(Q.SC_METRICS)} FROM ({_SC_SQL})"
+
+
+def _consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return SC.analyze(S.conversation_prompts(spark, sf), S.conversation_samples(spark, sf))
+
+
+@register("consistency_conversations", _SC_OUT)
+def consistency_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """SC1–SC7: assistant turns as sampled answers to the conversation's opening prompt."""
+    return _consistency(spark, sf).select("prompt_id", "is_hallucination", *SC.METRICS)
+
+
+@register(
+    "consistency_discrimination",
+    f"""SELECT avg(composite_consistency) FILTER (WHERE is_hallucination) AS hallucinated_mean,
+          stddev_samp(composite_consistency) FILTER (WHERE is_hallucination) AS hallucinated_std,
+          avg(composite_consistency) FILTER (WHERE NOT is_hallucination) AS reliable_mean,
+          stddev_samp(composite_consistency) FILTER (WHERE NOT is_hallucination) AS reliable_std,
+          avg(composite_consistency) FILTER (WHERE NOT is_hallucination)
+            - avg(composite_consistency) FILTER (WHERE is_hallucination) AS gap
+        FROM ({_SC_OUT})
+        HAVING count(*) FILTER (WHERE is_hallucination) > 0 AND count(*) FILTER (WHERE NOT is_hallucination) > 0""",
+)
+def consistency_discrimination(spark: SparkSession, sf: str) -> DataFrame:
+    """SC8: composite mean / sample std per label and the gap."""
+    return SC.discrimination(consistency_conversations(spark, sf))
+
+
+@register(
+    "consistency_unreliable",
+    f"SELECT prompt_id, composite_consistency FROM ({_SC_OUT}) WHERE composite_consistency < 0.6",
+)
+def consistency_unreliable(spark: SparkSession, sf: str) -> DataFrame:
+    """SC9: prompts with composite below 0.6, lowest first."""
+    return SC.unreliable(consistency_conversations(spark, sf)).select("prompt_id", "composite_consistency")
+
+
+@register(
+    "consistency_bands",
+    f"""SELECT count(*) AS total,
+          count(*) FILTER (WHERE composite_consistency >= 0.8) AS high,
+          count(*) FILTER (WHERE composite_consistency >= 0.5 AND composite_consistency < 0.8) AS medium,
+          count(*) FILTER (WHERE composite_consistency < 0.5) AS low,
+          (count(*) FILTER (WHERE composite_consistency >= 0.8))::DOUBLE / count(*) AS high_share,
+          (count(*) FILTER (WHERE composite_consistency >= 0.5 AND composite_consistency < 0.8))::DOUBLE / count(*) AS medium_share,
+          (count(*) FILTER (WHERE composite_consistency < 0.5))::DOUBLE / count(*) AS low_share
+        FROM ({_SC_OUT})""",
+)
+def consistency_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """SC10: high / medium / low consistency bands."""
+    return SC.bands(consistency_conversations(spark, sf))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return faithfulness_conversations(spark, sf)
 

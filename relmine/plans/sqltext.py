@@ -261,3 +261,85 @@ SELECT r.conv_id, r.turn, c.text AS query, r.text AS response
 FROM conversations r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn + 1 = r.turn
 WHERE r.role = 'assistant'
 """
+
+
+CONVERSATION_PROMPTS = "SELECT conv_id AS prompt_id, text AS query, (conv_id % 3 = 0) AS is_hallucination FROM conversations WHERE turn = 0"
+CONVERSATION_SAMPLES = "SELECT conv_id AS prompt_id, turn::INTEGER AS sample_idx, text AS response FROM conversations WHERE role = 'assistant'"
+
+
+def consistency(queries_sql: str, samples_sql: str) -> str:
+    """SC1–SC7: queries left-joined with per-prompt metrics; pairwise
+    statistics over all i<j sample pairs of a prompt (brute force)."""
+    return f"""
+WITH q AS ({queries_sql}),
+s AS (SELECT * FROM ({samples_sql}) WHERE response IS NOT NULL AND prompt_id IN (SELECT prompt_id FROM q)),
+n AS (
+  SELECT prompt_id, count(*) AS n,
+    avg(len(regexp_extract_all(response, '\\S+'))) AS len_mean,
+    stddev_pop(len(regexp_extract_all(response, '\\S+'))) AS len_std
+  FROM s GROUP BY prompt_id
+),
+tok AS (SELECT prompt_id, sample_idx, unnest({tfidf_tokens('response')}) AS term FROM s),
+tf AS (SELECT prompt_id, sample_idx, term, count(*) AS tf FROM tok GROUP BY ALL),
+st AS (SELECT prompt_id, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL),
+kept AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY total DESC, term) <= 500),
+w0 AS (
+  SELECT tf.prompt_id, tf.sample_idx, tf.term,
+         tf.tf * (ln((n.n + 1.0::DOUBLE) / (kept.df + 1.0::DOUBLE)) + 1.0::DOUBLE) AS w
+  FROM tf JOIN kept USING (prompt_id, term) JOIN n USING (prompt_id)
+),
+w AS (SELECT prompt_id, sample_idx, term, w / sqrt(sum(w * w) OVER (PARTITION BY prompt_id, sample_idx)) AS w FROM w0),
+dots AS (
+  SELECT a.prompt_id, a.sample_idx AS i, b.sample_idx AS j, sum(a.w * b.w) AS c
+  FROM w a JOIN w b ON a.prompt_id = b.prompt_id AND a.term = b.term AND a.sample_idx < b.sample_idx
+  GROUP BY ALL
+),
+allpairs AS (
+  SELECT a.prompt_id, coalesce(d.c, 0.0::DOUBLE) AS c
+  FROM s a JOIN s b ON a.prompt_id = b.prompt_id AND a.sample_idx < b.sample_idx
+  LEFT JOIN dots d ON d.prompt_id = a.prompt_id AND d.i = a.sample_idx AND d.j = b.sample_idx
+),
+sem AS (
+  SELECT prompt_id, avg(c) AS sem_mean, min(c) AS sem_min, stddev_pop(c) AS sem_std FROM allpairs GROUP BY prompt_id
+),
+vocab AS (SELECT DISTINCT prompt_id FROM kept),
+lw AS (SELECT DISTINCT prompt_id, sample_idx, unnest(regexp_extract_all(lower(response), '\\S+')) AS word FROM s),
+lwc AS (SELECT prompt_id, word, count(*) AS c FROM lw GROUP BY ALL),
+lex AS (
+  SELECT lwc.prompt_id, count(*) AS n_union, count(*) FILTER (WHERE lwc.c = n.n) AS n_inter
+  FROM lwc JOIN n USING (prompt_id) GROUP BY lwc.prompt_id
+),
+nums AS (SELECT prompt_id, sample_idx, {plain_numbers('response')} AS xs FROM s),
+numv AS (SELECT prompt_id, stddev_pop(x) AS num_std FROM (SELECT prompt_id, unnest(xs) AS x FROM nums) GROUP BY prompt_id),
+firsts AS (SELECT prompt_id, xs[1] AS f FROM nums WHERE len(xs) > 0),
+agree AS (
+  SELECT prompt_id, max(c)::DOUBLE / sum(c) AS agree
+  FROM (SELECT prompt_id, f, count(*) AS c FROM firsts GROUP BY ALL) GROUP BY prompt_id
+),
+m AS (
+  SELECT n.prompt_id,
+    CASE WHEN vocab.prompt_id IS NULL THEN 1.0::DOUBLE ELSE sem.sem_mean END AS semantic_consistency,
+    CASE WHEN vocab.prompt_id IS NULL THEN 1.0::DOUBLE ELSE sem.sem_min END AS semantic_consistency_min,
+    CASE WHEN vocab.prompt_id IS NULL THEN 0.0::DOUBLE ELSE sem.sem_std END AS semantic_consistency_std,
+    coalesce(lex.n_inter, 0)::DOUBLE / greatest(coalesce(lex.n_union, 0), 1) AS lexical_overlap,
+    coalesce(numv.num_std, 0.0::DOUBLE) AS numeric_variance,
+    coalesce(agree.agree, 1.0::DOUBLE) AS numeric_agreement,
+    n.len_std / greatest(n.len_mean, 1.0::DOUBLE) AS length_cv
+  FROM n LEFT JOIN sem USING (prompt_id) LEFT JOIN vocab USING (prompt_id) LEFT JOIN lex USING (prompt_id)
+    LEFT JOIN numv USING (prompt_id) LEFT JOIN agree USING (prompt_id)
+  WHERE n.n >= 2
+),
+mc AS (
+  SELECT *, 0.4::DOUBLE * semantic_consistency + 0.2::DOUBLE * lexical_overlap + 0.2::DOUBLE * numeric_agreement
+            + 0.2::DOUBLE * (1.0::DOUBLE - least(length_cv, 1.0::DOUBLE)) AS composite_consistency
+  FROM m
+)
+SELECT q.*, {', '.join('mc.' + c for c in SC_METRICS)}
+FROM q LEFT JOIN mc USING (prompt_id)
+"""
+
+
+SC_METRICS = [
+    "semantic_consistency", "semantic_consistency_min", "semantic_consistency_std", "lexical_overlap",
+    "numeric_variance", "numeric_agreement", "length_cv", "composite_consistency",
+]

@@ -168,6 +168,22 @@ def consistency_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return _consistency(spark, sf).select("prompt_id", "is_hallucination", *SC.METRICS)
 
 
+_SC_DOC_SQL = Q.consistency(
+    "SELECT DISTINCT source AS prompt_id FROM documents",
+    "SELECT source AS prompt_id, doc_id AS sample_idx, text AS response FROM documents",
+)
+
+
+@register("consistency_documents", f"SELECT prompt_id, {', '.join(Q.SC_METRICS)} FROM ({_SC_DOC_SQL})")
+def consistency_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """SC1–SC7 with many long samples per prompt: documents of one source are
+    the samples of that source (numbers present, vocabulary cap active)."""
+    docs = S.table(spark, sf, "documents")
+    prompts = docs.select(F.col("source").alias("prompt_id")).distinct()
+    samples = docs.select(F.col("source").alias("prompt_id"), F.col("doc_id").alias("sample_idx"), F.col("text").alias("response"))
+    return SC.analyze(prompts, samples).select("prompt_id", *SC.METRICS)
+
+
 @register(
     "consistency_discrimination",
     f"""SELECT avg(composite_consistency) FILTER (WHERE is_hallucination) AS hallucinated_mean,

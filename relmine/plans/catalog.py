@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from relmine.operators import consistency as SC
 from relmine.operators import drift as DR
+from relmine.operators import evaluation as EV
 from relmine.operators import faithfulness as FG
 from relmine.operators import features as QF
 from relmine.plans import sqltext as Q
@@ -225,6 +226,106 @@ def consistency_bands(spark: SparkSession, sf: str) -> DataFrame:
     return SC.bands(consistency_conversations(spark, sf))
 
 
+# --------------------------------------------------------------- evaluation
+
+
+@register("eval_consistency_histogram", Q.histogram(_SC_OUT, "composite_consistency", ["is_hallucination"], 25))
+def eval_consistency_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """EV1: composite consistency by label, 25 bins over each label's range."""
+    return EV.consistency_histogram(consistency_conversations(spark, sf))
+
+
+_FG_DOC_LONG = f"""
+SELECT is_faithful, m.metric, m.v FROM (
+  SELECT is_faithful, unnest([{{'metric': 'entity_coverage', 'v': entity_coverage}},
+                              {{'metric': 'numeric_fidelity', 'v': numeric_fidelity}},
+                              {{'metric': 'semantic_similarity', 'v': semantic_similarity}}]) AS m
+  FROM ({_FG_DOC_SQL}) WHERE is_faithful IS NOT NULL)"""
+
+
+@register("eval_faithfulness_histograms", Q.histogram(_FG_DOC_LONG, "v", ["metric", "is_faithful"], 15))
+def eval_faithfulness_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    """EV2: coverage / fidelity / similarity by label, 15 bins each."""
+    return EV.faithfulness_histograms(faithfulness_documents(spark, sf))
+
+
+_DOC_PROMPTS_SQL = f"""
+SELECT f.*, (l.quality = 0) AS is_hallucination
+FROM ({Q.prompt_features(Q.DOCUMENT_QUERIES, ['doc_id'])}) f JOIN labels l ON l.doc_id = f.doc_id"""
+
+
+def _document_prompt_features(spark: SparkSession, sf: str) -> DataFrame:
+    return QF.extract(S.document_prompts(spark, sf)).withColumnRenamed("prompt_id", "doc_id").drop("query")
+
+
+@register(
+    "eval_rate_by_feature",
+    f"""WITH long AS (
+          SELECT is_hallucination AS y, unnest([
+            {{'feature': 'demands_numeric', 'value': demands_numeric::VARCHAR}},
+            {{'feature': 'has_temporal_ref', 'value': has_temporal_ref::VARCHAR}},
+            {{'feature': 'asks_about_person', 'value': asks_about_person::VARCHAR}},
+            {{'feature': 'asks_for_list', 'value': asks_for_list::VARCHAR}}]) AS f
+          FROM ({_DOC_PROMPTS_SQL})),
+        g AS (SELECT f.feature AS feature, f.value AS value, count(*) FILTER (WHERE y) AS nt, count(*) FILTER (WHERE NOT y) AS nf
+              FROM long WHERE f.value IS NOT NULL AND y IS NOT NULL GROUP BY ALL)
+        SELECT feature, value, nt::DOUBLE / (nt + nf) AS rate, (nt + nf) AS n FROM g
+        WHERE feature IN (SELECT feature FROM g GROUP BY feature HAVING sum(nt) > 0 AND sum(nf) > 0)""",
+)
+def eval_rate_by_feature(spark: SparkSession, sf: str) -> DataFrame:
+    """EV3: label rate per value of the four risk features (documents as prompts, quality labels)."""
+    return EV.rate_by_feature(_document_prompt_features(spark, sf))
+
+
+_SWEEP_SQL = Q.threshold_sweep(_SC_OUT, "composite_consistency", "is_hallucination")
+
+
+@register("eval_threshold_sweep", _SWEEP_SQL)
+def eval_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """EV4: confusion counts, TPR, FPR at 50 thresholds of the composite score."""
+    return EV.threshold_sweep(consistency_conversations(spark, sf))
+
+
+@register(
+    "eval_auc",
+    f"""SELECT abs(sum(d * tpr)) AS auc FROM (
+          SELECT tpr, lead(fpr) OVER (ORDER BY k) - fpr AS d FROM ({_SWEEP_SQL}))""",
+)
+def eval_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """EV5: AUC approximation of the sweep."""
+    return EV.auc(eval_threshold_sweep(spark, sf))
+
+
+@register(
+    "eval_trajectories",
+    f"""SELECT user_id, sentence_idx, trust_score, is_hallucination, detected_drift_point FROM ({_DR_EV_SQL})
+        WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 4)""",
+)
+def eval_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    """EV6: trust trajectories of the first four sequences (a top-k report)."""
+    rows = drift_events(spark, sf).select("user_id", "sentence_idx", "trust_score", "is_hallucination", "detected_drift_point")
+    return EV.trajectories(rows, "user_id")
+
+
+@register(
+    "eval_base_rate",
+    f"SELECT avg(is_hallucination::DOUBLE) AS base_rate, count(*) AS rows FROM ({_DOC_PROMPTS_SQL})",
+)
+def eval_base_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """EV7: label base rate and row count."""
+    return EV.base_rate(_document_prompt_features(spark, sf))
+
+
+@register(
+    "eval_consistency_gap",
+    f"""SELECT avg(composite_consistency) FILTER (WHERE NOT is_hallucination)
+          - avg(composite_consistency) FILTER (WHERE is_hallucination) AS consistency_gap FROM ({_SC_OUT})""",
+)
+def eval_consistency_gap(spark: SparkSession, sf: str) -> DataFrame:
+    """EV8: reliable minus hallucinated mean composite."""
+    return EV.consistency_gap(consistency_conversations(spark, sf))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return faithfulness_conversations(spark, sf)
 

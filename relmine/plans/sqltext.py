@@ -343,3 +343,56 @@ SC_METRICS = [
     "semantic_consistency", "semantic_consistency_min", "semantic_consistency_std", "lexical_overlap",
     "numeric_variance", "numeric_agreement", "length_cv", "composite_consistency",
 ]
+
+
+def histogram(src_sql: str, value: str, groups: list[str], bins: int) -> str:
+    g = ", ".join(groups)
+    on = " AND ".join(f"r.{c} = st.{c}" for c in groups)
+
+    def edge(k: str) -> str:
+        return f"CASE WHEN {k} = {bins} THEN hi ELSE ({k})::DOUBLE * ((hi - lo) / {float(bins)}) + lo END"
+
+    return f"""
+WITH r AS (SELECT {g}, ({value})::DOUBLE AS x FROM ({src_sql}) WHERE {value} IS NOT NULL),
+st AS (
+  SELECT {g},
+    CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+    CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
+  FROM r GROUP BY {g}
+),
+b0 AS (
+  SELECT {', '.join('r.' + c for c in groups)}, r.x, st.lo, st.hi,
+    least(floor((r.x - st.lo) / (st.hi - st.lo) * {float(bins)})::INTEGER, {bins - 1}) AS i0
+  FROM r JOIN st ON {on}
+),
+b1 AS (SELECT *, CASE WHEN x < {edge('i0')} THEN i0 - 1 ELSE i0 END AS i1 FROM b0),
+b2 AS (SELECT {g}, CASE WHEN x >= {edge('i1 + 1')} AND i1 <> {bins - 1} THEN i1 + 1 ELSE i1 END AS i FROM b1),
+cnt AS (SELECT {g}, i, count(*) AS c FROM b2 GROUP BY ALL),
+allb AS (SELECT st.*, range::INTEGER AS i FROM st, range({bins}))
+SELECT {', '.join('allb.' + c for c in groups)}, allb.i AS bin,
+  {edge('allb.i').replace('hi', 'allb.hi').replace('lo', 'allb.lo')} AS bin_start,
+  {edge('allb.i + 1').replace('hi', 'allb.hi').replace('lo', 'allb.lo')} AS bin_end,
+  coalesce(cnt.c, 0)::BIGINT AS count
+FROM allb LEFT JOIN cnt ON {' AND '.join(f'allb.{c} = cnt.{c}' for c in groups)} AND allb.i = cnt.i
+"""
+
+
+def threshold_sweep(src_sql: str, score: str, label: str, points: int = 50) -> str:
+    """Brute force: every threshold against every row."""
+    return f"""
+WITH r AS (SELECT {label} AS y, {score} AS s FROM ({src_sql})),
+t AS (SELECT range::INTEGER AS k,
+             CASE WHEN range = {points - 1} THEN 1.0::DOUBLE ELSE range * (1.0::DOUBLE / {points - 1}) END AS threshold
+      FROM range({points})),
+c AS (
+  SELECT t.k, t.threshold,
+    count(*) FILTER (WHERE r.s < t.threshold AND r.y) AS tp,
+    count(*) FILTER (WHERE r.s < t.threshold AND NOT r.y) AS fp,
+    count(*) FILTER (WHERE NOT coalesce(r.s < t.threshold, false) AND r.y) AS fn,
+    count(*) FILTER (WHERE NOT coalesce(r.s < t.threshold, false) AND NOT r.y) AS tn
+  FROM t, r GROUP BY t.k, t.threshold
+)
+SELECT k, threshold, tp, fp, fn, tn,
+  tp::DOUBLE / greatest(tp + fn, 1) AS tpr, fp::DOUBLE / greatest(fp + tn, 1) AS fpr
+FROM c
+"""

@@ -96,3 +96,94 @@ def drift_summary(labelled: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("_d").cast("long").alias("responses_with_drift"),
         F.try_divide(F.sum("_ok"), F.sum("_rows")).alias("sentence_accuracy"),
     )
+
+
+def split_sentences(responses: DataFrame, rid: str = "response_id", text: str = "response") -> DataFrame:
+    """TX6 + position: ``rid, sentence_idx, sentence`` (index after the length filter)."""
+    return responses.select(F.col(rid).alias("rid"), F.posexplode(T.sentences(F.col(text))).alias("sentence_idx", "sentence"))
+
+
+def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "response", reference: str = "reference") -> DataFrame:
+    """DR4/DR5: unrounded per-sentence trust scores ``rid, sentence_idx, sentence, score``.
+
+    With a reference (non-empty): cosine of each sentence to the reference in
+    a TF-IDF fitted on [reference] + sentences. Without one: 0.8 for a lone
+    sentence, else 0.9 for the first and the mean cosine to all earlier
+    sentences (a running per-term sum, no sentence pairs). An empty
+    vocabulary gives 0.5 for every sentence.
+    """
+    has_ref = F.coalesce(F.length(F.col(reference)) > 0, F.lit(False))
+    r = responses.select(F.col(rid).alias("rid"), F.col(text).alias("_t"), F.when(has_ref, F.col(reference)).alias("_ref"))
+    sents = r.select("rid", (F.col("_ref").isNotNull()).alias("has_ref"), F.posexplode(T.sentences(F.col("_t"))).alias("sentence_idx", "sentence"))
+    n_sent = sents.groupBy("rid").agg(F.count(F.lit(1)).alias("n_sent"), F.first("has_ref").alias("has_ref"))
+    sent_docs = sents.select("rid", F.col("sentence_idx").alias("did"), T.tfidf_tokens(F.col("sentence")).alias("toks"))
+    ref_docs = r.filter(F.col("_ref").isNotNull()).join(n_sent.select("rid"), "rid", "left_semi").select(
+        "rid", F.lit(-1).alias("did"), T.tfidf_tokens(F.col("_ref")).alias("toks")
+    )
+    terms = explode_terms(sent_docs.unionByName(ref_docs), ["rid", "did"], "toks")
+    n_docs = n_sent.select("rid", (F.col("n_sent") + F.when(F.col("has_ref"), 1).otherwise(0)).alias("n_docs"))
+    w = group_weights(terms, n_docs, ["rid"], "did")
+    has_vocab = w.select("rid").distinct().withColumn("has_vocab", F.lit(True))
+
+    # DR4: dot with the reference vector
+    ref_w = w.filter(F.col("did") == -1).select("rid", "term", F.col("w").alias("wr"))
+    to_ref = (
+        w.filter(F.col("did") >= 0)
+        .join(ref_w, ["rid", "term"])
+        .groupBy("rid", "did")
+        .agg(F.sum(F.col("w") * F.col("wr")).alias("_ref_cos"))
+    )
+    # DR5: dot with the sum of all earlier sentence vectors, divided by their count
+    run_w = Window.partitionBy("rid", "term").orderBy("did").rowsBetween(Window.unboundedPreceding, -1)
+    to_prev = (
+        w.filter(F.col("did") >= 0)
+        .withColumn("_cum", F.coalesce(F.sum("w").over(run_w), F.lit(0.0)))
+        .groupBy("rid", "did")
+        .agg(F.sum(F.col("w") * F.col("_cum")).alias("_prev_dot"))
+    )
+    s = (
+        sents.join(n_sent.select("rid", "n_sent"), "rid")
+        .join(has_vocab, "rid", "left")
+        .join(to_ref.withColumnRenamed("did", "sentence_idx"), ["rid", "sentence_idx"], "left")
+        .join(to_prev.withColumnRenamed("did", "sentence_idx"), ["rid", "sentence_idx"], "left")
+    )
+    vocab = F.coalesce(F.col("has_vocab"), F.lit(False))
+    idx = F.col("sentence_idx")
+    with_ref = F.when(~vocab, F.lit(EMPTY_VOCAB_SCORE)).otherwise(F.coalesce(F.col("_ref_cos"), F.lit(0.0)))
+    no_ref = (
+        F.when(F.col("n_sent") <= 1, F.lit(SINGLE_SENTENCE_SCORE))
+        .when(~vocab, F.lit(EMPTY_VOCAB_SCORE))
+        .when(idx == 0, F.lit(FIRST_SENTENCE_SCORE))
+        .otherwise(F.coalesce(F.col("_prev_dot"), F.lit(0.0)) / idx)
+    )
+    score = F.when(F.col("has_ref"), with_ref).otherwise(no_ref)
+    return s.select("rid", "sentence_idx", "sentence", score.alias("score")).withColumnRenamed("rid", rid)
+
+
+def trust_map(
+    responses: DataFrame,
+    rid: str = "response_id",
+    text: str = "response",
+    reference: str = "reference",
+    threshold: float = DRIFT_THRESHOLD,
+    window: int = WINDOW_SIZE,
+) -> DataFrame:
+    """DR6: per-sentence trust map rows — DR1 on the unrounded scores of each
+    response (windows per response: bounded by one text), then
+    ``trust_score`` rounded to 3, ``is_post_drift`` and ``drift_point``.
+    Responses without sentences produce no rows."""
+    sc = trust_scores(responses, rid, text, reference)
+    w = Window.partitionBy(rid).orderBy("sentence_idx")
+    prev = F.filter(F.array(*[F.lag("score", k).over(w) for k in range(window, 0, -1)]), lambda x: x.isNotNull())
+    sc = sc.withColumn("_prev", prev).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(rid)))
+    sc = sc.withColumn("_cand", drop_candidate(F.col("sentence_idx"), F.col("_prev"), F.col("score"), threshold))
+    sc = sc.withColumn("_best", F.max("_cand").over(Window.partitionBy(rid)))
+    point = point_from_best(F.col("_best"), F.col("_n"))
+    return sc.select(
+        rid,
+        F.col("sentence_idx").cast("int").alias("sentence_idx"),
+        "sentence",
+        F.round("score", 3).alias("trust_score"),
+        F.coalesce(F.col("sentence_idx") >= point, F.lit(False)).alias("is_post_drift"),
+        point.alias("drift_point"),
+    )

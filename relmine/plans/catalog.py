@@ -226,6 +226,24 @@ def consistency_bands(spark: SparkSession, sf: str) -> DataFrame:
     return SC.bands(consistency_conversations(spark, sf))
 
 
+# -------------------------------------------------------------- trust maps
+
+
+@register("trust_map_reference", f"SELECT * FROM ({Q.trust_map(Q.DOCUMENT_RESPONSES_REF)})")
+def trust_map_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """DR4+DR6: every document's sentences scored against its benchmark reference."""
+    return DR.trust_map(S.document_responses(spark, sf))
+
+
+@register("trust_map_internal", f"SELECT * FROM ({Q.trust_map(Q.DOCUMENT_RESPONSES_NOREF)})")
+def trust_map_internal(spark: SparkSession, sf: str) -> DataFrame:
+    """DR5+DR6: every document's sentences scored by coherence with the earlier ones."""
+    docs = S.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("response_id"), F.col("text").alias("response"), F.lit(None).cast("string").alias("reference")
+    )
+    return DR.trust_map(docs)
+
+
 # --------------------------------------------------------------- evaluation
 
 

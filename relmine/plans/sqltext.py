@@ -396,3 +396,68 @@ SELECT k, threshold, tp, fp, fn, tn,
   tp::DOUBLE / greatest(tp + fn, 1) AS tpr, fp::DOUBLE / greatest(fp + tn, 1) AS fpr
 FROM c
 """
+
+
+DOCUMENT_RESPONSES_REF = """
+SELECT d.doc_id AS response_id, d.text AS response, b.text AS reference
+FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
+"""
+DOCUMENT_RESPONSES_NOREF = "SELECT doc_id AS response_id, text AS response, NULL::VARCHAR AS reference FROM documents"
+
+
+def trust_map(responses_sql: str, threshold: float = 0.3) -> str:
+    """DR4–DR6; the no-reference mean uses explicit sentence pairs j < i."""
+    return f"""
+WITH r AS (
+  SELECT response_id AS rid, response, CASE WHEN length(reference) > 0 THEN reference END AS ref FROM ({responses_sql})
+),
+s0 AS (SELECT rid, ref IS NOT NULL AS has_ref, {sentences('response')} AS ss FROM r),
+sents AS (SELECT rid, has_ref, unnest(ss) AS sentence, (generate_subscripts(ss, 1) - 1)::INTEGER AS sentence_idx FROM s0),
+ns AS (SELECT rid, count(*) AS n_sent, any_value(has_ref) AS has_ref FROM sents GROUP BY rid),
+docs AS (
+  SELECT rid, sentence_idx AS did, sentence AS txt FROM sents
+  UNION ALL
+  SELECT r.rid, -1 AS did, r.ref AS txt FROM r JOIN ns USING (rid) WHERE r.ref IS NOT NULL
+),
+tok AS (SELECT rid, did, unnest({tfidf_tokens('txt')}) AS term FROM docs),
+tf AS (SELECT rid, did, term, count(*) AS tf FROM tok GROUP BY ALL),
+st AS (SELECT rid, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL),
+kept AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY rid ORDER BY total DESC, term) <= 500),
+nd AS (SELECT rid, n_sent + CASE WHEN has_ref THEN 1 ELSE 0 END AS nd FROM ns),
+w0 AS (
+  SELECT tf.rid, tf.did, tf.term, tf.tf * (ln((nd.nd + 1.0::DOUBLE) / (kept.df + 1.0::DOUBLE)) + 1.0::DOUBLE) AS w
+  FROM tf JOIN kept USING (rid, term) JOIN nd USING (rid)
+),
+w AS (SELECT rid, did, term, w / sqrt(sum(w * w) OVER (PARTITION BY rid, did)) AS w FROM w0),
+vocab AS (SELECT DISTINCT rid FROM kept),
+refcos AS (
+  SELECT a.rid, a.did, sum(a.w * b.w) AS c FROM w a JOIN w b
+    ON a.rid = b.rid AND a.term = b.term AND b.did = -1 AND a.did >= 0 GROUP BY ALL
+),
+prevdot AS (
+  SELECT a.rid, a.did, sum(a.w * b.w) AS c FROM w a JOIN w b
+    ON a.rid = b.rid AND a.term = b.term AND b.did >= 0 AND b.did < a.did GROUP BY ALL
+),
+sc AS (
+  SELECT s.rid, s.sentence_idx, s.sentence,
+    CASE WHEN s.has_ref THEN (CASE WHEN v.rid IS NULL THEN 0.5::DOUBLE ELSE coalesce(rc.c, 0.0::DOUBLE) END)
+         ELSE (CASE WHEN ns.n_sent <= 1 THEN 0.8::DOUBLE WHEN v.rid IS NULL THEN 0.5::DOUBLE
+                    WHEN s.sentence_idx = 0 THEN 0.9::DOUBLE ELSE coalesce(pd.c, 0.0::DOUBLE) / s.sentence_idx END) END AS score,
+    ns.n_sent
+  FROM sents s JOIN ns USING (rid) LEFT JOIN vocab v ON v.rid = s.rid
+    LEFT JOIN refcos rc ON rc.rid = s.rid AND rc.did = s.sentence_idx
+    LEFT JOIN prevdot pd ON pd.rid = s.rid AND pd.did = s.sentence_idx
+),
+d AS (
+  SELECT *, avg(score) OVER (PARTITION BY rid ORDER BY sentence_idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) - score AS drop_
+  FROM sc
+),
+best AS (
+  SELECT rid, sentence_idx AS drift_point FROM d
+  WHERE sentence_idx >= 1 AND drop_ > {threshold} AND n_sent >= 3
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY drop_ DESC, sentence_idx) = 1
+)
+SELECT d.rid AS response_id, d.sentence_idx, d.sentence, round(d.score, 3) AS trust_score,
+  coalesce(d.sentence_idx >= best.drift_point, false) AS is_post_drift, best.drift_point::INTEGER AS drift_point
+FROM d LEFT JOIN best USING (rid)
+"""

@@ -19,6 +19,7 @@ from relmine.operators import drift as DR
 from relmine.operators import evaluation as EV
 from relmine.operators import faithfulness as FG
 from relmine.operators import features as QF
+from relmine.operators import rules as RR
 from relmine.plans import sqltext as Q
 from relmine.sources import tables as S
 
@@ -244,6 +245,77 @@ def trust_map_internal(spark: SparkSession, sf: str) -> DataFrame:
     return DR.trust_map(docs)
 
 
+# -------------------------------------------------------------- risk rules
+
+LINEITEM_MIN_CONFIDENCE = 0.33  # the returned-line rate is ~1/3 in every slice
+_LI_FEATS = [(f, f in ("l_linestatus", "quantity_bin", "discount_bin")) for f in S.LINEITEM_FEATURES]
+_RR_LI_SQL = Q.mined_rules(Q.LINEITEM_RISK, _LI_FEATS, "is_returned", RR.MIN_SUPPORT, LINEITEM_MIN_CONFIDENCE)
+_DOC_RISK_SQL = f"""
+SELECT f.*, (l.quality = 1) AS is_risky
+FROM ({Q.prompt_features(Q.DOCUMENT_QUERIES, ['doc_id'])}) f JOIN labels l ON l.doc_id = f.doc_id"""
+_RR_DOC_FEATS = [(f, f in ("question_type", "specificity_bin", "length_bin")) for f in RR.FEATURE_COLUMNS]
+_RR_DOC_SQL = Q.mined_rules(_DOC_RISK_SQL, _RR_DOC_FEATS, "is_risky", RR.MIN_SUPPORT, RR.MIN_CONFIDENCE)
+
+
+def _lineitem_comp(spark: SparkSession, sf: str) -> DataFrame:
+    return RR.compress(S.lineitem_risk(spark, sf), S.LINEITEM_FEATURES, "is_returned")
+
+
+def _document_risk(spark: SparkSession, sf: str) -> DataFrame:
+    docs = S.table(spark, sf, "documents").select("doc_id", F.col("text").alias("query"))
+    labels = S.table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("is_risky"))
+    return QF.extract(docs.join(labels, "doc_id"))
+
+
+@register("risk_rules_lineitem", f"SELECT * FROM ({_RR_LI_SQL})")
+def risk_rules_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """RR0–RR3: single and pair rules for returned line items."""
+    return RR.mined_rules(_lineitem_comp(spark, sf), S.LINEITEM_FEATURES, RR.MIN_SUPPORT, LINEITEM_MIN_CONFIDENCE)
+
+
+@register("risk_rules_documents", f"SELECT * FROM ({_RR_DOC_SQL})")
+def risk_rules_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """RR0–RR3 with the reference's eleven prompt features over labelled documents."""
+    comp = RR.compress(_document_risk(spark, sf), RR.FEATURE_COLUMNS, "is_risky")
+    return RR.mined_rules(comp, RR.FEATURE_COLUMNS)
+
+
+@register(
+    "risk_rules_top",
+    f"SELECT * FROM ({_RR_LI_SQL}) ORDER BY confidence DESC, support DESC, rule LIMIT {RR.SUMMARY_TOP}",
+)
+def risk_rules_top(spark: SparkSession, sf: str) -> DataFrame:
+    """RR4: the eight highest-confidence rules (a top-k report)."""
+    return RR.rank(risk_rules_lineitem(spark, sf), RR.SUMMARY_TOP)
+
+
+@register(
+    "risk_rule_stats",
+    f"SELECT count(*) AS n_rules, max(confidence) AS best_confidence FROM ({_RR_LI_SQL})",
+)
+def risk_rule_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """RR9: number of mined rules and the best confidence."""
+    return RR.rule_stats(risk_rules_lineitem(spark, sf))
+
+
+@register("risk_tree_rules")
+def risk_tree_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """RR5–RR7: all rules of the fit — mined rules plus the tree's importance rows."""
+    rules, _ = RR.fit(
+        S.lineitem_risk(spark, sf), S.LINEITEM_FEATURES, "is_returned",
+        min_confidence=LINEITEM_MIN_CONFIDENCE, ordered=S.LINEITEM_ORDERED,
+    )
+    return rules
+
+
+@register("risk_scores")
+def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """RR8: tree probability of a return for every line item."""
+    rows = S.lineitem_risk(spark, sf)
+    tree = RR.fit_tree(_lineitem_comp(spark, sf), S.LINEITEM_FEATURES, ordered=S.LINEITEM_ORDERED)
+    return RR.score(rows, tree).select("l_orderkey", "l_linenumber", "predicted_risk")
+
+
 # --------------------------------------------------------------- evaluation
 
 

@@ -461,3 +461,43 @@ SELECT d.rid AS response_id, d.sentence_idx, d.sentence, round(d.score, 3) AS tr
   coalesce(d.sentence_idx >= best.drift_point, false) AS is_post_drift, best.drift_point::INTEGER AS drift_point
 FROM d LEFT JOIN best USING (rid)
 """
+
+
+LINEITEM_RISK = """
+SELECT l_orderkey, l_linenumber, l_linestatus,
+  (l_linenumber = 1)::INTEGER AS is_first_line,
+  (l_linenumber >= 5)::INTEGER AS is_late_line,
+  (l_tax > 0.04)::INTEGER AS high_tax,
+  CASE WHEN l_quantity <= 10 THEN 'small' WHEN l_quantity <= 30 THEN 'medium' ELSE 'large' END AS quantity_bin,
+  CASE WHEN l_discount < 0.03 THEN 'low' WHEN l_discount < 0.07 THEN 'mid' ELSE 'high' END AS discount_bin,
+  (l_returnflag = 'R') AS is_returned
+FROM lineitem
+"""
+
+
+def mined_rules(src_sql: str, features: list[tuple[str, bool]], label: str, min_support: float, min_confidence: float) -> str:
+    """RR1–RR3 by brute force: one GROUP BY per feature and per feature pair."""
+    from itertools import combinations
+
+    n = "(SELECT count(*) FROM t)"
+    parts = []
+    for f, is_str in features:
+        elig = "TRUE" if is_str else f"(SELECT count(DISTINCT {f}) FROM t) <= 5"
+        parts.append(
+            f"""SELECT '{f}=' || {f}::VARCHAR AS rule, avg({label}::INTEGER::DOUBLE) AS confidence,
+                 count(*)::DOUBLE / {n} AS support, count(*) AS n_matches, 'single' AS kind
+               FROM t WHERE {f} IS NOT NULL AND {elig} GROUP BY {f}
+               HAVING count(*) >= {min_support} * {n} AND avg({label}::INTEGER::DOUBLE) >= {min_confidence}"""
+        )
+    numeric = [f for f, is_str in features if not is_str]
+    for a, b in combinations(numeric, 2):
+        parts.append(
+            f"""SELECT '{a}=' || {a}::VARCHAR || ' & {b}=' || {b}::VARCHAR AS rule, avg({label}::INTEGER::DOUBLE) AS confidence,
+                 count(*)::DOUBLE / {n} AS support, count(*) AS n_matches, 'pair' AS kind
+               FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL
+                 AND (SELECT count(DISTINCT {a}) FROM t) <= 3 AND (SELECT count(DISTINCT {b}) FROM t) <= 3
+               GROUP BY {a}, {b}
+               HAVING count(*) >= greatest({min_support} * {n}, 5) AND avg({label}::INTEGER::DOUBLE) >= {min_confidence}"""
+        )
+    body = "\nUNION ALL\n".join(parts)
+    return f"WITH t AS ({src_sql})\n{body}"

@@ -102,3 +102,28 @@ def document_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_items = bench.select(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
     keyed = docs.withColumn("item_id", F.col("response_id") % n_items)
     return keyed.join(bench, "item_id", "left").select("response_id", "response", "reference")
+
+
+# ------------------------------------------------------------- rule tables
+
+LINEITEM_FEATURES = ["l_linestatus", "is_first_line", "is_late_line", "high_tax", "quantity_bin", "discount_bin"]
+LINEITEM_ORDERED = {"quantity_bin": ["small", "medium", "large"], "discount_bin": ["low", "mid", "high"]}
+
+
+def lineitem_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled feature rows over lineitem: label = returned (l_returnflag 'R'),
+    features = line status, 0/1 flags from line number and tax, and binned
+    quantity and discount (binned columns are ordered categoricals)."""
+    li = table(spark, sf_dir, "lineitem")
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    return li.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_linestatus",
+        (F.col("l_linenumber") == 1).cast("int").alias("is_first_line"),
+        (F.col("l_linenumber") >= 5).cast("int").alias("is_late_line"),
+        (F.col("l_tax") > 0.04).cast("int").alias("high_tax"),
+        F.when(q <= 10, "small").when(q <= 30, "medium").otherwise("large").alias("quantity_bin"),
+        F.when(d < 0.03, "low").when(d < 0.07, "mid").otherwise("high").alias("discount_bin"),
+        (F.col("l_returnflag") == "R").alias("is_returned"),
+    )

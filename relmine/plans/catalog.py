@@ -416,6 +416,18 @@ def eval_consistency_gap(spark: SparkSession, sf: str) -> DataFrame:
     return EV.consistency_gap(consistency_conversations(spark, sf))
 
 
+# ------------------------------------------------------------- run summary
+
+
+@register("run_summary")
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """EV9 / PL1: the full analysis reduced to its report values; the rule
+    count includes the tree's importance rows, so no SQL restatement."""
+    from relmine.plans.analysis import full_analysis
+
+    return full_analysis(spark, sf)["summary"]
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return faithfulness_conversations(spark, sf)
 

@@ -151,4 +151,4 @@ def runs(sorted_arr: Column) -> Column:
 
 def term_counts(tokens: Column) -> Column:
     """Distinct terms with raw counts, ``array<struct<term, tf>>`` sorted by term."""
-    return F.transform(runs(F.array_sort(tokens)), lambda r: F.struct(r["v"].alias("term"), r["cnt"].alias("tf")))
+    return F.transform(runs(F.sort_array(tokens)), lambda r: F.struct(r["v"].alias("term"), r["cnt"].alias("tf")))

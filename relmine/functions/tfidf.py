@@ -21,6 +21,8 @@ Two physical forms:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +42,16 @@ def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_featur
     reference's fallback; a side without kept terms is a zero vector (0.0).
     Null token arrays give null.
     """
-    tagged = F.concat(
-        F.transform(F.col(tok_a), lambda x: F.struct(x.alias("t"), F.lit(0).alias("side"))),
-        F.transform(F.col(tok_b), lambda x: F.struct(x.alias("t"), F.lit(1).alias("side"))),
-    )
+    def side(tokens: str, k: int) -> Column:
+        # distinct terms with counts, natively sorted strings (no lambda comparator)
+        return F.transform(
+            runs(F.sort_array(F.col(tokens))),
+            lambda r: F.struct(r["v"].alias("t"), F.lit(k).alias("side"), r["cnt"].alias("cnt")),
+        )
 
     def merge(r):
-        # one entry per term: the A-run (side 0) sorts before the B-run of the same term
+        # r: distinct terms of both sides sorted by (term, side); the A entry
+        # (side 0) of a shared term is directly followed by its B entry
         a1 = F.zip_with(
             r, F.slice(r, 2, F.greatest(F.size(r), F.lit(0))), lambda c, nx: F.struct(c.alias("c"), nx.alias("nx"))
         )
@@ -59,32 +64,35 @@ def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_featur
             F.transform(
                 a2,
                 lambda x, i: F.struct(
-                    x["c"]["v"]["t"].alias("term"),
-                    F.when(x["c"]["v"]["side"] == 0, x["c"]["cnt"]).otherwise(F.lit(0)).alias("a"),
-                    F.when(x["c"]["v"]["side"] == 1, x["c"]["cnt"])
-                    .when(x["nx"]["v"]["t"] == x["c"]["v"]["t"], x["nx"]["cnt"])
+                    x["c"]["t"].alias("term"),
+                    F.when(x["c"]["side"] == 0, x["c"]["cnt"]).otherwise(F.lit(0)).alias("a"),
+                    F.when(x["c"]["side"] == 1, x["c"]["cnt"])
+                    .when(x["nx"]["t"] == x["c"]["t"], x["nx"]["cnt"])
                     .otherwise(F.lit(0))
                     .alias("b"),
-                    ((i == 0) | (x["pv"]["v"]["t"] != x["c"]["v"]["t"])).alias("first"),
+                    ((i == 0) | (x["pv"]["t"] != x["c"]["t"])).alias("first"),
                 ),
             ),
             lambda v: v["first"] & v["term"].isNotNull(),
         )
 
     def cap(vocab):
-        ranked = F.array_sort(
-            F.transform(
-                vocab,
-                lambda v: F.struct(
-                    (-(v["a"] + v["b"])).alias("k"), v["term"].alias("term"), v["a"].alias("a"), v["b"].alias("b")
-                ),
-            )
-        )
-        return F.slice(ranked, 1, max_features)
+        # top ``max_features`` terms by total count, ties by term (the array
+        # is term-sorted): the cut-off count comes from a native int sort, no
+        # struct sort; vocabularies within the cap are returned as they are
+        def cut(kth):
+            above = F.filter(vocab, lambda v: (v["a"] + v["b"]) > kth)
+            at = F.filter(vocab, lambda v: (v["a"] + v["b"]) == kth)
+            return let(above, lambda ab: F.concat(ab, F.slice(at, 1, F.lit(max_features) - F.size(ab))))
+
+        totals = F.transform(vocab, lambda v: v["a"] + v["b"])
+        big = let(F.element_at(F.sort_array(totals, asc=False), max_features), cut)
+        return F.when(F.size(vocab) > max_features, big).otherwise(vocab)
+
+    idf_one_side = math.log(3.0 / 2.0) + 1.0  # ln((1+n)/(1+df)) + 1 with n = 2, df = 1 (df = 2 gives 1)
 
     def step(acc, v):
-        dfv = (v["a"] > 0).cast("int") + (v["b"] > 0).cast("int")
-        idf = F.log(F.lit(3.0) / (dfv + F.lit(1.0))) + F.lit(1.0)
+        idf = F.when((v["a"] > 0) & (v["b"] > 0), F.lit(1.0)).otherwise(F.lit(idf_one_side))
         wa = v["a"] * idf
         wb = v["b"] * idf
         return F.struct(
@@ -103,7 +111,7 @@ def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_featur
 
         return let(F.aggregate(vocab, zero, step), finish)
 
-    vocab = let(let(runs(F.array_sort(tagged)), merge), cap)
+    vocab = let(let(F.sort_array(F.concat(side(tok_a, 0), side(tok_b, 1))), merge), cap)
     return df.withColumn(out, F.when(F.col(tok_a).isNotNull() & F.col(tok_b).isNotNull(), let(vocab, cosine)))
 
 

@@ -172,7 +172,7 @@ def fit_encoding(comp: DataFrame, features: list[str], ordered: dict[str, list[s
     cats: dict[str, list[str]] = {}
     strings = [f for f in features if _is_string(comp, f)]
     if strings:
-        found = comp.select(*[F.array_sort(F.collect_set(f)).alias(f) for f in strings]).first()
+        found = comp.select(*[F.sort_array(F.collect_set(f)).alias(f) for f in strings]).first()
         for f in strings:
             values = ordered.get(f) or list(found[f] or [])
             cats[f] = values[1:]

@@ -51,7 +51,7 @@ def ordered_sequence(
     tails = (
         lagged.filter(F.col("_rn") > F.col("_cnt") - lags)
         .groupBy(*keys, "_chunk")
-        .agg(F.first("_cnt").alias("_ccnt"), F.array_sort(F.collect_list(F.struct("_rn", F.col(value).alias("v")))).alias("_tail"))
+        .agg(F.first("_cnt").alias("_ccnt"), F.sort_array(F.collect_list(F.struct("_rn", F.col(value).alias("v")))).alias("_tail"))
     )
     chunk_w = Window.partitionBy(*keys).orderBy("_chunk")
     summary = tails.select(

@@ -8,6 +8,8 @@ folder under the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,7 +41,12 @@ def start(
     checkpoint: str | None = None,
 ) -> StreamingQuery:
     spark = scored.sparkSession
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-{query_name or 'faithfulness'}"
+    if checkpoint is None:
+        # file sinks restart exactly-once from a stable folder; the memory
+        # sink cannot recover, so it always gets a fresh one
+        base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{query_name or 'faithfulness'}"
+        checkpoint = f"{base}-{uuid.uuid4().hex}" if sink == "memory" else base
+    ckpt = checkpoint
     w = scored.writeStream.outputMode("append").option("checkpointLocation", ckpt)
     if query_name:
         w = w.queryName(query_name)

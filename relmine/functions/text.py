@@ -123,28 +123,26 @@ def let(value: Column, body) -> Column:
 def runs(sorted_arr: Column) -> Column:
     """Run-length encode a sorted array: ``array<struct<v, cnt:int>>``.
 
-    Linear after the sort: each element is compared with its predecessor via
-    ``zip_with`` against the array shifted by one; run starts keep their
-    position and the next run start gives the length. The padded last pair of
-    the shifted zip is the end sentinel.
+    Linear after the sort: run starts are the positions whose element
+    differs from its predecessor (plain int positions, with the array length
+    as end sentinel); the distance to the next start is the run length. The
+    array is a ``let``-bound variable, so indexed access is O(1).
     """
 
     def body(s):
-        shifted = F.concat(F.slice(s, 1, 1), s)
-        pairs = F.zip_with(s, shifted, lambda a, b: F.struct(a.alias("v"), a.eqNullSafe(b).alias("same")))
-        marks = F.filter(
-            F.transform(
-                pairs,
-                lambda p, i: F.struct(p["v"].alias("v"), i.alias("pos"), ((i == 0) | ~p["same"]).alias("new")),
-            ),
-            lambda p: p["new"],
+        n = F.size(s)
+        starts = F.filter(
+            F.sequence(F.lit(0), n),
+            lambda i: (i == 0) | (i == n) | (F.get(s, i) != F.get(s, i - 1)),
         )
-        return let(marks, counted)
 
-    def counted(marks):
-        nxt = F.slice(marks, 2, F.greatest(F.size(marks), F.lit(0)))
-        pairs = F.zip_with(marks, nxt, lambda a, b: F.struct(a["v"].alias("v"), (b["pos"] - a["pos"]).alias("cnt")))
-        return F.filter(pairs, lambda r: r["v"].isNotNull() & r["cnt"].isNotNull())
+        def counted(st):
+            return F.transform(
+                F.slice(st, 1, F.greatest(F.size(st) - 1, F.lit(0))),
+                lambda p, k: F.struct(F.get(s, p).alias("v"), (F.get(st, k + 1) - p).alias("cnt")),
+            )
+
+        return let(starts, counted)
 
     return let(sorted_arr, body)
 

@@ -52,29 +52,17 @@ def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_featur
     def merge(r):
         # r: distinct terms of both sides sorted by (term, side); the A entry
         # (side 0) of a shared term is directly followed by its B entry
-        a1 = F.zip_with(
-            r, F.slice(r, 2, F.greatest(F.size(r), F.lit(0))), lambda c, nx: F.struct(c.alias("c"), nx.alias("nx"))
-        )
-        a2 = F.zip_with(
-            a1,
-            F.concat(F.slice(r, 1, 1), r),
-            lambda x, pv: F.struct(x["c"].alias("c"), x["nx"].alias("nx"), pv.alias("pv")),
-        )
-        return F.filter(
-            F.transform(
-                a2,
-                lambda x, i: F.struct(
-                    x["c"]["t"].alias("term"),
-                    F.when(x["c"]["side"] == 0, x["c"]["cnt"]).otherwise(F.lit(0)).alias("a"),
-                    F.when(x["c"]["side"] == 1, x["c"]["cnt"])
-                    .when(x["nx"]["t"] == x["c"]["t"], x["nx"]["cnt"])
-                    .otherwise(F.lit(0))
-                    .alias("b"),
-                    ((i == 0) | (x["pv"]["t"] != x["c"]["t"])).alias("first"),
-                ),
-            ),
-            lambda v: v["first"] & v["term"].isNotNull(),
-        )
+        def entry(x, i):
+            nxt = F.get(r, i + 1)
+            prv = F.get(r, i - 1)
+            return F.struct(
+                x["t"].alias("term"),
+                F.when(x["side"] == 0, x["cnt"]).otherwise(F.lit(0)).alias("a"),
+                F.when(x["side"] == 1, x["cnt"]).when(nxt["t"] == x["t"], nxt["cnt"]).otherwise(F.lit(0)).alias("b"),
+                ((i == 0) | (prv["t"] != x["t"])).alias("first"),
+            )
+
+        return F.filter(F.transform(r, entry), lambda v: v["first"])
 
     def cap(vocab):
         # top ``max_features`` terms by total count, ties by term (the array

@@ -111,44 +111,71 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
     sentence, else 0.9 for the first and the mean cosine to all earlier
     sentences (a running per-term sum, no sentence pairs). An empty
     vocabulary gives 0.5 for every sentence.
+
+    Plan: each response is exploded into term rows (plus one marker row per
+    sentence that carries its text) and shuffled once by response id; every
+    later window and aggregate is keyed by the response id first, so it
+    reuses that partitioning. A response is one text, so no key is hot.
     """
     has_ref = F.coalesce(F.length(F.col(reference)) > 0, F.lit(False))
-    r = responses.select(F.col(rid).alias("rid"), F.col(text).alias("_t"), F.when(has_ref, F.col(reference)).alias("_ref"))
-    sents = r.select("rid", (F.col("_ref").isNotNull()).alias("has_ref"), F.posexplode(T.sentences(F.col("_t"))).alias("sentence_idx", "sentence"))
-    n_sent = sents.groupBy("rid").agg(F.count(F.lit(1)).alias("n_sent"), F.first("has_ref").alias("has_ref"))
-    sent_docs = sents.select("rid", F.col("sentence_idx").alias("did"), T.tfidf_tokens(F.col("sentence")).alias("toks"))
-    ref_docs = r.filter(F.col("_ref").isNotNull()).join(n_sent.select("rid"), "rid", "left_semi").select(
-        "rid", F.lit(-1).alias("did"), T.tfidf_tokens(F.col("_ref")).alias("toks")
-    )
-    terms = explode_terms(sent_docs.unionByName(ref_docs), ["rid", "did"], "toks")
-    n_docs = n_sent.select("rid", (F.col("n_sent") + F.when(F.col("has_ref"), 1).otherwise(0)).alias("n_docs"))
-    w = group_weights(terms, n_docs, ["rid"], "did")
-    has_vocab = w.select("rid").distinct().withColumn("has_vocab", F.lit(True))
-
-    # DR4: dot with the reference vector
-    ref_w = w.filter(F.col("did") == -1).select("rid", "term", F.col("w").alias("wr"))
-    to_ref = (
-        w.filter(F.col("did") >= 0)
-        .join(ref_w, ["rid", "term"])
-        .groupBy("rid", "did")
-        .agg(F.sum(F.col("w") * F.col("wr")).alias("_ref_cos"))
-    )
-    # DR5: dot with the sum of all earlier sentence vectors, divided by their count
-    run_w = Window.partitionBy("rid", "term").orderBy("did").rowsBetween(Window.unboundedPreceding, -1)
-    to_prev = (
-        w.filter(F.col("did") >= 0)
-        .withColumn("_cum", F.coalesce(F.sum("w").over(run_w), F.lit(0.0)))
-        .groupBy("rid", "did")
-        .agg(F.sum(F.col("w") * F.col("_cum")).alias("_prev_dot"))
+    r = responses.select(
+        F.col(rid).alias("rid"), T.sentences(F.col(text)).alias("_ss"), F.when(has_ref, F.col(reference)).alias("_ref")
+    ).filter(F.size("_ss") > 0)
+    docs = F.concat(
+        F.transform(
+            "_ss",
+            lambda s, i: F.struct(i.alias("did"), s.alias("sentence"), T.tfidf_tokens(s).alias("toks")),
+        ),
+        F.when(
+            F.col("_ref").isNotNull(),
+            F.array(F.struct(F.lit(-1).alias("did"), F.lit(None).cast("string").alias("sentence"), T.tfidf_tokens(F.col("_ref")).alias("toks"))),
+        ).otherwise(F.array().cast("array<struct<did:int,sentence:string,toks:array<string>>>")),
     )
-    s = (
-        sents.join(n_sent.select("rid", "n_sent"), "rid")
-        .join(has_vocab, "rid", "left")
-        .join(to_ref.withColumnRenamed("did", "sentence_idx"), ["rid", "sentence_idx"], "left")
-        .join(to_prev.withColumnRenamed("did", "sentence_idx"), ["rid", "sentence_idx"], "left")
+    d = r.select(
+        "rid",
+        F.size("_ss").alias("n_sent"),
+        F.col("_ref").isNotNull().alias("has_ref"),
+        F.explode(docs).alias("_d"),
+    ).select("rid", "n_sent", "has_ref", "_d.did", "_d.sentence", "_d.toks")
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
+    rows = d.select(
+        "rid", "n_sent", "has_ref", "did", "sentence", F.explode(F.concat(marker, T.term_counts(F.col("toks")))).alias("_t")
+    ).select(
+        "rid",
+        "n_sent",
+        "has_ref",
+        "did",
+        F.when(F.col("_t.term").isNull(), F.col("sentence")).alias("sentence"),
+        F.col("_t.term").alias("term"),
+        F.col("_t.tf").alias("tf"),
+    ).repartition("rid")
+
+    is_term = F.col("term").isNotNull()
+    by_term = Window.partitionBy("rid", "term")
+    rank_w = Window.partitionBy("rid").orderBy(F.col("total").desc(), F.col("term").asc_nulls_last())
+    rows = rows.withColumn("df", F.count("did").over(by_term)).withColumn("total", F.sum("tf").over(by_term))
+    rows = rows.withColumn("_rk", F.dense_rank().over(rank_w))
+    kept = is_term & (F.col("_rk") <= MAX_FEATURES_TERMS)
+    n_docs = F.col("n_sent") + F.when(F.col("has_ref"), 1).otherwise(0)
+    idf = F.log((n_docs + F.lit(1.0)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
+    rows = rows.withColumn("_w", F.when(kept, F.col("tf") * idf))
+    rows = rows.withColumn("_v", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("rid", "did"))))
+    rows = rows.withColumn("_vocab", F.max(kept.cast("int")).over(Window.partitionBy("rid")) > 0)
+    # DR4: weight of the same term in the reference document
+    rows = rows.withColumn("_vref", F.max(F.when(F.col("did") == -1, F.col("_v"))).over(by_term))
+    # DR5: sum of the same term's weights over all earlier sentences
+    run_w = by_term.orderBy("did").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_cum", F.sum(F.when(F.col("did") >= 0, F.col("_v"))).over(run_w))
+    s = rows.filter(F.col("did") >= 0).groupBy("rid", "did").agg(
+        F.max("sentence").alias("sentence"),
+        F.first("n_sent").alias("n_sent"),
+        F.first("has_ref").alias("has_ref"),
+        F.first("_vocab").alias("vocab"),
+        F.sum(F.col("_v") * F.col("_vref")).alias("_ref_cos"),
+        F.sum(F.col("_v") * F.col("_cum")).alias("_prev_dot"),
     )
-    vocab = F.coalesce(F.col("has_vocab"), F.lit(False))
-    idx = F.col("sentence_idx")
+    vocab = F.col("vocab")
+    idx = F.col("did")
     with_ref = F.when(~vocab, F.lit(EMPTY_VOCAB_SCORE)).otherwise(F.coalesce(F.col("_ref_cos"), F.lit(0.0)))
     no_ref = (
         F.when(F.col("n_sent") <= 1, F.lit(SINGLE_SENTENCE_SCORE))
@@ -157,7 +184,10 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
         .otherwise(F.coalesce(F.col("_prev_dot"), F.lit(0.0)) / idx)
     )
     score = F.when(F.col("has_ref"), with_ref).otherwise(no_ref)
-    return s.select("rid", "sentence_idx", "sentence", score.alias("score")).withColumnRenamed("rid", rid)
+    return s.select(F.col("rid").alias(rid), F.col("did").alias("sentence_idx"), "sentence", score.alias("score"))
+
+
+MAX_FEATURES_TERMS = 500  # fixed value: vectoriser vocabulary cap of the reference
 
 
 def trust_map(

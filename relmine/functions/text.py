@@ -47,6 +47,7 @@ wherever whether which while whither who whoever whole whom whose why will with
 # Regex patterns of the reference (fixed values), Java dialect.
 WS_TOKEN = r"\S+"  # Python str.split(): runs of non-whitespace
 TFIDF_TOKEN = r"[\p{L}\p{N}_]{2,}"  # sklearn default token pattern (?u)\b\w\w+\b
+WORD_RUN = r"[\p{L}\p{N}_]+"  # maximal runs of Python word characters
 PLAIN_NUMBER = r"(?U)\b\d+(?:\.\d+)?\b"
 NUMBER_PCT = r"(?U)\b\d+(?:\.\d+)?%?\b"
 CAPITALISED_RUN = r"(?U)\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b"
@@ -88,6 +89,23 @@ def tfidf_tokens(text: Column) -> Column:
     return F.filter(toks, lambda t: ~t.isin(*STOP_WORDS))
 
 
+def word_runs(text: Column) -> Column:
+    """Maximal runs of word characters. A ``\\bw\\b`` match is exactly a run
+    equal to ``w``, and TF-IDF tokens are the runs of length >= 2, so one
+    extraction serves both."""
+    return extract_all(text, WORD_RUN)
+
+
+def tfidf_from_runs(runs_lower: Column) -> Column:
+    """TX2 from the word runs of lower-cased text (same tokens as ``tfidf_tokens``)."""
+    return F.filter(runs_lower, lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
+
+
+def count_words(runs_lower: Column, words) -> Column:
+    """Number of whole-word occurrences of any of ``words``."""
+    return F.size(F.filter(runs_lower, lambda t: t.isin(*words)))
+
+
 def plain_numbers(text: Column) -> Column:
     """TX3: plain numbers as doubles (``1,247`` gives 1 and 247)."""
     return F.transform(extract_all(text, PLAIN_NUMBER), lambda x: x.cast("double"))

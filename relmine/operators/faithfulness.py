@@ -15,9 +15,9 @@ from relmine.functions import text as T
 from relmine.functions.tfidf import with_pair_cosine
 
 # Fixed values of the reference.
-NEGATION = r"(?U)\bnot\b|\bno\b|\bnever\b|\bnone\b"
-AMPLIFIER = r"(?U)\ball\b|\bevery\b|\balways\b"
-HEDGE = r"(?U)\bsome\b|\bfew\b|\brarely\b"
+NEGATION = ("not", "no", "never", "none")  # whole words
+AMPLIFIER = ("all", "every", "always")
+HEDGE = ("some", "few", "rarely")
 FUNCTION_WORDS = ("the", "a", "an", "is", "are", "was", "were")
 WEIGHTS = (0.3, 0.2, 0.3, 0.2)  # coverage, fidelity, similarity, 1 - contradiction
 
@@ -36,7 +36,13 @@ def faithfulness(df: DataFrame, context: str = "context", response: str = "respo
     ctx, resp = F.col(context), F.col(response)
     valid = ctx.isNotNull() & resp.isNotNull()
     src_cols = df.columns
-    w = df.select(
+    runs = df.select(
+        *src_cols,
+        T.word_runs(F.lower(ctx)).alias("_rc"),
+        T.word_runs(F.lower(resp)).alias("_rr"),
+    )
+    rc, rr = F.col("_rc"), F.col("_rr")
+    w = runs.select(
         *src_cols,
         T.entities(ctx).alias("_ec"),
         T.entities(resp).alias("_er"),
@@ -44,14 +50,14 @@ def faithfulness(df: DataFrame, context: str = "context", response: str = "respo
         T.percent_numbers(resp).alias("_pr"),
         F.array_distinct(T.plain_numbers(F.lower(ctx))).alias("_fc"),
         F.array_distinct(T.plain_numbers(F.lower(resp))).alias("_fr"),
-        T.count_matches(F.lower(ctx), NEGATION).alias("_negc"),
-        T.count_matches(F.lower(resp), NEGATION).alias("_negr"),
-        T.count_matches(F.lower(ctx), AMPLIFIER).alias("_ampc"),
-        T.count_matches(F.lower(resp), HEDGE).alias("_hedr"),
+        T.count_words(rc, NEGATION).alias("_negc"),
+        T.count_words(rr, NEGATION).alias("_negr"),
+        T.count_words(rc, AMPLIFIER).alias("_ampc"),
+        T.count_words(rr, HEDGE).alias("_hedr"),
         F.array_distinct(T.ws_tokens(F.lower(ctx))).alias("_wc"),
         F.array_except(T.ws_tokens(F.lower(resp)), F.array(*[F.lit(x) for x in FUNCTION_WORDS])).alias("_claims"),
-        T.tfidf_tokens(ctx).alias("_tc"),
-        T.tfidf_tokens(resp).alias("_tr"),
+        T.tfidf_from_runs(rc).alias("_tc"),
+        T.tfidf_from_runs(rr).alias("_tr"),
     )
     w = with_pair_cosine(w, "_tc", "_tr", "_sim")
 

@@ -1,28 +1,30 @@
 """Self-consistency across sampled responses.
 
-Plan shape (every aggregate is keyed by ``prompt_id`` first, so a hot prompt
-is pre-aggregated map-side and never collected into one task):
+Plan shape (every aggregate is keyed by ``prompt_id`` first and partially
+aggregated map-side, so a hot prompt is never collected into one task):
 
 * per sample (row-local): term counts, distinct lower-cased words, numbers,
   token count;
-* per prompt: ``groupBy`` aggregates for n, length spread, number spread,
-  first-number mode;
-* lexical overlap: distinct ``(prompt, word)`` sample counts, then words
-  present in all n samples;
-* semantic consistency: per-prompt TF-IDF (``group_weights``), pair dot
-  products from an equi-join on ``(prompt_id, term)`` — only pairs that
-  share a term are produced, pairs without a shared term have cosine 0 and
-  are accounted for analytically (count n(n-1)/2, min 0), so the statistic
-  is exact without enumerating all pairs.
+* one ``groupBy(prompt, kind, key)`` over "fact" rows (the sample itself,
+  each number, each distinct word, each distinct term) gives every
+  per-prompt count: samples, first-number modes, number spread, word sample
+  counts (lexical overlap), term document frequencies and totals (TF-IDF);
+  the token-count spread comes from exact integer sums;
+* semantic consistency: TF-IDF weights per sample, pair dot products from an
+  equi-join on ``(prompt, term)`` — only pairs that share a term are
+  produced; pairs without a shared term have cosine 0 and are accounted for
+  analytically (count n(n-1)/2, min 0), so mean, min and std are exact
+  without enumerating all pairs. The join's hot ``(prompt, term)`` keys are
+  split by AQE's skew-join handling.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relmine.functions import text as T
-from relmine.functions.tfidf import explode_terms, group_weights
+from relmine.functions.tfidf import MAX_FEATURES
 
 # Fixed values of the reference.
 COMPOSITE_WEIGHTS = (0.4, 0.2, 0.2, 0.2)  # semantic, lexical, numeric agreement, 1 - min(cv, 1)
@@ -42,50 +44,88 @@ METRICS = [
 
 
 def prepare_samples(queries: DataFrame, samples: DataFrame, pid: str = "prompt_id", sid: str = "sample_idx", text: str = "response") -> DataFrame:
-    """SC1: samples of the queried prompts (orphans ignored, null text is not a sample)."""
+    """SC1: samples of the queried prompts (orphans ignored, null text is not a
+    sample), with their row-local features: term counts, distinct lower-cased
+    words, numbers, token count."""
     ids = queries.select(pid).distinct()
     s = samples.filter(F.col(text).isNotNull()).join(ids, pid, "left_semi")
     return s.select(
         F.col(pid).alias("pid"),
         F.col(sid).alias("sid"),
-        T.tfidf_tokens(F.col(text)).alias("toks"),
+        T.term_counts(T.tfidf_tokens(F.col(text))).alias("tc"),
         F.array_distinct(T.ws_tokens(F.lower(F.col(text)))).alias("words"),
         T.plain_numbers(F.col(text)).alias("nums"),
-        F.size(T.ws_tokens(F.col(text))).alias("ntok"),
+        F.size(T.ws_tokens(F.col(text))).cast("long").alias("ntok"),
     )
 
 
-def prompt_metrics(prepared: DataFrame) -> DataFrame:
-    """SC2–SC7 per prompt with at least 2 samples: ``pid`` + METRICS."""
-    base = prepared.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("ntok").alias("len_mean"),
-        F.stddev_pop("ntok").alias("len_std"),
+
+
+def _facts(prepared: DataFrame) -> DataFrame:
+    """One row per fact of a sample: S (the sample: token count, first number),
+    N (each number), W (each distinct word), T (each distinct term, count)."""
+
+    def fact(kind, key=None, x=None, ntok=None, tf=None):
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            (key if key is not None else F.lit(None).cast("string")).alias("key"),
+            (x if x is not None else F.lit(None).cast("double")).alias("x"),
+            (ntok if ntok is not None else F.lit(None).cast("bigint")).alias("ntok"),
+            (tf if tf is not None else F.lit(None).cast("int")).alias("tf"),
+        )
+
+    first = F.try_element_at(F.col("nums"), F.lit(1))  # null when the sample has no number
+    sample = F.array(fact("S", key=first.cast("string"), ntok=F.col("ntok")))
+    numbers = F.transform("nums", lambda v: fact("N", x=v))
+    words = F.transform("words", lambda w: fact("W", key=w))
+    terms = F.transform("tc", lambda t: fact("T", key=t["term"], tf=t["tf"]))
+    return prepared.select("pid", F.explode(F.concat(sample, numbers, words, terms)).alias("f")).select("pid", "f.*")
+
+
+def prompt_metrics(prepared: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """SC2–SC7 per prompt with at least 2 samples: ``pid`` + METRICS.
+
+    Plan: the samples are read twice — once as fact rows for one partially
+    aggregated ``groupBy(pid, kind, key)`` that yields every per-prompt
+    count (samples, first-number modes, numbers, words, term df/totals), and
+    once as term rows for the TF-IDF weights and the pair join.
+    """
+    g = _facts(prepared).groupBy("pid", "kind", "key").agg(
+        F.count(F.lit(1)).alias("c"),
+        F.sum("ntok").alias("s1"),
+        F.sum(F.col("ntok") * F.col("ntok")).alias("s2"),
+        F.stddev_pop("x").alias("sx"),
+        F.sum("tf").alias("tot"),
+    )
+    # rows per prompt = its distinct first numbers, words and terms: bounded
+    # by the vocabulary, not by the number of samples
+    by_pid = Window.partitionBy("pid")
+    is_t = F.col("kind") == "T"
+    g = g.withColumn("n", F.sum(F.when(F.col("kind") == "S", F.col("c"))).over(by_pid)).withColumn(
+        "rk", F.row_number().over(by_pid.orderBy(is_t.desc(), F.col("tot").desc(), F.col("key").asc()))
     )
-    # SC4 numeric spread over all numbers of all samples
-    nums = prepared.select("pid", F.explode("nums").alias("x"))
-    num_std = nums.groupBy("pid").agg(F.stddev_pop("x").alias("num_std"))
-    # SC5 mode share of each sample's first number
-    firsts = prepared.filter(F.size("nums") > 0).select("pid", F.element_at("nums", 1).alias("f"))
-    agree = (
-        firsts.groupBy("pid", "f")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("pid")
-        .agg((F.max("c") / F.sum("c")).alias("agree"))
+    stats = g.groupBy("pid").agg(
+        F.max("n").alias("n"),
+        F.sum("s1").alias("s1"),
+        F.sum("s2").alias("s2"),
+        F.max(F.when((F.col("kind") == "S") & F.col("key").isNotNull(), F.col("c"))).alias("_fmax"),
+        F.sum(F.when((F.col("kind") == "S") & F.col("key").isNotNull(), F.col("c"))).alias("_fsum"),
+        F.max(F.when(F.col("kind") == "N", F.col("sx"))).alias("num_std"),
+        F.count_if(F.col("kind") == "W").alias("n_union"),
+        F.count_if((F.col("kind") == "W") & (F.col("c") == F.col("n"))).alias("n_inter"),
+        F.max(is_t).alias("has_vocab"),
     )
-    # SC3 words present in every sample / all distinct words
-    words = prepared.select("pid", F.explode("words").alias("word"))
-    word_counts = words.groupBy("pid", "word").agg(F.count(F.lit(1)).alias("c"))
-    lex = (
-        word_counts.join(base.select("pid", "n"), "pid")
-        .groupBy("pid")
-        .agg(F.count(F.lit(1)).alias("n_union"), F.sum((F.col("c") == F.col("n")).cast("long")).alias("n_inter"))
+    kept = g.filter(is_t & (F.col("rk") <= max_features)).select(
+        "pid",
+        F.col("key").alias("term"),
+        (F.log((F.col("n") + F.lit(1.0)) / (F.col("c") + F.lit(1.0))) + F.lit(1.0)).alias("idf"),
     )
-    # SC2 pairwise TF-IDF cosine within the prompt
-    terms = explode_terms(prepared, ["pid", "sid"], "toks")
-    weights = group_weights(terms, base.select("pid", F.col("n").alias("n_docs")), ["pid"], "sid")
-    a = weights.select("pid", "term", F.col("sid").alias("i"), F.col("w").alias("wi"))
-    b = weights.select("pid", "term", F.col("sid").alias("j"), F.col("w").alias("wj"))
+    # SC2: weights per sample, pair dot products from the (pid, term) join
+    terms = prepared.select("pid", "sid", F.explode("tc").alias("_t")).select("pid", "sid", "_t.term", "_t.tf")
+    w = terms.join(kept, ["pid", "term"]).select("pid", "sid", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("pid", "sid"))))
+    a = w.select("pid", "term", F.col("sid").alias("i"), F.col("w").alias("wi"))
+    b = w.select("pid", "term", F.col("sid").alias("j"), F.col("w").alias("wj"))
     pair_cos = (
         a.join(b, ["pid", "term"])
         .filter(F.col("i") < F.col("j"))
@@ -95,25 +135,23 @@ def prompt_metrics(prepared: DataFrame) -> DataFrame:
     sem = pair_cos.groupBy("pid").agg(
         F.count(F.lit(1)).alias("npos"), F.sum("c").alias("sc"), F.sum(F.col("c") * F.col("c")).alias("sc2"), F.min("c").alias("cmin")
     )
-    has_vocab = weights.select("pid").distinct().withColumn("has_vocab", F.lit(True))
-
-    m = (
-        base.filter(F.col("n") >= 2)
-        .join(num_std, "pid", "left")
-        .join(agree, "pid", "left")
-        .join(lex, "pid", "left")
-        .join(sem, "pid", "left")
-        .join(has_vocab, "pid", "left")
-    )
-    pairs = F.col("n") * (F.col("n") - 1) / 2.0
+
+    m = stats.filter(F.col("n") >= 2).join(sem, "pid", "left")
+    n = F.col("n")
+    pairs = n * (n - 1) / 2.0
     mean = F.coalesce(F.col("sc"), F.lit(0.0)) / pairs
     var = F.greatest(F.coalesce(F.col("sc2"), F.lit(0.0)) / pairs - mean * mean, F.lit(0.0))
     vocab = F.coalesce(F.col("has_vocab"), F.lit(False))
     sem_mean = F.when(vocab, mean).otherwise(F.lit(1.0))
     sem_min = F.when(~vocab, F.lit(1.0)).when(F.coalesce(F.col("npos"), F.lit(0)) < pairs, F.lit(0.0)).otherwise(F.col("cmin"))
     sem_std = F.when(vocab, F.sqrt(var)).otherwise(F.lit(0.0))
-    overlap = F.coalesce(F.col("n_inter"), F.lit(0)) / F.greatest(F.coalesce(F.col("n_union"), F.lit(0)), F.lit(1))
-    cv = F.col("len_std") / F.greatest(F.col("len_mean"), F.lit(1.0))
+    overlap = F.col("n_inter") / F.greatest(F.col("n_union"), F.lit(1))
+    # token-count spread from exact integer sums: n*S2 - S1^2 in decimal
+    dec = "decimal(38,0)"
+    num = n.cast(dec) * F.col("s2").cast(dec) - F.col("s1").cast(dec) * F.col("s1").cast(dec)
+    len_std = F.sqrt(num.cast("double")) / n
+    len_mean = F.col("s1") / n
+    cv = len_std / F.greatest(len_mean, F.lit(1.0))
     out = m.select(
         "pid",
         sem_mean.alias("semantic_consistency"),
@@ -121,7 +159,7 @@ def prompt_metrics(prepared: DataFrame) -> DataFrame:
         sem_std.alias("semantic_consistency_std"),
         overlap.cast("double").alias("lexical_overlap"),
         F.coalesce(F.col("num_std"), F.lit(0.0)).alias("numeric_variance"),
-        F.coalesce(F.col("agree"), F.lit(1.0)).alias("numeric_agreement"),
+        F.coalesce(F.col("_fmax") / F.col("_fsum"), F.lit(1.0)).alias("numeric_agreement"),
         cv.alias("length_cv"),
     )
     return out.withColumn("composite_consistency", composite(out))

@@ -65,10 +65,6 @@ def extract_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, _lit(pattern), F.lit(0))
 
 
-def count_matches(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, _lit(pattern))
-
-
 def py_strip(text: Column) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace of any kind."""
     return F.regexp_replace(text, _lit(EDGE_SPACE), F.lit(""))

@@ -7,23 +7,22 @@ of the ``max_features`` terms with the highest total count in that corpus.
 Equal counts at the cap are ordered by term (ascending) — the reference's
 library leaves that order unspecified.
 
-Two physical forms:
-
-* ``with_pair_cosine`` — a two-document corpus per row. With n = 2 the idf
-  takes only two values, so the whole computation is a row-local projection
-  (no shuffle), O(t log t) in the number of tokens.
-* ``group_weights`` — any corpus size. Exploded ``(gid, did, term, tf)`` rows
-  are aggregated per ``(gid, term)`` (partial aggregation, so a hot group is
-  pre-aggregated map-side), the cap is a ranking per group over its
-  vocabulary (bounded by the language, not by the number of documents), and
-  the norm is a sum per document.
+Physical forms:
+
+* ``with_pair_cosine`` (here) — a two-document corpus per row. With n = 2 the
+  idf takes only two values, so the whole computation is a row-local
+  projection (no shuffle), O(t log t) in the number of tokens.
+* larger corpora are built where their grouping lives: per prompt in
+  ``operators.consistency`` (partially aggregated per ``(prompt, term)``, so
+  a hot prompt is pre-aggregated map-side) and per response in
+  ``operators.drift`` (one shuffle by response, windows after it).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmine.functions.text import let, runs
@@ -31,9 +30,6 @@ from relmine.functions.text import let, runs
 MAX_FEATURES = 500  # fixed value: vectoriser vocabulary cap of the reference
 
 
-def _idf(df_col: Column, n_docs: Column) -> Column:
-    return F.log((n_docs + F.lit(1.0)) / (df_col + F.lit(1.0))) + F.lit(1.0)
-
 
 def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_features: int = MAX_FEATURES) -> DataFrame:
     """Add ``out`` = TF-IDF cosine of two token arrays fitted on the pair.
@@ -101,47 +97,3 @@ def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_featur
 
     vocab = let(let(F.sort_array(F.concat(side(tok_a, 0), side(tok_b, 1))), merge), cap)
     return df.withColumn(out, F.when(F.col(tok_a).isNotNull() & F.col(tok_b).isNotNull(), let(vocab, cosine)))
-
-
-def explode_terms(df: DataFrame, keys: list[str], tokens: str) -> DataFrame:
-    """Row-local term counting then explode: ``keys + [term, tf]``.
-
-    Counting inside the row (sort + run lengths) avoids a shuffle on
-    ``(keys, term)`` that a ``groupBy().count()`` would need.
-    """
-    from relmine.functions.text import term_counts
-
-    return df.select(*keys, F.explode(term_counts(F.col(tokens))).alias("_tc")).select(
-        *keys, F.col("_tc.term").alias("term"), F.col("_tc.tf").alias("tf")
-    )
-
-
-def group_weights(
-    terms: DataFrame,
-    n_docs: DataFrame,
-    gid: list[str],
-    did: str,
-    max_features: int = MAX_FEATURES,
-) -> DataFrame:
-    """L2-normalised TF-IDF weights per document of each group's corpus.
-
-    ``terms``: ``gid + [did, term, tf]`` (one row per distinct term of a doc).
-    ``n_docs``: ``gid + [n_docs]`` — number of documents fitted for the group,
-    including documents without any kept term.
-    Returns ``gid + [did, term, w]``; groups whose vocabulary is empty have
-    no rows (callers apply the reference's fallback).
-    """
-    stats = terms.groupBy(*gid, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    rank_w = Window.partitionBy(*gid).orderBy(F.col("total").desc(), F.col("term").asc())
-    kept = (
-        stats.withColumn("_rk", F.row_number().over(rank_w))
-        .filter(F.col("_rk") <= max_features)
-        .join(n_docs, gid)
-        .select(*gid, "term", _idf(F.col("df"), F.col("n_docs")).alias("idf"))
-    )
-    w = terms.join(kept, [*gid, "term"]).select(*gid, did, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm_w = Window.partitionBy(*gid, did)
-    return w.withColumn("_n", F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm_w))).select(
-        *gid, did, "term", (F.col("w") / F.col("_n")).alias("w")
-    )
-

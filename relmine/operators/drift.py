@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relmine.functions import text as T
-from relmine.functions.tfidf import explode_terms, group_weights
 from relmine.operators.sequence import ordered_sequence
 
 # Fixed values of the reference (drift_detection config and constructor).

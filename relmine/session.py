@@ -1,12 +1,12 @@
 """Spark session defaults used by tests, the bench and the examples.
 
-On a cluster the session is created by the platform; ``get_session`` only
-fills in settings that are not already present.
+On a cluster the session usually comes from the platform; the operators do
+not depend on these settings for correctness, only for speed (AQE, skew-join
+splitting). ``get_session`` creates or reuses a session with them.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -68,9 +68,3 @@ def cut_lineage(df, spark: SparkSession | None = None):
     checkpoint_dir(spark)
     return df.checkpoint(eager=True)
 
-
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default

@@ -30,6 +30,7 @@ from relmine.functions.tfidf import MAX_FEATURES
 COMPOSITE_WEIGHTS = (0.4, 0.2, 0.2, 0.2)  # semantic, lexical, numeric agreement, 1 - min(cv, 1)
 UNRELIABLE_THRESHOLD = 0.6
 BANDS = (0.5, 0.8)
+CAP_BUCKETS = 64  # first stage of the vocabulary cap (not a fixed value of the reference)
 
 METRICS = [
     "semantic_consistency",
@@ -82,6 +83,19 @@ def _facts(prepared: DataFrame) -> DataFrame:
     return prepared.select("pid", F.explode(F.concat(sample, numbers, words, terms)).alias("f")).select("pid", "f.*")
 
 
+def top_terms(terms: DataFrame, k: int, buckets: int = CAP_BUCKETS) -> DataFrame:
+    """Exact top-``k`` terms per prompt by total count (ties: term ascending).
+
+    Two stages so a prompt with a huge vocabulary is never ranked in one
+    task: the top ``k`` of every (prompt, hash bucket of the term), then the
+    top ``k`` of those survivors (at most ``buckets * k`` rows per prompt).
+    """
+    order = [F.col("tot").desc(), F.col("key").asc()]
+    b = terms.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    first = b.withColumn("_r", F.row_number().over(Window.partitionBy("pid", "_b").orderBy(*order))).filter(F.col("_r") <= k)
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy("pid").orderBy(*order))).filter(F.col("_r") <= k)
+
+
 def prompt_metrics(prepared: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """SC2–SC7 per prompt with at least 2 samples: ``pid`` + METRICS.
 
@@ -97,13 +111,11 @@ def prompt_metrics(prepared: DataFrame, max_features: int = MAX_FEATURES) -> Dat
         F.stddev_pop("x").alias("sx"),
         F.sum("tf").alias("tot"),
     )
-    # rows per prompt = its distinct first numbers, words and terms: bounded
-    # by the vocabulary, not by the number of samples
-    by_pid = Window.partitionBy("pid")
+    # sample count per prompt: a small per-prompt aggregate joined back (AQE
+    # broadcasts it when small and splits a hot prompt's partition otherwise)
+    ns = g.filter(F.col("kind") == "S").groupBy("pid").agg(F.sum("c").alias("n"))
+    g = g.join(ns, "pid")
     is_t = F.col("kind") == "T"
-    g = g.withColumn("n", F.sum(F.when(F.col("kind") == "S", F.col("c"))).over(by_pid)).withColumn(
-        "rk", F.row_number().over(by_pid.orderBy(is_t.desc(), F.col("tot").desc(), F.col("key").asc()))
-    )
     stats = g.groupBy("pid").agg(
         F.max("n").alias("n"),
         F.sum("s1").alias("s1"),
@@ -115,7 +127,7 @@ def prompt_metrics(prepared: DataFrame, max_features: int = MAX_FEATURES) -> Dat
         F.count_if((F.col("kind") == "W") & (F.col("c") == F.col("n"))).alias("n_inter"),
         F.max(is_t).alias("has_vocab"),
     )
-    kept = g.filter(is_t & (F.col("rk") <= max_features)).select(
+    kept = top_terms(g.filter(is_t), max_features).select(
         "pid",
         F.col("key").alias("term"),
         (F.log((F.col("n") + F.lit(1.0)) / (F.col("c") + F.lit(1.0))) + F.lit(1.0)).alias("idf"),

@@ -45,7 +45,7 @@ wherever whether which while whither who whoever whole whom whose why will with
 )
 
 # Regex patterns of the reference (fixed values), Java dialect.
-WS_TOKEN = r"\S+"  # Python str.split(): runs of non-whitespace
+WS_TOKEN = r"(?U)[^\s\x1c-\x1f]+"  # Python str.split(): Unicode White_Space and \x1c-\x1f separate
 TFIDF_TOKEN = r"[\p{L}\p{N}_]{2,}"  # sklearn default token pattern (?u)\b\w\w+\b
 WORD_RUN = r"[\p{L}\p{N}_]+"  # maximal runs of Python word characters
 PLAIN_NUMBER = r"(?U)\b\d+(?:\.\d+)?\b"

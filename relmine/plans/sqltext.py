@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from relmine.functions.text import STOP_WORDS
 
+# Python str.split() separators in RE2 syntax (RE2's \s lacks \v and non-ASCII spaces)
+WS = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
@@ -30,7 +32,7 @@ def tfidf_tokens(x: str) -> str:
 
 
 def ws_tokens(x: str) -> str:
-    return f"regexp_extract_all({x}, '\\S+')"
+    return f"regexp_extract_all({x}, '{WS}')"
 
 
 def entities(x: str) -> str:
@@ -210,7 +212,7 @@ def prompt_features(source_sql: str, keys: list[str]) -> str:
 WITH src AS ({source_sql}),
 f AS (
   SELECT {', '.join(keys)},
-    len(regexp_extract_all({t}, '\\S+'))::INTEGER AS query_word_count,
+    len(regexp_extract_all({t}, '{WS}'))::INTEGER AS query_word_count,
     length({t})::INTEGER AS query_char_count,
     contains({t}, '?')::INTEGER AS has_question_mark,
     CASE {' '.join(qt)} ELSE 'other' END AS question_type,
@@ -248,8 +250,8 @@ SELECT {', '.join(keys)},
   ({person}) AS asks_about_person_raw,
   ({listing}) AS asks_for_list_raw,
   regexp_matches({q}, '{QF.SPECIFIC_COUNT_PATTERN}') AS asks_specific_count,
-  len(regexp_extract_all(coalesce(query, ''), '\\S+'))::INTEGER AS query_length,
-  len(regexp_extract_all({r}, '\\S+'))::INTEGER AS response_length
+  len(regexp_extract_all(coalesce(query, ''), '{WS}'))::INTEGER AS query_length,
+  len(regexp_extract_all({r}, '{WS}'))::INTEGER AS response_length
 FROM src
 """
 
@@ -275,8 +277,8 @@ WITH q AS ({queries_sql}),
 s AS (SELECT * FROM ({samples_sql}) WHERE response IS NOT NULL AND prompt_id IN (SELECT prompt_id FROM q)),
 n AS (
   SELECT prompt_id, count(*) AS n,
-    avg(len(regexp_extract_all(response, '\\S+'))) AS len_mean,
-    stddev_pop(len(regexp_extract_all(response, '\\S+'))) AS len_std
+    avg(len(regexp_extract_all(response, '{WS}'))) AS len_mean,
+    stddev_pop(len(regexp_extract_all(response, '{WS}'))) AS len_std
   FROM s GROUP BY prompt_id
 ),
 tok AS (SELECT prompt_id, sample_idx, unnest({tfidf_tokens('response')}) AS term FROM s),
@@ -303,7 +305,7 @@ sem AS (
   SELECT prompt_id, avg(c) AS sem_mean, min(c) AS sem_min, stddev_pop(c) AS sem_std FROM allpairs GROUP BY prompt_id
 ),
 vocab AS (SELECT DISTINCT prompt_id FROM kept),
-lw AS (SELECT DISTINCT prompt_id, sample_idx, unnest(regexp_extract_all(lower(response), '\\S+')) AS word FROM s),
+lw AS (SELECT DISTINCT prompt_id, sample_idx, unnest(regexp_extract_all(lower(response), '{WS}')) AS word FROM s),
 lwc AS (SELECT prompt_id, word, count(*) AS c FROM lw GROUP BY ALL),
 lex AS (
   SELECT lwc.prompt_id, count(*) AS n_union, count(*) FILTER (WHERE lwc.c = n.n) AS n_inter

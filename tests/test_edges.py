@@ -77,3 +77,8 @@ def test_results_independent_of_partitioning(spark, sf_dir):
         assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_whitespace_tokens_match_python_split(spark):
+    text = "a b\x1cc d\te　f  g\x0bh"
+    assert _one(spark, T.ws_tokens, text) == text.split()

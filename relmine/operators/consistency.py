@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from relmine.functions import text as T
 from relmine.functions.tfidf import MAX_FEATURES
+from relmine.sources.schemas import require
 
 # Fixed values of the reference.
 COMPOSITE_WEIGHTS = (0.4, 0.2, 0.2, 0.2)  # semantic, lexical, numeric agreement, 1 - min(cv, 1)
@@ -48,6 +49,8 @@ def prepare_samples(queries: DataFrame, samples: DataFrame, pid: str = "prompt_i
     """SC1: samples of the queried prompts (orphans ignored, null text is not a
     sample), with their row-local features: term counts, distinct lower-cased
     words, numbers, token count."""
+    require(queries, [pid], "consistency queries")
+    require(samples, [pid, sid, text], "consistency samples")
     ids = queries.select(pid).distinct()
     s = samples.filter(F.col(text).isNotNull()).join(ids, pid, "left_semi")
     return s.select(

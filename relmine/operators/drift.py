@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from relmine.functions import text as T
 from relmine.operators.sequence import ordered_sequence
+from relmine.sources.schemas import require
 
 # Fixed values of the reference (drift_detection config and constructor).
 DRIFT_THRESHOLD = 0.3
@@ -63,6 +64,7 @@ def label_sequences(
     table carries no annotation — the first labelled position), ``post_drift``
     and ``prediction_correct``.
     """
+    require(df, [*keys, *order, score, label] + ([actual] if actual else []), "label_sequences")
     seq = ordered_sequence(df, keys, order, score, window)
     seq = seq.withColumn("_cand", drop_candidate(F.col("_pos"), F.col("_prev"), F.col(score), threshold))
     first_actual = (
@@ -116,6 +118,7 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
     later window and aggregate is keyed by the response id first, so it
     reuses that partitioning. A response is one text, so no key is hot.
     """
+    require(responses, [rid, text, reference], "trust_scores")
     has_ref = F.coalesce(F.length(F.col(reference)) > 0, F.lit(False))
     r = responses.select(
         F.col(rid).alias("rid"), T.sentences(F.col(text)).alias("_ss"), F.when(has_ref, F.col(reference)).alias("_ref")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from relmine.functions import text as T
 from relmine.functions.tfidf import with_pair_cosine
+from relmine.sources.schemas import require
 
 # Fixed values of the reference.
 NEGATION = ("not", "no", "never", "none")  # whole words
@@ -33,6 +34,7 @@ def faithfulness(df: DataFrame, context: str = "context", response: str = "respo
 
     Null context or response yields null metrics (the reference raises).
     """
+    require(df, [context, response], "faithfulness")
     ctx, resp = F.col(context), F.col(response)
     valid = ctx.isNotNull() & resp.isNotNull()
     src_cols = df.columns

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmine.functions import text as T
+from relmine.sources.schemas import require
 
 # The reference's pattern lists (Python regex syntax, which
 # Java accepts unchanged for these patterns).
@@ -77,6 +78,7 @@ def question_type(text: Column) -> Column:
 
 def extract(df: DataFrame, text_column: str = "query") -> DataFrame:
     """QF1–QF15: add the prompt feature columns (existing ones are replaced)."""
+    require(df, [text_column], "extract")
     text = F.coalesce(F.col(text_column), F.lit(""))
     base = [c for c in df.columns if c not in FEATURE_COLUMNS]
     numeric = _search(text, "|".join(NUMERIC_PATTERNS))
@@ -109,6 +111,7 @@ def label_features(df: DataFrame, query: str = "query", response: str = "respons
     """LF1–LF5: the generator's derived columns as a projection over any
     (query, response) table. LF5 keeps the substring form under ``_raw``
     names (QF8/QF9 are the word-boundary forms)."""
+    require(df, [query, response], "label_features")
     q = F.lower(F.coalesce(F.col(query), F.lit("")))
     r = F.coalesce(F.col(response), F.lit(""))
 

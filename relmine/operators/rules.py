@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relmine.session import cut_lineage
+from relmine.sources.schemas import require
 
 # Fixed values of the reference (risk_profiler config and tree settings).
 MIN_SUPPORT = 0.05
@@ -56,6 +57,7 @@ def _is_string(df: DataFrame, c: str) -> bool:
 
 def compress(df: DataFrame, features: list[str], label: str, checkpoint: bool = True) -> DataFrame:
     """RR0: ``features + [n, pos]`` — one row per distinct feature vector."""
+    require(df, [*features, label], "risk rules")
     c = df.groupBy(*features).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
     )

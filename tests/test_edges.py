@@ -82,3 +82,13 @@ def test_results_independent_of_partitioning(spark, sf_dir):
 def test_whitespace_tokens_match_python_split(spark):
     text = "a b\x1cc d\te　f  g\x0bh"
     assert _one(spark, T.ws_tokens, text) == text.split()
+
+
+def test_missing_column_is_reported(spark):
+    from relmine.operators import features as QF
+
+    df = spark.createDataFrame([("x",)], "text string")
+    with pytest.raises(ValueError, match="lacks column"):
+        QF.extract(df)
+    with pytest.raises(ValueError, match="lacks column"):
+        FG.faithfulness(df)

@@ -8,6 +8,8 @@ works unchanged on a streaming DataFrame. Regex flags are case-insensitive
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,10 @@ FEATURE_COLUMNS = [
 
 
 def _search(text: Column, pattern: str) -> Column:
-    """Case-insensitive search, 0/1 int (Unicode-aware classes and case folding)."""
-    return text.rlike("(?iU)" + pattern).cast("int")
+    """Case-insensitive search, 0/1 int, with Unicode case folding. Unicode
+    character classes (``(?U)``, slower) only where the pattern uses one."""
+    flags = "(?iU)" if re.search(r"\\[bdswBDSW]", pattern) else "(?iu)"
+    return text.rlike(flags + pattern).cast("int")
 
 
 def _cut(x: Column, bins) -> Column:

@@ -9,7 +9,7 @@ grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = (
@@ -24,17 +24,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- rag pairs
 
 
-def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rag rows: response = an assistant turn, context = the turn before it.
+PAIR_BUCKET = 64  # rows per bucket when pairing each row with its predecessor
+
+
+def adjacent_pairs(df: DataFrame, keys: list[str], pos: str, value: str, prev_value: str, bucket: int = PAIR_BUCKET) -> DataFrame:
+    """Rows of ``df`` that have a predecessor (same ``keys``, ``pos - 1``),
+    with the predecessor's ``value`` as ``prev_value``.
 
-    An equi-join on the composite key (conv_id, turn) instead of ``lag`` over
-    a conversation window: hashing on both columns spreads a very long
-    conversation over many tasks.
+    Instead of a self-join (which shuffles every text twice), rows are
+    bucketed by ``pos div bucket``; only the last row of each bucket is
+    copied into the next bucket, and ``lag`` inside a bucket finds the
+    predecessor. One shuffle of ~(1 + 1/bucket) x the rows; a bucket holds
+    at most ``bucket + 1`` rows, so long sequences spread over many tasks.
     """
-    conv = table(spark, sf_dir, "conversations")
-    resp = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("response"))
-    ctx = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
-    return resp.join(ctx, ["conv_id", "turn"]).select("conv_id", "turn", "context", "response")
+    b = F.floor(F.col(pos) / F.lit(bucket))
+    own = df.select(*keys, pos, value, b.alias("_b"), F.lit(False).alias("_carry"))
+    carried = df.filter(((F.col(pos) + 1) % bucket) == 0).select(
+        *keys, pos, value, (b + 1).alias("_b"), F.lit(True).alias("_carry")
+    )
+    w = Window.partitionBy(*keys, "_b").orderBy(pos)
+    both = own.unionByName(carried)
+    paired = both.select(
+        *keys, pos, value, "_carry", F.lag(pos).over(w).alias("_ppos"), F.lag(value).over(w).alias(prev_value)
+    )
+    return paired.filter(~F.col("_carry") & (F.col("_ppos") == F.col(pos) - 1)).drop("_carry", "_ppos")
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rag rows: response = an assistant turn, context = the turn before it."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = adjacent_pairs(conv.withColumn("_r", F.struct("role", "text")), ["conv_id"], "turn", "_r", "_prev")
+    return pairs.filter(F.col("_r.role") == "assistant").select(
+        "conv_id", "turn", F.col("_prev.text").alias("context"), F.col("_r.text").alias("response")
+    )
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +64,8 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``is_faithful`` = quality label of the response document (null if unlabelled)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("is_faithful"))
-    ctx = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("context"))
-    resp = docs.select("doc_id", F.col("text").alias("response"))
-    return resp.join(ctx, "doc_id").join(labels, "doc_id", "left").select("doc_id", "context", "response", "is_faithful")
+    pairs = adjacent_pairs(docs, [], "doc_id", "text", "context").withColumnRenamed("text", "response")
+    return pairs.join(labels, "doc_id", "left").select("doc_id", "context", "response", "is_faithful")
 
 
 # ------------------------------------------------------------ prompt tables

@@ -28,8 +28,8 @@ def test_no_python_in_any_query(spark, sf_dir):
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
 
 
-def test_scan_prunes_columns(spark, sf_dir):
-    df = E.queries()["faithfulness_conversations"](spark, sf_dir)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string,text:string>" in plan or "role" in plan
-    assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)" in plan
+def test_scan_prunes_columns_and_pushes_filters(spark, sf_dir):
+    plan = _plan(E.queries()["faithfulness_conversations"](spark, sf_dir))
+    assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string,text:string>" in plan
+    plan = _plan(E.queries()["prompt_features_conversations"](spark, sf_dir))
+    assert "EqualTo(turn,0)" in plan and "ReadSchema: struct<conv_id:bigint,turn:bigint,text:string>" in plan

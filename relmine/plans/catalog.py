@@ -428,6 +428,15 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return full_analysis(spark, sf)["summary"]
 
 
+@register("analysis_queries")
+def analysis_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """PL1: the analysed prompt table — features, consistency metrics and the
+    tree's predicted risk per conversation prompt (prompt text omitted)."""
+    from relmine.plans.analysis import full_analysis
+
+    return full_analysis(spark, sf)["query_analysis"].drop("query")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return faithfulness_conversations(spark, sf)
 

@@ -438,7 +438,8 @@ def analysis_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """The query behind ``entry()``: faithfulness of every assistant turn."""
     return faithfulness_conversations(spark, sf)
 
 
-__all__ = ["QUERIES", "ORACLE", "flagship", "F"]
+__all__ = ["QUERIES", "ORACLE", "flagship"]

@@ -69,3 +69,32 @@ def summary(queries: DataFrame, rules: DataFrame, rag: DataFrame, drift: DataFra
 def write(results: dict[str, DataFrame], out_dir: str, fmt: str = "csv") -> dict[str, str]:
     """S2 + S3: write every table (CSV with header by default, like the reference)."""
     return sinks.write_results(results, out_dir, fmt)
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m relmine.plans.analysis SF_DIR OUT_DIR [--format csv|parquet]``
+
+    Runs the full analysis on the tables in SF_DIR, writes every result table
+    under OUT_DIR (a shared folder on a cluster) and prints the run summary.
+    """
+    import argparse
+
+    from relmine.session import get_session
+
+    ap = argparse.ArgumentParser(prog="relmine.plans.analysis")
+    ap.add_argument("sf_dir")
+    ap.add_argument("out_dir")
+    ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
+    ap.add_argument("--min-support", type=float, default=RR.MIN_SUPPORT)
+    ap.add_argument("--min-confidence", type=float, default=RR.MIN_CONFIDENCE)
+    ap.add_argument("--drift-threshold", type=float, default=DR.DRIFT_THRESHOLD)
+    args = ap.parse_args(argv)
+    spark = get_session()
+    results = full_analysis(spark, args.sf_dir, args.min_support, args.min_confidence, args.drift_threshold)
+    paths = write(results, args.out_dir, args.format)
+    for row in spark.read.format(args.format).option("header", True).load(paths["summary"]).collect():
+        print(f"{row['section']:>22}  {row['metric']:<22} {row['value']}")
+
+
+if __name__ == "__main__":
+    main()

@@ -5,9 +5,9 @@ functions, so they run inside the JVM (no Python UDF) and work unchanged on
 streaming DataFrames.
 
 Regex dialect: the reference uses Python's ``re`` whose ``\\b \\w \\d \\s`` are
-Unicode-aware. Java patterns are therefore prefixed with ``(?U)``
-(UNICODE_CHARACTER_CLASS), which makes the same classes Unicode-aware on any
-JDK.
+Unicode-aware. Patterns are kept in the reference's Python syntax and
+translated by ``py_regex`` into explicit Java classes with Python's meaning
+(Java's own ``(?U)`` classes differ, e.g. on combining marks).
 
 A note on higher-order functions: an intermediate array that is used more
 than once is bound to a lambda variable with ``let`` (a one-element
@@ -18,6 +18,8 @@ can re-evaluate an O(n log n) step per element or grow the plan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,16 +46,88 @@ wherever whether which while whither who whoever whole whom whose why will with
 """.split()
 )
 
-# Regex patterns of the reference (fixed values), Java dialect.
-WS_TOKEN = r"(?U)[^\s\x1c-\x1f]+"  # Python str.split(): Unicode White_Space and \x1c-\x1f separate
+# Python's regex classes for str patterns, written out for Java: a word
+# character is a letter, number or underscore (not a combining mark), \b is
+# a position with a word character on exactly one side, \d a decimal digit,
+# \s any character for which str.isspace() is true.
+PY_WORD = r"[\p{L}\p{N}_]"
+PY_CLASSES = {
+    r"\b": rf"(?:(?<={PY_WORD})(?!{PY_WORD})|(?<!{PY_WORD})(?={PY_WORD}))",
+    r"\d": r"\p{Nd}",
+    r"\s": r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]",
+    r"\w": PY_WORD,
+}
+
+
+_WORD_TOKEN_END = re.compile(r"(?:[A-Za-z0-9_]|\\d|\[(?:a-z|A-Z|0-9)\])\+?$")
+_WORD_TOKEN_START = re.compile(r"^(?:[A-Za-z0-9_]|\\d|\[(?:a-z|A-Z|0-9)\])(?![?*]|\{0)")
+
+
+def _ends_in_word(prefix: str) -> bool:
+    """True when every match of ``prefix`` (a pattern fragment) ends with a word character."""
+    if prefix.endswith("\\") or prefix.endswith("\\.") or prefix == "":
+        return False
+    if prefix.endswith(")?") or prefix.endswith(")*"):
+        depth, i = 0, len(prefix) - 2
+        while i >= 0:  # find the group's opening parenthesis
+            depth += prefix[i] == ")"
+            depth -= prefix[i] == "("
+            if depth == 0:
+                break
+            i -= 1
+        body = prefix[i + 1 : -2].removeprefix("?:")
+        return "|" not in body and _ends_in_word(body) and _ends_in_word(prefix[:i])
+    m = _WORD_TOKEN_END.search(prefix)
+    return bool(m) and not prefix[: m.start()].endswith("\\")
+
+
+def py_regex(pattern: str) -> str:
+    r"""Translate a Python ``re`` pattern (as the reference writes it) to Java
+    with the same meaning of ``\b \d \s \w`` on any text.
+
+    ``\b`` next to a pattern token that always matches a word character is a
+    one-sided check (fails fast, like a native boundary); elsewhere it is the
+    full "word character on exactly one side" test.
+    """
+    out, i, alt_start = [], 0, 0
+    while i < len(pattern):
+        if pattern[i] == "\\" and i + 1 < len(pattern):
+            tok = pattern[i : i + 2]
+            if tok == r"\b":
+                before, after = pattern[alt_start:i], pattern[i + 2 :]
+                if _WORD_TOKEN_START.match(after):
+                    out.append(rf"(?<!{PY_WORD})")
+                elif _ends_in_word(before):
+                    out.append(rf"(?!{PY_WORD})")
+                else:
+                    out.append(PY_CLASSES[tok])
+            else:
+                out.append(PY_CLASSES.get(tok, tok))
+            i += 2
+            continue
+        if pattern[i] == "|":
+            alt_start = i + 1
+        out.append(pattern[i])
+        i += 1
+    return "".join(out)
+
+
+# Regex patterns of the reference (fixed values), Python syntax.
+PLAIN_NUMBER_PY = r"\b\d+(?:\.\d+)?\b"
+NUMBER_PCT_PY = r"\b\d+(?:\.\d+)?%?\b"
+CAPITALISED_RUN_PY = r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b"
+MONEY_NUMBER_PY = r"\$?[\d,]+(?:\.\d+)?%?"
+SENTENCE_BREAK_PY = r"(?<=[.!?])\s+"
+
+WS_TOKEN = r"[^\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]+"  # Python str.split(): runs of non-whitespace
 TFIDF_TOKEN = r"[\p{L}\p{N}_]{2,}"  # sklearn default token pattern (?u)\b\w\w+\b
 WORD_RUN = r"[\p{L}\p{N}_]+"  # maximal runs of Python word characters
-PLAIN_NUMBER = r"(?U)\b\d+(?:\.\d+)?\b"
-NUMBER_PCT = r"(?U)\b\d+(?:\.\d+)?%?\b"
-CAPITALISED_RUN = r"(?U)\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b"
-MONEY_NUMBER = r"(?U)\$?[\d,]+(?:\.\d+)?%?"
-SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+PLAIN_NUMBER = py_regex(PLAIN_NUMBER_PY)
+NUMBER_PCT = py_regex(NUMBER_PCT_PY)
+CAPITALISED_RUN = py_regex(CAPITALISED_RUN_PY)
+MONEY_NUMBER = py_regex(MONEY_NUMBER_PY)
+SENTENCE_BREAK = py_regex(SENTENCE_BREAK_PY)
+EDGE_SPACE = py_regex(r"^\s+|\s+$")
 
 
 def _lit(p: str) -> Column:

@@ -8,7 +8,6 @@ works unchanged on a streaming DataFrame. Regex flags are case-insensitive
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +40,8 @@ LENGTH_BINS = [(0, 8, "short"), (8, 15, "medium"), (15, 100, "long")]
 SPECIFICITY_BINS = [(-1, 0, "low"), (0, 1, "medium"), (1, 10, "high")]
 # label-side generator rules
 SPECIFIC_COUNT_PATTERN = r"how many|exactly \d+|list \d+"
+NUMERIC_CLAIM_PATTERN = r"\d+"
+NAMED_ENTITY_PATTERN = r"[A-Z][a-z]+(?:\s[A-Z][a-z]+)*"
 PERSON_WORDS = ["who", "professor", "dr.", "artist"]
 LIST_WORDS = ["list", "name", "enumerate"]
 
@@ -52,10 +53,9 @@ FEATURE_COLUMNS = [
 
 
 def _search(text: Column, pattern: str) -> Column:
-    """Case-insensitive search, 0/1 int, with Unicode case folding. Unicode
-    character classes (``(?U)``, slower) only where the pattern uses one."""
-    flags = "(?iU)" if re.search(r"\\[bdswBDSW]", pattern) else "(?iu)"
-    return text.rlike(flags + pattern).cast("int")
+    """Case-insensitive search with Unicode case folding, 0/1 int; the
+    pattern's classes keep Python's meaning (``py_regex``)."""
+    return text.rlike("(?iu)" + T.py_regex(pattern)).cast("int")
 
 
 def _cut(x: Column, bins) -> Column:
@@ -128,11 +128,11 @@ def label_features(df: DataFrame, query: str = "query", response: str = "respons
 
     return df.select(
         "*",
-        r.rlike(r"(?U)\d+").alias("has_numeric_claim"),
-        r.rlike(r"(?U)[A-Z][a-z]+(?:\s[A-Z][a-z]+)*").alias("has_named_entity"),
+        r.rlike(T.py_regex(NUMERIC_CLAIM_PATTERN)).alias("has_numeric_claim"),
+        r.rlike(T.py_regex(NAMED_ENTITY_PATTERN)).alias("has_named_entity"),
         any_sub(PERSON_WORDS).alias("asks_about_person_raw"),
         any_sub(LIST_WORDS).alias("asks_for_list_raw"),
-        q.rlike("(?U)" + SPECIFIC_COUNT_PATTERN).alias("asks_specific_count"),
+        q.rlike(T.py_regex(SPECIFIC_COUNT_PATTERN)).alias("asks_specific_count"),
         F.size(T.ws_tokens(F.coalesce(F.col(query), F.lit("")))).alias("query_length"),
         F.size(T.ws_tokens(r)).alias("response_length"),
     )

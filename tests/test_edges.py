@@ -92,3 +92,13 @@ def test_missing_column_is_reported(spark):
         QF.extract(df)
     with pytest.raises(ValueError, match="lacks column"):
         FG.faithfulness(df)
+
+
+@pytest.mark.parametrize("text", ["́12 x", "áb 7.5%z", "Café Noir 3", " 12 "])
+def test_patterns_follow_python_re(spark, text):
+    import re
+
+    assert _one(spark, T.plain_numbers, text) == [float(x) for x in re.findall(r"\b\d+(?:\.\d+)?\b", text)]
+    assert _one(spark, T.percent_numbers, text) == list(dict.fromkeys(re.findall(r"\b\d+(?:\.\d+)?%?\b", text)))
+    caps = set(re.findall(r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b", text)) | set(re.findall(r"\$?[\d,]+(?:\.\d+)?%?", text))
+    assert set(_one(spark, T.entities, text)) == caps

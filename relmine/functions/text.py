@@ -81,7 +81,35 @@ def _ends_in_word(prefix: str) -> bool:
     return bool(m) and not prefix[: m.start()].endswith("\\")
 
 
+def _top_level_alternatives(pattern: str) -> list[str]:
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return parts + [pattern[start:]]
+
+
 def py_regex(pattern: str) -> str:
+    """Translate a Python ``re`` pattern to Java (see ``_translate``); when
+    every alternative starts at a word start (``\\bword``), that check is
+    hoisted out of the alternation so it runs once per position."""
+    alts = _top_level_alternatives(pattern)
+    if len(alts) > 1 and all(a.startswith("\\b") and _WORD_TOKEN_START.match(a[2:]) for a in alts):
+        return rf"(?<!{PY_WORD})(?:" + "|".join(_translate(a[2:]) for a in alts) + ")"
+    return _translate(pattern)
+
+
+def _translate(pattern: str) -> str:
     r"""Translate a Python ``re`` pattern (as the reference writes it) to Java
     with the same meaning of ``\b \d \s \w`` on any text.
 

@@ -110,3 +110,23 @@ def test_mined_rules_brute_force(spark):
 def test_unfitted_scores_half(spark):
     df = spark.createDataFrame([(1,)], "a int")
     assert RR.score(df, None).first().predicted_risk == 0.5
+
+
+def test_root_split_agrees_with_spark_ml(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    rows = _data(n=800, seed=3)
+    df = spark.createDataFrame(rows, "a int, b int, c string, y boolean")
+    feats = ["a", "b", "c"]
+    tree = RR.fit_tree(RR.compress(df, feats, "y", checkpoint=False), feats, max_depth=1)
+    n, npos = len(rows), sum(r[3] for r in rows)
+    enc = df.select(
+        *[c.alias(name) for c, name in zip(tree.encoding.columns(), tree.encoding.names)],
+        F.col("y").cast("double").alias("label"),
+        F.when(F.col("y"), n / (2.0 * npos)).otherwise(n / (2.0 * (n - npos))).alias("w"),
+    )
+    data = VectorAssembler(inputCols=tree.encoding.names, outputCol="features").transform(enc)
+    model = DecisionTreeClassifier(maxDepth=1, weightCol="w", minInstancesPerNode=max(10, int(0.05 * n))).fit(data)
+    assert model._java_obj.rootNode().split().featureIndex() == tree.splits[1][0]

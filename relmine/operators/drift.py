@@ -139,18 +139,18 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
         F.col("_ref").isNotNull().alias("has_ref"),
         F.explode(docs).alias("_d"),
     ).select("rid", "n_sent", "has_ref", "_d.did", "_d.sentence", "_d.toks")
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
-    rows = d.select(
-        "rid", "n_sent", "has_ref", "did", "sentence", F.explode(F.concat(marker, T.term_counts(F.col("toks")))).alias("_t")
-    ).select(
-        "rid",
-        "n_sent",
-        "has_ref",
-        "did",
-        F.when(F.col("_t.term").isNull(), F.col("sentence")).alias("sentence"),
-        F.col("_t.term").alias("term"),
-        F.col("_t.tf").alias("tf"),
-    ).repartition("rid")
+    # one marker row (null term) per document carries the sentence text and
+    # keeps sentences without terms; token rows carry only the term. Term
+    # counts are a hash aggregation that reuses the partitioning by response.
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("sentence").alias("sentence")))
+    token_rows = F.transform("toks", lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("sentence")))
+    rows = (
+        d.select("rid", "n_sent", "has_ref", "did", F.explode(F.concat(marker, token_rows)).alias("_t"))
+        .select("rid", "n_sent", "has_ref", "did", "_t.term", "_t.sentence")
+        .repartition("rid")
+        .groupBy("rid", "n_sent", "has_ref", "did", "term")
+        .agg(F.count("term").cast("int").alias("tf"), F.max("sentence").alias("sentence"))
+    )
 
     is_term = F.col("term").isNotNull()
     by_term = Window.partitionBy("rid", "term")

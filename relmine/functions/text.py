@@ -204,6 +204,21 @@ def count_words(runs_lower: Column, words) -> Column:
     return F.size(F.filter(runs_lower, lambda t: t.isin(*words)))
 
 
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def tfidf_tokens_sql(text_sql: str) -> Column:
+    """``tfidf_tokens`` of a SQL expression (e.g. a column name), built as one
+    SQL string: a single call instead of one per stop word when the plan is
+    constructed; ``NOT IN`` still becomes a hash-set lookup per token."""
+    return F.expr(f"filter(regexp_extract_all(lower({text_sql}), r'{TFIDF_TOKEN}', 0), t -> NOT t IN ({_STOP_SQL}))")
+
+
+def tfidf_from_runs_sql(runs_sql: str) -> Column:
+    """``tfidf_from_runs`` of a SQL expression naming an array of word runs."""
+    return F.expr(f"filter({runs_sql}, t -> length(t) >= 2 AND NOT t IN ({_STOP_SQL}))")
+
+
 def plain_numbers(text: Column) -> Column:
     """TX3: plain numbers as doubles (``1,247`` gives 1 and 247)."""
     return F.transform(extract_all(text, PLAIN_NUMBER), lambda x: x.cast("double"))

@@ -56,7 +56,7 @@ def prepare_samples(queries: DataFrame, samples: DataFrame, pid: str = "prompt_i
     return s.select(
         F.col(pid).alias("pid"),
         F.col(sid).alias("sid"),
-        T.term_counts(T.tfidf_tokens(F.col(text))).alias("tc"),
+        T.term_counts(T.tfidf_tokens_sql(f"`{text}`")).alias("tc"),
         F.array_distinct(T.ws_tokens(F.lower(F.col(text)))).alias("words"),
         T.plain_numbers(F.col(text)).alias("nums"),
         F.size(T.ws_tokens(F.col(text))).cast("long").alias("ntok"),

@@ -124,21 +124,17 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
         F.col(rid).alias("rid"), T.sentences(F.col(text)).alias("_ss"), F.when(has_ref, F.col(reference)).alias("_ref")
     ).filter(F.size("_ss") > 0)
     docs = F.concat(
-        F.transform(
-            "_ss",
-            lambda s, i: F.struct(i.alias("did"), s.alias("sentence"), T.tfidf_tokens(s).alias("toks")),
-        ),
+        F.transform("_ss", lambda s, i: F.struct(i.alias("did"), s.alias("sentence"), s.alias("txt"))),
         F.when(
             F.col("_ref").isNotNull(),
-            F.array(F.struct(F.lit(-1).alias("did"), F.lit(None).cast("string").alias("sentence"), T.tfidf_tokens(F.col("_ref")).alias("toks"))),
-        ).otherwise(F.array().cast("array<struct<did:int,sentence:string,toks:array<string>>>")),
+            F.array(F.struct(F.lit(-1).alias("did"), F.lit(None).cast("string").alias("sentence"), F.col("_ref").alias("txt"))),
+        ).otherwise(F.array().cast("array<struct<did:int,sentence:string,txt:string>>")),
+    )
+    d = (
+        r.select("rid", F.size("_ss").alias("n_sent"), F.col("_ref").isNotNull().alias("has_ref"), F.explode(docs).alias("_d"))
+        .select("rid", "n_sent", "has_ref", "_d.did", "_d.sentence", "_d.txt")
+        .withColumn("toks", T.tfidf_tokens_sql("txt"))
     )
-    d = r.select(
-        "rid",
-        F.size("_ss").alias("n_sent"),
-        F.col("_ref").isNotNull().alias("has_ref"),
-        F.explode(docs).alias("_d"),
-    ).select("rid", "n_sent", "has_ref", "_d.did", "_d.sentence", "_d.toks")
     # one marker row (null term) per document carries the sentence text and
     # keeps sentences without terms; token rows carry only the term. Term
     # counts are a hash aggregation that reuses the partitioning by response.

@@ -58,8 +58,8 @@ def faithfulness(df: DataFrame, context: str = "context", response: str = "respo
         T.count_words(rr, HEDGE).alias("_hedr"),
         F.array_distinct(T.ws_tokens(F.lower(ctx))).alias("_wc"),
         F.array_except(T.ws_tokens(F.lower(resp)), F.array(*[F.lit(x) for x in FUNCTION_WORDS])).alias("_claims"),
-        T.tfidf_from_runs(rc).alias("_tc"),
-        T.tfidf_from_runs(rr).alias("_tr"),
+        T.tfidf_from_runs_sql("_rc").alias("_tc"),
+        T.tfidf_from_runs_sql("_rr").alias("_tr"),
     )
     w = with_pair_cosine(w, "_tc", "_tr", "_sim")
 

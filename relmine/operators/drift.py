@@ -99,11 +99,6 @@ def drift_summary(labelled: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def split_sentences(responses: DataFrame, rid: str = "response_id", text: str = "response") -> DataFrame:
-    """TX6 + position: ``rid, sentence_idx, sentence`` (index after the length filter)."""
-    return responses.select(F.col(rid).alias("rid"), F.posexplode(T.sentences(F.col(text))).alias("sentence_idx", "sentence"))
-
-
 def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "response", reference: str = "reference") -> DataFrame:
     """DR4/DR5: unrounded per-sentence trust scores ``rid, sentence_idx, sentence, score``.
 

@@ -51,16 +51,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the platform to a shared file system and is
-    only read here. In local tests, where it is unset, a fresh folder under
-    the system temp directory is created and registered.
+    only read here (it is a static setting). Where neither it nor a context
+    checkpoint folder exists — local tests — a fresh folder under the system
+    temp directory is registered with ``setCheckpointDir``.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
+    if named:
+        sc.setCheckpointDir(named)
+        return named
     local = tempfile.mkdtemp(prefix="relmine-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 

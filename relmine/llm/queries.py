@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from relmine.llm import exactdup
 from relmine.llm.bpe import op1_bpe_round_trip
+from relmine.llm.exactdup import op8_exact_dedup
+from relmine.llm.neardup import op7_odd_sketch_near_dedup
+from relmine.llm.omh import op2_order_minhash
 from relmine.llm.packing import op3_pack_sequences
 from relmine.llm.pii import op5_personal_data
+from relmine.llm.sharding import op9_histogram_shards
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_pack_sequences, op5_personal_data)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe_round_trip, op2_order_minhash, op3_pack_sequences, op5_personal_data, op7_odd_sketch_near_dedup, op8_exact_dedup, op9_histogram_shards)
+}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_exact_dedup": exactdup.ORACLE}

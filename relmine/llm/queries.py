@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from relmine.llm import exactdup
+from relmine.llm import exactdup, preference
 from relmine.llm.bpe import op1_bpe_round_trip
 from relmine.llm.exactdup import op8_exact_dedup
 from relmine.llm.neardup import op7_odd_sketch_near_dedup
 from relmine.llm.omh import op2_order_minhash
 from relmine.llm.packing import op3_pack_sequences
+from relmine.llm.paragraphs import op4_repeated_passages
 from relmine.llm.pii import op5_personal_data
+from relmine.llm.preference import op10_preference_pairs
 from relmine.llm.sharding import op9_histogram_shards
+from relmine.llm.toxicity import op6_toxic_neighbours
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_order_minhash, op3_pack_sequences, op5_personal_data, op7_odd_sketch_near_dedup, op8_exact_dedup, op9_histogram_shards)
+    for f in (
+        op1_bpe_round_trip,
+        op2_order_minhash,
+        op3_pack_sequences,
+        op4_repeated_passages,
+        op5_personal_data,
+        op6_toxic_neighbours,
+        op7_odd_sketch_near_dedup,
+        op8_exact_dedup,
+        op9_histogram_shards,
+        op10_preference_pairs,
+    )
 }
 
-ORACLE: dict[str, str] = {"op8_exact_dedup": exactdup.ORACLE}
+ORACLE: dict[str, str] = {"op8_exact_dedup": exactdup.ORACLE, "op10_preference_pairs": preference.ORACLE}

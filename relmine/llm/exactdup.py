@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relmine.llm.common import documents, text_of, written
+from relmine.llm.common import documents, free_name, text_of, written
 from relmine.llm.components import LARGEST_SHARE, looked_up
 
 CAPACITY = 4096  # distinct keys in a bucket, or one 1024th of them if that is more
@@ -104,11 +104,13 @@ def groups(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text another row with a smaller id has;
     all columns stay."""
-    kept = groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    one, other, copy = (free_name(docs.columns, c) for c in ("_keep", "_text_key", "_copy"))
+    kept = groups(docs).filter("kept").select(F.col("doc_id").alias(one), F.col("key").alias(other))
     text = F.xxhash64(normalised(text_of()))
-    own = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_key")))
-    return joined.withColumn("_copy", F.row_number().over(own)).filter("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (text == F.col(other)))
+    own = Window.partitionBy(one, other).orderBy(F.lit(0))
+    first = joined.withColumn(copy, F.row_number().over(own)).filter(F.col(copy) == 1)
+    return first.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relmine.llm.common import documents, text_of, written
+from relmine.llm.common import documents, free_name, text_of, written
 from relmine.llm.components import bucket_links, components, looked_up
 from relmine.llm.minhash import THRESHOLD, Banding, confirmed, mixed, set_digest, shared_bits, shingle_set, tuned, word_hashes
 
@@ -127,8 +127,9 @@ def clustered(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one of smallest id;
     all columns stay."""
-    dropped = clustered(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    copy = free_name(docs.columns, "_copy")
+    dropped = clustered(docs).filter("not kept").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col(copy)), "left_anti")
 
 
 def op7_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ pieces are taken in descending length; each goes to the sequence of lowest
 attention cost (``linear * n + quadratic * n * n`` summed over its pieces)
 among those that still have room for it. When none has room, the piece is cut
 and fills the roomiest one. A cell has as many sequences as its tokens need,
-so at most one sequence per cell is padded.
+so the padding of all its sequences together is less than one sequence.
 
 One shuffle, of the pieces; full pieces travel as their checksum alone unless
 the ids are asked for. Cells are dealt by a hash of document and position, so
@@ -72,8 +72,7 @@ def balance(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEA
     """Assign pieces, given in descending length, to sequences.
 
     Returns (piece, start within it, length, sequence, offset). Sequences
-    number ``ceil(sum / capacity)``; all but those left over at the end are
-    full."""
+    number ``ceil(sum / capacity)``."""
     count = -(-int(lengths.sum()) // capacity)
     cost, room = np.zeros(count), np.full(count, capacity, dtype=np.int64)
     out = []

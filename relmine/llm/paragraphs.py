@@ -18,16 +18,15 @@ lines are never removed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relmine.llm.common import documents, text_of, written
+from relmine.llm.common import documents, free_name, text_of, written
 from relmine.llm.components import bucket_links, components, looked_up
 from relmine.llm.minhash import WORDS, Banding, confirmed, set_digest, shingle_set, tuned
 
-import numpy as np
-
 MIN_WORDS = 20
 BAND_ROWS = 3
 RECALL = 0.999  # that a pair at the threshold shares a bucket
@@ -137,11 +136,12 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; all rows and columns stay."""
-    gone = repeated(docs).filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("paragraph").alias("_gone"))
-    lines = F.split("text", "\n", -1)
-    left = F.filter(F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x"))), lambda s: ~F.array_contains("_gone", s["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").withColumn("text", text)
+    doc, lost = free_name(docs.columns, "_doc"), free_name(docs.columns, "_lost")
+    gone = repeated(docs).filter("removed").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("paragraph").alias(lost))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x")))
+    left = F.transform(F.filter(lines, lambda s: ~F.array_contains(lost, s["i"])), lambda s: s["x"])
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col(doc), "left").withColumn("text", text)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,0 +1,167 @@
+"""Exact and near deduplication and repeated passages by brute force."""
+
+import hashlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from relmine.llm import exactdup, minhash, neardup, paragraphs
+from relmine.llm.components import bucket_links, components, looked_up
+from tests.llm.helpers import as_rows, awkward, clashing, clusters, normalised, saved, shingles, table, words
+
+
+def near_group(n):
+    """``n`` texts that differ from one in a word each, and chains."""
+    base = words(200, 50).split()
+    out = []
+    for i in range(n):
+        w = list(base)
+        w[(i * 7) % 200] = f"edit{i}"
+        out.append(" ".join(w))
+    chain = words(100, 51).split()
+    for step in range(6):  # neighbours are similar, ends are not
+        w = list(chain)
+        for k in range(step * 2):
+            w[k * 8 % 100] = f"step{k}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_exact_groups(spark, tmp_path):
+    rows = awkward() + [(100 + i, "hot  copy" if i % 2 else "hot copy") for i in range(60)]
+    got = as_rows(exactdup.op8_exact_dedup(spark, saved(spark, tmp_path, rows)))
+    held = defaultdict(list)
+    for i, t in rows:
+        held[normalised(t)].append(i)
+    digests = {hashlib.sha256(t.encode()).hexdigest(): t for t in held}
+    assert len(got) == len(rows)
+    for r in got:
+        ids = held[digests[r["text_sha256"]]]
+        smallest = min((i for i in ids if i is not None), default=None)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (smallest, len(ids), r["doc_id"] == smallest)
+
+
+def test_drop_copies_keeps_one_of_equal_rows(spark):
+    rows = [(1, "a  b"), (1, "a  b"), (2, "a b"), (3, None), (4, ""), (None, "c"), (None, "c"), (5, " ")]
+    kept = as_rows(exactdup.drop_copies(clashing(table(spark, rows))))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, "a  b"), (3, None), (5, " "), (None, "c")], key=str)
+    assert exactdup.drop_copies(table(spark, [])).count() == 0
+
+
+def test_directory_doubles_overfull_buckets(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    depth, slots = exactdup.directory(keys, 50)
+    assert len(slots) == 1 << depth and slots == sorted(slots)
+    sizes = [r["n"] for r in keys.select(exactdup.bucket_of("key", depth, slots).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 50 and sum(sizes) == 3000
+    assert exactdup.directory(keys.limit(10), 50) == (0, [0])
+
+
+def test_near_components(spark, tmp_path):
+    rows = awkward() + [(200 + i, t) for i, t in enumerate(near_group(40))]
+    got = as_rows(neardup.op7_odd_sketch_near_dedup(spark, saved(spark, tmp_path, rows)))
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    want = clusters(sets)
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"]), r["doc_id"]
+        else:
+            assert r["kept"] and r["component_id"] is None
+
+
+def test_near_components_whole_table(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in as_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+    want = clusters({i: shingles(t) for i, t in texts.items()})
+    got = as_rows(neardup.op7_odd_sketch_near_dedup(spark, sf_dir))
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_drop_near_copies(spark):
+    rows = [(3, None), (4, ""), *[(10 + i, t) for i, t in enumerate(near_group(5)[:5])], (None, "x y")]
+    kept = as_rows(neardup.drop_near_copies(clashing(table(spark, rows))))
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [3, 4, 10]
+    assert neardup.drop_near_copies(table(spark, [])).count() == 0
+
+
+def test_odd_sketch_estimates():
+    r = np.random.default_rng(1)
+    banding = minhash.Banding(40, 5)
+    for share in (0.75, 0.9):
+        both = int(1000 * 2 * share / (1 + share))
+        a = r.integers(0, 1 << 63, 1000, dtype=np.uint64)
+        b = np.concatenate([a[:both], r.integers(0, 1 << 63, 1000 - both, dtype=np.uint64)])
+        x, y = (neardup.odd_sketch(banding.samples(np.sort(s))) for s in (a, b))
+        bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert abs(neardup.similarity(bits, 200) - share) < 0.12 and bits <= neardup.most_bits(200)
+
+
+def test_shared_words_but_not_similar(spark):
+    """Buckets with several components: members of different ones are compared."""
+    ids = {1: {1, 2, 3, 4}, 2: {1, 2, 3, 5}, 5: {9, 8, 7, 6}, 6: {9, 8, 7, 5}, 7: {20}}
+
+    def confirm(pairs):
+        held = {(r["a"], r["b"]) for r in pairs.collect()}
+        good = [(a, b) for a, b in held if len(ids[a] & ids[b]) >= 3]
+        return spark.createDataFrame(good, "a long, b long")
+
+    keys = spark.createDataFrame([(i, 77) for i in ids], "id long, key long")
+    found = {r["id"]: r["component"] for r in components(bucket_links(keys, confirm, "test"), "test").collect()}
+    assert found == {1: 1, 2: 1, 5: 5, 6: 5}
+
+
+def test_components_of_a_path_and_a_star(spark):
+    links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
+    found = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), "test").collect()}
+    assert found == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 140), 100)}
+    assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_large_groups_are_looked_up(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 1500).alias("k"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("k").alias("v"))
+    out = looked_up(rows, groups, ["k"], "n", 5000)
+    assert out.count() == 5000 and out.filter("k <> v").count() == 0
+
+
+def passages_plain(rows):
+    sets, docs = {}, {}
+    for i, t in rows:
+        for at, line in enumerate((t or "").split("\n")):
+            if i is not None and len(line.split()) >= paragraphs.MIN_WORDS:
+                sets[i, at] = shingles(line)
+    found = clusters(sets)
+    for p, c in found.items():
+        docs.setdefault(c, set()).add(p[0])
+    return {p: c for p, c in found.items() if len(docs[c]) > 1}
+
+
+def test_repeated_passages(spark, tmp_path):
+    shared = [words(60, 70 + i) for i in range(3)]
+    rows = awkward() + [(300 + i, "\n".join([words(30, 400 + i), shared[i % 3], words(25, 500 + i)])) for i in range(12)]
+    rows += [(400, "\n".join(["intro", shared[0].replace(shared[0].split()[5], "changed", 1), shared[0]])), (401, words(50, 900) + "\n" + words(50, 900))]
+    got = as_rows(paragraphs.op4_repeated_passages(spark, saved(spark, tmp_path, rows)))
+    assert {(r["doc_id"], r["paragraph"]): (r["cluster_doc_id"], r["cluster_paragraph"]) for r in got} == passages_plain(rows)
+    assert all(r["removed"] == ((r["doc_id"], r["paragraph"]) != (r["cluster_doc_id"], r["cluster_paragraph"])) for r in got)
+
+
+def test_repeated_passages_whole_table(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in as_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))]
+    got = as_rows(paragraphs.op4_repeated_passages(spark, sf_dir))
+    assert {(r["doc_id"], r["paragraph"]): (r["cluster_doc_id"], r["cluster_paragraph"]) for r in got} == passages_plain(rows)
+
+
+def test_remove_repeats(spark):
+    p = words(40, 60)
+    rows = [(1, f"first\n{p}\nend"), (2, f"{p}\nown"), (3, p), (4, None), (None, p), (5, "")]
+    kept = {r["doc_id"]: r["text"] for r in as_rows(paragraphs.remove_repeats(clashing(table(spark, rows))))}
+    assert kept == {1: f"first\n{p}\nend", 2: "own", 3: "", 4: None, None: p, 5: ""}
+    assert paragraphs.repeated(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("recall", [0.99, 0.99999])
+def test_bands_are_tuned(recall):
+    bands = minhash.tuned(recall, 5)
+    assert 1 - (1 - 0.75**5) ** bands >= recall > 1 - (1 - 0.75**5) ** (bands - 1)

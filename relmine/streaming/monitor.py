@@ -2,8 +2,9 @@
 
 Prompt features (QF/LF) and faithfulness (FG1–FG7) are pure projections, so
 the same functions run on a streaming DataFrame; state-free, no watermark
-needed. Output goes to any sink; the checkpoint location defaults to a
-folder under the session's ``spark.checkpoint.dir``.
+needed. Output goes to any sink; the checkpoint location is the query's own
+folder under the one that ``spark.checkpoint.dir`` names, the same after a
+restart.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from relmine.operators import faithfulness as FG
 from relmine.operators import features as QF
-from relmine.session import checkpoint_dir
+from relmine.session import checkpoint_dir, shared_dir
 
 RAG_SCHEMA = "conv_id bigint, turn bigint, context string, response string"
 
@@ -40,14 +41,21 @@ def start(
     query_name: str | None = None,
     checkpoint: str | None = None,
 ) -> StreamingQuery:
+    """Start ``scored`` into a sink.
+
+    File sinks go on exactly where they stopped if the checkpoint folder is
+    the same, so it must be given, or follow from ``query_name`` and a set
+    ``spark.checkpoint.dir``; anything else is an error. The memory sink
+    cannot go on and gets a fresh folder."""
     spark = scored.sparkSession
+    if checkpoint is None and sink == "memory":
+        checkpoint = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     if checkpoint is None:
-        # file sinks restart exactly-once from a stable folder; the memory
-        # sink cannot recover, so it always gets a fresh one
-        base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{query_name or 'faithfulness'}"
-        checkpoint = f"{base}-{uuid.uuid4().hex}" if sink == "memory" else base
-    ckpt = checkpoint
-    w = scored.writeStream.outputMode("append").option("checkpointLocation", ckpt)
+        named = shared_dir(spark)
+        if not named or not query_name:
+            raise ValueError("give a checkpoint folder, or a query name and spark.checkpoint.dir: a restart needs the same one")
+        checkpoint = f"{named.rstrip('/')}/streams/{query_name}"
+    w = scored.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     if query_name:
         w = w.queryName(query_name)
     if sink == "memory":

@@ -56,15 +56,19 @@ def label_sequences(
     threshold: float = DRIFT_THRESHOLD,
     window: int = WINDOW_SIZE,
     actual: str | None = None,
+    index: str = "sentence_idx",
 ) -> DataFrame:
     """DR2: per-row drift labels for keyed sequences.
 
-    Adds ``sentence_idx`` (0-based position), ``detected_drift_point``,
+    Adds ``detected_drift_point`` (a position in the sequence),
     ``actual_drift_point`` (``actual`` column of the first row, or — when the
     table carries no annotation — the first labelled position), ``post_drift``
-    and ``prediction_correct``.
+    and ``prediction_correct``. A row is post drift by its own ``index``,
+    which may start anywhere or have gaps; where the table has no such
+    column, it is added as the 0-based position.
     """
     require(df, [*keys, *order, score, label] + ([actual] if actual else []), "label_sequences")
+    own = index in df.columns
     seq = ordered_sequence(df, keys, order, score, window)
     seq = seq.withColumn("_cand", drop_candidate(F.col("_pos"), F.col("_prev"), F.col(score), threshold))
     first_actual = (
@@ -74,8 +78,9 @@ def label_sequences(
         F.max("_cand").alias("_best"), F.first("_n").alias("_nn"), first_actual.cast("int").alias("actual_drift_point")
     )
     per_key = per_key.select(*keys, point_from_best(F.col("_best"), F.col("_nn")).alias("detected_drift_point"), "actual_drift_point")
-    out = seq.join(per_key, keys).withColumn("sentence_idx", F.col("_pos").cast("int"))
-    post = F.coalesce(F.col("sentence_idx") >= F.col("detected_drift_point"), F.lit(False))
+    out = seq.join(per_key, keys)
+    out = out if own else out.withColumn(index, F.col("_pos").cast("int"))
+    post = F.coalesce(F.col(index) >= F.col("detected_drift_point"), F.lit(False))
     out = out.withColumn("post_drift", post).withColumn("prediction_correct", F.col("post_drift") == F.col(label))
     return out.drop("_pos", "_n", "_prev", "_cand")
 
@@ -85,13 +90,26 @@ def sentence_accuracy(labelled: DataFrame) -> DataFrame:
     return labelled.agg(F.avg(F.col("prediction_correct").cast("double")).alias("accuracy"))
 
 
+KEY_SALTS = 32  # parts that the rows of one key are dealt to
+
+
+def order_columns(df: DataFrame, keys: list[str]) -> list[str]:
+    """Columns other than the keys and the labels that are equal for a key."""
+    return [c for c in df.columns if c not in {*keys, "detected_drift_point", "actual_drift_point"}]
+
+
 def drift_summary(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """DR7: responses, responses with a detected drift point, sentence accuracy."""
-    per_key = labelled.groupBy(*keys).agg(
+    """DR7: responses, responses with a detected drift point, sentence accuracy.
+
+    Rows are first aggregated by key and a salt, so the exchange that follows
+    the join by key lets that join be split where a key is hot."""
+    salted = labelled.withColumn("_salt", F.pmod(F.xxhash64(*order_columns(labelled, keys)), F.lit(KEY_SALTS)))
+    parts = salted.groupBy(*keys, "_salt").agg(
         F.max(F.col("detected_drift_point").isNotNull().cast("int")).alias("_d"),
         F.count(F.lit(1)).alias("_rows"),
         F.sum(F.col("prediction_correct").cast("long")).alias("_ok"),
     )
+    per_key = parts.groupBy(*keys).agg(F.max("_d").alias("_d"), F.sum("_rows").alias("_rows"), F.sum("_ok").alias("_ok"))
     return per_key.agg(
         F.count(F.lit(1)).alias("responses"),
         F.sum("_d").cast("long").alias("responses_with_drift"),
@@ -109,19 +127,23 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
     vocabulary gives 0.5 for every sentence.
 
     Plan: each response is exploded into term rows (plus one marker row per
-    sentence that carries its text) and shuffled once by response id; every
-    later window and aggregate is keyed by the response id first, so it
+    sentence that carries its text) and shuffled once by response; every
+    later window and aggregate is keyed by the response first, so it
     reuses that partitioning. A response is one text, so no key is hot.
+
+    Responses that share an id are told apart by a hash of their texts
+    (``_key`` = id and hash); ``_copies`` says how often equal ones occur.
     """
     require(responses, [rid, text, reference], "trust_scores")
     has_ref = F.coalesce(F.length(F.col(reference)) > 0, F.lit(False))
+    key = F.struct(F.col(rid).alias("id"), F.xxhash64(text, reference).alias("hash"))
     r = responses.select(
-        F.col(rid).alias("rid"), T.sentences(F.col(text)).alias("_ss"), F.when(has_ref, F.col(reference)).alias("_ref")
-    ).filter(F.size("_ss") > 0)
+        key.alias("rid"), T.sentences(F.col(text)).alias("_ss"), F.when(has_ref, F.col(reference)).alias("_ref")
+    )
     docs = F.concat(
         F.transform("_ss", lambda s, i: F.struct(i.alias("did"), s.alias("sentence"), s.alias("txt"))),
         F.when(
-            F.col("_ref").isNotNull(),
+            F.col("_ref").isNotNull() & (F.size("_ss") > 0),
             F.array(F.struct(F.lit(-1).alias("did"), F.lit(None).cast("string").alias("sentence"), F.col("_ref").alias("txt"))),
         ).otherwise(F.array().cast("array<struct<did:int,sentence:string,txt:string>>")),
     )
@@ -140,7 +162,7 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
         .select("rid", "n_sent", "has_ref", "did", "_t.term", "_t.sentence")
         .repartition("rid")
         .groupBy("rid", "n_sent", "has_ref", "did", "term")
-        .agg(F.count("term").cast("int").alias("tf"), F.max("sentence").alias("sentence"))
+        .agg(F.count("term").cast("int").alias("tf"), F.max("sentence").alias("sentence"), F.count(F.lit(1)).alias("_copies"))
     )
 
     is_term = F.col("term").isNotNull()
@@ -164,6 +186,7 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
         F.first("n_sent").alias("n_sent"),
         F.first("has_ref").alias("has_ref"),
         F.first("_vocab").alias("vocab"),
+        F.max(F.when(~is_term, F.col("_copies"))).cast("int").alias("_copies"),
         F.sum(F.col("_v") * F.col("_vref")).alias("_ref_cos"),
         F.sum(F.col("_v") * F.col("_cum")).alias("_prev_dot"),
     )
@@ -177,7 +200,9 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
         .otherwise(F.coalesce(F.col("_prev_dot"), F.lit(0.0)) / idx)
     )
     score = F.when(F.col("has_ref"), with_ref).otherwise(no_ref)
-    return s.select(F.col("rid").alias(rid), F.col("did").alias("sentence_idx"), "sentence", score.alias("score"))
+    return s.select(
+        F.col("rid.id").alias(rid), F.col("rid").alias("_key"), "_copies", F.col("did").alias("sentence_idx"), "sentence", score.alias("score")
+    )
 
 
 MAX_FEATURES_TERMS = 500  # fixed value: vectoriser vocabulary cap of the reference
@@ -194,14 +219,16 @@ def trust_map(
     """DR6: per-sentence trust map rows — DR1 on the unrounded scores of each
     response (windows per response: bounded by one text), then
     ``trust_score`` rounded to 3, ``is_post_drift`` and ``drift_point``.
-    Responses without sentences produce no rows."""
+    Responses without sentences produce no rows; responses that repeat an id
+    each keep their own."""
     sc = trust_scores(responses, rid, text, reference)
-    w = Window.partitionBy(rid).orderBy("sentence_idx")
+    w = Window.partitionBy("_key").orderBy("sentence_idx")
     prev = F.filter(F.array(*[F.lag("score", k).over(w) for k in range(window, 0, -1)]), lambda x: x.isNotNull())
-    sc = sc.withColumn("_prev", prev).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(rid)))
+    sc = sc.withColumn("_prev", prev).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key")))
     sc = sc.withColumn("_cand", drop_candidate(F.col("sentence_idx"), F.col("_prev"), F.col("score"), threshold))
-    sc = sc.withColumn("_best", F.max("_cand").over(Window.partitionBy(rid)))
+    sc = sc.withColumn("_best", F.max("_cand").over(Window.partitionBy("_key")))
     point = point_from_best(F.col("_best"), F.col("_n"))
+    sc = sc.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return sc.select(
         rid,
         F.col("sentence_idx").cast("int").alias("sentence_idx"),

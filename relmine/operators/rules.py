@@ -9,7 +9,9 @@ importance table all run on it.
 The shallow tree (RR6) is grown level by level as aggregations over the
 compressed table: for every open node and encoded feature, class-weighted
 counts per distinct value, cumulative sums give every threshold's
-children, the best gini decrease wins. Only the chosen splits (at most
+children, the best gini decrease wins. Counts stay whole numbers up to that
+point and gains are rounded before they are compared, so equal gains tie on
+every run and the first feature wins. Only the chosen splits (at most
 2^depth - 1) and leaf probabilities are brought to the driver — they are
 the model, which is then applied as one nested ``CASE`` expression (RR8).
 Unlike ``pyspark.ml``'s tree, sibling leaves with the same class are kept,
@@ -41,6 +43,8 @@ TOP_IMPORTANCES = 5
 MIN_IMPORTANCE = 0.05
 SUMMARY_TOP = 8
 EPSILON = 2.220446049250313e-16  # machine epsilon for doubles
+GAIN_DIGITS = 12  # gains are compared to so many decimals (not a fixed value of the reference)
+MAX_CATEGORIES = 1000  # a string feature with more values is no category (likewise)
 FEATURE_COLUMNS = [
     "demands_numeric", "has_temporal_ref", "demands_specificity", "asks_about_person", "asks_for_list",
     "domain_academic", "domain_finance", "domain_medical", "question_type", "specificity_bin", "length_bin",
@@ -64,8 +68,14 @@ def compress(df: DataFrame, features: list[str], label: str, checkpoint: bool =
     return cut_lineage(c) if checkpoint else c
 
 
-def _render(v: Column) -> Column:
-    return v.cast("string")
+def _is_number(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, T.NumericType)
+
+
+def _render(df: DataFrame, c: str) -> Column:
+    """A value as rule text; booleans as ``True`` and ``False``."""
+    text = F.col(c).cast("string")
+    return F.initcap(text) if isinstance(df.schema[c].dataType, T.BooleanType) else text
 
 
 def mined_rules(
@@ -80,13 +90,14 @@ def mined_rules(
     long = comp.select(
         "n",
         "pos",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), _render(F.col(f)).alias("value")) for f in features])).alias("_f"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), _render(comp, f).alias("value")) for f in features])).alias("_f"),
     ).select("n", "pos", "_f.feature", "_f.value")
     items = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.sum("n").alias("cnt"), F.sum("pos").alias("npos")
     )
-    fw = Window.partitionBy("feature")  # rows per feature = its distinct values
-    items = items.withColumn("ndistinct", F.count(F.lit(1)).over(fw))
+    # one row per feature: joined by broadcast, bounded by their number
+    distinct = items.groupBy("feature").agg(F.count(F.lit(1)).alias("ndistinct"))
+    items = items.join(F.broadcast(distinct), "feature")
     is_str = F.col("feature").isin(*strings) if strings else F.lit(False)
     single = items.filter(
         (is_str | (F.col("ndistinct") <= SINGLE_MAX_DISTINCT))
@@ -99,11 +110,11 @@ def mined_rules(
         F.col("cnt").alias("n_matches"),
         F.lit("single").alias("kind"),
     )
-    numeric = [f for f in features if f not in strings]
+    numeric = [f for f in features if _is_number(comp, f)]
     pairs = list(combinations(numeric, 2))
     if not pairs:
         return single
-    eligible = items.filter(F.col("ndistinct") <= PAIR_MAX_DISTINCT).select("feature").distinct()
+    eligible = distinct.filter(F.col("ndistinct") <= PAIR_MAX_DISTINCT).select("feature")
     pl = comp.select(
         "n",
         "pos",
@@ -111,7 +122,7 @@ def mined_rules(
             F.array(
                 *[
                     F.struct(
-                        F.lit(a).alias("f1"), _render(F.col(a)).alias("v1"), F.lit(b).alias("f2"), _render(F.col(b)).alias("v2")
+                        F.lit(a).alias("f1"), _render(comp, a).alias("v1"), F.lit(b).alias("f2"), _render(comp, b).alias("v2")
                     )
                     for a, b in pairs
                 ]
@@ -168,12 +179,18 @@ class Encoding:
 def fit_encoding(comp: DataFrame, features: list[str], ordered: dict[str, list[str]] | None = None) -> Encoding:
     """Numeric features pass through; string features become dummies of their
     categories (declared order for binned ones, else alphabetical), first
-    category dropped. Category lists come from the compressed table."""
+    category dropped. Category lists come from the compressed table; a string
+    feature of more than ``MAX_CATEGORIES`` values is an error, found by
+    counting before any list is made."""
     ordered = ORDERED_CATEGORIES if ordered is None else ordered
     numeric = [f for f in features if not _is_string(comp, f)]
     cats: dict[str, list[str]] = {}
     strings = [f for f in features if _is_string(comp, f)]
     if strings:
+        counts = comp.select(*[F.count_distinct(f).alias(f) for f in strings]).first()
+        free = [f for f in strings if counts[f] > MAX_CATEGORIES]
+        if free:
+            raise ValueError(f"not categorical (more than {MAX_CATEGORIES} values): {free}")
         found = comp.select(*[F.sort_array(F.collect_set(f)).alias(f) for f in strings]).first()
         for f in strings:
             values = ordered.get(f) or list(found[f] or [])
@@ -229,17 +246,16 @@ def fit_tree(
 
     x = comp.select(
         F.array(*enc.columns()).alias("x"),
-        F.col("n"),
-        (F.col("pos") * F.lit(w1)).alias("wp"),
-        ((F.col("n") - F.col("pos")) * F.lit(w0)).alias("wn"),
+        "n",
+        "pos",
         F.lit(1).alias("node"),
     )
     x = cut_lineage(x)
     node_info: dict[int, tuple[float, float, bool]] = {}
     for depth in range(max_depth + 1):
-        node_stats = x.groupBy("node").agg(F.sum("n").alias("n"), F.sum("wp").alias("wp"), F.sum("wn").alias("wn"))
+        node_stats = x.groupBy("node").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
         for r in node_stats.collect():  # at most 2^depth rows
-            wp, wn = r["wp"], r["wn"]
+            wp, wn = r["pos"] * w1, (r["n"] - r["pos"]) * w0
             w = wp + wn
             imp = 1.0 - (wp / w) ** 2 - (wn / w) ** 2 if w > 0 else 0.0
             can_split = depth < max_depth and r["n"] >= 2 and r["n"] >= 2 * min_leaf and imp > EPSILON
@@ -248,7 +264,7 @@ def fit_tree(
         open_nodes = [k for k, (_, _, ok) in node_info.items() if ok and 2**depth <= k < 2 ** (depth + 1)]
         if not open_nodes:
             break
-        best = _best_splits(x.filter(F.col("node").isin(open_nodes)), min_leaf)
+        best = _best_splits(x.filter(F.col("node").isin(open_nodes)), min_leaf, w1, w0)
         if not best:
             break
         for b in best:
@@ -269,28 +285,30 @@ def fit_tree(
     return tree
 
 
-def _best_splits(x: DataFrame, min_leaf: int) -> list:
+def _best_splits(x: DataFrame, min_leaf: int, w1: float, w0: float) -> list:
     """Best (feature, threshold) per open node, as a small aggregation."""
-    long = x.select("node", "n", "wp", "wn", F.posexplode("x").alias("f", "v"))
-    g = long.groupBy("node", "f", "v").agg(F.sum("n").alias("n"), F.sum("wp").alias("wp"), F.sum("wn").alias("wn"))
+    long = x.select("node", "n", "pos", F.posexplode("x").alias("f", "v"))
+    g = long.groupBy("node", "f", "v").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     fw = Window.partitionBy("node", "f")  # rows: distinct values of one feature in one node
     cum = fw.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     g = (
         g.withColumn("nl", F.sum("n").over(cum))
-        .withColumn("wpl", F.sum("wp").over(cum))
-        .withColumn("wnl", F.sum("wn").over(cum))
+        .withColumn("posl", F.sum("pos").over(cum))
         .withColumn("nt", F.sum("n").over(fw))
-        .withColumn("wpt", F.sum("wp").over(fw))
-        .withColumn("wnt", F.sum("wn").over(fw))
+        .withColumn("post", F.sum("pos").over(fw))
         .withColumn("v_next", F.lead("v").over(fw.orderBy("v")))
     )
     g = g.filter(F.col("v_next").isNotNull())
-    wl = F.col("wpl") + F.col("wnl")
-    wr = (F.col("wpt") - F.col("wpl")) + (F.col("wnt") - F.col("wnl"))
-    imp_l = _gini(F.col("wpl"), F.col("wnl"))
-    imp_r = _gini(F.col("wpt") - F.col("wpl"), F.col("wnt") - F.col("wnl"))
-    wt = F.col("wpt") + F.col("wnt")
-    gain = _gini(F.col("wpt"), F.col("wnt")) - (wl / wt) * imp_l - (wr / wt) * imp_r
+
+    def weighted(n: Column, pos: Column) -> tuple[Column, Column]:
+        return pos * F.lit(w1), (n - pos) * F.lit(w0)
+
+    wpl, wnl = weighted(F.col("nl"), F.col("posl"))
+    wpr, wnr = weighted(F.col("nt") - F.col("nl"), F.col("post") - F.col("posl"))
+    wpt, wnt = weighted(F.col("nt"), F.col("post"))
+    wl, wr, wt = wpl + wnl, wpr + wnr, wpt + wnt
+    imp_l, imp_r = _gini(wpl, wnl), _gini(wpr, wnr)
+    gain = F.round(_gini(wpt, wnt) - (wl / wt) * imp_l - (wr / wt) * imp_r, GAIN_DIGITS)
     mid = F.col("v") / 2.0 + F.col("v_next") / 2.0
     thr = F.when(mid == F.col("v_next"), F.col("v")).otherwise(mid)
     cand = g.filter((F.col("nl") >= min_leaf) & ((F.col("nt") - F.col("nl")) >= min_leaf)).select(

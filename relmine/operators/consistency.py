@@ -1,21 +1,22 @@
 """Self-consistency across sampled responses.
 
-Plan shape (every aggregate is keyed by ``prompt_id`` first and partially
-aggregated map-side, so a hot prompt is never collected into one task):
+Plan shape:
 
-* per sample (row-local): term counts, distinct lower-cased words, numbers,
-  token count;
+* per sample (row-local, evaluated once and fixed by a reliable checkpoint):
+  term counts, distinct lower-cased words, numbers, token count, and a row
+  number of its own, so that samples which repeat an index stay apart;
 * one ``groupBy(prompt, kind, key)`` over "fact" rows (the sample itself,
-  each number, each distinct word, each distinct term) gives every
-  per-prompt count: samples, first-number modes, number spread, word sample
-  counts (lexical overlap), term document frequencies and totals (TF-IDF);
-  the token-count spread comes from exact integer sums;
+  each number, each distinct word, each distinct term) counts them; a second
+  one by (prompt, kind, count) condenses them, so that what is summed per
+  prompt are at most as many rows as the prompt has different counts. Facts
+  are never joined or ranked by prompt alone;
+* the vocabulary cap ranks terms per (prompt, bucket) behind an explicit
+  exchange on both, then at most ``CAP_BUCKETS * k`` survivors per prompt;
 * semantic consistency: TF-IDF weights per sample, pair dot products from an
-  equi-join on ``(prompt, term)`` — only pairs that share a term are
-  produced; pairs without a shared term have cosine 0 and are accounted for
-  analytically (count n(n-1)/2, min 0), so mean, min and std are exact
-  without enumerating all pairs. The join's hot ``(prompt, term)`` keys are
-  split by AQE's skew-join handling.
+  equi-join on ``(prompt, term)`` whose keys are salted explicitly — only
+  pairs that share a term are produced; pairs without a shared term have
+  cosine 0 and are accounted for analytically (count n(n-1)/2, min 0), so
+  mean, min and std are exact.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from relmine.functions import text as T
 from relmine.functions.tfidf import MAX_FEATURES
+from relmine.session import cut_lineage
 from relmine.sources.schemas import require
 
 # Fixed values of the reference.
@@ -32,6 +34,7 @@ COMPOSITE_WEIGHTS = (0.4, 0.2, 0.2, 0.2)  # semantic, lexical, numeric agreement
 UNRELIABLE_THRESHOLD = 0.6
 BANDS = (0.5, 0.8)
 CAP_BUCKETS = 64  # first stage of the vocabulary cap (not a fixed value of the reference)
+SALTS = 8  # parts that the rows of one (prompt, term) are dealt to
 
 METRICS = [
     "semantic_consistency",
@@ -48,14 +51,15 @@ METRICS = [
 def prepare_samples(queries: DataFrame, samples: DataFrame, pid: str = "prompt_id", sid: str = "sample_idx", text: str = "response") -> DataFrame:
     """SC1: samples of the queried prompts (orphans ignored, null text is not a
     sample), with their row-local features: term counts, distinct lower-cased
-    words, numbers, token count."""
+    words, numbers, token count. ``row`` tells apart samples that share a
+    ``sample_idx``; it is fixed by the checkpoint that ``analyze`` sets."""
     require(queries, [pid], "consistency queries")
     require(samples, [pid, sid, text], "consistency samples")
     ids = queries.select(pid).distinct()
     s = samples.filter(F.col(text).isNotNull()).join(ids, pid, "left_semi")
     return s.select(
         F.col(pid).alias("pid"),
-        F.col(sid).alias("sid"),
+        F.monotonically_increasing_id().alias("row"),
         T.term_counts(T.tfidf_tokens_sql(f"`{text}`")).alias("tc"),
         F.array_distinct(T.ws_tokens(F.lower(F.col(text)))).alias("words"),
         T.plain_numbers(F.col(text)).alias("nums"),
@@ -63,8 +67,6 @@ def prepare_samples(queries: DataFrame, samples: DataFrame, pid: str = "prompt_i
     )
 
 
-
-
 def _facts(prepared: DataFrame) -> DataFrame:
     """One row per fact of a sample: S (the sample: token count, first number),
     N (each number), W (each distinct word), T (each distinct term, count)."""
@@ -90,22 +92,29 @@ def top_terms(terms: DataFrame, k: int, buckets: int = CAP_BUCKETS) -> DataFrame
     """Exact top-``k`` terms per prompt by total count (ties: term ascending).
 
     Two stages so a prompt with a huge vocabulary is never ranked in one
-    task: the top ``k`` of every (prompt, hash bucket of the term), then the
-    top ``k`` of those survivors (at most ``buckets * k`` rows per prompt).
+    task: the top ``k`` of every (prompt, hash bucket of the term) after an
+    exchange on both, then the top ``k`` of those survivors (at most
+    ``buckets * k`` rows per prompt).
     """
     order = [F.col("tot").desc(), F.col("key").asc()]
-    b = terms.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    b = terms.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition("pid", "_b")
     first = b.withColumn("_r", F.row_number().over(Window.partitionBy("pid", "_b").orderBy(*order))).filter(F.col("_r") <= k)
     return first.withColumn("_r", F.row_number().over(Window.partitionBy("pid").orderBy(*order))).filter(F.col("_r") <= k)
 
 
+def _salted(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+
+
+def _on_every_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+
+
 def prompt_metrics(prepared: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """SC2–SC7 per prompt with at least 2 samples: ``pid`` + METRICS.
 
-    Plan: the samples are read twice — once as fact rows for one partially
-    aggregated ``groupBy(pid, kind, key)`` that yields every per-prompt
-    count (samples, first-number modes, numbers, words, term df/totals), and
-    once as term rows for the TF-IDF weights and the pair join.
+    ``prepared`` (``prepare_samples``, checkpointed) is read twice: as fact
+    rows for the counts and as term rows for the TF-IDF weights.
     """
     g = _facts(prepared).groupBy("pid", "kind", "key").agg(
         F.count(F.lit(1)).alias("c"),
@@ -114,35 +123,41 @@ def prompt_metrics(prepared: DataFrame, max_features: int = MAX_FEATURES) -> Dat
         F.stddev_pop("x").alias("sx"),
         F.sum("tf").alias("tot"),
     )
-    # sample count per prompt: a small per-prompt aggregate joined back (AQE
-    # broadcasts it when small and splits a hot prompt's partition otherwise)
-    ns = g.filter(F.col("kind") == "S").groupBy("pid").agg(F.sum("c").alias("n"))
-    g = g.join(ns, "pid")
-    is_t = F.col("kind") == "T"
-    stats = g.groupBy("pid").agg(
-        F.max("n").alias("n"),
+    # per (prompt, kind, count): how many keys have that count
+    h = g.groupBy("pid", "kind", F.col("key").isNull().alias("nokey"), "c").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.max("sx").alias("sx")
+    )
+    samples = F.col("kind") == "S"
+    firsts = samples & ~F.col("nokey")
+    stats = h.groupBy("pid").agg(
+        F.sum(F.when(samples, F.col("c") * F.col("k"))).alias("n"),
         F.sum("s1").alias("s1"),
         F.sum("s2").alias("s2"),
-        F.max(F.when((F.col("kind") == "S") & F.col("key").isNotNull(), F.col("c"))).alias("_fmax"),
-        F.sum(F.when((F.col("kind") == "S") & F.col("key").isNotNull(), F.col("c"))).alias("_fsum"),
+        F.max(F.when(firsts, F.col("c"))).alias("_fmax"),
+        F.sum(F.when(firsts, F.col("c") * F.col("k"))).alias("_fsum"),
         F.max(F.when(F.col("kind") == "N", F.col("sx"))).alias("num_std"),
-        F.count_if(F.col("kind") == "W").alias("n_union"),
-        F.count_if((F.col("kind") == "W") & (F.col("c") == F.col("n"))).alias("n_inter"),
-        F.max(is_t).alias("has_vocab"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "W", F.col("k"))), F.lit(0)).alias("n_union"),
+        F.max(F.when(F.col("kind") == "W", F.struct("c", "k"))).alias("_common"),
+        F.max(F.col("kind") == "T").alias("has_vocab"),
     )
-    kept = top_terms(g.filter(is_t), max_features).select(
+    # words of the highest count are common to all samples if that count is n
+    common = F.when(F.col("_common.c") == F.col("n"), F.col("_common.k")).otherwise(F.lit(0))
+    stats = stats.withColumn("n_inter", F.coalesce(common, F.lit(0))).drop("_common")
+    top = top_terms(g.filter(F.col("kind") == "T").select("pid", "key", "c", "tot"), max_features)
+    kept = top.join(stats.select("pid", "n"), "pid").select(
         "pid",
         F.col("key").alias("term"),
         (F.log((F.col("n") + F.lit(1.0)) / (F.col("c") + F.lit(1.0))) + F.lit(1.0)).alias("idf"),
     )
     # SC2: weights per sample, pair dot products from the (pid, term) join
-    terms = prepared.select("pid", "sid", F.explode("tc").alias("_t")).select("pid", "sid", "_t.term", "_t.tf")
-    w = terms.join(kept, ["pid", "term"]).select("pid", "sid", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("pid", "sid"))))
-    a = w.select("pid", "term", F.col("sid").alias("i"), F.col("w").alias("wi"))
-    b = w.select("pid", "term", F.col("sid").alias("j"), F.col("w").alias("wj"))
+    terms = prepared.select("pid", "row", F.explode("tc").alias("_t")).select("pid", "row", "_t.term", "_t.tf")
+    w = _salted(terms, "row").join(_on_every_salt(kept), ["pid", "term", "_salt"])
+    w = w.select("pid", "row", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("pid", "row"))))
+    a = _salted(w.select("pid", "term", F.col("row").alias("i"), F.col("w").alias("wi")), "i")
+    b = _on_every_salt(w.select("pid", "term", F.col("row").alias("j"), F.col("w").alias("wj")))
     pair_cos = (
-        a.join(b, ["pid", "term"])
+        a.join(b, ["pid", "term", "_salt"])
         .filter(F.col("i") < F.col("j"))
         .groupBy("pid", "i", "j")
         .agg(F.sum(F.col("wi") * F.col("wj")).alias("c"))
@@ -193,7 +208,8 @@ def composite(df: DataFrame) -> Column:
 
 def analyze(queries: DataFrame, samples: DataFrame, pid: str = "prompt_id", sid: str = "sample_idx", text: str = "response") -> DataFrame:
     """SC1–SC7: queries enriched with the consistency metrics (null when < 2 samples)."""
-    metrics = prompt_metrics(prepare_samples(queries, samples, pid, sid, text)).withColumnRenamed("pid", pid)
+    prepared = cut_lineage(prepare_samples(queries, samples, pid, sid, text))
+    metrics = prompt_metrics(prepared).withColumnRenamed("pid", pid)
     return queries.join(metrics, pid, "left")
 
 

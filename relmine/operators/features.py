@@ -43,6 +43,7 @@ SPECIFIC_COUNT_PATTERN = r"how many|exactly \d+|list \d+"
 NUMERIC_CLAIM_PATTERN = r"\d+"
 NAMED_ENTITY_PATTERN = r"[A-Z][a-z]+(?:\s[A-Z][a-z]+)*"
 PERSON_WORDS = ["who", "professor", "dr.", "artist"]
+PERSON_WORDS_NARROW = ["who"]
 LIST_WORDS = ["list", "name", "enumerate"]
 
 FEATURE_COLUMNS = [
@@ -111,10 +112,11 @@ def extract(df: DataFrame, text_column: str = "query") -> DataFrame:
     )
 
 
-def label_features(df: DataFrame, query: str = "query", response: str = "response") -> DataFrame:
+def label_features(df: DataFrame, query: str = "query", response: str = "response", person_words=PERSON_WORDS) -> DataFrame:
     """LF1–LF5: the generator's derived columns as a projection over any
     (query, response) table. LF5 keeps the substring form under ``_raw``
-    names (QF8/QF9 are the word-boundary forms)."""
+    names (QF8/QF9 are the word-boundary forms); ``PERSON_WORDS_NARROW`` gives
+    the form that low-risk rows have."""
     require(df, [query, response], "label_features")
     q = F.lower(F.coalesce(F.col(query), F.lit("")))
     r = F.coalesce(F.col(response), F.lit(""))
@@ -130,7 +132,7 @@ def label_features(df: DataFrame, query: str = "query", response: str = "respons
         "*",
         r.rlike(T.py_regex(NUMERIC_CLAIM_PATTERN)).alias("has_numeric_claim"),
         r.rlike(T.py_regex(NAMED_ENTITY_PATTERN)).alias("has_named_entity"),
-        any_sub(PERSON_WORDS).alias("asks_about_person_raw"),
+        any_sub(person_words).alias("asks_about_person_raw"),
         any_sub(LIST_WORDS).alias("asks_for_list_raw"),
         q.rlike(T.py_regex(SPECIFIC_COUNT_PATTERN)).alias("asks_specific_count"),
         F.size(T.ws_tokens(F.coalesce(F.col(query), F.lit("")))).alias("query_length"),

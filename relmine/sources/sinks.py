@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# what CSV needs to give back quotes and microseconds as they were
+CSV = {"header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**CSV).csv(path)
     else:
         w.format(fmt).save(path)
     return path

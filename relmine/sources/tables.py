@@ -11,12 +11,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from relmine.sources.sinks import CSV
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
 
+def read(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None = None) -> DataFrame:
+    """A canonical table (``relmine.sources.schemas``) from CSV or Parquet,
+    read with its declared schema. The format follows from the path's ending
+    unless given; CSV has a header, quoted line breaks and doubled quotes."""
+    fmt = fmt or ("csv" if path.rstrip("/").lower().endswith((".csv", ".csv.gz")) else "parquet")
+    reader = spark.read.schema(schema)
+    if fmt == "csv":
+        reader = reader.options(**CSV, multiLine=True, enforceSchema=False)
+    return reader.format(fmt).load(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -173,7 +173,8 @@ def trajectories(labelled: DataFrame, key: str, n: int = TRAJECTORY_RESPONSES) -
     """EV6: trust-score rows of the first ``n`` responses by key order.
 
     The top-n keys come from a distinct + ordered limit (a bounded top-k),
-    then a semi-join — no global window over all rows.
+    then a semi-join — no global window over all rows. Give the rows before
+    they are labelled: labels of a sequence depend on its own rows alone.
     """
     first = labelled.select(key).distinct().orderBy(key).limit(n)
     return labelled.join(F.broadcast(first), key, "left_semi")
@@ -192,16 +193,16 @@ def consistency_gap(enriched: DataFrame, label: str = "is_hallucination") -> Dat
     )
 
 
-def run_summary(sections: dict[str, DataFrame]) -> DataFrame:
-    """EV9: one long ``(section, metric, value)`` table from one-row frames."""
-    frames = []
-    for section, df in sections.items():
-        cols = df.columns
-        frames.append(
-            df.select(
-                F.explode(
-                    F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])
-                ).alias("_m")
-            ).select(F.lit(section).alias("section"), "_m.metric", "_m.value")
-        )
-    return reduce(lambda a, b: a.unionByName(b), frames)
+def report_rows(df: DataFrame, metrics: dict[tuple[str, str], Column]) -> DataFrame:
+    """EV9: ``(section, metric, value)`` rows of ``df`` from one aggregation."""
+    one = df.agg(*[m.cast("double").alias(f"_{i}") for i, m in enumerate(metrics.values())])
+    cells = [
+        F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), F.col(f"_{i}").alias("value"))
+        for i, (section, metric) in enumerate(metrics)
+    ]
+    return one.select(F.explode(F.array(*cells)).alias("_m")).select("_m.*")
+
+
+def run_summary(parts: list[DataFrame]) -> DataFrame:
+    """EV9: one long ``(section, metric, value)`` table."""
+    return reduce(lambda a, b: a.unionByName(b), parts)

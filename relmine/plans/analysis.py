@@ -32,9 +32,9 @@ def full_analysis(
     """Features → consistency → rules → risk scores on the conversation
     prompts; faithfulness on document pairs; drift on event sequences."""
     queries = QF.extract(S.conversation_prompts(spark, sf_dir))
-    queries = SC.analyze(queries, S.conversation_samples(spark, sf_dir))
+    # rules need the prompt features alone: fitted before the metrics are joined
     rules, tree = RR.fit(queries, SUMMARY_FEATURES, "is_hallucination", min_support, min_confidence)
-    queries = RR.score(queries, tree)
+    queries = RR.score(SC.analyze(queries, S.conversation_samples(spark, sf_dir)), tree)
     rag = FG.faithfulness(S.document_pairs(spark, sf_dir))
     drift = DR.label_sequences(S.event_sequences(spark, sf_dir), ["user_id"], ["ts", "event_id"], threshold=drift_threshold)
     return {
@@ -47,22 +47,38 @@ def full_analysis(
 
 
 def summary(queries: DataFrame, rules: DataFrame, rag: DataFrame, drift: DataFrame) -> DataFrame:
-    """EV9: the run report as ``(section, metric, value)`` rows."""
-    dataset = queries.agg(
-        F.count(F.lit(1)).alias("queries"), F.avg(F.col("is_hallucination").cast("double")).alias("hallucination_rate")
-    )
-    bands = SC.bands(queries).drop("total")
-    gap = EV.consistency_gap(queries)
+    """EV9: the run report as ``(section, metric, value)`` rows. Each source
+    is aggregated once; its one row then gives the sections."""
+    label, comp = F.col("is_hallucination"), F.col("composite_consistency")
+    lo, hi = SC.BANDS
+    total = F.count(F.lit(1))
+    band = {"high": comp >= hi, "medium": (comp >= lo) & (comp < hi), "low": comp < lo}
+    prompts = {
+        ("dataset", "queries"): total,
+        ("dataset", "hallucination_rate"): F.avg(label.cast("double")),
+        **{("consistency", b): F.count_if(c) for b, c in band.items()},
+        **{("consistency", f"{b}_share"): F.try_divide(F.count_if(c), total) for b, c in band.items()},
+        ("consistency_gap", "consistency_gap"): F.avg(F.when(~label, comp)) - F.avg(F.when(label, comp)),
+    }
+    faithful = F.count_if(F.col("faithfulness_score") >= 0.5)
+    known = F.col("is_faithful").cast("boolean")
+    pairs = {
+        ("faithfulness", "total"): total,
+        ("faithfulness", "faithful"): faithful,
+        ("faithfulness", "unfaithful"): total - faithful,
+        ("faithfulness", "faithful_share"): F.try_divide(faithful, total),
+        ("faithfulness", "mean_score"): F.avg("faithfulness_score"),
+        ("faithfulness_accuracy", "accuracy"): F.avg((F.col("predicted_faithful") == known).cast("double")),
+        ("faithfulness_accuracy", "n_labelled"): F.count(known),
+    }
+    stats, turns = RR.rule_stats(rules), DR.drift_summary(drift, ["user_id"])
     return EV.run_summary(
-        {
-            "dataset": dataset,
-            "consistency": bands,
-            "consistency_gap": gap,
-            "rules": RR.rule_stats(rules),
-            "faithfulness": FG.summary(rag),
-            "faithfulness_accuracy": FG.detection_accuracy(rag),
-            "drift": DR.drift_summary(drift, ["user_id"]),
-        }
+        [
+            EV.report_rows(queries, prompts),
+            EV.report_rows(stats, {("rules", c): F.max(c) for c in stats.columns}),
+            EV.report_rows(rag, pairs),
+            EV.report_rows(turns, {("drift", c): F.max(c) for c in turns.columns}),
+        ]
     )
 
 

@@ -171,18 +171,18 @@ def consistency_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SC_DOC_SQL = Q.consistency(
-    "SELECT DISTINCT source AS prompt_id FROM documents",
-    "SELECT source AS prompt_id, doc_id AS sample_idx, text AS response FROM documents",
+    "SELECT DISTINCT doc_id // 5 AS prompt_id FROM documents",
+    "SELECT doc_id // 5 AS prompt_id, doc_id AS sample_idx, text AS response FROM documents",
 )
 
 
 @register("consistency_documents", f"SELECT prompt_id, {', '.join(Q.SC_METRICS)} FROM ({_SC_DOC_SQL})")
 def consistency_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """SC1–SC7 with many long samples per prompt: documents of one source are
-    the samples of that source (numbers present, vocabulary cap active)."""
-    docs = S.table(spark, sf, "documents")
-    prompts = docs.select(F.col("source").alias("prompt_id")).distinct()
-    samples = docs.select(F.col("source").alias("prompt_id"), F.col("doc_id").alias("sample_idx"), F.col("text").alias("response"))
+    """SC1–SC7 with long samples (numbers present, vocabulary cap active):
+    five consecutive documents are the samples of a prompt."""
+    docs = S.table(spark, sf, "documents").withColumn("prompt_id", F.floor(F.col("doc_id") / 5).cast("long"))
+    prompts = docs.select("prompt_id").distinct()
+    samples = docs.select("prompt_id", F.col("doc_id").alias("sample_idx"), F.col("text").alias("response"))
     return SC.analyze(prompts, samples).select("prompt_id", *SC.METRICS)
 
 
@@ -298,7 +298,10 @@ def risk_rule_stats(spark: SparkSession, sf: str) -> DataFrame:
     return RR.rule_stats(risk_rules_lineitem(spark, sf))
 
 
-@register("risk_tree_rules")
+_LI_TREE = Q.tree(Q.LINEITEM_RISK, _LI_FEATS, "is_returned", S.LINEITEM_ORDERED)
+
+
+@register("risk_tree_rules", f"WITH {_LI_TREE} SELECT * FROM ({_RR_LI_SQL}) UNION ALL SELECT * FROM imp")
 def risk_tree_rules(spark: SparkSession, sf: str) -> DataFrame:
     """RR5–RR7: all rules of the fit — mined rules plus the tree's importance rows."""
     rules, _ = RR.fit(
@@ -308,7 +311,11 @@ def risk_tree_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules
 
 
-@register("risk_scores")
+@register(
+    "risk_scores",
+    f"""WITH {_LI_TREE} SELECT l_orderkey, l_linenumber, predicted_risk
+        FROM src JOIN comp ON {Q.same(_LI_FEATS, 'src', 'comp')} JOIN leaf USING (cid)""",
+)
 def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
     """RR8: tree probability of a return for every line item."""
     rows = S.lineitem_risk(spark, sf)
@@ -393,8 +400,9 @@ def eval_auc(spark: SparkSession, sf: str) -> DataFrame:
 )
 def eval_trajectories(spark: SparkSession, sf: str) -> DataFrame:
     """EV6: trust trajectories of the first four sequences (a top-k report)."""
-    rows = drift_events(spark, sf).select("user_id", "sentence_idx", "trust_score", "is_hallucination", "detected_drift_point")
-    return EV.trajectories(rows, "user_id")
+    few = EV.trajectories(S.event_sequences(spark, sf), "user_id")
+    labelled = DR.label_sequences(few, ["user_id"], ["ts", "event_id"])
+    return labelled.select("user_id", "sentence_idx", "trust_score", "is_hallucination", "detected_drift_point")
 
 
 @register(
@@ -419,16 +427,72 @@ def eval_consistency_gap(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------- run summary
 
 
-@register("run_summary")
+_PA_FEATS = [(f, f in ("question_type", "specificity_bin", "length_bin")) for f in RR.FEATURE_COLUMNS]
+_PA_PROMPTS = f"""
+SELECT f.*, p.is_hallucination FROM ({Q.prompt_features(Q.CONVERSATION_PROMPTS, ['prompt_id'])}) f
+JOIN ({Q.CONVERSATION_PROMPTS}) p USING (prompt_id)"""
+_PA_TREE = Q.tree(_PA_PROMPTS, _PA_FEATS, "is_hallucination", RR.ORDERED_CATEGORIES)
+_PA_RULES = Q.mined_rules(_PA_PROMPTS, _PA_FEATS, "is_hallucination", RR.MIN_SUPPORT, RR.MIN_CONFIDENCE)
+
+
+def _one(sql: str, section: str, metrics: dict[str, str]) -> str:
+    """One-row SQL as ``(section, metric, value)`` rows."""
+    return "\nUNION ALL\n".join(f"SELECT '{section}' AS section, '{m}' AS metric, ({x})::DOUBLE AS value FROM ({sql})" for m, x in metrics.items())
+
+
+_PA_BANDS = f"""
+SELECT avg((composite_consistency >= 0.8)::INTEGER) AS x, count(*)::DOUBLE AS total,
+  count(*) FILTER (WHERE composite_consistency >= 0.8) AS high,
+  count(*) FILTER (WHERE composite_consistency >= 0.5 AND composite_consistency < 0.8) AS medium,
+  count(*) FILTER (WHERE composite_consistency < 0.5) AS low,
+  avg(composite_consistency) FILTER (WHERE NOT is_hallucination) - avg(composite_consistency) FILTER (WHERE is_hallucination) AS gap
+FROM ({_SC_OUT})"""
+_PA_FG = f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE faithfulness_score >= 0.5) AS faithful,
+  count(*) FILTER (WHERE NOT coalesce(faithfulness_score >= 0.5, false)) AS unfaithful, avg(faithfulness_score) AS mean_score,
+  count(*) FILTER (WHERE is_faithful IS NOT NULL) AS n_labelled,
+  avg((predicted_faithful = is_faithful)::INTEGER) FILTER (WHERE is_faithful IS NOT NULL) AS accuracy
+FROM ({_FG_DOC_SQL})"""
+_PA_SUMMARY = "\nUNION ALL\n".join(
+    [
+        _one(f"SELECT count(*) AS q, avg(is_hallucination::INTEGER) AS r FROM ({Q.CONVERSATION_PROMPTS})", "dataset", {"queries": "q", "hallucination_rate": "r"}),
+        _one(
+            _PA_BANDS,
+            "consistency",
+            {"high": "high", "medium": "medium", "low": "low", "high_share": "high / total", "medium_share": "medium / total", "low_share": "low / total"},
+        ),
+        _one(_PA_BANDS, "consistency_gap", {"consistency_gap": "gap"}),
+        _one(f"SELECT count(*) AS n, max(confidence) AS c FROM (SELECT * FROM ({_PA_RULES}) UNION ALL SELECT * FROM imp)", "rules", {"n_rules": "n", "best_confidence": "c"}),
+        _one(
+            _PA_FG,
+            "faithfulness",
+            {"total": "total", "faithful": "faithful", "unfaithful": "unfaithful", "faithful_share": "faithful::DOUBLE / total", "mean_score": "mean_score"},
+        ),
+        _one(_PA_FG, "faithfulness_accuracy", {"accuracy": "accuracy", "n_labelled": "n_labelled"}),
+        _one(
+            f"""SELECT count(DISTINCT user_id) AS responses, count(DISTINCT user_id) FILTER (WHERE detected_drift_point IS NOT NULL) AS w,
+                  avg(prediction_correct::INTEGER) AS a FROM ({_DR_EV_SQL})""",
+            "drift",
+            {"responses": "responses", "responses_with_drift": "w", "sentence_accuracy": "a"},
+        ),
+    ]
+)
+
+
+@register("run_summary", f"WITH {_PA_TREE} {_PA_SUMMARY}")
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """EV9 / PL1: the full analysis reduced to its report values; the rule
-    count includes the tree's importance rows, so no SQL restatement."""
+    """EV9 / PL1: the full analysis reduced to its report values."""
     from relmine.plans.analysis import full_analysis
 
     return full_analysis(spark, sf)["summary"]
 
 
-@register("analysis_queries")
+@register(
+    "analysis_queries",
+    f"""WITH {_PA_TREE}
+        SELECT src.*, {', '.join('sc.' + c for c in Q.SC_METRICS)}, predicted_risk
+        FROM src JOIN comp ON {Q.same(_PA_FEATS, 'src', 'comp')} JOIN leaf USING (cid) JOIN ({_SC_OUT}) sc USING (prompt_id)""",
+)
 def analysis_queries(spark: SparkSession, sf: str) -> DataFrame:
     """PL1: the analysed prompt table — features, consistency metrics and the
     tree's predicted risk per conversation prompt (prompt text omitted)."""

@@ -503,3 +503,93 @@ def mined_rules(src_sql: str, features: list[tuple[str, bool]], label: str, min_
         )
     body = "\nUNION ALL\n".join(parts)
     return f"WITH t AS ({src_sql})\n{body}"
+
+
+def tree(src_sql: str, features: list[tuple[str, bool]], label: str, ordered: dict[str, list[str]], depth: int = 3) -> str:
+    """RR5–RR8 as CTEs over one compressed row per feature vector (``cid``):
+    ``enc`` (dummy-coded values in long form), one node assignment per level,
+    ``leaf`` (cid, predicted_risk) and ``imp`` (rule rows of the importances)."""
+    names = [f for f, _ in features]
+    numeric = [f for f, is_str in features if not is_str]
+    strings = [f for f, is_str in features if is_str]
+    enc, cats = [], []
+    for k, f in enumerate(numeric):
+        enc.append(f"SELECT cid, {k * 1000} AS f, '{f}' AS fname, coalesce({f}::DOUBLE, 0.0::DOUBLE) AS v FROM comp")
+    for k, f in enumerate(strings, len(numeric)):
+        if f in ordered:
+            values = ", ".join(f"('{c}', {r})" for r, c in enumerate(ordered[f]))
+            cats.append(f"cat_{f}(c, r) AS (VALUES {values})")
+        else:
+            cats.append(f"cat_{f} AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS r FROM (SELECT DISTINCT {f} AS c FROM comp WHERE {f} IS NOT NULL))")
+        enc.append(
+            f"SELECT cid, {k * 1000} + r AS f, '{f}_' || c AS fname, coalesce(({f} = c)::INTEGER, 0)::DOUBLE AS v FROM comp, cat_{f} WHERE r > 0"
+        )
+
+    def gini(p: str, n: str) -> str:
+        return f"CASE WHEN {p} + {n} > 0 THEN 1.0::DOUBLE - ({p} / ({p} + {n})) * ({p} / ({p} + {n})) - ({n} / ({p} + {n})) * ({n} / ({p} + {n})) ELSE 0.0::DOUBLE END"
+
+    levels = ["at0 AS (SELECT cid, 1 AS node FROM comp)"]
+    for d in range(depth):
+        levels.append(f"""
+tot{d} AS (
+  SELECT node, sum(n) AS nt, sum(pos) AS post, any_value(w1) AS w1, any_value(w0) AS w0, any_value(min_leaf) AS min_leaf
+  FROM at{d} JOIN comp USING (cid), params GROUP BY node
+),
+open{d} AS (
+  SELECT *, post * w1 AS wpt, (nt - post) * w0 AS wnt FROM tot{d}
+  WHERE node >= {2**d} AND nt >= 2 AND nt >= 2 * min_leaf AND {gini('(post * w1)', '((nt - post) * w0)')} > 2.220446049250313e-16
+),
+val{d} AS (
+  SELECT node, f, any_value(fname) AS fname, v, sum(n) AS n, sum(pos) AS pos
+  FROM at{d} JOIN comp USING (cid) JOIN enc USING (cid) WHERE node IN (SELECT node FROM open{d}) GROUP BY node, f, v
+),
+cut{d} AS (
+  SELECT node, f, fname, v, lead(v) OVER w AS v_next, sum(n) OVER w AS nl, sum(pos) OVER w AS posl
+  FROM val{d} WINDOW w AS (PARTITION BY node, f ORDER BY v)
+),
+side{d} AS (
+  SELECT cut{d}.*, nt, post, wpt, wnt, posl * w1 AS wpl, (nl - posl) * w0 AS wnl,
+         (post - posl) * w1 AS wpr, ((nt - nl) - (post - posl)) * w0 AS wnr
+  FROM cut{d} JOIN open{d} USING (node) WHERE v_next IS NOT NULL AND nl >= min_leaf AND nt - nl >= min_leaf
+),
+best{d} AS (
+  SELECT *, CASE WHEN v / 2.0::DOUBLE + v_next / 2.0::DOUBLE = v_next THEN v ELSE v / 2.0::DOUBLE + v_next / 2.0::DOUBLE END AS thr,
+    (wpt + wnt) * ({gini('wpt', 'wnt')}) - (wpl + wnl) * ({gini('wpl', 'wnl')}) - (wpr + wnr) * ({gini('wpr', 'wnr')}) AS decrease
+  FROM side{d}
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY
+    round({gini('wpt', 'wnt')} - ((wpl + wnl) / (wpt + wnt)) * ({gini('wpl', 'wnl')}) - ((wpr + wnr) / (wpt + wnt)) * ({gini('wpr', 'wnr')}), 12) DESC, f, v) = 1
+),
+at{d + 1} AS (
+  SELECT a.cid, CASE WHEN b.node IS NULL THEN a.node WHEN e.v <= b.thr THEN 2 * a.node ELSE 2 * a.node + 1 END AS node
+  FROM at{d} a LEFT JOIN best{d} b ON b.node = a.node LEFT JOIN enc e ON e.cid = a.cid AND e.f = b.f
+)""")
+    splits = " UNION ALL ".join(f"SELECT f, fname, decrease FROM best{d}" for d in range(depth))
+    return f"""
+src AS MATERIALIZED ({src_sql}),
+comp AS MATERIALIZED (
+  SELECT row_number() OVER () AS cid, * FROM (
+    SELECT {', '.join(names)}, count(*) AS n, coalesce(sum({label}::INTEGER), 0)::BIGINT AS pos FROM src GROUP BY ALL)
+),
+params AS (
+  SELECT N / (2.0::DOUBLE * P) AS w1, N / (2.0::DOUBLE * (N - P)) AS w0, greatest(10, floor(0.05::DOUBLE * N)) AS min_leaf
+  FROM (SELECT sum(n)::DOUBLE AS N, sum(pos)::DOUBLE AS P FROM comp)
+),
+{', '.join(cats) + ',' if cats else ''}
+enc AS MATERIALIZED ({' UNION ALL '.join(enc)}),
+{', '.join(levels)},
+leaf AS (
+  SELECT cid, wp / (wp + wn) AS predicted_risk FROM at{depth}
+  JOIN (SELECT node, sum(pos) * any_value(w1) AS wp, (sum(n) - sum(pos)) * any_value(w0) AS wn
+        FROM at{depth} JOIN comp USING (cid), params GROUP BY node) USING (node)
+),
+imp AS (
+  SELECT 'tree_feature=' || fname || ' & importance=' || printf('%.2f', v) AS rule, v AS confidence,
+         0.0::DOUBLE AS support, 0::BIGINT AS n_matches, 'tree' AS kind
+  FROM (SELECT f, any_value(fname) AS fname, sum(decrease) / (SELECT sum(decrease) FROM ({splits})) AS v
+        FROM ({splits}) GROUP BY f ORDER BY v DESC, f LIMIT 5)
+  WHERE v > 0.05
+)"""
+
+
+def same(features: list[tuple[str, bool]], a: str, b: str) -> str:
+    return " AND ".join(f"{a}.{f} IS NOT DISTINCT FROM {b}.{f}" for f, _ in features)

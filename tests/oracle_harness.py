@@ -96,7 +96,7 @@ def main(argv):
     import __spark_entry__ as E
     from relmine.session import get_session
 
-    spark = get_session("local[8]")
+    spark = get_session("local[8]", **{"spark.sql.shuffle.partitions": "8"})
     con = duck_connect(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0

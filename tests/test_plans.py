@@ -1,10 +1,14 @@
 """Plan properties: row-local operators stay narrow; nothing runs in Python."""
 
+import re
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from relmine.operators import consistency as SC
 from relmine.operators import faithfulness as FG
 from relmine.operators import features as QF
+from relmine.plans import catalog
 
 
 def _plan(df):
@@ -21,13 +25,33 @@ def test_row_local_operators_have_no_exchange(spark, sf_dir):
 
 
 def test_no_python_in_any_query(spark, sf_dir):
-    for name, fn in E.queries().items():
-        if name in ("risk_tree_rules", "risk_scores", "run_summary"):
-            continue  # these fit the tree eagerly; covered by their own tests
+    for name, fn in catalog.QUERIES.items():
         plan = _plan(fn(spark, sf_dir))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
 
 
+def test_consistency_never_ranks_or_joins_facts_by_prompt_alone(spark):
+    """With no broadcasts: term rows are exchanged by (prompt, term, salt),
+    the cap by (prompt, bucket); the only inputs of joins and windows by
+    prompt alone are aggregates and the cap's survivors."""
+    queries = spark.createDataFrame([(1,)], "prompt_id long")
+    samples = spark.createDataFrame([(1, 0, "a b 3"), (1, 1, "b c 4")], "prompt_id long, sample_idx int, response string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(SC.analyze(queries, samples))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    flat = re.sub(r"#\d+L?", "", plan)
+    assert "Exchange hashpartitioning(pid, _b" in flat
+    assert "Exchange hashpartitioning(pid, term, _salt" in flat
+    assert "split(" not in flat and "regexp_extract_all" not in flat  # texts are read before the checkpoint
+    for window in re.findall(r"Window \[.*?\], \[pid\]", flat):
+        assert "row_number" in window
+
+
 def test_scan_prunes_columns_and_pushes_filters(spark, sf_dir):
     plan = _plan(E.queries()["faithfulness_conversations"](spark, sf_dir))
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string,text:string>" in plan

@@ -126,10 +126,11 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
     sentences (a running per-term sum, no sentence pairs). An empty
     vocabulary gives 0.5 for every sentence.
 
-    Plan: each response is exploded into term rows (plus one marker row per
-    sentence that carries its text) and shuffled once by response; every
-    later window and aggregate is keyed by the response first, so it
-    reuses that partitioning. A response is one text, so no key is hot.
+    Plan: texts are shuffled once by response, then split into sentences and
+    exploded into term rows (plus one marker row per sentence that carries
+    its text); every later window and aggregate is keyed by the response
+    first, so it reuses that partitioning. A response is one text, so no key
+    is hot. Three windows run over term rows.
 
     Responses that share an id are told apart by a hash of their texts
     (``_key`` = id and hash); ``_copies`` says how often equal ones occur.
@@ -137,9 +138,8 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
     require(responses, [rid, text, reference], "trust_scores")
     has_ref = F.coalesce(F.length(F.col(reference)) > 0, F.lit(False))
     key = F.struct(F.col(rid).alias("id"), F.xxhash64(text, reference).alias("hash"))
-    r = responses.select(
-        key.alias("rid"), T.sentences(F.col(text)).alias("_ss"), F.when(has_ref, F.col(reference)).alias("_ref")
-    )
+    texts = responses.select(key.alias("rid"), F.col(text).alias("_text"), F.when(has_ref, F.col(reference)).alias("_ref")).repartition("rid")
+    r = texts.select("rid", T.sentences(F.col("_text")).alias("_ss"), "_ref")
     docs = F.concat(
         F.transform("_ss", lambda s, i: F.struct(i.alias("did"), s.alias("sentence"), s.alias("txt"))),
         F.when(
@@ -160,36 +160,39 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
     rows = (
         d.select("rid", "n_sent", "has_ref", "did", F.explode(F.concat(marker, token_rows)).alias("_t"))
         .select("rid", "n_sent", "has_ref", "did", "_t.term", "_t.sentence")
-        .repartition("rid")
         .groupBy("rid", "n_sent", "has_ref", "did", "term")
         .agg(F.count("term").cast("int").alias("tf"), F.max("sentence").alias("sentence"), F.count(F.lit(1)).alias("_copies"))
     )
-
-    is_term = F.col("term").isNotNull()
-    by_term = Window.partitionBy("rid", "term")
+    # one row per term with the documents it is in, at most the response's
+    terms = rows.groupBy("rid", "n_sent", "has_ref", "term").agg(
+        F.collect_list(F.struct("did", "tf", "sentence", "_copies")).alias("_in"), F.sum("tf").alias("total")
+    )
     rank_w = Window.partitionBy("rid").orderBy(F.col("total").desc(), F.col("term").asc_nulls_last())
-    rows = rows.withColumn("df", F.count("did").over(by_term)).withColumn("total", F.sum("tf").over(by_term))
-    rows = rows.withColumn("_rk", F.dense_rank().over(rank_w))
-    kept = is_term & (F.col("_rk") <= MAX_FEATURES_TERMS)
+    is_term = F.col("term").isNotNull()
+    terms = terms.withColumn("_rk", F.dense_rank().over(rank_w)).filter(~is_term | (F.col("_rk") <= MAX_FEATURES_TERMS))
     n_docs = F.col("n_sent") + F.when(F.col("has_ref"), 1).otherwise(0)
-    idf = F.log((n_docs + F.lit(1.0)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
-    rows = rows.withColumn("_w", F.when(kept, F.col("tf") * idf))
+    idf = F.when(is_term, F.log((n_docs + F.lit(1.0)) / (F.size("_in") + F.lit(1.0))) + F.lit(1.0))
+    rows = terms.select("rid", "n_sent", "has_ref", "term", idf.alias("_idf"), F.explode("_in").alias("_d"))
+    rows = rows.select("rid", "n_sent", "has_ref", "term", "_d.*", (F.col("_d.tf") * F.col("_idf")).alias("_w"))
     rows = rows.withColumn("_v", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("rid", "did"))))
-    rows = rows.withColumn("_vocab", F.max(kept.cast("int")).over(Window.partitionBy("rid")) > 0)
-    # DR4: weight of the same term in the reference document
-    rows = rows.withColumn("_vref", F.max(F.when(F.col("did") == -1, F.col("_v"))).over(by_term))
+    # DR4: weight of the same term in the reference, which comes first (-1);
     # DR5: sum of the same term's weights over all earlier sentences
-    run_w = by_term.orderBy("did").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_cum", F.sum(F.when(F.col("did") >= 0, F.col("_v"))).over(run_w))
-    s = rows.filter(F.col("did") >= 0).groupBy("rid", "did").agg(
+    by_term = Window.partitionBy("rid", "term").orderBy("did")
+    to_here = by_term.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = by_term.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_vref", F.max(F.when(F.col("did") == -1, F.col("_v"))).over(to_here))
+    rows = rows.withColumn("_cum", F.sum(F.when(F.col("did") >= 0, F.col("_v"))).over(earlier))
+    s = rows.groupBy("rid", "did").agg(
         F.max("sentence").alias("sentence"),
         F.first("n_sent").alias("n_sent"),
         F.first("has_ref").alias("has_ref"),
-        F.first("_vocab").alias("vocab"),
+        F.max(is_term).alias("_has_term"),
         F.max(F.when(~is_term, F.col("_copies"))).cast("int").alias("_copies"),
         F.sum(F.col("_v") * F.col("_vref")).alias("_ref_cos"),
         F.sum(F.col("_v") * F.col("_cum")).alias("_prev_dot"),
     )
+    # a window over sentences, not terms
+    s = s.withColumn("vocab", F.max("_has_term").over(Window.partitionBy("rid"))).filter(F.col("did") >= 0)
     vocab = F.col("vocab")
     idx = F.col("did")
     with_ref = F.when(~vocab, F.lit(EMPTY_VOCAB_SCORE)).otherwise(F.coalesce(F.col("_ref_cos"), F.lit(0.0)))

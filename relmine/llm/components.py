@@ -5,12 +5,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmine.llm.common import written
+from relmine.llm.minhash import THRESHOLD, confirmed
 
 LARGEST_SHARE = 1024
+LEAST_FREQUENT = 8  # sets that a token is in, at least, to count as frequent
 
 
 def looked_up(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
@@ -48,21 +52,80 @@ def components(links: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def bucket_links(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], name: str, sketches: DataFrame | None = None, alike: Callable[[str, str], Column] | None = None, members_ready: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """Links (``a``, ``b``) enough to give the components that all confirmed
-    pairs within buckets would give. ``keys``: ``id``, ``key``.
-
-    First every member is confirmed against its bucket's smallest id. Members
-    that then are in one component need no comparison with each other; in
-    buckets that still hold several components, members of different ones are
-    compared. ``sketches`` (``id``, ``sketch``) and ``alike`` drop pairs that
-    are surely too far apart before ``confirm`` reads their full sets; in the
-    second round they do so inside the join. ``members_ready`` is told all
-    ids that may be compared."""
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("hub < last")
-    members = written(keys.join(hubs.select("key", "hub", "n"), "key"), f"{name}-members")
-    if members_ready:
-        members_ready(members.select("id").distinct())
+def rare_first(held: DataFrame, total: int) -> DataFrame:
+    """Prefixes of full sets (``id``, ``c``, ``shingles``), rarest shingles
+    first: ``token``, ``id``, ``c``, ``n`` (the set's size) and ``at`` (the
+    token's place).
+
+    A set of size n that is similar to another (t or more) shares a token
+    with it among its first ``n - ceil(t * n) + 1``, in any order common to
+    both. The order puts tokens of few sets first; those of at least one
+    1024th of all sets, a list bounded by 1024 times the mean size, are sent
+    to the tasks."""
+
+    def tokens(batches):
+        for batch in batches:
+            for shingles in batch.column("shingles"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(shingles.as_buffer(), dtype="<i8"))], ["token"])
+
+    least = max(LEAST_FREQUENT, total // LARGEST_SHARE)
+    counts = held.select("shingles").mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    frequent = counts.filter(F.col("n") >= least).orderBy("token").toArrow()
+    known = held.sparkSession.sparkContext.broadcast((frequent["token"].to_numpy(), frequent["n"].to_numpy()))
+    kind = held.schema["id"].dataType.simpleString()
+
+    def prefixes(batches):
+        often, sets = known.value
+        for batch in batches:
+            for i, shingles in enumerate(batch.column("shingles")):
+                token = np.frombuffer(shingles.as_buffer(), dtype="<i8")
+                n = len(token)
+                seen = np.zeros(n, dtype=np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, token), len(often) - 1)
+                    seen = np.where(often[at] == token, sets[at], 0)
+                first = token[np.lexsort((token, seen))[: n + (-THRESHOLD * n // 100) + 1]]
+                same = [pa.repeat(batch.column(c)[i], len(first)) for c in ("id", "c")]
+                columns = [pa.array(first), *same, pa.repeat(pa.scalar(n, pa.int64()), len(first)), pa.array(np.arange(len(first)))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "c", "n", "at"])
+
+    return held.select("id", "c", "shingles").mapInArrow(prefixes, f"token long, id {kind}, c {kind}, n long, at long")
+
+
+def across(prefixes: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) of different components that may be similar: at
+    their first common token, what follows in either still reaches the
+    overlap that their sizes ask for. Each token's largest component is not
+    compared with itself: one side of the join is all other rows."""
+    parts = prefixes.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    rows = written(prefixes.join(main.select("token", "main"), "token"), "prefixes")
+    x, y = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n", "at", "main")]) for s in "xy")
+    least = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    reach = least * (100 + THRESHOLD) >= (F.col("n_x") + F.col("n_y")) * THRESHOLD
+    both = x.filter("c_x <> main_x").join(y, (x["token"] == y["token"]) & (F.col("c_x") != F.col("c_y")) & reach)
+    return both.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
+
+
+def bucket_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], name: str, sketches: DataFrame | None = None, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Links (``a``, ``b``) enough to give the components of all similar
+    pairs within buckets. ``keys``: ``id``, ``key``; ``sets_of`` gives the
+    full sets (``id``, ``shingles``) of the ids it gets.
+
+    First every member is compared with its bucket's hub, the member that
+    shares most buckets with most others (of many edited copies, the text
+    they were made from); full sets confirm. Members that then are in one
+    component need no comparison with each other. In buckets that still hold several components, pairs of
+    different ones that share one of their rarest shingles are compared: no
+    similar pair lacks such a shingle, and members that only have a frequent
+    passage in common are not paired. ``sketches`` (``id``, ``sketch``) and
+    ``alike`` drop pairs that are surely too far apart before their full sets
+    are compared."""
+    crowded = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
+    members = written(keys.join(crowded.select("key", "n"), "key"), f"{name}-members")
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = members.join(met, "id").groupBy("key").agg(F.max(F.struct("met", "id"))["id"].alias("hub"))
+    sets = written(sets_of(members.select("id").distinct()), f"{name}-sets")
 
     def near(pairs: DataFrame) -> DataFrame:
         if sketches is None:
@@ -70,18 +133,12 @@ def bucket_links(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], nam
         a, b = (sketches.select(F.col("id").alias(s), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
         return pairs.join(a, "a").join(b, "b").filter(alike("sketch_a", "sketch_b")).select("a", "b")
 
-    stars = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = written(confirm(near(stars)), f"{name}-stars")
+    stars = members.join(hubs, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = written(confirmed(near(stars), sets), f"{name}-stars")
     found = components(links, f"{name}-round").withColumnRenamed("component", "c")
     left = members.filter("n > 2").join(found, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    left = left.filter("id <> hub").join(mixed, "key")
-    if sketches is not None:
-        left = left.join(sketches, "id")
-    left = written(left, f"{name}-left")
-    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{s}") for c in left.columns if c in ("id", "c", "sketch")]) for s in "ab")
-    apart = (a["key"] == b["key"]) & (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b"))
-    if sketches is not None:
-        apart &= alike("sketch_a", "sketch_b")
-    others = a.join(b, apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    return links.unionByName(written(confirm(others), f"{name}-others"))
+    several = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
+    left = left.join(several, "key", "left_semi").select("id", "c").distinct()
+    held = written(left.join(sets, "id"), f"{name}-left")
+    others = across(rare_first(held, held.count()))
+    return links.unionByName(written(confirmed(near(others), sets), f"{name}-others"))

@@ -2,13 +2,13 @@
 
 1. One pass over the texts gives each document its shingle set's size and
    digest, the keys of its MinHash bands, and its odd sketch: every sample,
-   hashed with its number, flips one of 512 bits, so the XOR of two sketches
+   hashed with its number, flips one of 1024 bits, so the XOR of two sketches
    is the sketch of the samples in which they differ, and its population
    count estimates high similarities precisely.
 2. Documents with the same set form a class; its smallest id stands for it.
 3. Within band buckets representatives are compared as ``bucket_links`` says:
    the odd sketch filters, full sets confirm. The sketch passes every pair
-   that lies within five standard deviations of the threshold.
+   that lies within 4.3 standard deviations of the threshold.
 4. Components of the confirmed links; each document gets its class's.
 
 Full sets are computed again, for documents in shared buckets only. Defined
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from relmine.llm.common import documents, free_name, text_of, written
 from relmine.llm.components import bucket_links, components, looked_up
-from relmine.llm.minhash import THRESHOLD, Banding, confirmed, mixed, set_digest, shared_bits, shingle_set, tuned, word_hashes
+from relmine.llm.minhash import THRESHOLD, Banding, mixed, set_digest, shared_bits, shingle_set, tuned, word_hashes
 
 BAND_ROWS = 5
 RECALL = 0.99999  # that a pair at the threshold shares a bucket
-SKETCH_BITS = 512
-DEVIATIONS = 5
+SKETCH_BITS = 1024
+DEVIATIONS = 4.3  # a pair at the threshold is passed with probability 0.99999
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -52,10 +52,13 @@ def similarity(differing_bits: float, samples: int) -> float:
 
 def most_bits(samples: int, threshold: float = THRESHOLD / 100) -> int:
     """Differing bits that a pair at the threshold stays below, but for
-    ``DEVIATIONS`` standard deviations of sampling and of folding."""
-    differ = samples * (1 - threshold) + DEVIATIONS * math.sqrt(samples * threshold * (1 - threshold))
-    bits = SKETCH_BITS / 2 * (1 - math.exp(-4 * differ / SKETCH_BITS))
-    return math.ceil(bits + DEVIATIONS * math.sqrt(SKETCH_BITS) / 4)
+    ``DEVIATIONS`` standard deviations. They vary with the number of samples
+    that differ (binomial) and with how those fold into the bits."""
+    n, flips = SKETCH_BITS, 2 * samples * (1 - threshold)
+    left = math.exp(-2 * flips / n)
+    sampling = 2 * left * math.sqrt(samples * threshold * (1 - threshold))
+    folding = n / 4 * (1 - left * left) - flips * left * left
+    return math.ceil(n / 2 * (1 - left) + DEVIATIONS * math.sqrt(sampling**2 + folding))
 
 
 def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
@@ -106,14 +109,8 @@ def clustered(docs: DataFrame) -> DataFrame:
     chosen = classes.filter("class_id is not null").select(F.col("class_id").alias("id"))
     standing = written(held.join(chosen, "id", "left_semi").select("id", "sketch", "keys"), "near-standing")
 
-    sets: list[DataFrame] = []
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return confirmed(pairs, sets[0])
-
     keys = standing.select("id", F.explode("keys").alias("key"))
-    sketches = standing.select("id", "sketch")
-    links = bucket_links(keys, confirm, "near", sketches, alike, lambda ids: sets.append(written(full_sets(docs, ids), "near-sets")))
+    links = bucket_links(keys, lambda ids: full_sets(docs, ids), "near", standing.select("id", "sketch"), alike)
     found = components(links, "near-components").select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
 
     groups = classes.join(found, "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from relmine.llm.common import documents, free_name, text_of, written
 from relmine.llm.components import bucket_links, components, looked_up
-from relmine.llm.minhash import WORDS, Banding, confirmed, set_digest, shingle_set, tuned
+from relmine.llm.minhash import WORDS, Banding, set_digest, shingle_set, tuned
 
 MIN_WORDS = 20
 BAND_ROWS = 3
@@ -104,13 +104,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
     standing = signed.select("id", "keys").join(classes.select(F.col("class_id").alias("id")), "id", "left_semi")
 
-    sets: list[DataFrame] = []
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return confirmed(pairs, sets[0])
-
     keys = standing.select("id", F.explode("keys").alias("key")).distinct()
-    links = bucket_links(keys, confirm, "passage", members_ready=lambda ids: sets.append(written(full_sets(docs, ids), "passage-sets")))
+    links = bucket_links(keys, lambda ids: full_sets(docs, ids), "passage")
     found = components(links, "passage-components").select(F.col("id").alias("class_id"), F.col("component").alias("cluster"))
 
     groups = classes.join(found, "class_id", "left").withColumn("cluster", F.coalesce("cluster", "class_id"))

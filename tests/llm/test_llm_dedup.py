@@ -98,18 +98,24 @@ def test_odd_sketch_estimates():
         assert abs(neardup.similarity(bits, 200) - share) < 0.12 and bits <= neardup.most_bits(200)
 
 
-def test_shared_words_but_not_similar(spark):
-    """Buckets with several components: members of different ones are compared."""
-    ids = {1: {1, 2, 3, 4}, 2: {1, 2, 3, 5}, 5: {9, 8, 7, 6}, 6: {9, 8, 7, 5}, 7: {20}}
-
-    def confirm(pairs):
-        held = {(r["a"], r["b"]) for r in pairs.collect()}
-        good = [(a, b) for a, b in held if len(ids[a] & ids[b]) >= 3]
-        return spark.createDataFrame(good, "a long, b long")
-
-    keys = spark.createDataFrame([(i, 77) for i in ids], "id long, key long")
-    found = {r["id"]: r["component"] for r in components(bucket_links(keys, confirm, "test"), "test").collect()}
-    assert found == {1: 1, 2: 1, 5: 5, 6: 5}
+def test_buckets_of_several_components(spark):
+    """Everything shares one bucket and a long passage; every similar pair is
+    linked all the same, and none else."""
+    r = np.random.default_rng(5)
+    passage = r.integers(1, 1 << 62, 60, dtype=np.int64)
+    sets = {}
+    for i in range(120):
+        own = r.integers(1, 1 << 62, int(r.integers(5, 40)), dtype=np.int64)
+        sets[i] = np.unique(np.concatenate([passage, own]))
+        if i % 4 == 3:  # similar to one that is not the bucket's smallest
+            sets[i] = np.unique(np.concatenate([sets[i - 1], own[:3]]))
+    rows = [(i, v.tobytes()) for i, v in sets.items()]
+    full = spark.createDataFrame(rows, "id long, shingles binary")
+    keys = full.select("id", F.lit(77).cast("long").alias("key"))
+    links = bucket_links(keys, lambda ids: full.join(ids, "id", "left_semi"), "test")
+    found = {row["id"]: row["component"] for row in components(links, "test").collect()}
+    want = clusters({i: frozenset(v.tolist()) for i, v in sets.items()})
+    assert {i: found.get(i, i) for i in sets} == want and len(set(want.values())) > 20
 
 
 def test_components_of_a_path_and_a_star(spark):

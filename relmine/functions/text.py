@@ -177,16 +177,6 @@ def ws_tokens(text: Column) -> Column:
     return extract_all(text, WS_TOKEN)
 
 
-def tfidf_tokens(text: Column) -> Column:
-    """TX2: lower-cased word tokens of length >= 2 minus the English stop list.
-
-    Duplicates are kept (they are term counts); ``filter`` with ``isin`` is
-    optimised to a hash-set lookup per token.
-    """
-    toks = extract_all(F.lower(text), TFIDF_TOKEN)
-    return F.filter(toks, lambda t: ~t.isin(*STOP_WORDS))
-
-
 def word_runs(text: Column) -> Column:
     """Maximal runs of word characters. A ``\\bw\\b`` match is exactly a run
     equal to ``w``, and TF-IDF tokens are the runs of length >= 2, so one
@@ -194,11 +184,6 @@ def word_runs(text: Column) -> Column:
     return extract_all(text, WORD_RUN)
 
 
-def tfidf_from_runs(runs_lower: Column) -> Column:
-    """TX2 from the word runs of lower-cased text (same tokens as ``tfidf_tokens``)."""
-    return F.filter(runs_lower, lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
-
-
 def count_words(runs_lower: Column, words) -> Column:
     """Number of whole-word occurrences of any of ``words``."""
     return F.size(F.filter(runs_lower, lambda t: t.isin(*words)))
@@ -208,14 +193,15 @@ _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def tfidf_tokens_sql(text_sql: str) -> Column:
-    """``tfidf_tokens`` of a SQL expression (e.g. a column name), built as one
-    SQL string: a single call instead of one per stop word when the plan is
-    constructed; ``NOT IN`` still becomes a hash-set lookup per token."""
+    """TX2 of a SQL expression (e.g. a column name): lower-cased word tokens of
+    length >= 2 minus the English stop list, duplicates kept (they are term
+    counts). One SQL string is a single call instead of one per stop word when
+    the plan is constructed; ``NOT IN`` becomes a hash-set lookup per token."""
     return F.expr(f"filter(regexp_extract_all(lower({text_sql}), r'{TFIDF_TOKEN}', 0), t -> NOT t IN ({_STOP_SQL}))")
 
 
 def tfidf_from_runs_sql(runs_sql: str) -> Column:
-    """``tfidf_from_runs`` of a SQL expression naming an array of word runs."""
+    """TX2 of a SQL expression naming an array of word runs: the same tokens."""
     return F.expr(f"filter({runs_sql}, t -> length(t) >= 2 AND NOT t IN ({_STOP_SQL}))")
 
 

@@ -21,6 +21,7 @@ FAITHFULNESS_HIST_METRICS = ["entity_coverage", "numeric_fidelity", "semantic_si
 RATE_FEATURES = ["demands_numeric", "has_temporal_ref", "asks_about_person", "asks_for_list"]
 SWEEP_POINTS = 50
 TRAJECTORY_RESPONSES = 4
+MAX_GROUPS = 1024  # groups of a histogram, whose ranges are broadcast (not a fixed value of the reference)
 
 
 def histogram(df: DataFrame, value: str, groups: list[str], bins: int) -> DataFrame:
@@ -28,7 +29,8 @@ def histogram(df: DataFrame, value: str, groups: list[str], bins: int) -> DataFr
     (min == max widens to +-0.5), last bin closed; every bin is listed.
 
     Bin assignment follows NumPy: index from the scaled offset, then one
-    correction step against the exact bin edges ``first + k * step``.
+    correction step against the exact bin edges ``first + k * step``. More
+    than ``MAX_GROUPS`` groups are an error when the result is computed.
     """
     x = F.col(value)
     rows = df.filter(x.isNotNull()).select(*groups, x.cast("double").alias("_x"))
@@ -43,8 +45,12 @@ def histogram(df: DataFrame, value: str, groups: list[str], bins: int) -> DataFr
     def edge(k: Column) -> Column:
         return F.when(k == bins, F.col("_hi")).otherwise(k.cast("double") * step + F.col("_lo"))
 
-    # one row per label value: a proven size bound for the broadcast
-    j = rows.join(F.broadcast(stats), groups)
+    # at most MAX_GROUPS rows are broadcast; a row whose group is not among
+    # them stops the job instead of being dropped
+    known = rows.dropna(subset=groups) if groups else rows
+    j = known.join(F.broadcast(stats.dropna(subset=groups).limit(MAX_GROUPS)), groups, "left")
+    missing = F.raise_error(F.lit(f"histogram: more than {MAX_GROUPS} groups")).cast("double")
+    j = j.withColumn("_lo", F.when(F.col("_lo").isNull(), missing).otherwise(F.col("_lo")))
     f = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))
     j = j.withColumn("_i", F.least(F.floor(f).cast("int"), F.lit(bins - 1)))
     j = j.withColumn("_i", F.when(F.col("_x") < edge(F.col("_i")), F.col("_i") - 1).otherwise(F.col("_i")))
@@ -94,9 +100,10 @@ def rate_by_feature(df: DataFrame, features: list[str] | None = None, label: str
     g = long.filter(F.col("value").isNotNull() & F.col("_y").isNotNull()).groupBy("feature", "value").agg(
         F.count_if(F.col("_y")).alias("n_true"), F.count_if(~F.col("_y")).alias("n_false")
     )
-    fw = Window.partitionBy("feature")  # rows per feature = its distinct values
-    g = g.withColumn("_both", (F.sum("n_true").over(fw) > 0) & (F.sum("n_false").over(fw) > 0))
-    return g.filter("_both").select(
+    sums = g.groupBy("feature").agg(F.sum("n_true").alias("t"), F.sum("n_false").alias("f"))
+    both = sums.filter("t > 0 and f > 0").select("feature")
+    # one row per feature: bounded by the list
+    return g.join(F.broadcast(both), "feature", "left_semi").select(
         "feature",
         "value",
         (F.col("n_true") / (F.col("n_true") + F.col("n_false"))).alias("rate"),

@@ -88,13 +88,32 @@ class Banding:
         return least
 
     def keys(self, samples: np.ndarray) -> np.ndarray:
-        """One 64-bit key per band."""
-        parts = samples.reshape(self.bands, self.rows)
+        """One 64-bit key per band, of one or many lists of samples."""
+        parts = samples.reshape(*samples.shape[:-1], self.bands, self.rows)
         key = np.arange(1, self.bands + 1, dtype=np.uint64)
         for i in range(self.rows):
-            key = mixed(key * ODD + parts[:, i])
+            key = mixed(key * ODD + parts[..., i])
         return key.view(np.int64)
 
+    def of_many(self, words: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Set digests and band keys of consecutive texts at once: ``words``
+        are their word hashes, ``counts`` how many each has (all at least
+        ``SHINGLE_WORDS``). A set's digest adds up two hashes of its members."""
+        own = np.repeat(np.arange(len(counts)), counts)
+        rolled = np.full(len(words) - SHINGLE_WORDS + 1, SHINGLE_WORDS, dtype=np.uint64)
+        for i in range(SHINGLE_WORDS):
+            rolled = mixed(rolled * ODD + words[i : len(rolled) + i])
+        inside = own[: len(rolled)] == own[SHINGLE_WORDS - 1 :]
+        held, own = rolled[inside], own[: len(rolled)][inside]
+        order = np.lexsort((held, own))
+        held, own = held[order], own[order]
+        fresh = np.r_[True, (held[1:] != held[:-1]) | (own[1:] != own[:-1])]
+        held, own = held[fresh], own[fresh]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        sums = np.stack([np.add.reduceat(mixed(held ^ times), starts) for times in self.times[:2]], axis=1)
+        samples = np.stack([np.minimum.reduceat(held * t + p, starts) for t, p in zip(self.times, self.plus, strict=True)], axis=1)
+        return [row.tobytes() for row in sums], self.keys(samples)
+
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     """Whether 100 * intersection >= threshold * union, of sorted sets."""

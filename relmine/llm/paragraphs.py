@@ -10,7 +10,8 @@ Of a cluster that spans several documents the first paragraph (smallest id,
 then position) stays, the others are removals.
 
 Full sets are read again, for paragraphs in shared buckets only. A paragraph
-is named by ``doc_id * 2**32 + position``, as a decimal. Defined cases: null
+is placed by ``doc_id * 2**32 + position``, a decimal; classes get numbers,
+written with them, by which all work on pairs goes. Defined cases: null
 and empty texts have no paragraphs; documents with a null id take no part and
 keep their text; rows that repeat with one id count as one document; shorter
 lines are never removed; an empty table gives an empty result.
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 
 from relmine.llm.common import documents, free_name, text_of, written
 from relmine.llm.components import bucket_links, components, looked_up
-from relmine.llm.minhash import WORDS, Banding, set_digest, shingle_set, tuned
+from relmine.llm.minhash import WORDS, Banding, shingle_set, tuned
 
 MIN_WORDS = 20
 BAND_ROWS = 3
 RECALL = 0.999  # that a pair at the threshold shares a bucket
 SPAN = 1 << 32
+WORDS_AT_ONCE = 200_000
 
 
 def paragraphs(text: str):
@@ -41,54 +43,66 @@ def paragraphs(text: str):
             yield at, np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def named(doc: str, at: str) -> Column:
+def placed(doc: str, at: str) -> Column:
     return (F.col(doc).cast("decimal(20,0)") * F.lit(SPAN).cast("decimal(11,0)") + F.col(at)).cast("decimal(38,0)")
 
 
+def _place(column: str) -> tuple[Column, Column]:
+    """Document and position of a place."""
+    return F.floor(F.col(column) / SPAN).cast("long"), F.pmod(column, F.lit(SPAN)).cast("long")
+
+
 def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
-    """``id``, ``doc_id``, ``paragraph``, ``n_words``, ``digest``, ``keys``."""
+    """``doc_id``, ``paragraph``, ``n_words``, ``digest``, ``keys`` and
+    ``place`` of every paragraph; some thousands are hashed at once."""
     names = ["doc_id", "paragraph", "n_words", "digest", "keys"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
+    def hashed(rows: list[tuple], words: list[np.ndarray]):
+        docs, ats, counts = zip(*rows, strict=True)
+        digests, keys = banding.of_many(np.concatenate(words), np.array(counts))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
+        columns = [pa.array(c, pa.int64()) for c in (docs, ats, counts)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()), lists], names)
 
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
+            rows, words, total = [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for at, words in paragraphs(text.as_py()):
-                    held = shingle_set(words)
-                    rows.append((doc, at, len(words), set_digest(held), banding.keys(banding.samples(held))))
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows = []
+                for at, held in paragraphs(text.as_py()):
+                    rows.append((doc, at, len(held)))
+                    words.append(held)
+                    total += len(held)
+                    if total >= WORDS_AT_ONCE:
+                        yield hashed(rows, words)
+                        rows, words, total = [], [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield hashed(rows, words)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id is not null")
     signed = texts.mapInArrow(run, "doc_id long, paragraph long, n_words long, digest binary, keys array<long>")
-    return signed.withColumn("id", named("doc_id", "paragraph"))
+    return signed.withColumn("place", placed("doc_id", "paragraph"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id`` and ``shingles`` of the paragraphs in ``wanted`` (``id``). Each
-    document gets the list of its own."""
-    place = wanted.select(F.floor(F.col("id") / SPAN).cast("long").alias("doc_id"), F.pmod("id", F.lit(SPAN)).cast("long").alias("at"))
-    lists = place.groupBy("doc_id").agg(F.collect_set("at").alias("wanted"))
+    """``id`` and ``shingles`` of the paragraphs in ``wanted`` (``id``,
+    ``place``). Each document gets the list of its own."""
+    doc, at = _place("place")
+    lists = wanted.select(doc.alias("doc_id"), F.struct(at.alias("at"), "id").alias("one"))
+    lists = lists.groupBy("doc_id").agg(F.collect_list("one").alias("wanted"))
 
     def run(batches):
         for batch in batches:
-            docs, ats, sets = [], [], []
-            for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-                those = set(wanted)
+            ids, sets = [], []
+            for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+                those = {w["at"]: w["id"] for w in wanted}
                 for at, words in paragraphs(text.as_py()):
                     if at in those:
-                        docs.append(doc)
-                        ats.append(at)
+                        ids.append(those[at])
                         sets.append(shingle_set(words).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "at", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    found = texts.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "doc_id long, at long, shingles binary")
-    return found.select(named("doc_id", "at").alias("id"), "shingles")
+    return texts.join(lists, "doc_id").select("text", "wanted").mapInArrow(run, "id long, shingles binary")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -98,34 +112,33 @@ def repeated(docs: DataFrame) -> DataFrame:
     ``removed``."""
     banding = Banding(tuned(RECALL, BAND_ROWS), BAND_ROWS)
     signed = written(signatures(docs, banding), "passage-signatures")
-    classes = written(
-        signed.groupBy("digest").agg(F.min("id").alias("class_id"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")),
-        "passage-classes",
+    classes = signed.groupBy("digest").agg(F.min("place").alias("place"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    # numbers are fixed by being written
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "passage-classes")
+    standing = signed.select("place", "digest", "keys").join(classes.select("place", "digest", "id"), ["place", "digest"])
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return full_sets(docs, classes.select("id", "place").join(ids, "id"))
+
+    links = bucket_links(standing.select("id", F.explode("keys").alias("key")), sets_of, "passage")
+    found = components(links, "passage-components")
+
+    groups = classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    clusters = groups.groupBy("component").agg(
+        F.min("place").alias("cluster"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("cluster_size")
     )
-    standing = signed.select("id", "keys").join(classes.select(F.col("class_id").alias("id")), "id", "left_semi")
-
-    keys = standing.select("id", F.explode("keys").alias("key")).distinct()
-    links = bucket_links(keys, lambda ids: full_sets(docs, ids), "passage")
-    found = components(links, "passage-components").select(F.col("id").alias("class_id"), F.col("component").alias("cluster"))
-
-    groups = classes.join(found, "class_id", "left").withColumn("cluster", F.coalesce("cluster", "class_id"))
-    clusters = groups.groupBy("cluster").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("cluster_size"))
-    several = clusters.filter("first < last").select("cluster", "cluster_size")
-    groups = groups.select("digest", "cluster", "n").join(several, "cluster")
-    total = signed.count()
-    single = F.lit(None).cast("decimal(38,0)")
-    # classes outside such clusters are looked up as well, so that none is dealt by its size
-    rest = classes.select("digest", "n").join(groups.select("digest"), "digest", "left_anti")
-    every = groups.unionByName(rest.select("digest", single.alias("cluster"), "n", F.lit(None).cast("long").alias("cluster_size")))
-    rows = looked_up(signed.select("id", "doc_id", "paragraph", "n_words", "digest"), every, ["digest"], "n", total)
+    several = clusters.filter("first < last").select("component", "cluster", "cluster_size")
+    groups = groups.select("digest", "component", "n").join(several, "component", "left").drop("component")
+    rows = looked_up(signed.select("place", "doc_id", "paragraph", "n_words", "digest"), groups, ["digest"], "n", signed.count())
+    first_doc, first_at = _place("cluster")
     return rows.filter("cluster is not null").select(
         "doc_id",
         "paragraph",
         "n_words",
-        F.floor(F.col("cluster") / SPAN).cast("long").alias("cluster_doc_id"),
-        F.pmod("cluster", F.lit(SPAN)).cast("long").alias("cluster_paragraph"),
+        first_doc.alias("cluster_doc_id"),
+        first_at.alias("cluster_paragraph"),
         "cluster_size",
-        (F.col("id") != F.col("cluster")).alias("removed"),
+        (F.col("place") != F.col("cluster")).alias("removed"),
     )
 
 

@@ -14,6 +14,7 @@ from relmine.llm.common import written
 from relmine.llm.minhash import THRESHOLD, confirmed
 
 LARGEST_SHARE = 1024
+PARITIES = 4  # 64-bit words of a set's parities
 LEAST_FREQUENT = 8  # sets that a token is in, at least, to count as frequent
 
 
@@ -54,8 +55,9 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
 def rare_first(held: DataFrame, total: int) -> DataFrame:
     """Prefixes of full sets (``id``, ``c``, ``shingles``), rarest shingles
-    first: ``token``, ``id``, ``c``, ``n`` (the set's size) and ``at`` (the
-    token's place).
+    first: ``token``, ``id``, ``c``, ``n`` (the set's size), ``at`` (the
+    token's place) and the set's parities ``p0`` ... (each token flips one
+    bit, so two sets differ in at least as many tokens as bits).
 
     A set of size n that is similar to another (t or more) shares a token
     with it among its first ``n - ceil(t * n) + 1``, in any order common to
@@ -73,6 +75,7 @@ def rare_first(held: DataFrame, total: int) -> DataFrame:
     frequent = counts.filter(F.col("n") >= least).orderBy("token").toArrow()
     known = held.sparkSession.sparkContext.broadcast((frequent["token"].to_numpy(), frequent["n"].to_numpy()))
     kind = held.schema["id"].dataType.simpleString()
+    parities = [f"p{i}" for i in range(PARITIES)]
 
     def prefixes(batches):
         often, sets = known.value
@@ -86,10 +89,13 @@ def rare_first(held: DataFrame, total: int) -> DataFrame:
                     seen = np.where(often[at] == token, sets[at], 0)
                 first = token[np.lexsort((token, seen))[: n + (-THRESHOLD * n // 100) + 1]]
                 same = [pa.repeat(batch.column(c)[i], len(first)) for c in ("id", "c")]
-                columns = [pa.array(first), *same, pa.repeat(pa.scalar(n, pa.int64()), len(first)), pa.array(np.arange(len(first)))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "c", "n", "at"])
+                odd = np.bincount(token.view(np.uint64) % np.uint64(64 * PARITIES), minlength=64 * PARITIES) & 1
+                words = np.packbits(odd.astype(np.uint8)).view("<i8")
+                alone = [pa.repeat(pa.scalar(int(v), pa.int64()), len(first)) for v in (n, *words)]
+                columns = [pa.array(first), *same, pa.array(np.arange(len(first))), *alone]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "c", "at", "n", *parities])
 
-    return held.select("id", "c", "shingles").mapInArrow(prefixes, f"token long, id {kind}, c {kind}, n long, at long")
+    return held.select("id", "c", "shingles").mapInArrow(prefixes, f"token long, id {kind}, c {kind}, at long, n long, " + ", ".join(f"{p} long" for p in parities))
 
 
 def across(prefixes: DataFrame) -> DataFrame:
@@ -100,9 +106,11 @@ def across(prefixes: DataFrame) -> DataFrame:
     parts = prefixes.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     rows = written(prefixes.join(main.select("token", "main"), "token"), "prefixes")
-    x, y = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n", "at", "main")]) for s in "xy")
+    x, y = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "token"]) for s in "xy")
     least = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     reach = least * (100 + THRESHOLD) >= (F.col("n_x") + F.col("n_y")) * THRESHOLD
+    bits = sum(F.bit_count(F.col(f"p{i}_x").bitwiseXOR(F.col(f"p{i}_y"))) for i in range(PARITIES))
+    reach &= bits * (100 + THRESHOLD) <= (F.col("n_x") + F.col("n_y")) * (100 - THRESHOLD)
     both = x.filter("c_x <> main_x").join(y, (x["token"] == y["token"]) & (F.col("c_x") != F.col("c_y")) & reach)
     return both.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
 

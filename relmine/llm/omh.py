@@ -1,9 +1,8 @@
 """Operator 2: document fingerprints by order MinHash.
 
-A text is taken apart into units (up to 12 non-space characters and the white
-space after them); at each unit's start a k-mer of 8 code points is read, so
-the k-mers overlap and also see what separates words. A k-mer's hash deals it
-to one of 64 bins and ranks it there; equal k-mers are numbered by
+A k-mer of 8 code points is read at every code point of a text, so every
+character lies in k-mers and what is put in front of a text shifts none of
+them. A k-mer's hash deals it to one of 64 bins and ranks it there; equal k-mers are numbered by
 occurrence. In each bin the two minimal occurrence-numbered k-mers are taken,
 kept in text order, and hashed as a tuple: moving a passage changes the order
 within tuples, replacing one changes the tuples it wins or loses. A
@@ -32,8 +31,9 @@ from relmine.llm.common import documents, text_of
 
 BIN_BITS = 6  # 64 bins
 HASH_BITS = 26  # of a tuple's hash
-# k-mers of 8 code points at every unit's start
-KMERS = r"(?s)(?=(.{1,8}))(?:\S{1,12}\s*+|\s++)"
+# k-mers of 8 code points at every code point; the last ones are shorter
+KMERS = r"(?s)(?=(.{1,8}))."
+ENOUGH = 12 << BIN_BITS  # k-mers of lowest rank that are looked at first
 RANGE_ROWS, MOST_RANGES = 1000, 16384
 FIRST_ID = -(1 << 63)
 
@@ -51,30 +51,45 @@ def _hash(v: Column) -> Column:
     return F.shiftright(v, 32)
 
 
-def first_places(placed: str) -> Column:
-    """Where in the sorted numbers a k-mer occurs first."""
+def _again(placed: str) -> Column:
+    """Of the sorted numbers those of a k-mer's further occurrences."""
     s = F.col(placed)
-    return F.filter(
-        F.sequence(F.lit(1), F.size(s)),
-        lambda j: (j == 1) | (_hash(F.element_at(s, j)) != _hash(F.element_at(s, F.greatest(j - 1, F.lit(1))))),
-    )
+    return F.filter(s, lambda v, i: _hash(v) == _hash(F.get(s, i - 1)))
+
 
+def _first(s: Column, v: Column, i: Column) -> Column:
+    return F.coalesce(_hash(v) != _hash(F.get(s, i - 1)), F.lit(True))
 
-def numbered_kmers(placed: str, firsts: str) -> Column:
-    """The numbers with each further occurrence of a k-mer hashed anew with
-    its number, sorted again; texts without repeated k-mers stay as they are."""
-    s, starts = F.col(placed), F.col(firsts)
+
+def _numbered(again: str) -> Column:
+    """Further occurrences hashed anew with their number."""
+    s = F.col(again)
+    starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda j: _first(s, F.element_at(s, j), j - 1))
 
     def occurrence(j: Column, a: Column) -> Column:
         v = F.element_at(s, j)
-        again = F.xxhash64(_hash(v), j - a).bitwiseAND(F.lit(HIGH)).bitwiseOR(v.bitwiseAND(F.lit(LOW)))
-        return F.when(j == a, v).otherwise(again)
+        return F.xxhash64(_hash(v), j - a + 1).bitwiseAND(F.lit(HIGH)).bitwiseOR(v.bitwiseAND(F.lit(LOW)))
+
+    def run(starts: Column) -> Column:
+        last = lambda r: F.coalesce(F.try_element_at(starts, r + 2) - 1, F.size(s))
+        return F.flatten(F.transform(starts, lambda a, r: F.transform(F.sequence(a, last(r)), lambda j: occurrence(j, a))))
+
+    # the starts are evaluated once
+    runs = F.element_at(F.transform(F.array(starts), run), 1)
+    return F.when(F.size(s) > 0, runs).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def _least(placed: str, numbered: str, most: Column) -> Column:
+    """The occurrence-numbered k-mers of rank below ``most`` in their bin, sorted."""
+    s, low = F.col(placed), F.lit((1 << (64 - BIN_BITS)) - 1)
+    below = lambda v: v.bitwiseAND(low) < most
+    return F.sort_array(F.concat(F.filter(s, lambda v, i: below(v) & _first(s, v, i)), F.filter(numbered, below)))
 
-    def run(a: Column, r: Column) -> Column:
-        last = F.coalesce(F.try_element_at(starts, r + 2) - 1, F.size(s))
-        return F.transform(F.sequence(a, last), lambda j: occurrence(j, a))
 
-    return F.when(F.size(starts) >= F.size(s), s).otherwise(F.sort_array(F.flatten(F.transform(starts, run))))
+def _two_each(s: Column) -> Column:
+    """Whether every bin has two numbers at least."""
+    second = F.filter(s, lambda v, i: (_bin(v) == _bin(F.get(s, i - 1))) & F.coalesce(_bin(v) != _bin(F.get(s, i - 2)), F.lit(True)))
+    return F.size(second) == 1 << BIN_BITS
 
 
 def _bin(v: Column) -> Column:
@@ -82,7 +97,7 @@ def _bin(v: Column) -> Column:
 
 
 def tuples(ranked: str) -> Column:
-    """One number per filled bin, from the column of ``ranked_kmers``: the
+    """One number per filled bin, from the column of ranked k-mers: the
     bin and the hash of its two minimal k-mers in text order."""
     s, low = F.col(ranked), F.lit(LOW)
     places = F.sequence(F.lit(1), F.size(s))
@@ -99,12 +114,17 @@ def tuples(ranked: str) -> Column:
 
 
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the array ``out`` of tuples of column ``text``."""
-    placed, firsts, ranked = (f"_{step}_{out}" for step in ("placed", "firsts", "ranked"))
-    some = df.withColumn(placed, placed_kmers(F.col(text)))
-    none = F.expr("cast(array() as array<int>)")
-    some = some.withColumn(firsts, F.when(F.size(placed) > 0, first_places(placed)).otherwise(none))
-    return some.withColumn(ranked, numbered_kmers(placed, firsts)).withColumn(out, tuples(ranked)).drop(placed, firsts, ranked)
+    """``df`` with the array ``out`` of tuples of column ``text``. Of long
+    texts the k-mers of low rank are looked at first; where they leave a bin
+    without two, all are."""
+    placed, again, numbered, least, ranked = (f"_{step}_{out}" for step in ("placed", "again", "numbered", "least", "ranked"))
+    some = df.withColumn(placed, placed_kmers(F.col(text))).withColumn(again, _again(placed)).withColumn(numbered, _numbered(again))
+    n, whole = F.size(placed), float(1 << (64 - BIN_BITS))
+    most = F.when(n > ENOUGH, F.floor(F.lit(whole * ENOUGH) / n)).otherwise(F.lit(1 << (64 - BIN_BITS)))
+    some = some.withColumn(least, _least(placed, numbered, most))
+    every = _least(placed, numbered, F.lit(1 << (64 - BIN_BITS)))
+    some = some.withColumn(ranked, F.when((n <= ENOUGH) | _two_each(F.col(least)), F.col(least)).otherwise(every))
+    return some.withColumn(out, tuples(ranked)).drop(placed, again, numbered, least, ranked)
 
 
 def as_text(tuples: str) -> Column:

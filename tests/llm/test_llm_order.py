@@ -1,6 +1,7 @@
 """Fingerprints and shards."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -100,3 +101,24 @@ def test_shards_of_odd_tables(spark):
 def test_whole_table(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in as_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))]
     check_shards(rows, as_rows(sharding.op9_histogram_shards(spark, sf_dir)))
+
+
+def test_every_character_counts(spark):
+    """Characters 9 to 12 of a unit and the white space behind it differ; one
+    character stands in front of a text without spaces."""
+    r = random.Random(8)
+    head = [words(1, i)[:8].ljust(8, "x") for i in range(60)]
+    tails = ["\n".join(h + "abcd" for h in head), " ".join(h + "wxyz" for h in head)]
+    run = "".join(r.choice("的一是不了人我在有他这中大来上国") for _ in range(3000))
+    rows = [(0, *tails), (1, run, "x" + run)]
+    df = omh.fingerprinted(omh.fingerprinted(spark.createDataFrame(rows, "i long, x string, y string"), "x", "fx"), "y", "fy")
+    tail, shifted = [row[0] for row in df.orderBy("i").select(omh.likeness("fx", "fy")).collect()]
+    assert tail < 0.9 and shifted > 0.9
+
+
+def test_low_ranks_are_enough(spark, monkeypatch):
+    rows = [(i, words(n, i) + " again and again" * (i % 3)) for i, n in enumerate((2, 90, 400, 1500))]
+    df = spark.createDataFrame(rows, "i long, x string")
+    some = {r["i"]: r["f"] for r in omh.fingerprinted(df, "x", "f").collect()}
+    monkeypatch.setattr(omh, "ENOUGH", 1 << 40)
+    assert some == {r["i"]: r["f"] for r in omh.fingerprinted(df, "x", "f").collect()}

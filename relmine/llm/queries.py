@@ -9,6 +9,7 @@ from relmine.llm.neardup import op7_odd_sketch_near_dedup
 from relmine.llm.omh import op2_order_minhash
 from relmine.llm.packing import op3_pack_sequences
 from relmine.llm.paragraphs import op4_repeated_passages
+from relmine.llm.passages import op4_repeated_runs
 from relmine.llm.pii import op5_personal_data
 from relmine.llm.preference import op10_preference_pairs
 from relmine.llm.sharding import op9_histogram_shards
@@ -21,6 +22,7 @@ QUERIES = {
         op2_order_minhash,
         op3_pack_sequences,
         op4_repeated_passages,
+        op4_repeated_runs,
         op5_personal_data,
         op6_toxic_neighbours,
         op7_odd_sketch_near_dedup,

@@ -1,17 +1,16 @@
 """Operator 6: toxicity by nearest labelled examples.
 
 Fitting uses a bounded sample of labelled rows (``SAMPLE`` of those outside
-the held-out fold, in order of a hash of their id). Words and word beginnings
-that go with the label by a chi-squared test are the terms; their inverse
-document frequencies are counted over all documents. The sample's TF-IDF
-vectors form a block-max inverted index: postings by term, cut into blocks of
-examples, with each term's greatest weight per block. A query takes blocks in
-order of their upper bounds and stops when no bound reaches the k-th
-similarity, so the k nearest examples by cosine are exact.
+the held-out fold, in order of a hash of their id). All its words are terms;
+inverse document frequencies are counted over all documents. Words and word
+beginnings that go with the label by a chi-squared test weigh more. The
+sample's TF-IDF vectors form an inverted index, with whole rows for frequent
+terms; a query adds up all of its terms, so the k nearest examples by cosine
+are exact. Words that no example has are in no vector.
 
 Their votes, weighted by distance, are calibrated by isotonic regression on
 the sample, each example judged by the others. A text without any term gets
-the share of toxic examples among such texts. Only texts and, for the fold,
+the smoothed share of toxic examples among such texts. Only texts and, for the fold,
 ids of labelled rows are read; lang, source and labels of scored rows are not.
 
 Scoring is row-local. Defined cases: null and empty texts are texts without
@@ -22,24 +21,24 @@ table gives an empty result; extra columns stay.
 
 from __future__ import annotations
 
-import heapq
-import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relmine.llm.common import documents, text_of, written
 
 SAMPLE = 12_000  # labelled rows used to fit, at most
-TERMS = 512  # terms, at most
+TERMS = 512  # terms that weigh more, at most
 LEAST_EXAMPLES, LEAST_CHI2 = 5, 30.0  # that a term occurs in; of a term
 STEM_FROM, STEM_TO = 3, 8  # characters of a word beginning
 NEIGHBOURS = 15
-BLOCK = 64  # examples per block
+DENSE = 8  # a term of every eighth example or more is frequent
+EXTRA = 12.0  # weight of a term that goes with the label, beside its frequency's
 NEAR, PRIOR_WEIGHT = 0.1, 0.2  # softens the weight 1 / distance; weight of the prior
 WORD = re.compile(r"[^\W\d_]+")
 CACHED = 300_000
@@ -83,24 +82,18 @@ class Index:
     example; ``idf``: a weight per term."""
 
     def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list[int], idf: np.ndarray):
-        self.idf = idf
-        # examples of the same leading term stand in the same blocks
-        lead = [max(v, key=lambda t: (idf[t], -t)) for v in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (lead[i], sorted(vectors[i]), i))
-        self.labels = np.array([labels[i] for i in order], dtype=np.float64)
-        self.ids = [ids[i] for i in order]
-        self.vectors = [self.weighted(vectors[i]) for i in order]
-        self.blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((len(idf), self.blocks))
-        postings: dict[tuple[int, int], tuple[list, list]] = {}
-        for at, (terms, weights) in enumerate(self.vectors):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                block = at // BLOCK
-                places, values = postings.setdefault((t, block), ([], []))
-                places.append(at % BLOCK)
-                values.append(w)
-                self.most[t, block] = max(self.most[t, block], w)
-        self.postings = {k: (np.array(p), np.array(v)) for k, (p, v) in postings.items()}
+        self.idf, self.ids, self.labels = idf, list(ids), np.array(labels, dtype=np.float64)
+        self.vectors = [self.weighted(v) for v in vectors]
+        terms = np.concatenate([t for t, _ in self.vectors])
+        at = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in self.vectors])
+        order = np.argsort(terms, kind="stable")
+        self.places, self.weights = at[order].astype(np.int32), np.concatenate([w for _, w in self.vectors])[order]
+        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1)).tolist()
+        # terms of many examples have a weight for each
+        self.rows = {}
+        for t in np.flatnonzero(np.diff(self.starts) * DENSE >= len(vectors)).tolist():
+            self.rows[t] = row = np.zeros(len(vectors))
+            row[self.places[self.starts[t] : self.starts[t + 1]]] = self.weights[self.starts[t] : self.starts[t + 1]]
 
     def weighted(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(list(counts), dtype=np.int64)
@@ -110,26 +103,21 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the k nearest with a term in common,
         ties by position; ``without`` leaves one example out."""
-        bounds = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []  # a heap: the worst of the best first
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[0][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                found = self.postings.get((t, block))
-                if found:
-                    scores[found[0]] += w * found[1]
-            for place in np.flatnonzero(scores > 0).tolist():
-                at = block * BLOCK + place
-                entry = (round(float(scores[place]), 12), -at)
-                if at == without:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(s, -at) for s, at in sorted(best, reverse=True)]
+        rare = [(self.starts[t], self.starts[t + 1], w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True) if t not in self.rows]
+        scores = np.zeros(len(self.ids))
+        if rare:
+            places = np.concatenate([self.places[a:b] for a, b, _ in rare])
+            scores += np.bincount(places, np.concatenate([w * self.weights[a:b] for a, b, w in rare]), len(scores))
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            if t in self.rows:
+                scores += w * self.rows[t]
+        if without >= 0:
+            scores[without] = 0
+        scores = scores.round(12)
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0
+        near = np.flatnonzero((scores >= least) & (scores > 0))
+        near = near[np.argsort(-scores[near], kind="stable")[:k]]
+        return list(zip(scores[near].tolist(), near.tolist(), strict=True))
 
 
 def isotonic(votes: list[float], labels: list[int], prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +137,7 @@ def isotonic(votes: list[float], labels: list[int], prior: float) -> tuple[np.nd
 
 class Model:
     """Terms, index and calibration; pickled to the tasks, bounded by
-    ``SAMPLE`` examples and ``TERMS`` terms."""
+    ``SAMPLE`` examples and their words."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, sample: list[tuple[int, dict[int, int], int]]):
         self.terms = Terms(terms)
@@ -174,14 +162,14 @@ class Model:
         counts = self.terms.counts(text)
         if not counts or self.index is None:
             return (self.blank if self.index else self.prior), []
-        key = tuple(counts.items())
+        key = xxhash.xxh3_128_digest(text.encode())
         if key not in self.seen:
             near = self.index.nearest(*self.index.weighted(counts))
             vote = self.vote(near)
             share = self.shares[min(int(np.searchsorted(self.steps, vote)), len(self.shares) - 1)]
             # equal shares keep the order of their votes
             score = min(1.0, max(0.0, 0.99 * float(share) + 0.01 * vote))
-            if len(self.seen) >= 20_000:
+            if len(self.seen) >= 4_000:
                 self.seen.clear()
             self.seen[key] = score, [(self.index.ids[at], s, int(self.index.labels[at])) for s, at in near]
         return self.seen[key]
@@ -230,6 +218,16 @@ def _choose_terms(sample: DataFrame) -> list[str]:
     return out[:TERMS]
 
 
+def _vocabulary(sample: DataFrame) -> list[str]:
+    """Every word of the sample; its rows are bounded."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column("text") for w in words_of(t.as_py())}), pa.string())], ["word"])
+
+    return sample.select("text").mapInArrow(run, "word string").distinct().toArrow()["word"].to_pylist()
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of ``labels.toxic`` from the labelled rows outside the held-out
     fold; document frequencies are those of all ``docs``."""
@@ -238,7 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(SAMPLE))  # bounded
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("text"))
     sample = written(texts.join(chosen, "_id"), "toxic-sample")
-    terms = _choose_terms(sample)
+    chosen = _choose_terms(sample)
+    kept = set(chosen)
+    terms = [*chosen, *sorted(w for w in _vocabulary(sample) if w not in kept)]
 
     def vectors(batches):
         held = Terms(terms)
@@ -256,11 +256,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int64()), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
 
-    rows = sample.mapInArrow(vectors, "_id long, toxic int, terms array<long>, counts array<long>").orderBy(F.xxhash64("_id"), "_id", "toxic").limit(4 * SAMPLE).collect()
-    found = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if terms else {}
-    total = found.get(-1, 0)
-    idf = np.array([1 + math.log((1 + total) / (1 + found.get(i, 0))) for i in range(len(terms))])
-    return Model(terms, idf, [(r["_id"], dict(zip(r["terms"], r["counts"], strict=True)), r["toxic"]) for r in rows])
+    shape = "_id long, toxic int, terms array<long>, counts array<long>"
+    rows = sample.mapInArrow(vectors, shape).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(4 * SAMPLE).toArrow()
+    found = np.zeros(len(terms) + 1)  # the last one counts the documents
+    if terms:
+        counted = texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        found[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    idf = 1 + np.log((1 + found[-1]) / (1 + found[:-1]))
+    idf[: len(chosen)] *= EXTRA
+    held = [dict(zip(t.as_py(), n.as_py(), strict=True)) for t, n in zip(rows["terms"], rows["counts"], strict=True)]
+    return Model(terms, idf, list(zip(rows["_id"].to_pylist(), held, rows["toxic"].to_pylist(), strict=True)))
 
 
 def scored(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:

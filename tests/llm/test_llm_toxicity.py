@@ -76,3 +76,12 @@ def test_without_labels_or_rows(spark):
     got = as_rows(toxicity.scored(docs, toxicity.fit(docs, none)))
     assert len(got) == 3 and all(r["score"] < 0.5 and r["evidence"] == [] for r in got)
     assert toxicity.drop_toxic(table(spark, []), none).count() == 0
+
+
+def test_texts_without_telling_words_have_neighbours(spark, tmp_path):
+    """A text whose words do not go with the label finds its example."""
+    sf, rows, labels = labelled(spark, tmp_path, 200)
+    model = toxicity.fit(table(spark, rows), spark.read.parquet(f"{sf}/labels.parquet"))
+    doc = next(i for i in model.index.ids if not labels[i] and rows[i][1])
+    [got] = as_rows(toxicity.scored(table(spark, [(7000, rows[doc][1])]), model))
+    assert got["evidence"][0]["doc_id"] == doc and got["evidence"][0]["similarity"] == pytest.approx(1)

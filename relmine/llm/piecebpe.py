@@ -48,7 +48,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 SLICE_CHARS = 1 << 21  # of the texts, or words, that are encoded together
 LONG = 1024  # symbols of a word from which on it is merged from a heap
-KEPT_WORDS, KEPT_CHARS = 400_000, 48  # words remembered; characters of one, at most
+KEPT_WORDS, KEPT_CHARS = 500_000, 1 << 25  # words remembered, and their characters
 NO_RANK = np.iinfo(np.int32).max
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in model files
 
@@ -84,6 +84,9 @@ def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+Word = tuple[tuple[int, ...], str, str]  # ids, the same in decimal joined by commas, decoded text
+
+
 class Vocabulary:
     """Pieces, merges and normalisation of a SentencePiece BPE model file."""
 
@@ -261,11 +264,14 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, Word] = {}
+        self.kept_chars = 0
         v = vocabulary
         self.shown = [p.replace(SPACE, " ") if k == NORMAL else "" for p, k in zip(v.pieces, v.kinds, strict=True)]
         self.shown[v.unknown] = " ⁇ "  # fixed value: what stands for the unknown piece
-        self.byte_of = {i: b for b, i in enumerate(v.byte_ids)} if v.has_bytes else {}
+        self.byte_at = {i: b for b, i in enumerate(v.byte_ids)} if v.has_bytes else {}
+        self.byte_pieces = frozenset(self.byte_at)
+        self.decimal = [str(i) for i in range(len(v.pieces))]
 
     def words(self, text: str) -> list[str]:
         """The words of a text after normalisation."""
@@ -296,20 +302,30 @@ class Encoder:
             return tuple(symbols)
         return tuple(i for s in symbols for i in self.vocabulary.ids_of(s))
 
-    def encode(self, texts: Iterable[str]) -> Iterator[list[tuple[int, ...]]]:
-        """For each text the ids of its words, one after the other."""
+    def encode(self, texts: Iterable[str]) -> Iterator[list[Word]]:
+        """For each text its words, encoded, one after the other."""
         for some in _by_size(texts, SLICE_CHARS):
             cut = [self.words(t) for t in some]
-            new = list({w for words in cut for w in words if w not in self.known})
-            if len(self.known) > KEPT_WORDS:
+            if len(self.known) > KEPT_WORDS or self.kept_chars > KEPT_CHARS:
                 self.known.clear()
-                new = list({w for words in cut for w in words})
-            ids = dict(zip(new, self.encode_words(new), strict=True))
-            short = {w: i for w, i in ids.items() if len(w) <= KEPT_CHARS}
-            self.known.update(short)
-            ids = _Either(ids, self.known)
+                self.kept_chars = 0
+            new = list(set().union(*cut).difference(self.known))
+            self.known.update(zip(new, self._encoded(self.encode_words(new)), strict=True))
+            self.kept_chars += sum(map(len, new))
             for words in cut:
-                yield [ids[w] for w in words]
+                yield list(map(self.known.__getitem__, words))
+
+    def _encoded(self, words: list[tuple[int, ...]]) -> Iterator[Word]:
+        """Words end where characters end, so their texts can be joined."""
+        byte_pieces, shown, decimal = self.byte_pieces, self.shown, self.decimal
+        for ids in words:
+            if byte_pieces.isdisjoint(ids):
+                text = "".join([shown[i] for i in ids])
+            else:
+                # behind another piece, so that no leading space is taken off
+                start = self.vocabulary.unknown
+                text = self.decode((start, *ids))[len(shown[start]) :]
+            yield ids, ",".join([decimal[i] for i in ids]), text
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: a leading space that normalisation put there goes,
@@ -318,8 +334,8 @@ class Encoder:
         held = bytearray()
         first = bool(self.vocabulary.prefix)
         for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
+            if i in self.byte_pieces:
+                held.append(self.byte_at[i])
                 continue
             if held:
                 out.append(_characters(bytes(held)))
@@ -335,17 +351,6 @@ class Encoder:
         return "".join(out)
 
 
-class _Either(dict):
-    """What a slice has encoded, or what is remembered."""
-
-    def __init__(self, own: dict, known: dict):
-        super().__init__(own)
-        self.known = known
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        return self.known[word]
-
-
 def _by_size(texts: Iterable[str], most: int) -> Iterator[list[str]]:
     """Consecutive texts of about ``most`` characters together."""
     held, size = [], 0
@@ -390,7 +395,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
         enc = encoder(at)
         for batch in batches:
             texts = (t.as_py() or "" for t in batch.column(batch.schema.get_field_index(text)))
-            ids = pa.array([[i for word in words for i in word] for words in enc.encode(texts)], pa.list_(pa.int32()))
+            ids = pa.array([[i for ids, _, _ in words for i in ids] for words in enc.encode(texts)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     return kept.mapInArrow(run, kept.withColumn("ids", F.array(F.lit(0))).schema)
@@ -409,33 +414,6 @@ def decode_documents(docs: DataFrame, path: str | None = None, ids: str = "ids")
     return kept.mapInArrow(run, kept.withColumn("decoded", F.lit("")).schema)
 
 
-class _Said(dict):
-    """A word's number of ids, its decimal ids and its decoded text. Words
-    end where characters end, so their texts can be joined."""
-
-    def __init__(self, enc: Encoder):
-        super().__init__()
-        self.enc = enc
-
-    def __missing__(self, ids: tuple[int, ...]) -> tuple[int, str, str]:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        byte_of, shown = self.enc.byte_of, self.enc.shown
-        if any(i in byte_of for i in ids):
-            text = self.enc.decode((self.enc.vocabulary.unknown, *ids))[len(shown[self.enc.vocabulary.unknown]) :]
-        else:
-            text = "".join([shown[i] for i in ids])
-        said = len(ids), ",".join(map(str, ids)), text
-        if len(ids) <= KEPT_CHARS:
-            self[ids] = said
-        return said
-
-
-@lru_cache(maxsize=2)
-def _said(path: str) -> _Said:
-    return _Said(encoder(path))
-
-
 def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: ``doc_id``, ``n_tokens``, SHA-256 of its decimal ids
     joined by commas and of the text decoded from them."""
@@ -443,15 +421,14 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
-        enc, said = encoder(at), _said(at)
+        enc = encoder(at)
         skipped = len(enc.vocabulary.prefix)
         for batch in batches:
             rows = []
             for words in enc.encode(t.as_py() for t in batch.column("text")):
-                parts = [said[w] for w in words]
-                ids = ",".join([p[1] for p in parts])
-                text = "".join([p[2] for p in parts])[skipped:]
-                rows.append((sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                ids = ",".join([decimal for _, decimal, _ in words])
+                text = "".join([decoded for _, _, decoded in words])[skipped:]
+                rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
             n, ids_hex, text_hex = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],

@@ -24,7 +24,7 @@ def encoder():
 
 
 def flat(encoder, texts):
-    return [[i for word in words for i in word] for words in encoder.encode(texts)]
+    return [[i for ids, _, _ in words for i in ids] for words in encoder.encode(texts)]
 
 
 def texts():

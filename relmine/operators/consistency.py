@@ -3,20 +3,21 @@
 Plan shape:
 
 * per sample (row-local, evaluated once and fixed by a reliable checkpoint):
-  term counts, distinct lower-cased words, numbers, token count, and a row
-  number of its own, so that samples which repeat an index stay apart;
-* one ``groupBy(prompt, kind, key)`` over "fact" rows (the sample itself,
-  each number, each distinct word, each distinct term) counts them; a second
-  one by (prompt, kind, count) condenses them, so that what is summed per
-  prompt are at most as many rows as the prompt has different counts. Facts
-  are never joined or ranked by prompt alone;
-* the vocabulary cap ranks terms per (prompt, bucket) behind an explicit
-  exchange on both, then at most ``CAP_BUCKETS * k`` survivors per prompt;
-* semantic consistency: TF-IDF weights per sample, pair dot products from an
-  equi-join on ``(prompt, term)`` whose keys are salted explicitly — only
-  pairs that share a term are produced; pairs without a shared term have
-  cosine 0 and are accounted for analytically (count n(n-1)/2, min 0), so
-  mean, min and std are exact.
+  term counts, distinct lower-cased words, numbers, token count, the number of
+  samples of its prompt, and a row number of its own, so that samples which
+  repeat an index stay apart;
+* prompts of at most ``GROUP_DOCS`` samples travel once, by prompt, as these
+  compact rows. Facts (the sample itself, each number, each distinct word) are
+  counted, terms ranked and the few sample pairs formed behind that exchange;
+* larger prompts (a plan that is only built where there are any): facts and
+  terms are counted with partial aggregation, and semantic consistency comes
+  from sums alone. With unit vectors v, the cosines of a prompt add up to
+  (|Σv|² - Σ|v|²) / 2, term by term, and their squares to
+  (|VᵀV|² - Σ|v|⁴) / 2, where VᵀV has at most ``MAX_FEATURES`` squared entries.
+  The minimum is bounded from above by the samples that are least like the
+  rest, each compared with all; it is 0 as soon as one shares no term with one
+  of them. Where it is not, samples are paired in blocks as far as two bounds
+  from below allow less (``least_cosine``).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from relmine.functions import text as T
 from relmine.functions.tfidf import MAX_FEATURES
+from relmine.operators import tfidf
+from relmine.operators.tfidf import GROUP_DOCS
 from relmine.session import cut_lineage
 from relmine.sources.schemas import require
 
@@ -33,8 +36,10 @@ from relmine.sources.schemas import require
 COMPOSITE_WEIGHTS = (0.4, 0.2, 0.2, 0.2)  # semantic, lexical, numeric agreement, 1 - min(cv, 1)
 UNRELIABLE_THRESHOLD = 0.6
 BANDS = (0.5, 0.8)
-CAP_BUCKETS = 64  # first stage of the vocabulary cap (not a fixed value of the reference)
-SALTS = 8  # parts that the rows of one (prompt, term) are dealt to
+# Not fixed values of the reference:
+OUTLIERS = 8  # samples of a large prompt that are compared with all others
+OUTLIER_BUCKETS = 64  # first stage of finding them
+BLOCK_ROWS = 512  # samples of a block that is paired with another
 
 METRICS = [
     "semantic_consistency",
@@ -51,15 +56,17 @@ METRICS = [
 def prepare_samples(queries: DataFrame, samples: DataFrame, pid: str = "prompt_id", sid: str = "sample_idx", text: str = "response") -> DataFrame:
     """SC1: samples of the queried prompts (orphans ignored, null text is not a
     sample), with their row-local features: term counts, distinct lower-cased
-    words, numbers, token count. ``row`` tells apart samples that share a
-    ``sample_idx``; it is fixed by the checkpoint that ``analyze`` sets."""
+    words, numbers, token count; ``n`` is the number of samples of the prompt.
+    ``row`` tells apart samples that share a ``sample_idx``; it is fixed by the
+    checkpoint that ``analyze`` sets."""
     require(queries, [pid], "consistency queries")
     require(samples, [pid, sid, text], "consistency samples")
-    ids = queries.select(pid).distinct()
-    s = samples.filter(F.col(text).isNotNull()).join(ids, pid, "left_semi")
-    return s.select(
-        F.col(pid).alias("pid"),
+    s = samples.filter(F.col(text).isNotNull())
+    asked = s.groupBy(pid).agg(F.count(F.lit(1)).alias("_n")).join(queries.select(pid).distinct(), pid, "left_semi")
+    return s.select(pid, text).join(asked, pid).select(
+        F.col(pid).alias("gid"),
         F.monotonically_increasing_id().alias("row"),
+        F.col("_n").alias("n"),
         T.term_counts(T.tfidf_tokens_sql(f"`{text}`")).alias("tc"),
         F.array_distinct(T.ws_tokens(F.lower(F.col(text)))).alias("words"),
         T.plain_numbers(F.col(text)).alias("nums"),
@@ -67,129 +74,220 @@ def prepare_samples(queries: DataFrame, samples: DataFrame, pid: str = "prompt_i
     )
 
 
-def _facts(prepared: DataFrame) -> DataFrame:
-    """One row per fact of a sample: S (the sample: token count, first number),
-    N (each number), W (each distinct word), T (each distinct term, count)."""
+def fact_stats(prepared: DataFrame) -> DataFrame:
+    """Per prompt the counts behind SC3–SC6, from one row per fact of a sample:
+    S (the sample: token count, first number), N (each number), W (each
+    distinct word). Facts are counted by key, then by count; nothing is joined
+    or ranked by prompt. Rows dealt by prompt need no exchange."""
 
-    def fact(kind, key=None, x=None, ntok=None, tf=None):
+    def fact(kind, key=None, x=None, ntok=None):
         return F.struct(
             F.lit(kind).alias("kind"),
             (key if key is not None else F.lit(None).cast("string")).alias("key"),
             (x if x is not None else F.lit(None).cast("double")).alias("x"),
             (ntok if ntok is not None else F.lit(None).cast("bigint")).alias("ntok"),
-            (tf if tf is not None else F.lit(None).cast("int")).alias("tf"),
         )
 
     first = F.try_element_at(F.col("nums"), F.lit(1))  # null when the sample has no number
     sample = F.array(fact("S", key=first.cast("string"), ntok=F.col("ntok")))
-    numbers = F.transform("nums", lambda v: fact("N", x=v))
-    words = F.transform("words", lambda w: fact("W", key=w))
-    terms = F.transform("tc", lambda t: fact("T", key=t["term"], tf=t["tf"]))
-    return prepared.select("pid", F.explode(F.concat(sample, numbers, words, terms)).alias("f")).select("pid", "f.*")
-
-
-def top_terms(terms: DataFrame, k: int, buckets: int = CAP_BUCKETS) -> DataFrame:
-    """Exact top-``k`` terms per prompt by total count (ties: term ascending).
-
-    Two stages so a prompt with a huge vocabulary is never ranked in one
-    task: the top ``k`` of every (prompt, hash bucket of the term) after an
-    exchange on both, then the top ``k`` of those survivors (at most
-    ``buckets * k`` rows per prompt).
-    """
-    order = [F.col("tot").desc(), F.col("key").asc()]
-    b = terms.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition("pid", "_b")
-    first = b.withColumn("_r", F.row_number().over(Window.partitionBy("pid", "_b").orderBy(*order))).filter(F.col("_r") <= k)
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy("pid").orderBy(*order))).filter(F.col("_r") <= k)
-
-
-def _salted(df: DataFrame, by: str) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-
-
-def _on_every_salt(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-
-
-def prompt_metrics(prepared: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """SC2–SC7 per prompt with at least 2 samples: ``pid`` + METRICS.
-
-    ``prepared`` (``prepare_samples``, checkpointed) is read twice: as fact
-    rows for the counts and as term rows for the TF-IDF weights.
-    """
-    g = _facts(prepared).groupBy("pid", "kind", "key").agg(
+    facts = F.concat(sample, F.transform("nums", lambda v: fact("N", x=v)), F.transform("words", lambda w: fact("W", key=w)))
+    g = prepared.select("gid", "n", F.explode(facts).alias("f")).select("gid", "n", "f.*").groupBy("gid", "n", "kind", "key").agg(
         F.count(F.lit(1)).alias("c"),
         F.sum("ntok").alias("s1"),
         F.sum(F.col("ntok") * F.col("ntok")).alias("s2"),
         F.stddev_pop("x").alias("sx"),
-        F.sum("tf").alias("tot"),
     )
     # per (prompt, kind, count): how many keys have that count
-    h = g.groupBy("pid", "kind", F.col("key").isNull().alias("nokey"), "c").agg(
+    h = g.groupBy("gid", "n", "kind", F.col("key").isNull().alias("nokey"), "c").agg(
         F.count(F.lit(1)).alias("k"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.max("sx").alias("sx")
     )
-    samples = F.col("kind") == "S"
-    firsts = samples & ~F.col("nokey")
-    stats = h.groupBy("pid").agg(
-        F.sum(F.when(samples, F.col("c") * F.col("k"))).alias("n"),
+    firsts = (F.col("kind") == "S") & ~F.col("nokey")
+    words = F.col("kind") == "W"
+    return h.groupBy("gid", "n").agg(
         F.sum("s1").alias("s1"),
         F.sum("s2").alias("s2"),
-        F.max(F.when(firsts, F.col("c"))).alias("_fmax"),
-        F.sum(F.when(firsts, F.col("c") * F.col("k"))).alias("_fsum"),
+        F.max(F.when(firsts, F.col("c"))).alias("fmax"),
+        F.sum(F.when(firsts, F.col("c") * F.col("k"))).alias("fsum"),
         F.max(F.when(F.col("kind") == "N", F.col("sx"))).alias("num_std"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "W", F.col("k"))), F.lit(0)).alias("n_union"),
-        F.max(F.when(F.col("kind") == "W", F.struct("c", "k"))).alias("_common"),
-        F.max(F.col("kind") == "T").alias("has_vocab"),
-    )
-    # words of the highest count are common to all samples if that count is n
-    common = F.when(F.col("_common.c") == F.col("n"), F.col("_common.k")).otherwise(F.lit(0))
-    stats = stats.withColumn("n_inter", F.coalesce(common, F.lit(0))).drop("_common")
-    top = top_terms(g.filter(F.col("kind") == "T").select("pid", "key", "c", "tot"), max_features)
-    kept = top.join(stats.select("pid", "n"), "pid").select(
-        "pid",
-        F.col("key").alias("term"),
-        (F.log((F.col("n") + F.lit(1.0)) / (F.col("c") + F.lit(1.0))) + F.lit(1.0)).alias("idf"),
+        F.coalesce(F.sum(F.when(words, F.col("k"))), F.lit(0)).alias("n_union"),
+        # words of count n are common to all samples
+        F.coalesce(F.sum(F.when(words & (F.col("c") == F.col("n")), F.col("k"))), F.lit(0)).alias("n_inter"),
     )
-    # SC2: weights per sample, pair dot products from the (pid, term) join
-    terms = prepared.select("pid", "row", F.explode("tc").alias("_t")).select("pid", "row", "_t.term", "_t.tf")
-    w = _salted(terms, "row").join(_on_every_salt(kept), ["pid", "term", "_salt"])
-    w = w.select("pid", "row", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("pid", "row"))))
-    a = _salted(w.select("pid", "term", F.col("row").alias("i"), F.col("w").alias("wi")), "i")
-    b = _on_every_salt(w.select("pid", "term", F.col("row").alias("j"), F.col("w").alias("wj")))
-    pair_cos = (
-        a.join(b, ["pid", "term", "_salt"])
-        .filter(F.col("i") < F.col("j"))
-        .groupBy("pid", "i", "j")
-        .agg(F.sum(F.col("wi") * F.col("wj")).alias("c"))
+
+
+SEMANTIC = ["gid", "sem_sum", "sem_sum2", "sem_min"]
+
+
+def small_semantics(dealt: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """Sum, sum of squares and minimum of the cosines of all sample pairs, for
+    prompts dealt by prompt that have a vocabulary. A term gives the pairs of
+    its samples (i <= j; i = j is a squared length); no exchange."""
+    d = F.col("_in")
+    pairs = F.flatten(
+        F.transform(
+            d,
+            lambda a: F.transform(
+                F.filter(d, lambda b: b["row"] >= a["row"]),
+                lambda b: F.struct(a["row"].alias("i"), b["row"].alias("j"), (a["tf"] * b["tf"]).alias("tf")),
+            ),
+        )
     )
-    sem = pair_cos.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("npos"), F.sum("c").alias("sc"), F.sum(F.col("c") * F.col("c")).alias("sc2"), F.min("c").alias("cmin")
+    terms = tfidf.group_terms(dealt, max_features).select("gid", "n", (F.col("idf") * F.col("idf")).alias("_s"), F.explode(pairs).alias("p"))
+    dots = terms.groupBy("gid", "n", "p.i", "p.j").agg(F.sum(F.col("p.tf") * F.col("_s")).alias("dot"))
+    for k in ("i", "j"):
+        own = F.max(F.when(F.col("i") == F.col("j"), F.col("dot"))).over(Window.partitionBy("gid", k))
+        dots = dots.withColumn(f"len_{k}", own)
+    cos = F.when(F.col("i") < F.col("j"), F.col("dot") / F.sqrt(F.col("len_i") * F.col("len_j")))
+    sums = dots.withColumn("c", cos).groupBy("gid", "n").agg(
+        F.coalesce(F.sum("c"), F.lit(0.0)).alias("sem_sum"),
+        F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0.0)).alias("sem_sum2"),
+        F.count("c").alias("npos"),
+        F.min("c").alias("cmin"),
     )
+    # a pair without a common term has no row, and cosine 0
+    low = F.when(F.col("npos") < F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0)).otherwise(F.col("cmin"))
+    return sums.withColumn("sem_min", low).select(*SEMANTIC)
+
+
+def _dot(vec: Column, dense: Column) -> Column:
+    """Of a vector (array of rank, w) and an array by rank."""
+    return F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.get(dense, x["rank"] - 1), F.lit(0.0)))
 
-    m = stats.filter(F.col("n") >= 2).join(sem, "pid", "left")
+
+def large_semantics(prepared: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """The same for prompts of any size, without pairing samples for the sums."""
+    weights = tfidf.large_weights(prepared, max_features).select("gid", "n", "row", "rank", "w")
+    vectors = weights.groupBy("gid", "n", "row").agg(F.collect_list(F.struct("rank", "w")).alias("vec"))
+    vectors = cut_lineage(vectors)
+    entries = vectors.select("gid", "n", F.explode("vec").alias("e")).select("gid", "n", "e.rank", "e.w")
+    terms = entries.groupBy("gid", "n", "rank").agg(
+        F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"), F.count(F.lit(1)).alias("c"), F.min("w").alias("low")
+    )
+    # a term of one sample adds nothing, exactly
+    shared = F.when(F.col("c") > 1, (F.col("s") * F.col("s") - F.col("q")) / 2).otherwise(F.lit(0.0))
+    centre = terms.groupBy("gid").agg(
+        F.sum(shared).alias("sem_sum"),
+        F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"),
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]).alias("centre"),  # ranks are 1, 2, ...
+        # of the terms that all samples have, the one of the largest least weight
+        F.max(F.when(F.col("c") == F.col("n"), F.struct("low", "rank")))["rank"].alias("common"),
+    )
+    v = F.col("vec")
+    products = F.flatten(
+        F.transform(
+            v,
+            lambda a: F.transform(
+                F.filter(v, lambda b: b["rank"] >= a["rank"]),
+                lambda b: F.struct(a["rank"].alias("t"), b["rank"].alias("u"), (a["w"] * b["w"]).alias("x")),
+            ),
+        )
+    )
+    gram = vectors.select("gid", F.explode(products).alias("p")).groupBy("gid", "p.t", "p.u").agg(F.sum("p.x").alias("g"))
+    squares = gram.groupBy("gid").agg(F.sum(F.when(F.col("t") == F.col("u"), 1.0).otherwise(2.0) * F.col("g") * F.col("g")).alias("g2"))
+    length = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])
+    rows = vectors.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("m"), F.sum(length * length).alias("l4"))
+    sums = rows.join(squares, "gid").join(centre.select("gid", "sem_sum"), "gid")
+    sums = sums.withColumn("sem_sum2", F.greatest((F.col("g2") - F.col("l4")) / 2, F.lit(0.0)))
+    least = least_cosine(vectors, centre)
+    # a sample without a kept term has cosine 0 to all
+    low = F.when(F.col("m") < F.col("n"), F.lit(0.0)).otherwise(F.coalesce("least", F.lit(0.0)))
+    return sums.join(least, "gid", "left").withColumn("sem_min", low).select(*SEMANTIC)
+
+
+def least_cosine(vectors: DataFrame, centre: DataFrame) -> DataFrame:
+    """``gid, least``: the exact minimum over all pairs of a prompt's vectors.
+
+    Two bounds hold for a pair: its angle is at most the sum of its angles to
+    the centre, and its cosine at least the product of its weights of a term
+    that all samples have. The samples that are extreme by either are compared
+    with all; the others are paired where both bounds allow less than that."""
+    near = vectors.join(centre.select("gid", "centre", "length", "common"), "gid")
+    weight = F.try_element_at(F.filter("vec", lambda x: x["rank"] == F.col("common")), F.lit(1))["w"]
+    near = near.select(
+        "gid",
+        "row",
+        "vec",
+        F.size("centre").alias("width"),
+        (_dot(F.col("vec"), F.col("centre")) / F.col("length")).alias("near"),
+        F.coalesce(weight, F.lit(0.0)).alias("has"),
+    )
+    near = cut_lineage(near.withColumn("_b", F.pmod(F.xxhash64("row"), F.lit(OUTLIER_BUCKETS))))
+
+    def lowest(by: str) -> DataFrame:
+        order = [F.col(by).asc(), F.col("row").asc()]
+        few = near.withColumn("_r", F.row_number().over(Window.partitionBy("gid", "_b").orderBy(*order))).filter(F.col("_r") <= OUTLIERS)
+        return few.withColumn("_r", F.row_number().over(Window.partitionBy("gid").orderBy(*order))).filter(F.col("_r") <= OUTLIERS)
+
+    by_rank = F.map_from_entries("vec")
+    dense = F.transform(F.sequence(F.lit(1), F.col("width")), lambda r: F.coalesce(F.try_element_at(by_rank, r), F.lit(0.0)))
+    extreme = lowest("near").unionByName(lowest("has"))
+    outliers = extreme.groupBy("gid").agg(
+        F.collect_list(F.struct("row", dense.alias("dense"))).alias("_out"), F.min("near").alias("farthest"), F.min("has").alias("has_least")
+    )
+    others = F.filter("_out", lambda o: o["row"] != F.col("row"))
+    least = F.array_min(F.transform(others, lambda o: _dot(F.col("vec"), o["dense"])))
+    bound = near.join(outliers, "gid").groupBy("gid", "farthest", "has_least").agg(F.min(least).alias("bound"))
+    bound = cut_lineage(bound)
+    open_ = bound.filter(F.col("bound") > 0)
+    if open_.isEmpty():
+        return bound.select("gid", F.col("bound").alias("least"))
+    angle = lambda c: F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))
+    left = near.join(open_, "gid").filter(
+        (angle(F.col("near")) + angle(F.col("farthest")) > angle(F.col("bound")) - F.lit(1e-9))
+        & (F.col("has") * F.col("has_least") < F.col("bound") + F.lit(1e-12))
+    )
+    sizes = left.groupBy("gid").agg(F.count(F.lit(1)).alias("a"))
+    left = left.select("gid", "row", "vec", "has", "bound").join(sizes, "gid")
+    blocks = F.ceil(F.col("a") / F.lit(float(BLOCK_ROWS))).cast("int")
+    left = left.select("gid", "a", "row", "vec", "has", "bound", blocks.alias("k"), F.pmod(F.xxhash64("row"), blocks).cast("int").alias("b"))
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(F.col("b"), o).alias("x"), F.greatest(F.col("b"), o).alias("y"))
+    )
+    placed = left.select("gid", "a", "row", "vec", "has", "bound", "b", F.explode(cells).alias("cell"))
+    placed = placed.select("gid", "a", "row", "has", "bound", "b", "cell", F.explode("vec").alias("e"))
+    placed = placed.select("gid", "a", "row", "has", "bound", "b", "cell", "e.rank", "e.w")
+    first = placed.filter(F.col("b") == F.col("cell.x"))
+    second = placed.filter(F.col("b") == F.col("cell.y"))
+    second = second.select("gid", "cell", "rank", F.col("row").alias("j"), F.col("w").alias("wj"), F.col("has").alias("hasj"))
+    inside = F.col("cell.x") == F.col("cell.y")
+    can = F.col("has") * F.col("hasj") < F.col("bound") + F.lit(1e-12)
+    pairs = first.join(second, ["gid", "cell", "rank"]).filter((~inside | (F.col("row") < F.col("j"))) & can)
+    pairs = pairs.groupBy("gid", "a", "cell", "row", "j", "has").agg(F.sum(F.col("w") * F.col("wj")).alias("c"))
+    found = pairs.groupBy("gid", "a").agg(F.min("c").alias("cmin"), F.count(F.lit(1)).alias("npos"), F.max("has").alias("has"))
+    # without a term common to all, a pair that has no row has cosine 0
+    none = (F.col("has") == 0) & (F.col("npos") < F.col("a") * (F.col("a") - 1) / 2)
+    found = found.select("gid", F.when(none, F.lit(0.0)).otherwise(F.col("cmin")).alias("cmin"))
+    return bound.join(found, "gid", "left").select("gid", F.least("bound", "cmin").alias("least"))
+
+
+def prompt_metrics(prepared: DataFrame, max_features: int = MAX_FEATURES, group_docs: int = GROUP_DOCS) -> DataFrame:
+    """SC2–SC7 per prompt with at least 2 samples: ``gid`` + METRICS, from
+    checkpointed samples (``prepare_samples``)."""
+    few = prepared.filter(F.col("n") >= 2)
+    dealt = tfidf.small_groups(few, group_docs)
+    m = fact_stats(dealt).join(small_semantics(dealt, max_features), "gid", "left")
+    if tfidf.has_large(few, group_docs):
+        many = few.filter(F.col("n") > group_docs)
+        m = m.unionByName(fact_stats(many).join(large_semantics(many, max_features), "gid", "left"))
     n = F.col("n")
     pairs = n * (n - 1) / 2.0
-    mean = F.coalesce(F.col("sc"), F.lit(0.0)) / pairs
-    var = F.greatest(F.coalesce(F.col("sc2"), F.lit(0.0)) / pairs - mean * mean, F.lit(0.0))
-    vocab = F.coalesce(F.col("has_vocab"), F.lit(False))
-    sem_mean = F.when(vocab, mean).otherwise(F.lit(1.0))
-    sem_min = F.when(~vocab, F.lit(1.0)).when(F.coalesce(F.col("npos"), F.lit(0)) < pairs, F.lit(0.0)).otherwise(F.col("cmin"))
-    sem_std = F.when(vocab, F.sqrt(var)).otherwise(F.lit(0.0))
+    vocab = F.col("sem_sum").isNotNull()
+    mean = F.col("sem_sum") / pairs
+    var = F.greatest(F.col("sem_sum2") / pairs - mean * mean, F.lit(0.0))
     overlap = F.col("n_inter") / F.greatest(F.col("n_union"), F.lit(1))
     # token-count spread from exact integer sums: n*S2 - S1^2 in decimal
     dec = "decimal(38,0)"
     num = n.cast(dec) * F.col("s2").cast(dec) - F.col("s1").cast(dec) * F.col("s1").cast(dec)
     len_std = F.sqrt(num.cast("double")) / n
-    len_mean = F.col("s1") / n
-    cv = len_std / F.greatest(len_mean, F.lit(1.0))
+    cv = len_std / F.greatest(F.col("s1") / n, F.lit(1.0))
     out = m.select(
-        "pid",
-        sem_mean.alias("semantic_consistency"),
-        sem_min.alias("semantic_consistency_min"),
-        sem_std.alias("semantic_consistency_std"),
+        "gid",
+        F.when(vocab, mean).otherwise(F.lit(1.0)).alias("semantic_consistency"),
+        F.when(vocab, F.col("sem_min")).otherwise(F.lit(1.0)).alias("semantic_consistency_min"),
+        F.when(vocab, F.sqrt(var)).otherwise(F.lit(0.0)).alias("semantic_consistency_std"),
         overlap.cast("double").alias("lexical_overlap"),
         F.coalesce(F.col("num_std"), F.lit(0.0)).alias("numeric_variance"),
-        F.coalesce(F.col("_fmax") / F.col("_fsum"), F.lit(1.0)).alias("numeric_agreement"),
+        F.coalesce(F.col("fmax") / F.col("fsum"), F.lit(1.0)).alias("numeric_agreement"),
         cv.alias("length_cv"),
     )
     return out.withColumn("composite_consistency", composite(out))
@@ -209,7 +307,7 @@ def composite(df: DataFrame) -> Column:
 def analyze(queries: DataFrame, samples: DataFrame, pid: str = "prompt_id", sid: str = "sample_idx", text: str = "response") -> DataFrame:
     """SC1–SC7: queries enriched with the consistency metrics (null when < 2 samples)."""
     prepared = cut_lineage(prepare_samples(queries, samples, pid, sid, text))
-    metrics = prompt_metrics(prepared).withColumnRenamed("pid", pid)
+    metrics = prompt_metrics(prepared).withColumnRenamed("gid", pid)
     return queries.join(metrics, pid, "left")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from relmine.functions import text as T
 from relmine.operators.sequence import ordered_sequence
+from relmine.operators.tfidf import ranked_terms
 from relmine.sources.schemas import require
 
 # Fixed values of the reference (drift_detection config and constructor).
@@ -167,12 +168,9 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
     terms = rows.groupBy("rid", "n_sent", "has_ref", "term").agg(
         F.collect_list(F.struct("did", "tf", "sentence", "_copies")).alias("_in"), F.sum("tf").alias("total")
     )
-    rank_w = Window.partitionBy("rid").orderBy(F.col("total").desc(), F.col("term").asc_nulls_last())
-    is_term = F.col("term").isNotNull()
-    terms = terms.withColumn("_rk", F.dense_rank().over(rank_w)).filter(~is_term | (F.col("_rk") <= MAX_FEATURES_TERMS))
     n_docs = F.col("n_sent") + F.when(F.col("has_ref"), 1).otherwise(0)
-    idf = F.when(is_term, F.log((n_docs + F.lit(1.0)) / (F.size("_in") + F.lit(1.0))) + F.lit(1.0))
-    rows = terms.select("rid", "n_sent", "has_ref", "term", idf.alias("_idf"), F.explode("_in").alias("_d"))
+    is_term = F.col("term").isNotNull()
+    rows = ranked_terms(terms, "rid", n_docs).select("rid", "n_sent", "has_ref", "term", F.col("idf").alias("_idf"), F.explode("_in").alias("_d"))
     rows = rows.select("rid", "n_sent", "has_ref", "term", "_d.*", (F.col("_d.tf") * F.col("_idf")).alias("_w"))
     rows = rows.withColumn("_v", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("rid", "did"))))
     # DR4: weight of the same term in the reference, which comes first (-1);
@@ -208,8 +206,6 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
     )
 
 
-MAX_FEATURES_TERMS = 500  # fixed value: vectoriser vocabulary cap of the reference
-
 
 def trust_map(
     responses: DataFrame,

@@ -20,6 +20,7 @@ from relmine.operators import evaluation as EV
 from relmine.operators import faithfulness as FG
 from relmine.operators import features as QF
 from relmine.operators import rules as RR
+from relmine.operators import tfidf as TX
 from relmine.plans import sqltext as Q
 from relmine.sources import tables as S
 
@@ -233,6 +234,39 @@ def consistency_bands(spark: SparkSession, sf: str) -> DataFrame:
     return SC.bands(consistency_conversations(spark, sf))
 
 
+_TX_SQL = Q.tfidf_weights("SELECT doc_id // 5 AS gid, doc_id AS doc, text FROM documents")
+
+
+def _grouped_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = S.table(spark, sf, "documents")
+    return docs.select(F.floor(F.col("doc_id") / 5).cast("long").alias("group_id"), "doc_id", "text")
+
+
+@register("tfidf_weights", f"SELECT gid AS group_id, doc AS doc_id, term, rank, weight FROM ({_TX_SQL})")
+def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """TX7: TF-IDF vectors of documents in groups of five."""
+    return TX.tfidf_weights(_grouped_documents(spark, sf), "group_id", "doc_id", "text")
+
+
+@register(
+    "document_cosines",
+    f"""WITH w AS ({_TX_SQL}),
+        p AS (SELECT a.doc_id // 5 AS group_id, a.doc_id AS doc_a, b.doc_id AS doc_b
+              FROM documents a JOIN documents b ON a.doc_id // 5 = b.doc_id // 5 AND a.doc_id < b.doc_id)
+        SELECT p.group_id, p.doc_a, p.doc_b, coalesce(sum(a.weight * b.weight), 0.0::DOUBLE) AS cosine
+        FROM p LEFT JOIN w a ON a.gid = p.group_id AND a.doc = p.doc_a
+          LEFT JOIN w b ON b.gid = p.group_id AND b.doc = p.doc_b AND b.term = a.term
+        GROUP BY ALL""",
+)
+def document_cosines(spark: SparkSession, sf: str) -> DataFrame:
+    """TX8: cosine of the two documents of every pair in a group of five."""
+    docs = _grouped_documents(spark, sf)
+    ids = docs.select("group_id", "doc_id")
+    pairs = ids.withColumnRenamed("doc_id", "doc_a").join(ids.withColumnRenamed("doc_id", "doc_b"), "group_id").filter("doc_a < doc_b")
+    weights = TX.tfidf_weights(docs, "group_id", "doc_id", "text")
+    return TX.cosines(weights, pairs, "group_id", "doc_id", "doc_a", "doc_b")
+
+
 # -------------------------------------------------------------- trust maps
 
 

@@ -341,6 +341,25 @@ FROM q LEFT JOIN mc USING (prompt_id)
 """
 
 
+def tfidf_weights(docs_sql: str) -> str:
+    """TX7 by windows over a relation with columns gid, doc, text."""
+    return f"""
+WITH d AS (SELECT * FROM ({docs_sql}) WHERE text IS NOT NULL),
+n AS (SELECT gid, count(*) AS n FROM d GROUP BY gid),
+tok AS (SELECT gid, doc, unnest({tfidf_tokens('text')}) AS term FROM d),
+tf AS (SELECT gid, doc, term, count(*) AS tf FROM tok GROUP BY ALL),
+st AS (SELECT gid, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL),
+kept AS (
+  SELECT *, row_number() OVER (PARTITION BY gid ORDER BY total DESC, term) AS rank FROM st QUALIFY rank <= 500
+),
+w AS (
+  SELECT tf.gid, tf.doc, tf.term, kept.rank, tf.tf * (ln((n.n + 1.0::DOUBLE) / (kept.df + 1.0::DOUBLE)) + 1.0::DOUBLE) AS w
+  FROM tf JOIN kept USING (gid, term) JOIN n USING (gid)
+)
+SELECT gid, doc, term, rank::INTEGER AS rank, w / sqrt(sum(w * w) OVER (PARTITION BY gid, doc)) AS weight FROM w
+"""
+
+
 SC_METRICS = [
     "semantic_consistency", "semantic_consistency_min", "semantic_consistency_std", "lexical_overlap",
     "numeric_variance", "numeric_agreement", "length_cv", "composite_consistency",

@@ -51,24 +51,26 @@ class _Conf:
 
 
 class _Context:
-    def __init__(self, current=None):
-        self.current, self.set_to = current, None
+    """Like Spark's, it works in a folder of its own below the one that is set."""
+
+    def __init__(self, current=None, master="local[2]"):
+        self.current, self.master, self.set_to = current, master, None
 
     def getCheckpointDir(self):
         return self.current
 
     def setCheckpointDir(self, d):
-        self.set_to = d
+        self.set_to, self.current = d, f"{d}/own"
 
 
 class _Session:
-    def __init__(self, named, current=None):
-        self.conf, self.sparkContext = _Conf(named), _Context(current)
+    def __init__(self, named, current=None, master="local[2]"):
+        self.conf, self.sparkContext = _Conf(named), _Context(current, master)
 
 
 def test_checkpoint_dir_reads_the_session_setting():
     s = _Session("hdfs://shared/ckpt")
-    assert checkpoint_dir(s) == "hdfs://shared/ckpt" and s.sparkContext.set_to == "hdfs://shared/ckpt"
+    assert checkpoint_dir(s) == "hdfs://shared/ckpt/own" and s.sparkContext.set_to == "hdfs://shared/ckpt"
     s = _Session("hdfs://shared/ckpt", current="hdfs://shared/ckpt/uuid")
     assert checkpoint_dir(s) == "hdfs://shared/ckpt/uuid" and s.sparkContext.set_to is None
 
@@ -76,7 +78,12 @@ def test_checkpoint_dir_reads_the_session_setting():
 def test_checkpoint_dir_only_creates_one_when_unset():
     s = _Session(None)
     d = checkpoint_dir(s)
-    assert d and s.sparkContext.set_to == d
+    assert d and d == f"{s.sparkContext.set_to}/own"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError):
+        checkpoint_dir(_Session(None, master="spark://host:7077"))
 
 
 def test_checkpoint_dir_on_the_live_session(spark):

@@ -2,9 +2,9 @@
 
 The reference draws these as figures; here they are the numbers behind each
 figure. Every operator is one or two aggregations: per-row work is a
-projection, grouped work is partially aggregated, and the only tables
-joined back to rows are per-label statistics whose size is bounded by the
-number of label values (broadcast).
+projection, grouped work is partially aggregated, and the only table joined
+back to rows is a histogram's ranges, one row per group, with hot groups dealt
+by their counts.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relmine.operators.skew import dealt_join
+
 # Fixed values of the reference's figures.
 CONSISTENCY_BINS = 25
 FAITHFULNESS_BINS = 15
@@ -21,7 +23,6 @@ FAITHFULNESS_HIST_METRICS = ["entity_coverage", "numeric_fidelity", "semantic_si
 RATE_FEATURES = ["demands_numeric", "has_temporal_ref", "asks_about_person", "asks_for_list"]
 SWEEP_POINTS = 50
 TRAJECTORY_RESPONSES = 4
-MAX_GROUPS = 1024  # groups of a histogram, whose ranges are broadcast (not a fixed value of the reference)
 
 
 def histogram(df: DataFrame, value: str, groups: list[str], bins: int) -> DataFrame:
@@ -29,14 +30,18 @@ def histogram(df: DataFrame, value: str, groups: list[str], bins: int) -> DataFr
     (min == max widens to +-0.5), last bin closed; every bin is listed.
 
     Bin assignment follows NumPy: index from the scaled offset, then one
-    correction step against the exact bin edges ``first + k * step``. More
-    than ``MAX_GROUPS`` groups are an error when the result is computed.
+    correction step against the exact bin edges ``first + k * step``. Any
+    number of groups; rows with a null group key are left out. Without
+    ``groups`` all rows are one.
     """
     x = F.col(value)
-    rows = df.filter(x.isNotNull()).select(*groups, x.cast("double").alias("_x"))
-    stats = rows.groupBy(*groups).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+    if not groups:
+        return histogram(df.withColumn("_all", F.lit(0)), value, ["_all"], bins).drop("_all")
+    rows = df.filter(x.isNotNull()).select(*groups, x.cast("double").alias("_x")).dropna(subset=groups)
+    stats = rows.groupBy(*groups).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count(F.lit(1)).alias("_rows"))
     stats = stats.select(
         *groups,
+        "_rows",
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"),
     )
@@ -45,12 +50,7 @@ def histogram(df: DataFrame, value: str, groups: list[str], bins: int) -> DataFr
     def edge(k: Column) -> Column:
         return F.when(k == bins, F.col("_hi")).otherwise(k.cast("double") * step + F.col("_lo"))
 
-    # at most MAX_GROUPS rows are broadcast; a row whose group is not among
-    # them stops the job instead of being dropped
-    known = rows.dropna(subset=groups) if groups else rows
-    j = known.join(F.broadcast(stats.dropna(subset=groups).limit(MAX_GROUPS)), groups, "left")
-    missing = F.raise_error(F.lit(f"histogram: more than {MAX_GROUPS} groups")).cast("double")
-    j = j.withColumn("_lo", F.when(F.col("_lo").isNull(), missing).otherwise(F.col("_lo")))
+    j = dealt_join(rows, stats, groups, "_rows", "_x")
     f = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))
     j = j.withColumn("_i", F.least(F.floor(f).cast("int"), F.lit(bins - 1)))
     j = j.withColumn("_i", F.when(F.col("_x") < edge(F.col("_i")), F.col("_i") - 1).otherwise(F.col("_i")))
@@ -111,6 +111,17 @@ def rate_by_feature(df: DataFrame, features: list[str] | None = None, label: str
     )
 
 
+def feature_pivot(df: DataFrame, features: list[str] | None = None, label: str = "is_hallucination") -> DataFrame:
+    """EV3 in wide form: rows per feature and value, with the number of rows
+    of either label as columns ``n_false`` and ``n_true`` (0 where none).
+    Rows without a label or value are left out."""
+    features = features or RATE_FEATURES
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features]
+    long = df.select(F.col(label).alias("_y"), F.inline(F.array(*cells))).dropna()
+    wide = long.groupBy("feature", "value").pivot("_y", [False, True]).count()
+    return wide.na.fill(0).withColumnsRenamed({"false": "n_false", "true": "n_true"})
+
+
 def threshold_sweep(df: DataFrame, score: str = "composite_consistency", label: str = "is_hallucination", points: int = SWEEP_POINTS) -> DataFrame:
     """EV4: confusion counts, TPR and FPR at ``points`` thresholds
     linspace(0, 1); predicted positive = score < t (null never predicted).

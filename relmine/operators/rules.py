@@ -21,6 +21,7 @@ so leaf probabilities and importances follow the reference's library.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,69 +85,53 @@ def mined_rules(
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
-    """RR1–RR3: single-item and pair rules: ``rule, confidence, support, n_matches, kind``."""
+    """RR1–RR3: single-item and pair rules: ``rule, confidence, support, n_matches, kind``.
+
+    One aggregation over grouping sets of the typed columns (each feature, and
+    each pair of numeric ones); ``grouping_id`` names a row's set."""
     total = comp.select(F.sum("n")).scalar()
     strings = {f for f in features if _is_string(comp, f)}
-    long = comp.select(
-        "n",
-        "pos",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), _render(comp, f).alias("value")) for f in features])).alias("_f"),
-    ).select("n", "pos", "_f.feature", "_f.value")
-    items = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.sum("n").alias("cnt"), F.sum("pos").alias("npos")
+    pairs = list(combinations([f for f in features if _is_number(comp, f)], 2))
+    sets = [(f,) for f in features] + pairs
+    # one bit per feature, set where the feature is not grouped by
+    at = {s: sum(1 << (len(features) - 1 - i) for i, f in enumerate(features) if f not in s) for s in sets}
+    counts = comp.groupingSets([list(s) for s in sets], *features).agg(
+        F.grouping_id().alias("_set"), F.sum("n").alias("cnt"), F.sum("pos").alias("npos")
     )
-    # one row per feature: joined by broadcast, bounded by their number
-    distinct = items.groupBy("feature").agg(F.count(F.lit(1)).alias("ndistinct"))
-    items = items.join(F.broadcast(distinct), "feature")
-    is_str = F.col("feature").isin(*strings) if strings else F.lit(False)
-    single = items.filter(
-        (is_str | (F.col("ndistinct") <= SINGLE_MAX_DISTINCT))
-        & (F.col("cnt") >= total * F.lit(min_support))
-        & (F.col("npos") / F.col("cnt") >= min_confidence)
-    ).select(
-        F.concat_ws("=", "feature", "value").alias("rule"),
-        (F.col("npos") / F.col("cnt")).alias("confidence"),
-        (F.col("cnt") / total).alias("support"),
-        F.col("cnt").alias("n_matches"),
-        F.lit("single").alias("kind"),
-    )
-    numeric = [f for f in features if _is_number(comp, f)]
-    pairs = list(combinations(numeric, 2))
-    if not pairs:
-        return single
-    eligible = distinct.filter(F.col("ndistinct") <= PAIR_MAX_DISTINCT).select("feature")
-    pl = comp.select(
-        "n",
-        "pos",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(a).alias("f1"), _render(comp, a).alias("v1"), F.lit(b).alias("f2"), _render(comp, b).alias("v2")
-                    )
-                    for a, b in pairs
-                ]
-            )
-        ).alias("_p"),
-    ).select("n", "pos", "_p.*")
-    pg = pl.filter(F.col("v1").isNotNull() & F.col("v2").isNotNull()).groupBy("f1", "v1", "f2", "v2").agg(
-        F.sum("n").alias("cnt"), F.sum("pos").alias("npos")
-    )
-    # eligibility: bounded by the number of features (a handful of rows)
-    pg = pg.join(F.broadcast(eligible.withColumnRenamed("feature", "f1")), "f1", "left_semi").join(
-        F.broadcast(eligible.withColumnRenamed("feature", "f2")), "f2", "left_semi"
-    )
-    pair = pg.filter(
-        (F.col("cnt") >= F.greatest(total * F.lit(min_support), F.lit(float(PAIR_MIN_COUNT))))
-        & (F.col("npos") / F.col("cnt") >= min_confidence)
+
+    def case(of, among=sets):
+        """By grouping set, what ``of`` says of its features."""
+        out = F.when(F.lit(False), of(among[0]))
+        for s in among:
+            out = out.when(F.col("_set") == at[s], of(s))
+        return out
+
+    known = case(lambda s: reduce(lambda a, b: a & b, (F.col(f).isNotNull() for f in s)))
+    counts = counts.filter(known)
+    # a row per feature: bounded by their number
+    singles = [(f,) for f in features]
+    distinct = counts.filter(F.col("_set").isin(*[at[s] for s in singles])).groupBy("_set").agg(F.count(F.lit(1)).alias("values"))
+    n_values = distinct.agg(F.map_from_entries(F.collect_list(F.struct("_set", "values")))).scalar()
+
+    def eligible(s):
+        if len(s) == 1 and s[0] in strings:
+            return F.lit(True)
+        most = SINGLE_MAX_DISTINCT if len(s) == 1 else PAIR_MAX_DISTINCT
+        return reduce(lambda a, b: a & b, (F.try_element_at(n_values, F.lit(at[(f,)]).cast("long")) <= most for f in s))
+
+    def text(s):
+        return F.concat(*[x for i, f in enumerate(s) for x in (F.lit(f"{' & ' * bool(i)}{f}="), _render(comp, f))])
+
+    least = F.when(case(lambda s: F.lit(len(s) == 2)), F.greatest(total * F.lit(min_support), F.lit(float(PAIR_MIN_COUNT))))
+    return counts.filter(
+        case(eligible) & (F.col("cnt") >= least.otherwise(total * F.lit(min_support))) & (F.col("npos") / F.col("cnt") >= min_confidence)
     ).select(
-        F.concat(F.col("f1"), F.lit("="), F.col("v1"), F.lit(" & "), F.col("f2"), F.lit("="), F.col("v2")).alias("rule"),
+        case(text).alias("rule"),
         (F.col("npos") / F.col("cnt")).alias("confidence"),
         (F.col("cnt") / total).alias("support"),
         F.col("cnt").alias("n_matches"),
-        F.lit("pair").alias("kind"),
+        case(lambda s: F.lit("single" if len(s) == 1 else "pair")).alias("kind"),
     )
-    return single.unionByName(pair)
 
 
 def rank(rules: DataFrame, top: int | None = None) -> DataFrame:
@@ -234,7 +219,10 @@ def fit_tree(
     in encoded order, then the lowest threshold."""
     enc = fit_encoding(comp, features, ordered)
     names = enc.names
-    stats = comp.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
+    values = [F.approx_count_distinct(c).alias(f"v{i}") for i, c in enumerate(enc.columns()[: len(enc.numeric)])]
+    stats = comp.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), *values).first()
+    most = max((stats[f"v{i}"] for i in range(len(enc.numeric))), default=0)
+    ranges = -(-most * len(names) // VALUES_PER_TASK) if most > VALUES_PER_TASK else None
     n_total, n_pos = int(stats["n"]), int(stats["pos"] or 0)
     n_neg = n_total - n_pos
     tree = Tree(enc, importances=[0.0] * len(names))
@@ -264,7 +252,7 @@ def fit_tree(
         open_nodes = [k for k, (_, _, ok) in node_info.items() if ok and 2**depth <= k < 2 ** (depth + 1)]
         if not open_nodes:
             break
-        best = _best_splits(x.filter(F.col("node").isin(open_nodes)), min_leaf, w1, w0)
+        best = _best_splits(x.filter(F.col("node").isin(open_nodes)), min_leaf, w1, w0, ranges)
         if not best:
             break
         for b in best:
@@ -285,20 +273,48 @@ def fit_tree(
     return tree
 
 
-def _best_splits(x: DataFrame, min_leaf: int, w1: float, w0: float) -> list:
+VALUES_PER_TASK = 50_000  # distinct values of a feature that one window takes
+
+
+def running_counts(g: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Rows (``node, f, v, n, pos``; one per distinct value) with the counts
+    up to and including the value (``nl, posl``), those of the node (``nt,
+    post``) and the next value (``v_next``).
+
+    With ``ranges``, rows are dealt by ranges of (node, feature, value), cut
+    where a sample says they are equal, so that no task holds more than one
+    range: sums run inside each range, and what precedes a range is carried
+    over from one row per range. The ranges are fixed by a checkpoint.
+    """
+    key = ["node", "f"] if ranges is None else ["node", "f", "_range"]
+    if ranges is not None:
+        g = cut_lineage(g.repartitionByRange(ranges, "node", "f", "v").withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*key).orderBy("v")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = g.withColumn("nl", F.sum("n").over(upto)).withColumn("posl", F.sum("pos").over(upto)).withColumn("v_next", F.lead("v").over(inside))
+    whole = Window.partitionBy("node", "f")
+    if ranges is None:
+        return out.withColumn("nt", F.sum("n").over(whole)).withColumn("post", F.sum("pos").over(whole))
+    sums = g.groupBy(*key).agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"), F.min("v").alias("_first"))
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(
+        *key,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_nb"),
+        F.coalesce(F.sum("_pos").over(before), F.lit(0)).alias("_posb"),
+        F.sum("_n").over(whole).alias("nt"),
+        F.sum("_pos").over(whole).alias("post"),
+        F.lead("_first").over(whole.orderBy("_range")).alias("_after"),
+    )
+    # a row per range, node and feature that meet in it
+    out = out.join(carried, key).withColumn("nl", F.col("nl") + F.col("_nb")).withColumn("posl", F.col("posl") + F.col("_posb"))
+    return out.withColumn("v_next", F.coalesce("v_next", "_after")).drop("_range", "_nb", "_posb", "_after")
+
+
+def _best_splits(x: DataFrame, min_leaf: int, w1: float, w0: float, ranges: int | None = None) -> list:
     """Best (feature, threshold) per open node, as a small aggregation."""
     long = x.select("node", "n", "pos", F.posexplode("x").alias("f", "v"))
     g = long.groupBy("node", "f", "v").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    fw = Window.partitionBy("node", "f")  # rows: distinct values of one feature in one node
-    cum = fw.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    g = (
-        g.withColumn("nl", F.sum("n").over(cum))
-        .withColumn("posl", F.sum("pos").over(cum))
-        .withColumn("nt", F.sum("n").over(fw))
-        .withColumn("post", F.sum("pos").over(fw))
-        .withColumn("v_next", F.lead("v").over(fw.orderBy("v")))
-    )
-    g = g.filter(F.col("v_next").isNotNull())
+    g = running_counts(g, ranges).filter(F.col("v_next").isNotNull())
 
     def weighted(n: Column, pos: Column) -> tuple[Column, Column]:
         return pos * F.lit(w1), (n - pos) * F.lit(w0)
@@ -314,8 +330,10 @@ def _best_splits(x: DataFrame, min_leaf: int, w1: float, w0: float) -> list:
     cand = g.filter((F.col("nl") >= min_leaf) & ((F.col("nt") - F.col("nl")) >= min_leaf)).select(
         "node", "f", thr.alias("thr"), gain.alias("gain"), wl.alias("wl"), wr.alias("wr"), imp_l.alias("imp_l"), imp_r.alias("imp_r")
     )
-    bw = Window.partitionBy("node").orderBy(F.col("gain").desc(), F.col("f").asc(), F.col("thr").asc())
-    return cand.withColumn("_r", F.row_number().over(bw)).filter("_r = 1").drop("_r").collect()
+    # the greatest gain, then the first feature, then the lowest threshold
+    order = F.struct(F.col("gain"), (-F.col("f")).alias("f"), (-F.col("thr")).alias("thr"))
+    best = cand.groupBy("node").agg(F.max(F.struct(order.alias("o"), "thr", "wl", "wr", "imp_l", "imp_r", "f")).alias("b"))
+    return best.select("node", "b.*").drop("o").collect()
 
 
 def importance_rules(tree: Tree) -> list[tuple[str, float]]:

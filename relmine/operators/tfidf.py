@@ -12,8 +12,8 @@ Two physical forms give the same weights:
   exchange, so no term row is shuffled;
 * larger groups: terms are counted with partial aggregation, ranked in two
   stages, and joined to the documents' terms by (group, term). Those counts
-  say how many rows meet at each key: a key of more than ``HOT_ROWS`` is dealt
-  to as many parts as it needs, no other row is salted or replicated.
+  say how many rows meet at each key, so hot keys are dealt to as many parts
+  as they need and no other row is salted or replicated.
 
 Whether there are larger groups at all is looked up first (one row), so that
 their plan is only built where it is needed.
@@ -26,13 +26,12 @@ from pyspark.sql import functions as F
 
 from relmine.functions import text as T
 from relmine.functions.tfidf import MAX_FEATURES
+from relmine.operators.skew import dealt_join
 from relmine.session import cut_lineage
 from relmine.sources.schemas import require
 
 GROUP_DOCS = 256  # documents of a group that is gathered as a whole, at most
 CAP_BUCKETS = 64  # first stage of the vocabulary cap
-HOT_ROWS = 100_000  # rows of one (group, term) that one part takes
-MOST_HOT = 10_000  # hottest keys whose parts are broadcast; each further one has fewer rows than these
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -99,19 +98,13 @@ def small_weights(dealt: DataFrame, max_features: int = MAX_FEATURES) -> DataFra
     return normalised(rows.select("gid", "n", "_d.row", "term", "rank", (F.col("_d.tf") * F.col("idf")).alias("w")))
 
 
-def large_weights(docs: DataFrame, max_features: int = MAX_FEATURES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def large_weights(docs: DataFrame, max_features: int = MAX_FEATURES, hot_rows: int | None = None) -> DataFrame:
     """``gid, n, row, term, rank, w`` of documents of larger groups."""
     terms = docs.select("gid", "n", "row", F.explode("tc").alias("_t")).select("gid", "n", "row", "_t.term", "_t.tf")
     counts = terms.groupBy("gid", "n", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     kept = cut_lineage(top_terms(counts, max_features))  # at most max_features rows for more than GROUP_DOCS documents
-    parts = F.ceil(F.col("df") / F.lit(float(hot_rows))).cast("int")
-    hot = kept.filter(F.col("df") > hot_rows).orderBy(F.desc("df")).limit(MOST_HOT).select("gid", "term", parts.alias("parts"))
-    part = F.pmod(F.xxhash64("row"), F.coalesce(F.col("parts"), F.lit(1))).cast("int")
-    rows = terms.join(F.broadcast(hot), ["gid", "term"], "left").withColumn("part", part).drop("parts", "n")
-    each = kept.join(F.broadcast(hot), ["gid", "term"], "left")
-    each = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
-    each = each.select("gid", "n", "term", "part", "rank", idf(F.col("n"), F.col("df")).alias("idf"))
-    joined = rows.join(each, ["gid", "term", "part"])
+    each = kept.select("gid", "n", "term", "rank", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+    joined = dealt_join(terms.drop("n"), each, ["gid", "term"], "df", "row", hot_rows)
     return normalised(joined.select("gid", "n", "row", "term", "rank", (F.col("tf") * F.col("idf")).alias("w")))
 
 

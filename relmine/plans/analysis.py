@@ -2,12 +2,13 @@
 
 ``full_analysis`` returns lazy DataFrames; only the risk tree fit runs jobs
 (a few small aggregations over the compressed feature table). ``write``
-materialises everything through the sinks.
+materialises everything through the sinks and collects the summary's values
+while the tables are written, so that each chain runs once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relmine.operators import consistency as SC
@@ -37,18 +38,18 @@ def full_analysis(
     queries = RR.score(SC.analyze(queries, S.conversation_samples(spark, sf_dir)), tree)
     rag = FG.faithfulness(S.document_pairs(spark, sf_dir))
     drift = DR.label_sequences(S.event_sequences(spark, sf_dir), ["user_id"], ["ts", "event_id"], threshold=drift_threshold)
-    return {
+    results = {
         "query_analysis": queries,
         "risk_rules": rules.select("rule", "confidence", "support", "n_matches"),
         "rag_faithfulness": rag,
         "drift_analysis": drift,
-        "summary": summary(queries, rules, rag, drift),
     }
+    return {**results, "summary": summary(results)}
 
 
-def summary(queries: DataFrame, rules: DataFrame, rag: DataFrame, drift: DataFrame) -> DataFrame:
-    """EV9: the run report as ``(section, metric, value)`` rows. Each source
-    is aggregated once; its one row then gives the sections."""
+def report() -> dict[str, dict[tuple[str, str], Column]]:
+    """EV9: the values of the run report, as plain aggregates of each result
+    table, by (section, metric)."""
     label, comp = F.col("is_hallucination"), F.col("composite_consistency")
     lo, hi = SC.BANDS
     total = F.count(F.lit(1))
@@ -71,24 +72,38 @@ def summary(queries: DataFrame, rules: DataFrame, rag: DataFrame, drift: DataFra
         ("faithfulness_accuracy", "accuracy"): F.avg((F.col("predicted_faithful") == known).cast("double")),
         ("faithfulness_accuracy", "n_labelled"): F.count(known),
     }
-    stats, turns = RR.rule_stats(rules), DR.drift_summary(drift, ["user_id"])
-    return EV.run_summary(
-        [
-            EV.report_rows(queries, prompts),
-            EV.report_rows(stats, {("rules", c): F.max(c) for c in stats.columns}),
-            EV.report_rows(rag, pairs),
-            EV.report_rows(turns, {("drift", c): F.max(c) for c in turns.columns}),
-        ]
-    )
+    first = F.col("sentence_idx") == 0  # one row of each sequence
+    turns = {
+        ("drift", "responses"): F.count_if(first),
+        ("drift", "responses_with_drift"): F.count_if(first & F.col("detected_drift_point").isNotNull()),
+        ("drift", "sentence_accuracy"): F.avg(F.col("prediction_correct").cast("double")),
+    }
+    rules = {("rules", "n_rules"): total, ("rules", "best_confidence"): F.max("confidence")}
+    return {"query_analysis": prompts, "risk_rules": rules, "rag_faithfulness": pairs, "drift_analysis": turns}
+
+
+def summary(results: dict[str, DataFrame]) -> DataFrame:
+    """EV9: the run report as ``(section, metric, value)`` rows; each result
+    table is aggregated once."""
+    return EV.run_summary([EV.report_rows(results[name], metrics) for name, metrics in report().items()])
 
 
-def write(results: dict[str, DataFrame], out_dir: str, fmt: str = "csv") -> dict[str, str]:
-    """S2 + S3: write every table (CSV with header by default, like the reference)."""
-    return sinks.write_results(results, out_dir, fmt)
+def write(results: dict[str, DataFrame], out_dir: str, fmt: str = "csv", run: str | None = None) -> dict[str, str]:
+    """S2 + S3: write every table (CSV with header by default, like the
+    reference). The summary is made of what is observed meanwhile. With a
+    ``run`` id, a run that was ended is taken up where it was left."""
+    spark = results["query_analysis"].sparkSession
+    rows: list[tuple[str, str, float | None]] = []
+    for name, metrics in report().items():
+        seen = sinks.write_observed(results[name], out_dir, name, fmt, {".".join(m): c for m, c in metrics.items()}, run=run)
+        rows += [(section, metric, seen.get(f"{section}.{metric}")) for section, metric in metrics]
+    said = spark.createDataFrame(rows, "section string, metric string, value double")
+    sinks.write_observed(said.coalesce(1), out_dir, "summary", fmt, run=run)
+    return {name: f"{out_dir.rstrip('/')}/{name}" for name in [*report(), "summary"]}
 
 
 def main(argv: list[str] | None = None) -> None:
-    """``python -m relmine.plans.analysis SF_DIR OUT_DIR [--format csv|parquet]``
+    """``python -m relmine.plans.analysis SF_DIR OUT_DIR [--format csv|parquet] [--run ID]``
 
     Runs the full analysis on the tables in SF_DIR, writes every result table
     under OUT_DIR (a shared folder on a cluster) and prints the run summary.
@@ -101,13 +116,14 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("sf_dir")
     ap.add_argument("out_dir")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
+    ap.add_argument("--run", help="id of the run; given again, only missing tables are written")
     ap.add_argument("--min-support", type=float, default=RR.MIN_SUPPORT)
     ap.add_argument("--min-confidence", type=float, default=RR.MIN_CONFIDENCE)
     ap.add_argument("--drift-threshold", type=float, default=DR.DRIFT_THRESHOLD)
     args = ap.parse_args(argv)
     spark = get_session()
     results = full_analysis(spark, args.sf_dir, args.min_support, args.min_confidence, args.drift_threshold)
-    paths = write(results, args.out_dir, args.format)
+    paths = write(results, args.out_dir, args.format, args.run)
     for row in spark.read.format(args.format).option("header", True).load(paths["summary"]).collect():
         print(f"{row['section']:>22}  {row['metric']:<22} {row['value']}")
 

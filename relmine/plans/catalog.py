@@ -414,6 +414,24 @@ def eval_rate_by_feature(spark: SparkSession, sf: str) -> DataFrame:
     return EV.rate_by_feature(_document_prompt_features(spark, sf))
 
 
+@register(
+    "eval_feature_pivot",
+    f"""WITH long AS (
+          SELECT is_hallucination AS y, unnest([
+            {{'feature': 'demands_numeric', 'value': demands_numeric::VARCHAR}},
+            {{'feature': 'has_temporal_ref', 'value': has_temporal_ref::VARCHAR}},
+            {{'feature': 'asks_about_person', 'value': asks_about_person::VARCHAR}},
+            {{'feature': 'asks_for_list', 'value': asks_for_list::VARCHAR}}]) AS f
+          FROM ({_DOC_PROMPTS_SQL})),
+        flat AS (SELECT f.feature AS feature, f.value AS value, y FROM long WHERE f.value IS NOT NULL AND y IS NOT NULL)
+        SELECT feature, value, "false" AS n_false, "true" AS n_true
+        FROM (PIVOT flat ON y IN (false, true) USING count(*) GROUP BY feature, value)""",
+)
+def eval_feature_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """EV3, wide: rows per feature value by label."""
+    return EV.feature_pivot(_document_prompt_features(spark, sf))
+
+
 _SWEEP_SQL = Q.threshold_sweep(_SC_OUT, "composite_consistency", "is_hallucination")
 
 

@@ -31,8 +31,22 @@ def read(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None =
     return reader.format(fmt).load(path)
 
 
+TEXT_TABLES = ("documents", "conversations")
+SPREAD_BYTES = 256 << 20  # a smaller table of texts may be a single row group, which is one task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of the driver's. Small tables of texts are dealt evenly to all
+    cores, since the work on them is in reading the texts; larger ones are
+    read in as many tasks as they have splits, without an exchange."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES and _stored_bytes(df) < SPREAD_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
+def _stored_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 # ---------------------------------------------------------------- rag pairs

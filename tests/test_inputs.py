@@ -1,6 +1,7 @@
 """Caller's indices, repeated ids, column types, files, sessions, restarts."""
 
 import glob
+import os
 import subprocess
 import sys
 import tempfile
@@ -138,6 +139,7 @@ def test_file_streams_need_a_stable_folder(spark):
         monitor.start(stream, path=tempfile.mkdtemp(prefix="relmine-stream-out-"))
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 RESTART = """
 import sys
 from relmine.session import get_session
@@ -156,6 +158,6 @@ def test_restarted_stream_writes_no_row_twice(spark):
     for part in range(2):  # two applications, the second with one more file
         rows = [(part * 10 + i, 1, "context 5", f"response {i}") for i in range(4)]
         spark.createDataFrame(rows, monitor.RAG_SCHEMA).coalesce(1).write.mode("append").parquet(source)
-        subprocess.run([sys.executable, "-c", textwrap.dedent(RESTART), shared, source, out], check=True, timeout=200, cwd=sys.path[0] or ".")
+        subprocess.run([sys.executable, "-c", textwrap.dedent(RESTART), shared, source, out], check=True, timeout=200, cwd=ROOT)
     assert spark.read.parquet(out).count() == spark.read.parquet(source).count() == 8
     assert glob.glob(f"{shared}/streams/restart/offsets/*")

@@ -1,21 +1,31 @@
 """Operator 6: toxicity by nearest labelled examples.
 
-Fitting uses a bounded sample of labelled rows (``SAMPLE`` of those outside
-the held-out fold, in order of a hash of their id). All its words are terms;
-inverse document frequencies are counted over all documents. Words and word
-beginnings that go with the label by a chi-squared test weigh more. The
-sample's TF-IDF vectors form an inverted index, with whole rows for frequent
-terms; a query adds up all of its terms, so the k nearest examples by cosine
-are exact. Words that no example has are in no vector.
+Examples are a bounded sample of labelled rows outside the held-out fold:
+``SAMPLE`` of them in order of a hash of their id, texts of more than
+``EXAMPLE_CHARS`` code points left out. Terms are stems, a word's first
+``STEMS`` letters (a word that is shorter gives none), so that words with
+different endings meet. Document frequencies are counted over all documents;
+a term weighs (1 + ln tf) * min(idf ** ``POWER``, ``MOST_IDF``), vectors have
+length 1, and the likeness of two texts is their cosine.
+
+The examples' vectors form a block-max inverted index: similar examples lie
+side by side in blocks of ``BLOCK``, and next to its postings each term keeps
+its largest weight in each block. A query adds up these maxima to a bound for
+every block, scores the blocks of the highest bounds, and then only those
+whose bound reaches the k-th best score; the k nearest are exact.
 
 Their votes, weighted by distance, are calibrated by isotonic regression on
-the sample, each example judged by the others. A text without any term gets
-the smoothed share of toxic examples among such texts. Only texts and, for the fold,
-ids of labelled rows are read; lang, source and labels of scored rows are not.
+the sample, each example judged by the others (in tasks). A text without
+terms gets the smoothed share of toxic examples among such texts. Stems,
+power, limit and number of neighbours were chosen on training rows outside
+the sample; the held-out fold had no part in it. Only texts and, for the fold
+and the join with labels, ids are read; lang, source and labels of scored rows
+are not.
 
 Scoring is row-local. Defined cases: null and empty texts are texts without
 terms; rows that repeat get equal results; labels without a text, or null,
-are not used; without labels every score is the smoothed prior; an empty
+are not used; an id that repeats in either table gives one example per row
+within the bound; without labels every score is the smoothed prior; an empty
 table gives an empty result; extra columns stay.
 """
 
@@ -26,35 +36,29 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relmine.llm.common import documents, text_of, written
+from relmine.llm.common import documents, free_name, text_of, written
 
-SAMPLE = 12_000  # labelled rows used to fit, at most
-TERMS = 512  # terms that weigh more, at most
-LEAST_EXAMPLES, LEAST_CHI2 = 5, 30.0  # that a term occurs in; of a term
-STEM_FROM, STEM_TO = 3, 8  # characters of a word beginning
+SAMPLE = 4_000  # labelled rows used to fit, at most
+EXAMPLE_CHARS = 20_000  # code points of an example, at most: with SAMPLE, the bound of the index
+STEMS = (4, 5)
+POWER, MOST_IDF = 2, 30.0
 NEIGHBOURS = 15
-DENSE = 8  # a term of every eighth example or more is frequent
-EXTRA = 12.0  # weight of a term that goes with the label, beside its frequency's
+BLOCK = 64  # examples of a block
+FIRST_BLOCKS = 3  # blocks that are scored before the k-th best is known
 NEAR, PRIOR_WEIGHT = 0.1, 0.2  # softens the weight 1 / distance; weight of the prior
 WORD = re.compile(r"[^\W\d_]+")
-CACHED = 300_000
+CACHED = 300_000  # words whose terms a task remembers
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
-def candidates(word: str) -> list[str]:
-    """The word and its beginnings, marked by a star."""
-    return [word, *(f"{word[:n]}*" for n in range(STEM_FROM, min(len(word), STEM_TO + 1)))]
+def stems(word: str) -> list[str]:
+    return [word[:n] for n in STEMS if len(word) >= n]
 
 
 class Terms(dict):
@@ -67,54 +71,81 @@ class Terms(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHED:
             self.clear()
-        self[word] = found = tuple(self.number[t] for t in candidates(word) if t in self.number)
+        self[word] = found = tuple(self.number[t] for t in stems(word) if t in self.number)
         return found
 
-    def counts(self, text: str) -> dict[int, int]:
-        out: Counter = Counter()
-        for found in filter(None, map(self.__getitem__, words_of(text))):
-            out.update(found)
-        return dict(sorted(out.items()))
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Rising numbers of a text's terms, and how often each occurs."""
+        found = [t for terms in map(self.__getitem__, WORD.findall(text.lower())) for t in terms]
+        return np.unique(np.array(found, np.int64), return_counts=True)
+
+
+def weighted(counts: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A vector of length 1: its terms and weights."""
+    terms, n = counts
+    weights = (1 + np.log(n)) * idf[terms]
+    return terms, weights / np.sqrt((weights * weights).sum())
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each span, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
 
 
 class Index:
-    """Exact nearest examples by cosine. ``vectors``: term counts of each
-    example; ``idf``: a weight per term."""
-
-    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list[int], idf: np.ndarray):
-        self.idf, self.ids, self.labels = idf, list(ids), np.array(labels, dtype=np.float64)
-        self.vectors = [self.weighted(v) for v in vectors]
-        terms = np.concatenate([t for t, _ in self.vectors])
-        at = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in self.vectors])
-        order = np.argsort(terms, kind="stable")
-        self.places, self.weights = at[order].astype(np.int32), np.concatenate([w for _, w in self.vectors])[order]
-        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1)).tolist()
-        # terms of many examples have a weight for each
-        self.rows = {}
-        for t in np.flatnonzero(np.diff(self.starts) * DENSE >= len(vectors)).tolist():
-            self.rows[t] = row = np.zeros(len(vectors))
-            row[self.places[self.starts[t] : self.starts[t + 1]]] = self.weights[self.starts[t] : self.starts[t + 1]]
-
-    def weighted(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(list(counts), dtype=np.int64)
-        weights = (1 + np.log(np.array(list(counts.values()), dtype=np.float64))) * self.idf[terms]
-        return terms, weights / np.sqrt((weights * weights).sum())
+    """Block-max inverted index over vectors of length 1."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        held = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=n_terms)
+        # examples by their heaviest term of those that some others have
+        heaviest = [int(t[np.argmax(w * (held[t] >= BLOCK // 8))]) for t, w in vectors]
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (heaviest[i], i)))
+        self.place = np.argsort(self.order)
+        sizes = [len(vectors[i][0]) for i in self.order]
+        terms = np.concatenate([vectors[i][0] for i in self.order])
+        weights = np.concatenate([vectors[i][1] for i in self.order])
+        at = np.repeat(np.arange(len(vectors)), sizes)
+        by = np.argsort(terms, kind="stable")  # postings of a term by place
+        terms, self.places, self.weights = terms[by], at[by].astype(np.int32), weights[by].astype(np.float32)
+        # an entry for each term and block that meet
+        block = self.places // BLOCK
+        entry = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(block, prepend=-1))
+        self.blocks = block[entry].astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, entry)
+        self.first = np.append(entry, len(terms)).astype(np.int32)  # postings of an entry
+        self.entries = np.searchsorted(terms[entry], np.arange(n_terms + 1)).astype(np.int32)  # entries of a term
+        self.n, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """(similarity, example) of the k nearest with a term in common,
-        ties by position; ``without`` leaves one example out."""
-        rare = [(self.starts[t], self.starts[t + 1], w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True) if t not in self.rows]
-        scores = np.zeros(len(self.ids))
-        if rare:
-            places = np.concatenate([self.places[a:b] for a, b, _ in rare])
-            scores += np.bincount(places, np.concatenate([w * self.weights[a:b] for a, b, w in rare]), len(scores))
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            if t in self.rows:
-                scores += w * self.rows[t]
-        if without >= 0:
-            scores[without] = 0
-        scores = scores.round(12)
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0
+        """(cosine, example) of the k nearest with a term in common, ties by
+        example; ``without`` leaves one example out."""
+        sizes = self.entries[terms + 1] - self.entries[terms]
+        entry = spans(self.entries[terms], sizes)
+        weight = np.repeat(weights, sizes)
+        block = self.blocks[entry]
+        bound = np.bincount(block, weight * self.most[entry], self.n_blocks)
+        scores = np.zeros(self.n_blocks * BLOCK)
+
+        def score(these: np.ndarray) -> None:
+            mine = these[block]
+            e = entry[mine]
+            count = self.first[e + 1] - self.first[e]
+            posting = spans(self.first[e], count)
+            added = np.repeat(weight[mine], count) * self.weights[posting]
+            scores[:] += np.bincount(self.places[posting], added, len(scores))
+            if without >= 0:
+                scores[self.place[without]] = 0
+
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        score(chosen)
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        more = (bound >= least - 1e-9) & (bound > 0) & ~chosen
+        if more.any():
+            score(more)
+        scores = scores[self.place].round(9)
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
         near = np.flatnonzero((scores >= least) & (scores > 0))
         near = near[np.argsort(-scores[near], kind="stable")[:k]]
         return list(zip(scores[near].tolist(), near.tolist(), strict=True))
@@ -136,96 +167,93 @@ def isotonic(votes: list[float], labels: list[int], prior: float) -> tuple[np.nd
 
 
 class Model:
-    """Terms, index and calibration; pickled to the tasks, bounded by
-    ``SAMPLE`` examples and their words."""
+    """Terms, index and calibration. It is sent to the tasks; ``SAMPLE``
+    examples of ``EXAMPLE_CHARS`` bound its size."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, sample: list[tuple[int, dict[int, int], int]]):
-        self.terms = Terms(terms)
+    def __init__(self, terms: list[str], idf: np.ndarray, sample: list[tuple[int, tuple[np.ndarray, np.ndarray], int]]):
+        self.names, self.idf = terms, idf
         self.prior = (sum(y for _, _, y in sample) + 0.1) / (len(sample) + 1)
-        empty = [y for _, v, y in sample if not v]
+        empty = [y for _, (t, _), y in sample if not len(t)]
         self.blank = (sum(empty) + self.prior) / (len(empty) + 1)
-        held = [s for s in sample if s[1]]
-        self.index = Index([v for _, v, _ in held], [y for _, _, y in held], [i for i, _, _ in held], idf) if held else None
+        held = [s for s in sample if len(s[1][0])]
+        self.ids, self.labels = [i for i, _, _ in held], np.array([y for _, _, y in held], np.float64)
+        self.index = Index([weighted(v, idf) for _, v, _ in held], len(terms)) if held else None
         self.steps = self.shares = None
-        if self.index:
-            votes = [self.vote(self.index.nearest(t, w, without=at)) for at, (t, w) in enumerate(self.index.vectors)]
-            self.steps, self.shares = isotonic(votes, self.index.labels.astype(int).tolist(), self.prior)
-        self.seen: dict = {}
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "terms"}
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if not hasattr(self, "terms"):
+            self.terms = Terms(self.names)
+        return self.terms.counts(text)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = [s / (1 - s + NEAR) for s, _ in near]
-        toxic = sum(w * self.index.labels[at] for w, (_, at) in zip(weights, near, strict=True))
-        return (toxic + PRIOR_WEIGHT * self.prior) / (sum(weights) + PRIOR_WEIGHT)
+        toxic = sum(w * self.labels[at] for w, (_, at) in zip(weights, near, strict=True))
+        return float((toxic + PRIOR_WEIGHT * self.prior) / (sum(weights) + PRIOR_WEIGHT))
 
     def judge(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
         """The score and the neighbours (id, similarity, label)."""
-        counts = self.terms.counts(text)
-        if not counts or self.index is None:
-            return (self.blank if self.index else self.prior), []
-        key = xxhash.xxh3_128_digest(text.encode())
-        if key not in self.seen:
-            near = self.index.nearest(*self.index.weighted(counts))
-            vote = self.vote(near)
-            share = self.shares[min(int(np.searchsorted(self.steps, vote)), len(self.shares) - 1)]
-            # equal shares keep the order of their votes
-            score = min(1.0, max(0.0, 0.99 * float(share) + 0.01 * vote))
-            if len(self.seen) >= 4_000:
-                self.seen.clear()
-            self.seen[key] = score, [(self.index.ids[at], s, int(self.index.labels[at])) for s, at in near]
-        return self.seen[key]
-
-
-def _choose_terms(sample: DataFrame) -> list[str]:
-    """Terms by chi-squared over the sample (``text``, ``toxic``). Tasks
-    count their own share first."""
-
-    def count(batches):
-        held: dict[str, list[int]] = {}
-
-        def out():
-            table = [pa.array(list(held)), pa.array([n[0] for n in held.values()], pa.int64()), pa.array([n[1] for n in held.values()], pa.int64())]
-            return pa.RecordBatch.from_arrays(table, ["term", "clean", "toxic"])
+        if self.index is None:
+            return self.prior, []
+        counts = self.counts(text)
+        if not len(counts[0]):
+            return self.blank, []
+        near = self.index.nearest(*weighted(counts, self.idf))
+        vote = self.vote(near)
+        share = self.shares[min(int(np.searchsorted(self.steps, vote)), len(self.shares) - 1)]
+        # equal shares keep the order of their votes
+        score = min(1.0, max(0.0, 0.99 * float(share) + 0.01 * vote))
+        return score, [(self.ids[at], s, int(self.labels[at])) for s, at in near]
+
+
+def _vocabulary(sample: DataFrame) -> list[str]:
+    """Every term of the sample; its rows and their texts are bounded."""
 
+    def run(batches):
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                for term in {c for w in set(words_of(text.as_py())) for c in candidates(w)}:
-                    held.setdefault(term, [0, 0])[label] += 1
-                if len(held) > CACHED:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
-
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
-    if not clean or not toxic:
-        return []
-    counts = sample.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long")
-    counts = counts.groupBy("term").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a")).filter(F.col("a") + F.col("b") >= LEAST_EXAMPLES)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d, n = toxic - a, clean - b, float(toxic + clean)
-    chi2 = n * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * toxic * clean, F.lit(1e-9))
-    ranked = counts.withColumn("chi2", chi2).filter((F.col("chi2") >= LEAST_CHI2) & (a * clean > b * toxic))
-    rows = [(r["term"], r["a"], r["b"]) for r in ranked.orderBy(F.desc("chi2"), F.desc(F.length("term")), "term").limit(4 * TERMS).collect()]
-    # a beginning that occurs exactly where a longer term does says no more
-    longest: dict[tuple, list[str]] = {}
-    out = []
-    for term, a, b in rows:
-        same = longest.setdefault((a, b), [])
-        if not (term.endswith("*") and any(t.startswith(term[:-1]) for t in same)):
-            same.append(term)
-            out.append(term)
-    return out[:TERMS]
+            words = {w for t in batch.column("text") for w in WORD.findall(t.as_py().lower())}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({s for w in words for s in stems(w)}), pa.string())], ["term"])
 
+    return sorted(sample.select("text").mapInArrow(run, "term string").distinct().toArrow()["term"].to_pylist())
 
-def _vocabulary(sample: DataFrame) -> list[str]:
-    """Every word of the sample; its rows are bounded."""
+
+def _frequencies(texts: DataFrame, terms: list[str]) -> np.ndarray:
+    """Of each term the number of texts that have it, and at last the number
+    of texts; a task sends one row per term that it has seen."""
 
     def run(batches):
+        held, seen = Terms(terms), np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column("text") for w in words_of(t.as_py())}), pa.string())], ["word"])
+            for t in batch.column("text"):
+                seen[held.counts(t.as_py())[0]] += 1
+                seen[-1] += 1
+        term = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(seen[term], pa.int64())], ["term", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(len(terms) + 1)
+    found[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    return found
+
 
-    return sample.select("text").mapInArrow(run, "word string").distinct().toArrow()["word"].to_pylist()
+def _votes(sample: DataFrame, model: Model) -> list[tuple[float, int]]:
+    """(vote, label) of each example that has terms, judged by the others.
+    An example is known by its place in the sample."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = sent.value
+        for batch in batches:
+            votes = []
+            for at, text in zip(batch.column("at").to_pylist(), batch.column("text"), strict=True):
+                vector = weighted(m.counts(text.as_py()), m.idf)
+                votes.append(m.vote(m.index.nearest(*vector, without=at)))
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(votes, pa.float64())], ["at", "vote"])
+
+    rows = sample.mapInArrow(run, "at long, vote double").toArrow()
+    return [(v, int(model.labels[at])) for at, v in zip(rows["at"].to_pylist(), rows["vote"].to_pylist(), strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -235,37 +263,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = chosen.filter(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(SAMPLE))  # bounded
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("text"))
-    sample = written(texts.join(chosen, "_id"), "toxic-sample")
-    chosen = _choose_terms(sample)
-    kept = set(chosen)
-    terms = [*chosen, *sorted(w for w in _vocabulary(sample) if w not in kept)]
-
-    def vectors(batches):
-        held = Terms(terms)
-        for batch in batches:
-            counts = [held.counts(t.as_py()) for t in batch.column("text")]
-            lists = pa.list_(pa.int64())
-            columns = [batch.column("_id"), batch.column("toxic"), pa.array([list(c) for c in counts], lists), pa.array([list(c.values()) for c in counts], lists)]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "toxic", "terms", "counts"])
-
-    def frequencies(batches):
-        held, seen, n = Terms(terms), Counter(), 0
-        for batch in batches:
-            for t in batch.column("text"):
-                seen.update(held.counts(t.as_py()).keys())
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int64()), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
-
-    shape = "_id long, toxic int, terms array<long>, counts array<long>"
-    rows = sample.mapInArrow(vectors, shape).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(4 * SAMPLE).toArrow()
-    found = np.zeros(len(terms) + 1)  # the last one counts the documents
-    if terms:
-        counted = texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        found[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    idf = 1 + np.log((1 + found[-1]) / (1 + found[:-1]))
-    idf[: len(chosen)] *= EXTRA
-    held = [dict(zip(t.as_py(), n.as_py(), strict=True)) for t, n in zip(rows["terms"], rows["counts"], strict=True)]
-    return Model(terms, idf, list(zip(rows["_id"].to_pylist(), held, rows["toxic"].to_pylist(), strict=True)))
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("toxic"), F.xxhash64("text")]
+    few = texts.join(chosen, "_id").filter(F.length("text") <= EXAMPLE_CHARS).orderBy(*order).limit(SAMPLE)
+    sample = written(few, "toxic-sample")
+    terms = _vocabulary(sample)
+    found = _frequencies(texts, terms)
+    idf = np.minimum((1 + np.log((1 + found[-1]) / (1 + found[:-1]))) ** POWER, MOST_IDF)
+    counter = Terms(terms)
+    rows = sorted(sample.collect(), key=lambda r: (r["_id"], r["toxic"], r["text"]))  # SAMPLE texts of EXAMPLE_CHARS
+    vectors = [(r["_id"], counter.counts(r["text"]), r["toxic"]) for r in rows]
+    model = Model(terms, idf, vectors)
+    if model.index:
+        held = [(at, text) for at, text in enumerate(r["text"] for r, (_, (t, _), _) in zip(rows, vectors, strict=True) if len(t))]
+        spark = docs.sparkSession
+        own = spark.createDataFrame(pa.table({"at": [at for at, _ in held], "text": [text for _, text in held]}))
+        votes = _votes(own.repartition(max(1, min(len(held) // 200, spark.sparkContext.defaultParallelism * 4))), model)
+        model.steps, model.shares = isotonic([v for v, _ in votes], [y for _, y in votes], model.prior)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
@@ -273,7 +287,7 @@ def scored(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
     (``doc_id``, ``similarity``, ``toxic``) in ``evidence``; columns of those
     names are replaced."""
     added = ["score", *["evidence"] * evidence]
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     schema = kept.withColumn("score", F.lit(0.0))
     if evidence:
         schema = schema.withColumn("evidence", F.expr("cast(array() as array<struct<doc_id:bigint,similarity:double,toxic:int>>)"))
@@ -294,8 +308,12 @@ def scored(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those that score at least ``least``."""
-    score = scored(docs, fit(docs, labels), evidence=False)
-    return score.filter(F.col("score") < least).select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"])
+    model = fit(docs, labels)
+    name = free_name(docs.columns, "toxicity")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct(*kept).alias(name), F.col("text"))  # so that no column of theirs is replaced
+    score = scored(own, model, evidence=False)
+    return score.filter(F.col("score") < least).select(*[F.col(f"`{name}`.`{c}`") for c in docs.columns])
 
 
 def op6_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

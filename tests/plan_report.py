@@ -21,7 +21,7 @@ def main(argv):
 
     spark = get_session("local[8]", **{"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"})
     from relmine import session
-    from relmine.operators import consistency, rules, sequence
+    from relmine.operators import consistency, rules, sequence, tfidf
     from relmine.plans import catalog
 
     # plans of what is checkpointed on the way belong to the query
@@ -31,7 +31,7 @@ def main(argv):
         before.append(df._jdf.queryExecution().executedPlan().toString())
         return session.cut_lineage(df, spark)
 
-    for module in (consistency, rules, sequence):
+    for module in (consistency, rules, sequence, tfidf):
         module.cut_lineage = kept
 
     lines = [

@@ -122,3 +122,56 @@ def test_low_ranks_are_enough(spark, monkeypatch):
     some = {r["i"]: r["f"] for r in omh.fingerprinted(df, "x", "f").collect()}
     monkeypatch.setattr(omh, "ENOUGH", 1 << 40)
     assert some == {r["i"]: r["f"] for r in omh.fingerprinted(df, "x", "f").collect()}
+
+
+def fingerprint_by_force(text):
+    """A fingerprint in plain Python: every k-mer ranked, bin by bin."""
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def hashed(*parts, seed=42):
+        for p in parts:
+            data = p if isinstance(p, bytes) else p[0].to_bytes(p[1], "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed=seed)
+        return signed(seed)
+
+    seen, ranked = {}, []
+    for i in range(len(text)):
+        high = hashed(text[i : i + 8].encode()) >> 32
+        n = seen[high] = seen.get(high, 0) + 1
+        if n > 1:  # further occurrences are hashed anew with their number
+            ranked.append((hashed((high, 8), (n - 1, 4)) >> 32, i))
+        else:
+            ranked.append((high, i))
+    bins = {}
+    for high, i in sorted(ranked):
+        bins.setdefault((high >> 26) & 63, []).append((high, i))
+    out = []
+    for b, held in bins.items():  # in the order of signed numbers
+        pair = sorted(held[:2], key=lambda x: x[1])
+        out.append("%08x" % (b << 26 | hashed(*[(h, 8) for h, _ in pair]) & ((1 << 26) - 1)))
+    return "".join(out)
+
+
+def test_fingerprints_by_force(spark):
+    r = random.Random(12)
+    texts = ["", "a", "abc" * 4, "of " * 500, "é中😀 ñ" * 30, words(30, 1), words(900, 2), "x" * 5000, "".join(r.choice("ab\n") for _ in range(2000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, x string")
+    got = {row["i"]: row["f"] for row in omh.fingerprinted(df, "x", "t").select("i", omh.as_text("t").alias("f")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == fingerprint_by_force(text), i
+
+
+def test_whole_table_by_force(spark, sf_dir):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in as_rows(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    got = {r["doc_id"]: r for r in as_rows(omh.op2_order_minhash(spark, sf_dir))}
+    for n, (i, text) in enumerate(rows):
+        following = rows[(n + 1) % len(rows)][1]
+        quarter = len(text) // 4
+        own, changed = fingerprint_by_force(text), fingerprint_by_force(text[: len(text) - quarter] + following[:quarter])
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (own, changed)
+        a, b = ({f[k : k + 8] for k in range(0, len(f), 8)} for f in (own, changed))
+        filled = {int(x, 16) >> 26 for x in a | b}
+        assert got[i]["near_edited"] == (len(a & b) / len(filled) if filled else 1.0)

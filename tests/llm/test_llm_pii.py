@@ -76,3 +76,26 @@ def test_whole_table(spark, sf_dir):
     for r in as_rows(pii.op5_personal_data(spark, sf_dir)):
         want = ",".join(f"{k}:{s}:{e}" for k, s, e in base_plain(texts[r["doc_id"]]))
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_account_numbers_end_where_their_country_says():
+    for follows in ("", " now", " NOW", " NOW AND", ".", " 12"):
+        text = "to ES91 2100 0418 4502 0005 1332" + follows
+        assert [s[:3] for s in pii.find_spans(text) if s[0] == "iban"] == [("iban", 3, 32)], follows
+    assert not pii.find_spans("ES91 2100 0418 4502 0005 1333") and not pii.find_spans("ES91210004184502000513321")
+    both = "DE89370400440532013000 GB82 WEST 1234 5698 7654 32"
+    assert [both[s:e] for k, s, e, _ in pii.find_spans(both) if k == "iban"] == ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+
+
+def test_context_decides_what_is_masked(spark):
+    texts = ["server 10.0.0.1 up", "since version 10.0.0.1 of it", "see 10.0.0.1 there", "server version 10.0.0.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def result(**options):
+        return [r["text"] for r in sorted(as_rows(pii.mask(df, **options)), key=lambda r: r["doc_id"])]
+
+    assert result() == ["server <IP> up", texts[1], "see <IP> there", "server version <IP>"]
+    assert result(least_score=0.7) == ["server <IP> up", texts[1], texts[2], "server version <IP>"]
+    assert result(least_score=0.2) == ["server <IP> up", "since version <IP> of it", "see <IP> there", "server version <IP>"]
+    scores = {r["doc_id"]: r["scores"] for r in as_rows(pii.digests(df))}
+    assert scores == {0: [0.8], 1: [0.3], 2: [0.6], 3: [0.8]}

@@ -66,18 +66,57 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def last_answer_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs for ``format_pairs`` from ``conv_id``, ``turn``, ``role``, ``text``:
+    a conversation up to its last assistant turn is chosen; rejected is the
+    same conversation with the partner's last assistant turn in that place.
+    Conversations 2i and 2i + 1 are partners; one whose partner is missing, or
+    either of which has no assistant turn, forms no pair. Of several
+    assistant rows of the last turn, the one with the greatest text counts as
+    the answer. Grows with the turns: each earlier turn is on both sides once.
+    """
+    clean = turns.filter("conv_id is not null").select(
+        F.col("conv_id").cast("long").alias("pair_id"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    answer = F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text")))
+    ends = clean.groupBy("pair_id").agg(answer.alias("end"), F.count(F.lit(1)).alias("n")).filter("end is not null")
+    partner = ends.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("end.text").alias("other"))
+    ends = ends.join(partner, "pair_id")
+    rows = looked_up(clean, ends.select("pair_id", "end", "n"), ["pair_id"], "n", clean.count())
+    is_answer = (F.col("turn") == F.col("end.turn")) & (F.col("role") == "assistant")
+    rows = rows.filter((F.col("turn") <= F.col("end.turn")) & (~is_answer | (F.col("text") == F.col("end.text"))))
+    sides = F.when(is_answer, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    chosen = rows.select("pair_id", F.explode(sides).alias("is_chosen"), "turn", "role", "text")
+    rejected = ends.select("pair_id", F.lit(False).alias("is_chosen"), F.col("end.turn").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    return chosen.unionByName(rejected)
+
+
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2i (chosen) and 2i + 1 (rejected) form pair i."""
-    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
-    pair, even = F.floor(F.col("conv_id") / 2).cast("long"), F.pmod("conv_id", F.lit(2)) == 0
-    return format_pairs(turns.select(pair.alias("pair_id"), even.alias("is_chosen"), "turn", "role", "text"))
+    """Each conversation with its last answer against its partner's."""
+    return format_pairs(last_answer_pairs(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")))
 
 
 ORACLE = r"""
-with sides as (
-  select cast(floor(conv_id / 2) as bigint) as pair_id, coalesce(turn, -1) as turn, coalesce(role, '') as role, coalesce(text, '') as text,
-         bool_or(conv_id % 2 = 0) as chosen, bool_or(conv_id % 2 <> 0) as rejected
-  from conversations where conv_id is not null group by all
+with clean as (
+  select conv_id as pair_id, coalesce(turn, -1) as turn, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null
+), answers as (
+  select pair_id, turn, text from clean where role = 'assistant'
+  qualify row_number() over (partition by pair_id order by turn desc, text desc) = 1
+), ends as (
+  select a.*, b.text as other from answers a join answers b on b.pair_id = xor(a.pair_id, 1)
+), both_sides as (
+  select c.*, not (c.turn = e.turn and c.role = 'assistant') as shared
+  from clean c join ends e using (pair_id)
+  where c.turn <= e.turn and (c.turn < e.turn or c.role <> 'assistant' or c.text = e.text)
+), sides as (
+  select pair_id, turn, role, text, bool_or(chosen) as chosen, bool_or(rejected) as rejected from (
+    select pair_id, turn, role, text, true as chosen, shared as rejected from both_sides
+    union all select pair_id, turn, 'assistant', other, false, true from ends
+  ) group by all
 ), pairs as (
   select pair_id, min(case when chosen <> rejected then turn end) as first from sides
   group by pair_id having bool_or(chosen) and bool_or(rejected)

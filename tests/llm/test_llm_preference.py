@@ -48,6 +48,34 @@ def test_common_prefix(spark):
     assert preference.format_pairs(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_pairs_by_last_answer(spark):
+    rows = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "a0"), (0, 2, "user", "more"), (0, 3, "assistant", "best"), (0, 4, "user", "bye"),
+        (1, 0, "user", "yo"), (1, 1, "assistant", "worst"),
+        (2, 0, "user", "no answer"), (3, 0, "assistant", "x"),  # a partner without an answer
+        (4, 0, "assistant", "alone"),
+        (6, 0, "user", "q"), (6, 1, "assistant", "same"), (7, 0, "user", "r"), (7, 1, "assistant", "same"),
+        (8, None, None, None), (8, 1, "assistant", "b"), (8, 1, "assistant", "c"), (8, 1, "tool", "t"), (9, 0, "assistant", None),
+        (0, 0, "user", "hi"), (None, 0, "assistant", "n"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {tuple(r.values())[:4] + (r["rendered"].split("\n")[1].removesuffix("<|end|>"),) for r in as_rows(preference.format_pairs(preference.last_answer_pairs(turns)))}
+    assert got == {
+        (0, "prompt", 0, "user", "hi"), (0, "prompt", 1, "assistant", "a0"), (0, "prompt", 2, "user", "more"),
+        (0, "chosen", 3, "assistant", "best"), (0, "rejected", 3, "assistant", "worst"),
+        (1, "prompt", 0, "user", "yo"), (1, "chosen", 1, "assistant", "worst"), (1, "rejected", 1, "assistant", "best"),
+        (6, "prompt", 0, "user", "q"), (6, "prompt", 1, "assistant", "same"), (7, "prompt", 0, "user", "r"), (7, "prompt", 1, "assistant", "same"),
+        (8, "prompt", -1, "", ""), (8, "chosen", 1, "assistant", "c"), (8, "chosen", 1, "tool", "t"), (8, "rejected", 1, "tool", "t"), (8, "rejected", 1, "assistant", ""),
+        (9, "chosen", 0, "assistant", ""), (9, "rejected", 0, "assistant", "c"),
+    }
+    assert preference.last_answer_pairs(turns.limit(0)).count() == 0
+
+
+def test_prompts_are_found(spark, sf_dir):
+    got = {r["section"]: r["count"] for r in as_rows(preference.op10_preference_pairs(spark, sf_dir).groupBy("section").count())}
+    assert got["prompt"] > got["chosen"] > 0 and got["rejected"] > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, sf_dir, name):
     r = compare(spark, duck_connect(sf_dir), name, queries.QUERIES[name], queries.ORACLE[name], sf_dir)

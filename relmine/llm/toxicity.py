@@ -2,8 +2,8 @@
 
 Examples are a bounded sample of labelled rows outside the held-out fold:
 ``SAMPLE`` of them in order of a hash of their id, texts of more than
-``EXAMPLE_CHARS`` code points left out. Terms are stems, a word's first
-``STEMS`` letters (a word that is shorter gives none), so that words with
+``EXAMPLE_CHARS`` code points left out. Terms are stems, a word's first four
+letters (``STEMS``; a word that is shorter gives none), so that words with
 different endings meet. Document frequencies are counted over all documents;
 a term weighs (1 + ln tf) * min(idf ** ``POWER``, ``MOST_IDF``), vectors have
 length 1, and the likeness of two texts is their cosine.
@@ -32,7 +32,7 @@ table gives an empty result; extra columns stay.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +41,18 @@ from pyspark.sql import functions as F
 
 from relmine.llm.common import documents, free_name, text_of, written
 
-SAMPLE = 4_000  # labelled rows used to fit, at most
+SAMPLE = 2_000  # labelled rows used to fit, at most
 EXAMPLE_CHARS = 20_000  # code points of an example, at most: with SAMPLE, the bound of the index
-STEMS = (4, 5)
+STEMS = (4,)  # letters of a stem; several lengths give several terms
 POWER, MOST_IDF = 2, 30.0
 NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
+LONG = 8  # a term of every eighth example or more has long postings
 FIRST_BLOCKS = 3  # blocks that are scored before the k-th best is known
 NEAR, PRIOR_WEIGHT = 0.1, 0.2  # softens the weight 1 / distance; weight of the prior
 WORD = re.compile(r"[^\W\d_]+")
-CACHED = 300_000  # words whose terms a task remembers
+PUNCTUATION = ".,;:!?'\"()"  # of no word
+CACHED = 300_000  # strings whose terms a task remembers
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -62,22 +64,27 @@ def stems(word: str) -> list[str]:
 
 
 class Terms(dict):
-    """The numbers of a word's terms; remembers words within a bound."""
+    """The numbers of the terms of a string without white space; remembers
+    such strings within a bound."""
 
     def __init__(self, terms: list[str]):
         super().__init__()
         self.number = {t: i for i, t in enumerate(terms)}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, string: str) -> tuple[int, ...]:
         if len(self) >= CACHED:
             self.clear()
-        self[word] = found = tuple(self.number[t] for t in stems(word) if t in self.number)
+        word = string.strip(PUNCTUATION).lower()
+        words = (word,) if word.isalpha() else WORD.findall(string.lower())  # most strings are one word
+        found = tuple([self.number[t] for w in words for t in stems(w) if t in self.number])
+        if len(string) < 64:
+            self[string] = found
         return found
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Rising numbers of a text's terms, and how often each occurs."""
-        found = [t for terms in map(self.__getitem__, WORD.findall(text.lower())) for t in terms]
-        return np.unique(np.array(found, np.int64), return_counts=True)
+        found = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
+        return np.unique(found, return_counts=True)
 
 
 def weighted(counts: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +101,8 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Block-max inverted index over vectors of length 1."""
+    """Block-max inverted index over vectors of length 1. Inside a block, the
+    postings of a term that every ``LONG``-th example has are held densely."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         held = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=n_terms)
@@ -102,38 +110,50 @@ class Index:
         heaviest = [int(t[np.argmax(w * (held[t] >= BLOCK // 8))]) for t, w in vectors]
         self.order = np.array(sorted(range(len(vectors)), key=lambda i: (heaviest[i], i)))
         self.place = np.argsort(self.order)
+        self.n_blocks = -(-len(vectors) // BLOCK)
         sizes = [len(vectors[i][0]) for i in self.order]
         terms = np.concatenate([vectors[i][0] for i in self.order])
-        weights = np.concatenate([vectors[i][1] for i in self.order])
+        weights = np.concatenate([vectors[i][1] for i in self.order]).astype(np.float32)
         at = np.repeat(np.arange(len(vectors)), sizes)
         by = np.argsort(terms, kind="stable")  # postings of a term by place
-        terms, self.places, self.weights = terms[by], at[by].astype(np.int32), weights[by].astype(np.float32)
-        # an entry for each term and block that meet
-        block = self.places // BLOCK
-        entry = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(block, prepend=-1))
-        self.blocks = block[entry].astype(np.int32)
-        self.most = np.maximum.reduceat(self.weights, entry)
-        self.first = np.append(entry, len(terms)).astype(np.int32)  # postings of an entry
-        self.entries = np.searchsorted(terms[entry], np.arange(n_terms + 1)).astype(np.int32)  # entries of a term
-        self.n, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
+        terms, at, weights = terms[by], at[by], weights[by]
+        # an entry for each term and block that meet, with the largest weight
+        entry = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(at // BLOCK, prepend=-1))
+        self.blocks = at[entry] // BLOCK
+        self.most = np.maximum.reduceat(weights, entry)
+        self.entries = np.searchsorted(terms[entry], np.arange(n_terms + 1))  # entries of a term
+        long = held * LONG >= len(vectors)
+        self.column = np.where(long, np.cumsum(long) - 1, -1)
+        dense = long[terms]
+        self.dense = np.zeros((self.n_blocks * BLOCK, int(long.sum())), np.float32)
+        self.dense[at[dense], self.column[terms[dense]]] = weights[dense]
+        self.places, self.weights = at[~dense], weights[~dense]
+        self.first = np.append(np.searchsorted(np.flatnonzero(~dense), entry), len(self.places))  # postings of an entry
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a term in common, ties by
-        example; ``without`` leaves one example out."""
+        """(cosine, example) of the k nearest with a term in common, ties (to
+        six digits) by example; ``without`` leaves one example out."""
         sizes = self.entries[terms + 1] - self.entries[terms]
         entry = spans(self.entries[terms], sizes)
         weight = np.repeat(weights, sizes)
         block = self.blocks[entry]
         bound = np.bincount(block, weight * self.most[entry], self.n_blocks)
+        count = self.first[entry + 1] - self.first[entry]
+        column = self.column[terms]
+        query = np.zeros(self.dense.shape[1], np.float32)
+        query[column[column >= 0]] = weights[column >= 0]
         scores = np.zeros(self.n_blocks * BLOCK)
 
         def score(these: np.ndarray) -> None:
-            mine = these[block]
-            e = entry[mine]
-            count = self.first[e + 1] - self.first[e]
-            posting = spans(self.first[e], count)
-            added = np.repeat(weight[mine], count) * self.weights[posting]
+            mine = np.flatnonzero(these[block] & (count > 0))
+            posting = spans(self.first[entry[mine]], count[mine])
+            added = np.repeat(weight[mine], count[mine]) * self.weights[posting]
             scores[:] += np.bincount(self.places[posting], added, len(scores))
+            if 2 * these.sum() > len(these):
+                scores[:] += np.where(np.repeat(these, BLOCK), self.dense @ query, 0)
+            else:
+                rows = spans(np.flatnonzero(these) * BLOCK, np.full(these.sum(), BLOCK))
+                scores[rows] += self.dense[rows] @ query
             if without >= 0:
                 scores[self.place[without]] = 0
 
@@ -141,10 +161,10 @@ class Index:
         chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
         score(chosen)
         least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        more = (bound >= least - 1e-9) & (bound > 0) & ~chosen
+        more = (bound >= least - 1e-5) & (bound > 0) & ~chosen
         if more.any():
             score(more)
-        scores = scores[self.place].round(9)
+        scores = scores[self.place].round(6)
         least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
         near = np.flatnonzero((scores >= least) & (scores > 0))
         near = near[np.argsort(-scores[near], kind="stable")[:k]]

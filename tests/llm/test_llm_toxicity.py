@@ -32,11 +32,11 @@ def test_index_is_exact(n):
         without = trial % n if trial % 3 == 1 else -1
         q = np.zeros(60)
         q[t] = w
-        sims = (dense.astype(np.float64) @ q).round(9)
+        sims = dense.astype(np.float64) @ q
         want = sorted(((-s, i) for i, s in enumerate(sims.tolist()) if s > 0 and i != without))[: toxicity.NEIGHBOURS]
         got = index.nearest(t, w, without=without)
-        assert [s for s, _ in got] == pytest.approx([-s for s, _ in want], abs=2e-9)
-        assert all(abs(sims[i] - s) < 2e-9 for s, i in got)
+        assert [s for s, _ in got] == pytest.approx([-s for s, _ in want], abs=2e-6)
+        assert all(abs(sims[i] - s) < 2e-6 for s, i in got)
 
 
 def test_isotonic():
@@ -102,9 +102,8 @@ def scores_by_force(rows, labels):
     def counts(text):
         out = {}
         for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
-            for n in (4, 5):
-                if len(w) >= n:
-                    out[w[:n]] = out.get(w[:n], 0) + 1
+            if len(w) >= 4:
+                out[w[:4]] = out.get(w[:4], 0) + 1
         return out
 
     all_counts = [counts(t) for _, t in rows]
@@ -146,8 +145,8 @@ def test_scores_by_force(spark, tmp_path):
     sf, rows, labels = labelled(spark, tmp_path, 260)
     got = {r["doc_id"]: r["score"] for r in as_rows(toxicity.op6_toxic_neighbours(spark, sf))}
     want = scores_by_force(rows, labels)
-    # weights of the index have single precision: a vote next to a step may fall on its other side
-    off = [i for i in want if abs(got[i] - want[i]) > 1e-5]
+    # weights have single precision: a vote next to a step may fall on its other side
+    off = [i for i in want if abs(got[i] - want[i]) > 1e-4]
     assert got.keys() == want.keys() and len(off) <= 2, off
 
 

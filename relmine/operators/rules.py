@@ -111,13 +111,11 @@ def mined_rules(
     # a row per feature: bounded by their number
     singles = [(f,) for f in features]
     distinct = counts.filter(F.col("_set").isin(*[at[s] for s in singles])).groupBy("_set").agg(F.count(F.lit(1)).alias("values"))
-    n_values = distinct.agg(F.map_from_entries(F.collect_list(F.struct("_set", "values")))).scalar()
+    n_values = {r["_set"]: r["values"] for r in distinct.collect()}
 
     def eligible(s):
-        if len(s) == 1 and s[0] in strings:
-            return F.lit(True)
         most = SINGLE_MAX_DISTINCT if len(s) == 1 else PAIR_MAX_DISTINCT
-        return reduce(lambda a, b: a & b, (F.try_element_at(n_values, F.lit(at[(f,)]).cast("long")) <= most for f in s))
+        return F.lit(s[0] in strings or all(n_values.get(at[(f,)], 0) <= most for f in s))
 
     def text(s):
         return F.concat(*[x for i, f in enumerate(s) for x in (F.lit(f"{' & ' * bool(i)}{f}="), _render(comp, f))])

@@ -15,11 +15,14 @@ The hash stands in the high 32 bits and the position in the low 32 bits of
 one number, so a single sort of numbers brings each bin together, ranks it,
 and has the occurrences of a k-mer in text order. DataFrame operations only.
 
-``with_next`` pairs each document with the one of the next id: rows are dealt
-by ranges of ids, and the first row of each range is also sent to the range
-before it. Defined cases: null counts as empty; a null id sorts first; rows
-of equal id follow each other by a hash of their text; a single row is its
-own next; an empty table gives an empty result.
+``dealt`` and ``following`` pair each document with the one of the next id:
+rows are dealt by ranges of ids, and the first row of each range is also sent
+to the range before it. Texts cross the network once; k-mers are read behind
+that exchange, the edited text's from those of the text and of its new end.
+Defined cases: null counts as empty; a null id sorts first; rows of equal id
+follow each other by a hash of their text, by which an id of many rows is
+dealt to many ranges; a single row is its own next; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relmine.functions.text import let
 from relmine.llm.common import documents, text_of
 
 BIN_BITS = 6  # 64 bins
 HASH_BITS = 26  # of a tuple's hash
-# k-mers of 8 code points at every code point; the last ones are shorter
-KMERS = r"(?s)(?=(.{1,8}))."
+KMER = 8
+KMERS = rf"(?s)(?=(.{{1,{KMER}}}))."  # at every code point; the last ones are shorter
 ENOUGH = 12 << BIN_BITS  # k-mers of lowest rank that are looked at first
 RANGE_ROWS, MOST_RANGES = 1000, 16384
 FIRST_ID = -(1 << 63)
@@ -41,90 +45,90 @@ FIRST_ID = -(1 << 63)
 HIGH, LOW = -1 << 32, (1 << 32) - 1
 
 
-def placed_kmers(text: Column) -> Column:
-    """Sorted numbers: high half the k-mer's hash, low half its position."""
+def placed_kmers(text: Column, offset: Column | None = None) -> Column:
+    """Numbers in text order: high half the k-mer's hash, low half its
+    position, counted from ``offset``."""
     kmers = F.regexp_extract_all(text, F.lit(KMERS), F.lit(1))
-    return F.sort_array(F.transform(kmers, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(HIGH)).bitwiseOR(i.cast("long"))))
+    at = lambda i: i if offset is None else i + offset
+    return F.transform(kmers, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(HIGH)) + at(i))
 
 
 def _hash(v: Column) -> Column:
     return F.shiftright(v, 32)
 
 
-def _again(placed: str) -> Column:
-    """Of the sorted numbers those of a k-mer's further occurrences."""
-    s = F.col(placed)
-    return F.filter(s, lambda v, i: _hash(v) == _hash(F.get(s, i - 1)))
+def _bin(v: Column) -> Column:
+    return F.shiftrightunsigned(v, 64 - BIN_BITS)
 
 
-def _first(s: Column, v: Column, i: Column) -> Column:
-    return F.coalesce(_hash(v) != _hash(F.get(s, i - 1)), F.lit(True))
+def _numbered(again: Column) -> Column:
+    """Further occurrences (sorted) hashed anew with their number."""
 
+    def occurrence(v: Column, n: Column) -> Column:
+        return F.xxhash64(_hash(v), n).bitwiseAND(F.lit(HIGH)).bitwiseOR(v.bitwiseAND(F.lit(LOW)))
 
-def _numbered(again: str) -> Column:
-    """Further occurrences hashed anew with their number."""
-    s = F.col(again)
-    starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda j: _first(s, F.element_at(s, j), j - 1))
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: _new(s, F.get(s, j), j))
+        last = lambda r, t: F.coalesce(F.get(t, r + 1), F.size(s)) - 1
+        run = lambda a, z: F.transform(F.sequence(a, z), lambda j: occurrence(F.get(s, j), j - a + 2))
+        return let(starts, lambda t: F.flatten(F.transform(t, lambda a, r: run(a, last(r, t)))))
 
-    def occurrence(j: Column, a: Column) -> Column:
-        v = F.element_at(s, j)
-        return F.xxhash64(_hash(v), j - a + 1).bitwiseAND(F.lit(HIGH)).bitwiseOR(v.bitwiseAND(F.lit(LOW)))
+    # most k-mers that occur again do so once
+    second = F.transform(F.filter(again, lambda v, i: _new(again, v, i)), lambda v: occurrence(v, F.lit(1)))
+    third = F.filter(again, lambda v, i: ~_new(again, v, i))
+    return let(third, lambda s: F.when(F.size(s) > 0, F.concat(second, runs(s))).otherwise(second))
 
-    def run(starts: Column) -> Column:
-        last = lambda r: F.coalesce(F.try_element_at(starts, r + 2) - 1, F.size(s))
-        return F.flatten(F.transform(starts, lambda a, r: F.transform(F.sequence(a, last(r)), lambda j: occurrence(j, a))))
 
-    # the starts are evaluated once
-    runs = F.element_at(F.transform(F.array(starts), run), 1)
-    return F.when(F.size(s) > 0, runs).otherwise(F.expr("cast(array() as array<bigint>)"))
+def _new(s: Column, v: Column, i: Column) -> Column:
+    """Whether ``v``, at ``i`` of the sorted ``s``, is the first of its hash."""
+    return F.coalesce(_hash(v) != _hash(F.get(s, i - 1)), F.lit(True))
 
 
-def _least(placed: str, numbered: str, most: Column) -> Column:
-    """The occurrence-numbered k-mers of rank below ``most`` in their bin, sorted."""
-    s, low = F.col(placed), F.lit((1 << (64 - BIN_BITS)) - 1)
+def _least_two(sorted_: Column, numbered: Column, most: Column) -> Column:
+    """Of the occurrence-numbered k-mers of rank below ``most`` the two least
+    of each bin, sorted."""
+    low = F.lit((1 << (64 - BIN_BITS)) - 1)
     below = lambda v: v.bitwiseAND(low) < most
-    return F.sort_array(F.concat(F.filter(s, lambda v, i: below(v) & _first(s, v, i)), F.filter(numbered, below)))
+    ranked = F.sort_array(F.concat(F.filter(sorted_, lambda v, i: below(v) & _new(sorted_, v, i)), F.filter(numbered, below)))
+    return let(ranked, lambda r: F.filter(r, lambda v, i: F.coalesce(_bin(v) != _bin(F.get(r, i - 2)), F.lit(True))))
 
 
-def _two_each(s: Column) -> Column:
-    """Whether every bin has two numbers at least."""
-    second = F.filter(s, lambda v, i: (_bin(v) == _bin(F.get(s, i - 1))) & F.coalesce(_bin(v) != _bin(F.get(s, i - 2)), F.lit(True)))
-    return F.size(second) == 1 << BIN_BITS
+def _hashed(least: Column) -> Column:
+    """One number per filled bin: the bin and the hash of its two minimal
+    k-mers in text order."""
+    low = F.lit(LOW)
 
+    def of(v: Column, i: Column) -> Column:
+        w = F.get(least, i + 1)
+        hv, hw = _hash(v), _hash(w)
+        both = F.when(v.bitwiseAND(low) < w.bitwiseAND(low), F.xxhash64(hv, hw)).otherwise(F.xxhash64(hw, hv))
+        hashed = F.when(_bin(v) == _bin(w), both).otherwise(F.xxhash64(hv))
+        first = F.coalesce(_bin(v) != _bin(F.get(least, i - 1)), F.lit(True))
+        return F.when(first, F.shiftleft(_bin(v), HASH_BITS).bitwiseOR(hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
 
-def _bin(v: Column) -> Column:
-    return F.shiftrightunsigned(v, 64 - BIN_BITS)
+    return F.filter(F.transform(least, of), lambda v: v.isNotNull())
 
 
-def tuples(ranked: str) -> Column:
-    """One number per filled bin, from the column of ranked k-mers: the
-    bin and the hash of its two minimal k-mers in text order."""
-    s, low = F.col(ranked), F.lit(LOW)
-    places = F.sequence(F.lit(1), F.size(s))
-    starts = F.filter(places, lambda j: (j == 1) | (_bin(F.element_at(s, j)) != _bin(F.element_at(s, F.greatest(j - 1, F.lit(1))))))
+def tuples(placed: Column) -> Column:
+    """The tuples of the k-mers ``placed``. Of many the ones of low rank are
+    looked at; where they leave a bin without two, all are. Every step is
+    bound inside one expression, so no step's numbers are stored."""
+    n, whole = F.size(placed), 1 << (64 - BIN_BITS)
+    most = F.when(n > ENOUGH, F.floor(F.lit(float(whole * ENOUGH)) / n)).otherwise(F.lit(whole))
 
-    def of(j: Column) -> Column:
-        a, b = F.element_at(s, j), F.try_element_at(s, j + 1)
-        ha, hb = _hash(a), _hash(b)
-        both = F.when(a.bitwiseAND(low) < b.bitwiseAND(low), F.xxhash64(ha, hb)).otherwise(F.xxhash64(hb, ha))
-        hashed = F.when(b.isNotNull() & (_bin(a) == _bin(b)), both).otherwise(F.xxhash64(ha))
-        return F.shiftleft(_bin(a), HASH_BITS).bitwiseOR(hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    def of(s: Column) -> Column:
+        again = F.filter(s, lambda v, i: F.shiftright(v.bitwiseXOR(F.get(s, i - 1)), 32) == 0)
+        every = lambda m: _least_two(s, m, F.lit(whole))
+        enough = lambda r: (n <= ENOUGH) | (F.size(r) == 2 << BIN_BITS)
+        chosen = lambda m: let(let(most, lambda t: _least_two(s, m, t)), lambda r: F.when(enough(r), r).otherwise(every(m)))
+        return let(let(let(again, _numbered), chosen), _hashed)
 
-    return F.when(F.size(s) > 0, F.transform(starts, of)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return let(F.sort_array(placed), of)
 
 
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the array ``out`` of tuples of column ``text``. Of long
-    texts the k-mers of low rank are looked at first; where they leave a bin
-    without two, all are."""
-    placed, again, numbered, least, ranked = (f"_{step}_{out}" for step in ("placed", "again", "numbered", "least", "ranked"))
-    some = df.withColumn(placed, placed_kmers(F.col(text))).withColumn(again, _again(placed)).withColumn(numbered, _numbered(again))
-    n, whole = F.size(placed), float(1 << (64 - BIN_BITS))
-    most = F.when(n > ENOUGH, F.floor(F.lit(whole * ENOUGH) / n)).otherwise(F.lit(1 << (64 - BIN_BITS)))
-    some = some.withColumn(least, _least(placed, numbered, most))
-    every = _least(placed, numbered, F.lit(1 << (64 - BIN_BITS)))
-    some = some.withColumn(ranked, F.when((n <= ENOUGH) | _two_each(F.col(least)), F.col(least)).otherwise(every))
-    return some.withColumn(out, tuples(ranked)).drop(placed, again, numbered, least, ranked)
+    """``df`` with the array ``out`` of tuples of column ``text``."""
+    return df.withColumn(out, let(placed_kmers(F.col(text)), tuples))
 
 
 def as_text(tuples: str) -> Column:
@@ -136,62 +140,95 @@ def likeness(a: str, b: str) -> Column:
     return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / bins)
 
 
-def _range_of(order: Column, cuts: list[int]) -> Column:
-    """How many cuts are at most ``order``: counted among every 128th, then
-    among the 128 that follow."""
+def _count(cuts: list[int], order: Column, inclusive: bool) -> Column:
+    """How many cuts are below ``order`` (or equal it, if ``inclusive``):
+    counted among every 128th, then among the 128 that follow."""
     if not cuts:
         return F.lit(0)
     coarse, groups = cuts[::128], [cuts[i : i + 128] for i in range(0, len(cuts), 128)]
 
     def count(held: Column) -> Column:
-        return F.size(F.filter(held, lambda c: c <= order))
+        return F.size(F.filter(held, lambda c: c <= order if inclusive else c < order))
 
     at = count(F.array(*map(F.lit, coarse)))
     fine = F.array(*[F.array(*map(F.lit, g)) for g in groups])
     return F.when(at == 0, F.lit(0)).otherwise((at - 1) * 128 + count(F.element_at(fine, F.greatest(at, F.lit(1)))))
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (``doc_id``, ``text``, ...) with ``_range``, ``_order``
+    and ``_hash``, by the last two of which they follow each other. The first
+    row of each range is also ``_sent`` to the range before it, that of the
+    first to the last. Rows of an id that several cuts fall on are dealt to
+    as many ranges by the hash of their text."""
+    rows = docs.withColumn("_order", F.coalesce(F.col("doc_id"), F.lit(FIRST_ID))).withColumn("_hash", F.xxhash64("text"))
+    n = docs.count()
+    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
+    marks = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(rows.agg(F.percentile_approx("_order", marks, 10 * ranges)).first()[0]) if marks else []
+    below, upto = _count(cuts, F.col("_order"), False), _count(cuts, F.col("_order"), True)
+    part = (F.shiftright("_hash", 33) + (1 << 30)) / (1 << 31)  # of all hashes those below, 0 to 1
+    own = rows.withColumn("_range", F.when(below == upto, upto).otherwise(below + 1 + F.floor(part * (upto - below))).cast("int"))
+    firsts = own.groupBy("_range").agg(F.min(F.struct("_order", "_hash")).alias("f"))
+    # at most MOST_RANGES rows
+    before = F.coalesce(F.lag("_range").over(Window.orderBy("_range")), F.max("_range").over(Window.partitionBy()))
+    sends = firsts.select("f.*", before.alias("_range"))
+    sent = rows.join(F.broadcast(sends), ["_order", "_hash"])
+    sent = sent.groupBy("_range", "_order", "_hash").agg(*[F.first(c).alias(c) for c in docs.columns])
+    return own.withColumn("_sent", F.lit(False)).unionByName(sent.withColumn("_sent", F.lit(True)))
+
+
+def following(dealt: DataFrame, carried: list[str]) -> DataFrame:
+    """``dealt`` rows with ``next_<c>`` of the columns ``carried``."""
+    w = Window.partitionBy("_range").orderBy("_sent", "_order", "_hash")
+    return dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
+
+
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """Rows of ``docs`` (``doc_id``, ``text``, ...) with ``next_<c>`` of the
     columns ``carried``, from the row of the next id; the last row is
     followed by the first."""
-    docs = docs.withColumn("_order", F.coalesce(F.col("doc_id"), F.lit(FIRST_ID)))
-    order = docs.select("_order")
-    n, first = order.agg(F.count(F.lit(1)), F.min("_order")).first()
-    if not n:
-        return docs.select(*docs.columns, *[F.col(c).alias(f"next_{c}") for c in carried]).drop("_order")
-    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
-    marks = [i / ranges for i in range(1, ranges)]
-    cuts = sorted({*order.agg(F.percentile_approx("_order", marks, 10 * ranges)).first()[0]} - {first}) if marks else []
-    own = docs.withColumn("_range", _range_of(F.col("_order"), cuts))
-    # each cut is an id that occurs: the first of its range
-    begins = F.col("_order") == (F.element_at(F.array(*map(F.lit, [first, *cuts])), F.col("_range") + 1))
-    before = F.when(F.col("_range") == 0, F.lit(len(cuts))).otherwise(F.col("_range") - 1)
-    here = F.struct(F.col("_range").alias("range"), F.lit(False).alias("sent"))
-    sent = F.struct(before.alias("range"), F.lit(True).alias("sent"))
-    dealt = own.withColumn("_at", F.explode(F.when(begins, F.array(here, sent)).otherwise(F.array(here))))
-    w = Window.partitionBy("_at.range").orderBy("_at.sent", "_order", F.xxhash64("text"))
-    paired = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
-    return paired.filter(~F.col("_at.sent")).drop("_at", "_range", "_order")
+    return following(dealt(docs), carried).filter("not _sent").drop("_range", "_order", "_hash", "_sent")
 
 
 def edited(text: Column, following: Column) -> Column:
     """The last quarter of the code points replaced by the first as many (or
     all) of the following text."""
+    quarter = F.floor(F.length(text) / 4).cast("int")
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(following, F.lit(1), quarter))
+
+
+def edited_kmers(text: Column, placed: Column, edited: Column) -> Column:
+    """The k-mers of the edited text: those of ``text`` inside what it keeps,
+    and those that reach into what is new."""
     n = F.length(text)
-    quarter = F.floor(n / 4).cast("int")
-    return F.concat(F.substring(text, F.lit(1), n - quarter), F.substring(following, F.lit(1), quarter))
+    kept = F.greatest(n - F.floor(n / 4).cast("int") - (KMER - 1), F.lit(0))
+    fresh = lambda k: placed_kmers(F.substring(edited, k + 1, F.length(edited)), k)
+    return let(kept, lambda k: F.concat(F.slice(placed, F.lit(1), k), fresh(k)))
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    paired = with_next(fingerprinted(docs, "text", "tuples"), ["text", "tuples"])
-    changed = paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edited"), "tuples", "next_tuples")
-    both = fingerprinted(changed, "edited", "edited_tuples")
-    return both.select(
+    pairs = following(dealt(docs), ["text"]).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
+    kmers = placed_kmers(F.col("text"))
+    changed = lambda placed: edited_kmers(F.col("text"), placed, F.col("edited"))
+    two = let(kmers, lambda placed: F.array(tuples(placed), let(changed(placed), tuples)))
+    both = pairs.drop("next_text").withColumn("two", two)
+    both = both.select(
+        "_range",
+        "_sent",
+        "_order",
+        "_hash",
         "doc_id",
-        "n_chars",
+        F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
+        F.get("two", F.lit(0)).alias("tuples"),
+        F.get("two", F.lit(1)).alias("edited_tuples"),
+    )
+    return following(both, ["tuples"]).filter("not _sent").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
         as_text("tuples").alias("fingerprint"),
         as_text("edited_tuples").alias("edited_fingerprint"),
         likeness("tuples", "edited_tuples").alias("near_edited"),

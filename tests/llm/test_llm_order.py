@@ -45,6 +45,23 @@ def test_next_rows_over_many_ranges(spark, monkeypatch):
     assert got == {i: str(ids[(n + 1) % 300]) for n, i in enumerate(ids)}
 
 
+def test_next_rows_of_hot_ids(spark, monkeypatch):
+    """A third of all rows has one id, a sixth has none."""
+    monkeypatch.setattr(omh, "RANGE_ROWS", 10)
+    rows = [(7, f"hot {i}") for i in range(200)] + [(None, f"none {i}") for i in range(100)] + [(i, str(i)) for i in range(100, 400)]
+    df = table(spark, rows).select("doc_id", "text")
+    got = [(r["doc_id"], r["text"], r["next_doc_id"], r["next_text"]) for r in omh.with_next(df, ["doc_id", "text"]).collect()]
+    assert sorted((i or -1, t) for i, t, *_ in got) == sorted((i or -1, t) for i, t in rows)
+    after = {t: (j, u) for _, t, j, u in got}
+    seen, at = [], (399, "399")
+    for _ in rows:
+        at = after[at[1]]
+        seen.append(at)
+    assert len(set(seen)) == len(rows) and [i or -1 for i, _ in seen] == sorted(i or -1 for i, _ in rows)
+    held = omh.dealt(df).groupBy("_range").count().collect()
+    assert max(r["count"] for r in held) <= 40
+
+
 def test_fingerprints_of_odd_tables(spark, tmp_path):
     def run(rows, name):
         return as_rows(omh.op2_order_minhash(spark, saved(spark, tmp_path / name, rows)))

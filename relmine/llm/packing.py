@@ -10,8 +10,9 @@ and fills the roomiest one. A cell has as many sequences as its tokens need,
 so the padding of all its sequences together is less than one sequence.
 
 One shuffle, of the pieces; full pieces travel as their checksum alone unless
-the ids are asked for. Cells are dealt by a hash of document and position, so
-neither a long document nor a frequent source gathers in a task.
+the ids are asked for. Cells are dealt by a hash of the whole piece and of the
+partition it is read in, so neither a long document nor a frequent source or
+id gathers in a task, and equal rows gather only as far as one task reads them.
 
 Defined cases: null text counts as empty, an empty text is its end id alone;
 rows that repeat are packed as often as they occur; an empty table gives no
@@ -119,7 +120,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     pieces = docs.mapInArrow(cut, "doc_id long, start long, ids_crc32 long, doc_tokens long, length long, ids binary")
-    pieces = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start"), F.lit(cells)))
+    piece = F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", "length", "ids", F.spark_partition_id())
+    pieces = pieces.withColumn("cell", F.pmod(piece, F.lit(cells)))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     types = [pa.int64()] * 7 + [pa.binary()] * with_ids
 

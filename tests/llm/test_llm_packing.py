@@ -7,7 +7,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from relmine.llm import bpe, packing
-from tests.llm.helpers import as_rows, awkward, clashing, saved, table
+from tests.llm.helpers import as_rows, awkward, clashing, saved, table, words
 
 
 def test_balance_fills_and_balances():
@@ -63,3 +63,17 @@ def test_ids_nulls_repeats_empty(spark):
     assert all(zlib.crc32(np.frombuffer(r["ids"], "<u2").astype("<u4").tobytes()) == r["ids_crc32"] for r in got)
     assert sum(r["doc_id"] == 1 for r in got) == 2 and sum(r["doc_id"] is None for r in got) == 2
     assert packing.pack(table(spark, [])).count() == 0
+
+
+def test_hot_ids_spread_over_cells(spark, monkeypatch):
+    """Most rows have no id or one id; some of them are equal."""
+    monkeypatch.setattr(packing, "CELL_PIECES", 16)
+    rows = [(None, words(3 + i % 9, i)) for i in range(300)] + [(7, words(5, i)) for i in range(300)]
+    rows += [(None, None)] * 120 + [(i, "x y") for i in range(100, 180)]
+    got = as_rows(packing.pack(table(spark, rows, parts=12)))
+    assert sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
+    assert sum(r["doc_id"] is None and r["doc_tokens"] == 1 for r in got) == 120
+    cells = defaultdict(int)
+    for r in got:
+        cells[r["sequence_id"] >> 32] += 1
+    assert len(cells) > 30 and max(cells.values()) <= 64

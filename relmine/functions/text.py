@@ -200,6 +200,11 @@ def tfidf_tokens_sql(text_sql: str) -> Column:
     return F.expr(f"filter(regexp_extract_all(lower({text_sql}), r'{TFIDF_TOKEN}', 0), t -> NOT t IN ({_STOP_SQL}))")
 
 
+def tfidf_tokens(text: Column) -> Column:
+    """TX2 of a column expression, e.g. inside a lambda: the same tokens."""
+    return F.filter(extract_all(F.lower(text), TFIDF_TOKEN), lambda t: ~t.isin(*STOP_WORDS))
+
+
 def tfidf_from_runs_sql(runs_sql: str) -> Column:
     """TX2 of a SQL expression naming an array of word runs: the same tokens."""
     return F.expr(f"filter({runs_sql}, t -> length(t) >= 2 AND NOT t IN ({_STOP_SQL}))")

@@ -12,10 +12,12 @@ Physical forms:
 * ``with_pair_cosine`` (here) — a two-document corpus per row. With n = 2 the
   idf takes only two values, so the whole computation is a row-local
   projection (no shuffle), O(t log t) in the number of tokens.
-* larger corpora are built where their grouping lives: per prompt in
-  ``operators.consistency`` (partially aggregated per ``(prompt, term)``, so
-  a hot prompt is pre-aggregated map-side) and per response in
-  ``operators.drift`` (one shuffle by response, windows after it).
+* ``kept_terms`` and ``vectors`` — a corpus of bounded size held in one row
+  (the sentences of a response, the documents of a small group): terms are
+  sorted, counted, capped and weighed inside the row, O(t log t), so no row
+  per term is ever shuffled, sorted by Spark or spilled.
+* corpora of any size are built in ``operators.tfidf`` (partially aggregated
+  per ``(group, term)``, so a hot group is pre-aggregated map-side).
 """
 
 from __future__ import annotations
@@ -28,6 +30,131 @@ from pyspark.sql import functions as F
 from relmine.functions.text import let, runs
 
 MAX_FEATURES = 500  # fixed value: vectoriser vocabulary cap of the reference
+SCAN_BLOCK = 64  # values of a running sum that are taken one by one
+
+
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.log((n_docs + F.lit(1.0)) / (df + F.lit(1.0))) + F.lit(1.0)
+
+
+def token_entries(docs: Column) -> Column:
+    """From the documents' token arrays: ``array<struct<term, doc, tf>>``,
+    sorted; ``doc`` is the position of the document."""
+    pairs = F.flatten(F.transform(docs, lambda d, i: F.transform(d, lambda t: F.struct(t.alias("term"), i.alias("doc")))))
+    return F.transform(
+        runs(F.sort_array(pairs)), lambda r: F.struct(r["v"]["term"].alias("term"), r["v"]["doc"].alias("doc"), r["cnt"].alias("tf"))
+    )
+
+
+def count_entries(docs: Column) -> Column:
+    """The same from the documents' counted terms (``struct<term, tf>``)."""
+    return F.sort_array(
+        F.flatten(F.transform(docs, lambda d, i: F.transform(d, lambda t: F.struct(t["term"].alias("term"), i.alias("doc"), t["tf"].alias("tf")))))
+    )
+
+
+def kept_terms(entries: Column, n_docs: Column, max_features: int = MAX_FEATURES) -> Column:
+    """The vocabulary of a corpus in one row, in the order of rank (total count
+    descending, then term): ``array<struct<neg_total, term, idf, docs>>`` with
+    ``docs`` = ``array<struct<doc, w>>`` by ``doc``, w = tf * idf."""
+
+    def grouped(e):
+        n = F.size(e)
+        starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(e, i)["term"] != F.get(e, i - 1)["term"]))
+
+        def terms(st):
+            def term(s, k):
+                return let(
+                    F.slice(e, s + 1, F.get(st, k + 1) - s),
+                    lambda g: F.struct(
+                        F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc - x["tf"]).alias("neg_total"),
+                        F.get(g, F.lit(0))["term"].alias("term"),
+                        g.alias("in"),
+                    ),
+                )
+
+            return F.transform(F.slice(st, 1, F.size(st) - 1), term)
+
+        return let(starts, terms)
+
+    def weighed(t):
+        return let(
+            idf(n_docs, F.size(t["in"])),
+            lambda f: F.struct(
+                t["neg_total"].alias("neg_total"),
+                t["term"].alias("term"),
+                f.alias("idf"),
+                F.transform(t["in"], lambda d: F.struct(d["doc"].alias("doc"), (d["tf"] * f).alias("w"))).alias("docs"),
+            ),
+        )
+
+    return F.transform(F.slice(F.sort_array(let(entries, grouped)), 1, max_features), weighed)
+
+
+def by_document(entries: Column, n_docs: Column, body) -> Column:
+    """``body(array<struct<doc, rank, w>>)`` for each of the documents 0 to
+    ``n_docs`` - 1, in order; entries of a document by rank."""
+    none = F.filter(F.sequence(F.lit(0), n_docs), lambda i: i < n_docs)
+    marked = F.concat(entries, F.transform(none, lambda i: F.struct(i.alias("doc"), F.lit(0).alias("rank"), F.lit(0.0).alias("w"))))
+
+    def cut(e):
+        n = F.size(e)
+        starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(e, i)["rank"] == 0))
+
+        def each(st):
+            return F.transform(
+                F.slice(st, 1, F.size(st) - 1), lambda s, k: let(F.slice(e, s + 2, F.get(st, k + 1) - s - 1), body)
+            )
+
+        return let(starts, each)
+
+    return let(F.sort_array(marked), cut)
+
+
+def ranked_entries(kept: Column) -> Column:
+    """``array<struct<doc, rank, w>>`` of all kept terms; ranks are 1, 2, ..."""
+    return F.flatten(
+        F.transform(kept, lambda t, r: F.transform(t["docs"], lambda d: F.struct(d["doc"].alias("doc"), (r + 1).alias("rank"), d["w"].alias("w"))))
+    )
+
+
+def _length(g: Column) -> Column:
+    return F.sqrt(F.aggregate(g, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+
+
+def vectors(kept: Column, n_docs: Column) -> Column:
+    """Each document's vector of length 1: ``array<array<struct<rank, w>>>``."""
+
+    def unit(g):
+        return let(_length(g), lambda ln: F.transform(g, lambda x: F.struct(x["rank"].alias("rank"), (x["w"] / ln).alias("w"))))
+
+    return by_document(ranked_entries(kept), n_docs, unit)
+
+
+def lengths(kept: Column, n_docs: Column) -> Column:
+    """Each document's vector length before it is scaled to 1."""
+    return by_document(ranked_entries(kept), n_docs, _length)
+
+
+def sums_before(values: Column) -> Column:
+    """Per value of an array of doubles the sum of those before it. Long arrays
+    are taken in blocks, so the cost stays near linear."""
+
+    def scan(arr, start):
+        zero = F.struct(start.alias("sum"), F.array().cast("array<double>").alias("out"))
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+        return F.aggregate(arr, zero, step, lambda acc: acc["out"])
+
+    def in_blocks(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SCAN_BLOCK).cast("int")), lambda b: F.slice(v, b * SCAN_BLOCK + 1, SCAN_BLOCK))
+
+        def joined(bs):
+            totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(0.0), lambda acc, x: acc + x))
+            return F.flatten(F.zip_with(bs, scan(totals, F.lit(0.0)), scan))
+
+        return let(blocks, joined)
+
+    return let(values, lambda v: F.when(F.size(v) <= SCAN_BLOCK, scan(v, F.lit(0.0))).otherwise(in_blocks(v)))
 
 
 

@@ -12,17 +12,18 @@ Two physical forms share that rule:
   ``ordered_sequence`` (no task ever holds a whole key), the arg-max is a
   partially aggregated ``groupBy``.
 * ``trust_map`` (DR4–DR6) for the sentences of one response: a response is
-  one text, so windows per response are bounded by that text's size.
+  one text, so all of it is computed inside the response's row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmine.functions import text as T
+from relmine.functions.text import let
+from relmine.functions.tfidf import by_document, kept_terms, lengths, ranked_entries, sums_before, token_entries
 from relmine.operators.sequence import ordered_sequence
-from relmine.operators.tfidf import ranked_terms
 from relmine.sources.schemas import require
 
 # Fixed values of the reference (drift_detection config and constructor).
@@ -118,8 +119,93 @@ def drift_summary(labelled: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "response", reference: str = "reference") -> DataFrame:
-    """DR4/DR5: unrounded per-sentence trust scores ``rid, sentence_idx, sentence, score``.
+def _reference_scores(kept: Column, n_sent: Column) -> Column:
+    """DR4: cosine of each sentence (documents 1, 2, ...) to the reference (document 0)."""
+
+    def first(t):
+        return F.get(t["docs"], F.lit(0))
+
+    def scores(lens):
+        length = F.get(lens, F.lit(0))
+        reference = F.transform(kept, lambda t: F.when(first(t)["doc"] == 0, first(t)["w"] / length).otherwise(F.lit(0.0)))
+
+        def score(ref):
+            return by_document(
+                ranked_entries(kept), n_sent + 1, lambda g: F.aggregate(g, F.lit(0.0), lambda acc, x: acc + x["w"] * F.get(ref, x["rank"] - 1))
+            )
+
+        products = let(reference, score)
+        return F.transform(F.slice(products, 2, n_sent), lambda x, i: F.coalesce(F.try_divide(x, F.get(lens, i + 1)), F.lit(0.0)))
+
+    return let(lengths(kept, n_sent + 1), scores)
+
+
+def _earlier_scores(kept: Column, n_sent: Column) -> Column:
+    """DR5: mean cosine of each sentence (documents 1, 2, ...) to all earlier
+    ones: a running sum of each term's weights, no sentence pairs."""
+
+    def products(lens):
+        def shared(t, r):
+            weights = F.transform(t["docs"], lambda d: d["w"] / F.get(lens, d["doc"]))
+            return let(
+                weights,
+                lambda v: F.zip_with(
+                    F.transform(t["docs"], lambda d: d["doc"]),
+                    F.zip_with(v, sums_before(v), lambda x, before: x * before),
+                    lambda doc, x: F.struct(doc.alias("doc"), (r + 1).alias("rank"), x.alias("w")),
+                ),
+            )
+
+        # a term of one sentence adds nothing
+        entries = F.flatten(F.transform(F.filter(kept, lambda t: F.size(t["docs"]) > 1), shared))
+        sums = by_document(entries, n_sent + 1, lambda g: F.aggregate(g, F.lit(0.0), lambda acc, x: acc + x["w"]))
+        return F.transform(F.slice(sums, 2, n_sent), lambda x, i: x / F.greatest(i, F.lit(1)))
+
+    return let(lengths(kept, n_sent + 1), products)
+
+
+def sentence_scores(sents: Column, reference: Column) -> Column:
+    """DR4/DR5 of one response: ``array<double>``, a score for each sentence."""
+    has_ref = F.coalesce(F.length(reference) > 0, F.lit(False))
+    ref = F.when(has_ref, reference).otherwise(F.lit(""))
+    n = F.size(sents)
+    docs = F.transform(F.concat(F.array(ref), sents), T.tfidf_tokens)
+    n_docs = n + F.when(has_ref, 1).otherwise(0)
+
+    def scores(kept):
+        same = lambda x: F.transform(sents, lambda _: F.lit(x))
+        earlier = F.transform(_earlier_scores(kept, n), lambda x, i: F.when(i == 0, F.lit(FIRST_SENTENCE_SCORE)).otherwise(x))
+        return (
+            F.when(has_ref & (F.size(kept) == 0), same(EMPTY_VOCAB_SCORE))
+            .when(has_ref, _reference_scores(kept, n))
+            .when(n <= 1, same(SINGLE_SENTENCE_SCORE))
+            .when(F.size(kept) == 0, same(EMPTY_VOCAB_SCORE))
+            .otherwise(earlier)
+        )
+
+    return let(kept_terms(token_entries(docs), n_docs), scores)
+
+
+def drift_point(scores: Column, threshold: float = DRIFT_THRESHOLD, window: int = WINDOW_SIZE) -> Column:
+    """DR1 of an array of scores."""
+
+    def candidate(score, i):
+        prev = F.slice(scores, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
+        return drop_candidate(i, prev, score, threshold)
+
+    return let(F.array_max(F.transform(scores, candidate)), lambda best: point_from_best(best, F.size(scores)))
+
+
+def trust_scores(
+    responses: DataFrame,
+    rid: str = "response_id",
+    text: str = "response",
+    reference: str = "reference",
+    threshold: float = DRIFT_THRESHOLD,
+    window: int = WINDOW_SIZE,
+) -> DataFrame:
+    """DR4/DR5: unrounded per-sentence trust scores ``rid, sentence_idx,
+    sentence, score`` and the response's ``point`` (DR1 on them).
 
     With a reference (non-empty): cosine of each sentence to the reference in
     a TF-IDF fitted on [reference] + sentences. Without one: 0.8 for a lone
@@ -127,84 +213,25 @@ def trust_scores(responses: DataFrame, rid: str = "response_id", text: str = "re
     sentences (a running per-term sum, no sentence pairs). An empty
     vocabulary gives 0.5 for every sentence.
 
-    Plan: texts are shuffled once by response, then split into sentences and
-    exploded into term rows (plus one marker row per sentence that carries
-    its text); every later window and aggregate is keyed by the response
-    first, so it reuses that partitioning. A response is one text, so no key
-    is hot. Three windows run over term rows.
-
-    Responses that share an id are told apart by a hash of their texts
-    (``_key`` = id and hash); ``_copies`` says how often equal ones occur.
+    A response is one text, so its corpus fits its row: everything is computed
+    inside the row and nothing is shuffled, sorted by Spark or spilled.
+    Responses that share an id each keep their own sentences.
     """
     require(responses, [rid, text, reference], "trust_scores")
-    has_ref = F.coalesce(F.length(F.col(reference)) > 0, F.lit(False))
-    key = F.struct(F.col(rid).alias("id"), F.xxhash64(text, reference).alias("hash"))
-    texts = responses.select(key.alias("rid"), F.col(text).alias("_text"), F.when(has_ref, F.col(reference)).alias("_ref")).repartition("rid")
-    r = texts.select("rid", T.sentences(F.col("_text")).alias("_ss"), "_ref")
-    docs = F.concat(
-        F.transform("_ss", lambda s, i: F.struct(i.alias("did"), s.alias("sentence"), s.alias("txt"))),
-        F.when(
-            F.col("_ref").isNotNull() & (F.size("_ss") > 0),
-            F.array(F.struct(F.lit(-1).alias("did"), F.lit(None).cast("string").alias("sentence"), F.col("_ref").alias("txt"))),
-        ).otherwise(F.array().cast("array<struct<did:int,sentence:string,txt:string>>")),
-    )
-    d = (
-        r.select("rid", F.size("_ss").alias("n_sent"), F.col("_ref").isNotNull().alias("has_ref"), F.explode(docs).alias("_d"))
-        .select("rid", "n_sent", "has_ref", "_d.did", "_d.sentence", "_d.txt")
-        .withColumn("toks", T.tfidf_tokens_sql("txt"))
-    )
-    # one marker row (null term) per document carries the sentence text and
-    # keeps sentences without terms; token rows carry only the term. Term
-    # counts are a hash aggregation that reuses the partitioning by response.
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("sentence").alias("sentence")))
-    token_rows = F.transform("toks", lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("sentence")))
-    rows = (
-        d.select("rid", "n_sent", "has_ref", "did", F.explode(F.concat(marker, token_rows)).alias("_t"))
-        .select("rid", "n_sent", "has_ref", "did", "_t.term", "_t.sentence")
-        .groupBy("rid", "n_sent", "has_ref", "did", "term")
-        .agg(F.count("term").cast("int").alias("tf"), F.max("sentence").alias("sentence"), F.count(F.lit(1)).alias("_copies"))
-    )
-    # one row per term with the documents it is in, at most the response's
-    terms = rows.groupBy("rid", "n_sent", "has_ref", "term").agg(
-        F.collect_list(F.struct("did", "tf", "sentence", "_copies")).alias("_in"), F.sum("tf").alias("total")
-    )
-    n_docs = F.col("n_sent") + F.when(F.col("has_ref"), 1).otherwise(0)
-    is_term = F.col("term").isNotNull()
-    rows = ranked_terms(terms, "rid", n_docs).select("rid", "n_sent", "has_ref", "term", F.col("idf").alias("_idf"), F.explode("_in").alias("_d"))
-    rows = rows.select("rid", "n_sent", "has_ref", "term", "_d.*", (F.col("_d.tf") * F.col("_idf")).alias("_w"))
-    rows = rows.withColumn("_v", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("rid", "did"))))
-    # DR4: weight of the same term in the reference, which comes first (-1);
-    # DR5: sum of the same term's weights over all earlier sentences
-    by_term = Window.partitionBy("rid", "term").orderBy("did")
-    to_here = by_term.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = by_term.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_vref", F.max(F.when(F.col("did") == -1, F.col("_v"))).over(to_here))
-    rows = rows.withColumn("_cum", F.sum(F.when(F.col("did") >= 0, F.col("_v"))).over(earlier))
-    s = rows.groupBy("rid", "did").agg(
-        F.max("sentence").alias("sentence"),
-        F.first("n_sent").alias("n_sent"),
-        F.first("has_ref").alias("has_ref"),
-        F.max(is_term).alias("_has_term"),
-        F.max(F.when(~is_term, F.col("_copies"))).cast("int").alias("_copies"),
-        F.sum(F.col("_v") * F.col("_vref")).alias("_ref_cos"),
-        F.sum(F.col("_v") * F.col("_cum")).alias("_prev_dot"),
-    )
-    # a window over sentences, not terms
-    s = s.withColumn("vocab", F.max("_has_term").over(Window.partitionBy("rid"))).filter(F.col("did") >= 0)
-    vocab = F.col("vocab")
-    idx = F.col("did")
-    with_ref = F.when(~vocab, F.lit(EMPTY_VOCAB_SCORE)).otherwise(F.coalesce(F.col("_ref_cos"), F.lit(0.0)))
-    no_ref = (
-        F.when(F.col("n_sent") <= 1, F.lit(SINGLE_SENTENCE_SCORE))
-        .when(~vocab, F.lit(EMPTY_VOCAB_SCORE))
-        .when(idx == 0, F.lit(FIRST_SENTENCE_SCORE))
-        .otherwise(F.coalesce(F.col("_prev_dot"), F.lit(0.0)) / idx)
-    )
-    score = F.when(F.col("has_ref"), with_ref).otherwise(no_ref)
-    return s.select(
-        F.col("rid.id").alias(rid), F.col("rid").alias("_key"), "_copies", F.col("did").alias("sentence_idx"), "sentence", score.alias("score")
-    )
 
+    def rows(ss):
+        def with_point(scores):
+            return let(
+                drift_point(scores, threshold, window),
+                lambda point: F.transform(
+                    ss,
+                    lambda s, i: F.struct(i.alias("sentence_idx"), s.alias("sentence"), F.get(scores, i).alias("score"), point.alias("point")),
+                ),
+            )
+
+        return let(sentence_scores(ss, F.col(reference)), with_point)
+
+    return responses.select(F.col(rid), F.explode(let(T.sentences(F.col(text)), rows)).alias("_s")).select(rid, "_s.*")
 
 
 def trust_map(
@@ -216,23 +243,15 @@ def trust_map(
     window: int = WINDOW_SIZE,
 ) -> DataFrame:
     """DR6: per-sentence trust map rows — DR1 on the unrounded scores of each
-    response (windows per response: bounded by one text), then
-    ``trust_score`` rounded to 3, ``is_post_drift`` and ``drift_point``.
-    Responses without sentences produce no rows; responses that repeat an id
-    each keep their own."""
-    sc = trust_scores(responses, rid, text, reference)
-    w = Window.partitionBy("_key").orderBy("sentence_idx")
-    prev = F.filter(F.array(*[F.lag("score", k).over(w) for k in range(window, 0, -1)]), lambda x: x.isNotNull())
-    sc = sc.withColumn("_prev", prev).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key")))
-    sc = sc.withColumn("_cand", drop_candidate(F.col("sentence_idx"), F.col("_prev"), F.col("score"), threshold))
-    sc = sc.withColumn("_best", F.max("_cand").over(Window.partitionBy("_key")))
-    point = point_from_best(F.col("_best"), F.col("_n"))
-    sc = sc.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    response, then ``trust_score`` rounded to 3, ``is_post_drift`` and
+    ``drift_point``. Responses without sentences produce no rows; responses
+    that repeat an id each keep their own."""
+    sc = trust_scores(responses, rid, text, reference, threshold, window)
     return sc.select(
         rid,
         F.col("sentence_idx").cast("int").alias("sentence_idx"),
         "sentence",
         F.round("score", 3).alias("trust_score"),
-        F.coalesce(F.col("sentence_idx") >= point, F.lit(False)).alias("is_post_drift"),
-        point.alias("drift_point"),
+        F.coalesce(F.col("sentence_idx") >= F.col("point"), F.lit(False)).alias("is_post_drift"),
+        F.col("point").alias("drift_point"),
     )

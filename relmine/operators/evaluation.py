@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relmine.operators.skew import dealt_join
+from relmine.session import cut_lineage
 
 # Fixed values of the reference's figures.
 CONSISTENCY_BINS = 25
@@ -37,7 +38,8 @@ def histogram(df: DataFrame, value: str, groups: list[str], bins: int) -> DataFr
     x = F.col(value)
     if not groups:
         return histogram(df.withColumn("_all", F.lit(0)), value, ["_all"], bins).drop("_all")
-    rows = df.filter(x.isNotNull()).select(*groups, x.cast("double").alias("_x")).dropna(subset=groups)
+    # ranges and counts both read the rows: what made their values runs once
+    rows = cut_lineage(df.filter(x.isNotNull()).select(*groups, x.cast("double").alias("_x")).dropna(subset=groups))
     stats = rows.groupBy(*groups).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count(F.lit(1)).alias("_rows"))
     stats = stats.select(
         *groups,

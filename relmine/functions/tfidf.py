@@ -46,13 +46,6 @@ def token_entries(docs: Column) -> Column:
     )
 
 
-def count_entries(docs: Column) -> Column:
-    """The same from the documents' counted terms (``struct<term, tf>``)."""
-    return F.sort_array(
-        F.flatten(F.transform(docs, lambda d, i: F.transform(d, lambda t: F.struct(t["term"].alias("term"), i.alias("doc"), t["tf"].alias("tf")))))
-    )
-
-
 def kept_terms(entries: Column, n_docs: Column, max_features: int = MAX_FEATURES) -> Column:
     """The vocabulary of a corpus in one row, in the order of rank (total count
     descending, then term): ``array<struct<neg_total, term, idf, docs>>`` with
@@ -123,16 +116,12 @@ def _length(g: Column) -> Column:
 
 
 def vectors(kept: Column, n_docs: Column) -> Column:
-    """Each document's vector of length 1: ``array<array<struct<rank, w>>>``."""
-
-    def unit(g):
-        return let(_length(g), lambda ln: F.transform(g, lambda x: F.struct(x["rank"].alias("rank"), (x["w"] / ln).alias("w"))))
-
-    return by_document(ranked_entries(kept), n_docs, unit)
+    """Each document's terms, not scaled: ``array<array<struct<doc, rank, w>>>``."""
+    return by_document(ranked_entries(kept), n_docs, lambda g: g)
 
 
 def lengths(kept: Column, n_docs: Column) -> Column:
-    """Each document's vector length before it is scaled to 1."""
+    """The length of each document's vector."""
     return by_document(ranked_entries(kept), n_docs, _length)
 
 

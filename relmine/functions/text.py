@@ -63,6 +63,9 @@ _WORD_TOKEN_END = re.compile(r"(?:[A-Za-z0-9_]|\\d|\[(?:a-z|A-Z|0-9)\])\+?$")
 _WORD_TOKEN_START = re.compile(r"^(?:[A-Za-z0-9_]|\\d|\[(?:a-z|A-Z|0-9)\])(?![?*]|\{0)")
 
 
+_CLASS_START = re.compile(r"\\d|\[(?:A-Z|0-9)\]")
+
+
 def _ends_in_word(prefix: str) -> bool:
     """True when every match of ``prefix`` (a pattern fragment) ends with a word character."""
     if prefix.endswith("\\") or prefix.endswith("\\.") or prefix == "":
@@ -124,6 +127,9 @@ def _translate(pattern: str) -> str:
             if tok == r"\b":
                 before, after = pattern[alt_start:i], pattern[i + 2 :]
                 if _WORD_TOKEN_START.match(after):
+                    # a class that fails at most positions is looked at first
+                    first = _CLASS_START.match(after)
+                    out.append(f"(?={PY_CLASSES.get(first[0], first[0])})" if first else "")
                     out.append(rf"(?<!{PY_WORD})")
                 elif _ends_in_word(before):
                     out.append(rf"(?!{PY_WORD})")

@@ -19,6 +19,9 @@ lines are never removed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,14 +36,28 @@ BAND_ROWS = 3
 RECALL = 0.999  # that a pair at the threshold shares a bucket
 SPAN = 1 << 32
 WORDS_AT_ONCE = 200_000
+Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def lines_of(text: str) -> tuple[np.ndarray, list[int]]:
+    """The hashes of a text's words, and how many each line has."""
+    parts = [line.split() for line in text.encode().lower().split(b"\n")]
+    counts = list(map(len, parts))
+    return np.fromiter(map(WORDS.__getitem__, chain.from_iterable(parts)), dtype=np.uint64, count=sum(counts)), counts
+
+
+def long_lines(words: np.ndarray, counts: list[int]):
+    """(line number, word hashes) of the lines that are long enough."""
+    start = 0
+    for at, n in enumerate(counts):
+        if n >= MIN_WORDS:
+            yield at, words[start : start + n]
+        start += n
 
 
 def paragraphs(text: str):
     """(line number, word hashes) of the lines that are long enough."""
-    for at, line in enumerate(text.encode().lower().split(b"\n")):
-        words = line.split()
-        if len(words) >= MIN_WORDS:
-            yield at, np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    return long_lines(*lines_of(text))
 
 
 def placed(doc: str, at: str) -> Column:
@@ -52,35 +69,58 @@ def _place(column: str) -> tuple[Column, Column]:
     return F.floor(F.col(column) / SPAN).cast("long"), F.pmod(column, F.lit(SPAN)).cast("long")
 
 
-def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
+def signatures(docs: DataFrame, banding: Banding, units: Units | None = None) -> DataFrame:
     """``doc_id``, ``paragraph``, ``n_words``, ``digest``, ``keys`` and
-    ``place`` of every paragraph; some thousands are hashed at once."""
-    names = ["doc_id", "paragraph", "n_words", "digest", "keys"]
-
-    def hashed(rows: list[tuple], words: list[np.ndarray]):
-        docs, ats, counts = zip(*rows, strict=True)
+    ``place`` of every paragraph; some thousands are hashed at once. With
+    ``units``, which gives the hashes and places of the units of consecutive
+    texts, each text that has any gets a row of its own with ``unit`` and
+    ``at`` (lists), and null in the columns of paragraphs."""
+    fields = "doc_id long, paragraph long, n_words long, digest binary, keys array<long>"
+    fields += ", unit array<long>, at array<int>" if units else ""
+    kinds = {"keys": pa.list_(pa.int64()), "unit": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "digest": pa.binary()}
+    schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in (f.split()[0] for f in fields.split(", "))])
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def hashed(found: list[tuple], words: list[np.ndarray]) -> pa.RecordBatch:
+        docs, ats, counts = zip(*found, strict=True)
         digests, keys = banding.of_many(np.concatenate(words), np.array(counts))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-        columns = [pa.array(c, pa.int64()) for c in (docs, ats, counts)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()), lists], names)
+        columns = dict(zip(("doc_id", "paragraph", "n_words"), (pa.array(c, pa.int64()) for c in (docs, ats, counts)), strict=True))
+        return rows(len(docs), **columns, digest=pa.array(digests, pa.binary()), keys=lists)
+
+    def cut(docs: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
+        unit, at, sizes = units(np.concatenate(words), np.array(list(map(len, words))))
+        some = np.flatnonzero(sizes)
+        ends = pa.array(np.append(0, np.cumsum(sizes[some])), pa.int32())
+        lists = {c: pa.ListArray.from_arrays(ends, v) for c, v in (("unit", pa.array(unit, pa.int64())), ("at", pa.array(at, pa.int32())))}
+        return rows(len(some), doc_id=pa.array(np.array(docs, np.int64)[some]), **lists)
+
+    def flushed(found: list[tuple], lines: list[np.ndarray], texts: list[int], words: list[np.ndarray]):
+        if found:
+            yield hashed(found, lines)
+        if units and texts:
+            yield cut(texts, words)
 
     def run(batches):
         for batch in batches:
-            rows, words, total = [], [], 0
+            found, lines, texts, words, total = [], [], [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for at, held in paragraphs(text.as_py()):
-                    rows.append((doc, at, len(held)))
-                    words.append(held)
-                    total += len(held)
-                    if total >= WORDS_AT_ONCE:
-                        yield hashed(rows, words)
-                        rows, words, total = [], [], 0
-            if rows:
-                yield hashed(rows, words)
+                held, counts = lines_of(text.as_py())
+                for at, line in long_lines(held, counts):
+                    found.append((doc, at, len(line)))
+                    lines.append(line)
+                texts.append(doc)
+                words.append(held)
+                total += len(held)
+                if total >= WORDS_AT_ONCE:
+                    yield from flushed(found, lines, texts, words)
+                    found, lines, texts, words, total = [], [], [], [], 0
+            yield from flushed(found, lines, texts, words)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id is not null")
-    signed = texts.mapInArrow(run, "doc_id long, paragraph long, n_words long, digest binary, keys array<long>")
-    return signed.withColumn("place", placed("doc_id", "paragraph"))
+    return texts.mapInArrow(run, fields).withColumn("place", placed("doc_id", "paragraph"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -105,13 +145,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(lists, "doc_id").select("text", "wanted").mapInArrow(run, "id long, shingles binary")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def signed_lines(docs: DataFrame, units: Units | None = None) -> DataFrame:
+    """``signatures`` by the bands of this operator, written."""
+    return written(signatures(docs, Banding(tuned(RECALL, BAND_ROWS), BAND_ROWS), units), "passage-signatures")
+
+
+def repeated(docs: DataFrame, signed: DataFrame | None = None) -> DataFrame:
     """One row per paragraph of a cluster that spans several documents:
     ``doc_id``, ``paragraph`` (line number), ``n_words``, ``cluster_doc_id``
     and ``cluster_paragraph`` (the cluster's first), ``cluster_size``,
-    ``removed``."""
-    banding = Banding(tuned(RECALL, BAND_ROWS), BAND_ROWS)
-    signed = written(signatures(docs, banding), "passage-signatures")
+    ``removed``. ``signed``: the signatures of ``docs``, where they are known."""
+    signed = (signed_lines(docs) if signed is None else signed).filter("paragraph is not null")
     classes = signed.groupBy("digest").agg(F.min("place").alias("place"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     # numbers are fixed by being written
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "passage-classes")

@@ -9,12 +9,12 @@ from relmine.llm.exactdup import op8_exact_dedup
 from relmine.llm.neardup import op7_odd_sketch_near_dedup
 from relmine.llm.omh import op2_order_minhash
 from relmine.llm.packing import op3_pack_sequences
-from relmine.llm.paragraphs import op4_repeated_passages
 from relmine.llm.passages import op4_repeated_runs
 from relmine.llm.periodic import op11_lyndon_runs
 from relmine.llm.piecebpe import op13_merge_rounds
 from relmine.llm.pii import op5_personal_data
 from relmine.llm.preference import op10_preference_pairs
+from relmine.llm.repeats import op4_repeated_passages
 from relmine.llm.sharding import op9_histogram_shards
 from relmine.llm.toxicity import op6_toxic_neighbours
 

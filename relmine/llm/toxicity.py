@@ -10,9 +10,11 @@ length 1, and the likeness of two texts is their cosine.
 
 The examples' vectors form a block-max inverted index: similar examples lie
 side by side in blocks of ``BLOCK``, and next to its postings each term keeps
-its largest weight in each block. A query adds up these maxima to a bound for
-every block, scores the blocks of the highest bounds, and then only those
-whose bound reaches the k-th best score; the k nearest are exact.
+its largest weight in each block. Terms that many examples have stand in a
+dense matrix; their part of all scores comes from one product. A query adds
+the maxima of its other terms to a block's best such part, which bounds the
+block, scores the blocks of the highest bounds, and then only those whose
+bound reaches the k-th best score; the k nearest are exact.
 
 Their votes, weighted by distance, are calibrated by isotonic regression on
 the sample, each example judged by the others (in tasks). A text without
@@ -64,8 +66,8 @@ def stems(word: str) -> list[str]:
 
 
 class Terms(dict):
-    """The numbers of the terms of a string without white space; remembers
-    such strings within a bound."""
+    """The numbers of the terms of a string in lower case without white
+    space; remembers such strings within a bound."""
 
     def __init__(self, terms: list[str]):
         super().__init__()
@@ -74,15 +76,18 @@ class Terms(dict):
     def __missing__(self, string: str) -> tuple[int, ...]:
         if len(self) >= CACHED:
             self.clear()
-        word = string.strip(PUNCTUATION).lower()
-        words = (word,) if word.isalpha() else WORD.findall(string.lower())  # most strings are one word
-        found = tuple([self.number[t] for w in words for t in stems(w) if t in self.number])
+        words = (string,) if string.isalpha() else WORD.findall(string)  # most strings are one word
+        number = self.number
+        found = tuple([number[t] for w in words for t in stems(w) if t in number])
         if len(string) < 64:
             self[string] = found
         return found
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Rising numbers of a text's terms, and how often each occurs."""
+        text = text.lower()
+        for mark in PUNCTUATION:
+            text = text.replace(mark, " ")
         found = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
         return np.unique(found, return_counts=True)
 
@@ -101,8 +106,8 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Block-max inverted index over vectors of length 1. Inside a block, the
-    postings of a term that every ``LONG``-th example has are held densely."""
+    """Block-max inverted index over vectors of length 1. The postings of a
+    term that every ``LONG``-th example has are held densely."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         held = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=n_terms)
@@ -117,58 +122,59 @@ class Index:
         at = np.repeat(np.arange(len(vectors)), sizes)
         by = np.argsort(terms, kind="stable")  # postings of a term by place
         terms, at, weights = terms[by], at[by], weights[by]
-        # an entry for each term and block that meet, with the largest weight
-        entry = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(at // BLOCK, prepend=-1))
-        self.blocks = at[entry] // BLOCK
-        self.most = np.maximum.reduceat(weights, entry)
-        self.entries = np.searchsorted(terms[entry], np.arange(n_terms + 1))  # entries of a term
         long = held * LONG >= len(vectors)
         self.column = np.where(long, np.cumsum(long) - 1, -1)
         dense = long[terms]
         self.dense = np.zeros((self.n_blocks * BLOCK, int(long.sum())), np.float32)
         self.dense[at[dense], self.column[terms[dense]]] = weights[dense]
-        self.places, self.weights = at[~dense], weights[~dense]
-        self.first = np.append(np.searchsorted(np.flatnonzero(~dense), entry), len(self.places))  # postings of an entry
+        terms, self.places, self.weights = terms[~dense], at[~dense], weights[~dense]
+        # an entry for each term and block that meet, with the largest weight
+        entry = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(self.places // BLOCK, prepend=-1))
+        self.blocks = self.places[entry] // BLOCK
+        self.most = np.maximum.reduceat(self.weights, entry) if len(entry) else self.weights
+        self.entries = np.searchsorted(terms[entry], np.arange(n_terms + 1))  # entries of a term
+        self.first = np.append(entry, len(terms))  # postings of an entry
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a term in common, ties (to
         six digits) by example; ``without`` leaves one example out."""
+        column = self.column[terms]
+        query = np.zeros(self.dense.shape[1], np.float32)
+        query[column[column >= 0]] = weights[column >= 0]
+        scores = (self.dense @ query).astype(np.float64)
+        terms, weights = terms[column < 0], weights[column < 0]
         sizes = self.entries[terms + 1] - self.entries[terms]
         entry = spans(self.entries[terms], sizes)
         weight = np.repeat(weights, sizes)
         block = self.blocks[entry]
-        bound = np.bincount(block, weight * self.most[entry], self.n_blocks)
-        count = self.first[entry + 1] - self.first[entry]
-        column = self.column[terms]
-        query = np.zeros(self.dense.shape[1], np.float32)
-        query[column[column >= 0]] = weights[column >= 0]
-        scores = np.zeros(self.n_blocks * BLOCK)
+        # what the dense part gives is known; the rest is bounded by its maxima
+        bound = scores.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weight * self.most[entry], self.n_blocks)
 
         def score(these: np.ndarray) -> None:
-            mine = np.flatnonzero(these[block] & (count > 0))
-            posting = spans(self.first[entry[mine]], count[mine])
-            added = np.repeat(weight[mine], count[mine]) * self.weights[posting]
-            scores[:] += np.bincount(self.places[posting], added, len(scores))
-            if 2 * these.sum() > len(these):
-                scores[:] += np.where(np.repeat(these, BLOCK), self.dense @ query, 0)
-            else:
-                rows = spans(np.flatnonzero(these) * BLOCK, np.full(these.sum(), BLOCK))
-                scores[rows] += self.dense[rows] @ query
+            mine = np.flatnonzero(these[block])
+            start = self.first[entry[mine]]
+            count = self.first[entry[mine] + 1] - start
+            posting = spans(start, count)
+            scores[:] += np.bincount(self.places[posting], np.repeat(weight[mine], count) * self.weights[posting], len(scores))
             if without >= 0:
                 scores[self.place[without]] = 0
 
         chosen = np.zeros(self.n_blocks, bool)
         chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
         score(chosen)
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        known = scores[np.repeat(chosen, BLOCK)]
+        least = np.partition(known, -k)[-k] if len(known) > k else 0.0
         more = (bound >= least - 1e-5) & (bound > 0) & ~chosen
         if more.any():
             score(more)
-        scores = scores[self.place].round(6)
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        near = np.flatnonzero((scores >= least) & (scores > 0))
-        near = near[np.argsort(-scores[near], kind="stable")[:k]]
-        return list(zip(scores[near].tolist(), near.tolist(), strict=True))
+        scores[~np.repeat(chosen | more, BLOCK)] = 0
+        least = max(np.partition(scores, -k)[-k] - 2e-6, 0.0) if len(scores) > k else 0.0
+        near = np.flatnonzero(scores > least)
+        near = near[near < len(self.order)]
+        example, found = self.order[near], scores[near].round(6)
+        best = np.lexsort((example, -found))[:k]
+        best = best[found[best] > 0]
+        return list(zip(found[best].tolist(), example[best].tolist(), strict=True))
 
 
 def isotonic(votes: list[float], labels: list[int], prior: float) -> tuple[np.ndarray, np.ndarray]:

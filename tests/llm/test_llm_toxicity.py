@@ -166,3 +166,22 @@ def test_clashing_columns_stay(spark, tmp_path):
     docs = clashing(table(spark, rows))
     left = toxicity.drop_toxic(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     assert left.columns == docs.columns and all(r["score"] == "x" for r in as_rows(left))
+
+
+def test_long_postings_are_only_held_densely():
+    r = np.random.default_rng(3)
+    rows = [np.unique(np.r_[r.integers(0, 10, 6), r.integers(10, 400, 12)]) for _ in range(300)]
+    vectors = [(t, np.full(len(t), len(t) ** -0.5)) for t in rows]
+    index = toxicity.Index(vectors, 400)
+    long = np.bincount(np.concatenate(rows), minlength=400) * toxicity.LONG >= len(rows)
+    assert long[:10].all() and not np.diff(index.entries)[long].any()
+    full = np.zeros((300, 400))
+    for i, (t, w) in enumerate(vectors):
+        full[i, t] = w
+    for i, (t, w) in enumerate(vectors):
+        scores = (full @ full[i]).round(6)
+        scores[i] = 0
+        want = sorted((j for j in range(300) if scores[j] > 0), key=lambda j: (-scores[j], j))[: toxicity.NEIGHBOURS]
+        assert [s for s, _ in index.nearest(t, w, without=i)] == pytest.approx(scores[want].tolist(), abs=2e-6)
+    one = toxicity.Index([(np.array([0]), np.ones(1))], 2)  # nothing but long postings
+    assert one.nearest(np.array([0, 1]), np.array([0.6, 0.8])) == [(0.6, 0)]

@@ -18,7 +18,7 @@ and has the occurrences of a k-mer in text order. DataFrame operations only.
 ``dealt`` and ``following`` pair each document with the one of the next id:
 rows are dealt by ranges of ids, and the first row of each range is also sent
 to the range before it. Texts cross the network once; k-mers are read behind
-that exchange, the edited text's from those of the text and of its new end.
+that exchange, those inside what the edited text keeps once for both texts.
 Defined cases: null counts as empty; a null id sorts first; rows of equal id
 follow each other by a hash of their text, by which an id of many rows is
 dealt to many ranges; a single row is its own next; an empty table gives an
@@ -37,18 +37,20 @@ BIN_BITS = 6  # 64 bins
 HASH_BITS = 26  # of a tuple's hash
 KMER = 8
 KMERS = rf"(?s)(?=(.{{1,{KMER}}}))."  # at every code point; the last ones are shorter
+WHOLE_KMERS = rf"(?s)(?=(.{{{KMER}}}))."  # without those
 ENOUGH = 12 << BIN_BITS  # k-mers of lowest rank that are looked at first
 RANGE_ROWS, MOST_RANGES = 1000, 16384
 FIRST_ID = -(1 << 63)
 
 
 HIGH, LOW = -1 << 32, (1 << 32) - 1
+OLD, FRESH = 1 << 30, 1 << 31  # marks in the low half: of what is replaced, of what replaces it
 
 
-def placed_kmers(text: Column, offset: Column | None = None) -> Column:
+def placed_kmers(text: Column, offset: Column | None = None, pattern: str = KMERS) -> Column:
     """Numbers in text order: high half the k-mer's hash, low half its
     position, counted from ``offset``."""
-    kmers = F.regexp_extract_all(text, F.lit(KMERS), F.lit(1))
+    kmers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     at = lambda i: i if offset is None else i + offset
     return F.transform(kmers, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(HIGH)) + at(i))
 
@@ -61,74 +63,120 @@ def _bin(v: Column) -> Column:
     return F.shiftrightunsigned(v, 64 - BIN_BITS)
 
 
-def _numbered(again: Column) -> Column:
-    """Further occurrences (sorted) hashed anew with their number."""
+def _new(s: Column, v: Column, i: Column) -> Column:
+    """Whether ``v``, at ``i`` of the sorted ``s``, is the first of its hash."""
+    return F.coalesce(F.get(s, i - 1) < v.bitwiseAND(F.lit(HIGH)), F.lit(True))
+
+
+def _steps(a: Column, z: Column) -> Column:
+    return F.sequence(a, z, F.lit(1))
+
+
+def _repeated(s: Column) -> Column:
+    """Of the sorted ``s`` the numbers whose hash another one has, sorted."""
+
+    def of(at: Column) -> Column:
+        first = F.filter(at, lambda i, j: F.coalesce(F.get(at, j - 1) != i - 1, F.lit(True)))
+        return F.sort_array(F.concat(F.transform(first, lambda i: F.get(s, i - 1)), F.transform(at, lambda i: F.get(s, i))))
+
+    # counted from 1, the number before the one at i (from 0) stands at i
+    places = F.when(F.size(s) > 1, _steps(F.lit(1), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+    return let(F.filter(places, lambda i: F.element_at(s, i) >= F.get(s, i).bitwiseAND(F.lit(HIGH))), of)
+
+
+def _numbered(repeated: Column) -> Column:
+    """Of the sorted ``repeated`` all but the first of each hash, hashed anew
+    with their number."""
 
     def occurrence(v: Column, n: Column) -> Column:
         return F.xxhash64(_hash(v), n).bitwiseAND(F.lit(HIGH)).bitwiseOR(v.bitwiseAND(F.lit(LOW)))
 
     def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: _new(s, F.get(s, j), j))
+        starts = F.filter(_steps(F.lit(0), F.size(s) - 1), lambda j: _new(s, F.get(s, j), j))
         last = lambda r, t: F.coalesce(F.get(t, r + 1), F.size(s)) - 1
-        run = lambda a, z: F.transform(F.sequence(a, z), lambda j: occurrence(F.get(s, j), j - a + 2))
+        run = lambda a, z: F.transform(_steps(a, z), lambda j: occurrence(F.get(s, j), j - a + 2))
         return let(starts, lambda t: F.flatten(F.transform(t, lambda a, r: run(a, last(r, t)))))
 
     # most k-mers that occur again do so once
-    second = F.transform(F.filter(again, lambda v, i: _new(again, v, i)), lambda v: occurrence(v, F.lit(1)))
-    third = F.filter(again, lambda v, i: ~_new(again, v, i))
-    return let(third, lambda s: F.when(F.size(s) > 0, F.concat(second, runs(s))).otherwise(second))
+    again = F.filter(repeated, lambda v, i: ~_new(repeated, v, i))
 
+    def numbered(m: Column) -> Column:
+        second = F.transform(F.filter(m, lambda v, i: _new(m, v, i)), lambda v: occurrence(v, F.lit(1)))
+        third = F.filter(m, lambda v, i: ~_new(m, v, i))
+        return let(third, lambda s: F.when(F.size(s) > 0, F.concat(second, runs(s))).otherwise(second))
 
-def _new(s: Column, v: Column, i: Column) -> Column:
-    """Whether ``v``, at ``i`` of the sorted ``s``, is the first of its hash."""
-    return F.coalesce(_hash(v) != _hash(F.get(s, i - 1)), F.lit(True))
+    return let(again, numbered)
 
 
-def _least_two(sorted_: Column, numbered: Column, most: Column) -> Column:
-    """Of the occurrence-numbered k-mers of rank below ``most`` the two least
-    of each bin, sorted."""
-    low = F.lit((1 << (64 - BIN_BITS)) - 1)
-    below = lambda v: v.bitwiseAND(low) < most
-    ranked = F.sort_array(F.concat(F.filter(sorted_, lambda v, i: below(v) & _new(sorted_, v, i)), F.filter(numbered, below)))
-    return let(ranked, lambda r: F.filter(r, lambda v, i: F.coalesce(_bin(v) != _bin(F.get(r, i - 2)), F.lit(True))))
+def _least_two(sorted_: Column, numbered: Column) -> Column:
+    """Of the sorted k-mers and the occurrence-numbered further ones the two
+    least of each bin, sorted."""
+    high = F.lit(-1 << (64 - BIN_BITS))
+    ranked = F.sort_array(F.concat(F.filter(sorted_, lambda v, i: _new(sorted_, v, i)), numbered))
+    return let(ranked, lambda r: F.filter(r, lambda v, i: F.coalesce(F.get(r, i - 2) < v.bitwiseAND(high), F.lit(True))))
 
 
 def _hashed(least: Column) -> Column:
     """One number per filled bin: the bin and the hash of its two minimal
     k-mers in text order."""
-    low = F.lit(LOW)
+    low, bits = F.lit(LOW), F.lit((1 << HASH_BITS) - 1)
+
+    def of(v: Column, hashed: Column) -> Column:
+        return F.shiftleft(_bin(v), HASH_BITS).bitwiseOR(hashed.bitwiseAND(bits))
+
+    def pair(v: Column, w: Column) -> Column:
+        in_order = v.bitwiseAND(low) < w.bitwiseAND(low)
+        return F.when(in_order, F.xxhash64(_hash(v), _hash(w))).otherwise(F.xxhash64(_hash(w), _hash(v)))
 
-    def of(v: Column, i: Column) -> Column:
+    def any_bin(v: Column, i: Column) -> Column:
         w = F.get(least, i + 1)
-        hv, hw = _hash(v), _hash(w)
-        both = F.when(v.bitwiseAND(low) < w.bitwiseAND(low), F.xxhash64(hv, hw)).otherwise(F.xxhash64(hw, hv))
-        hashed = F.when(_bin(v) == _bin(w), both).otherwise(F.xxhash64(hv))
-        first = F.coalesce(_bin(v) != _bin(F.get(least, i - 1)), F.lit(True))
-        return F.when(first, F.shiftleft(_bin(v), HASH_BITS).bitwiseOR(hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
+        own = F.when(_bin(v) == _bin(w), pair(v, w)).otherwise(F.xxhash64(_hash(v)))
+        return F.when(F.coalesce(_bin(v) != _bin(F.get(least, i - 1)), F.lit(True)), of(v, own))
 
-    return F.filter(F.transform(least, of), lambda v: v.isNotNull())
+    def full_bin(i: Column) -> Column:
+        return of(F.get(least, i), pair(F.get(least, i), F.get(least, i + 1)))
 
+    some = F.filter(F.transform(least, any_bin), lambda v: v.isNotNull())
+    places = F.array(*[F.lit(i) for i in range(0, 2 << BIN_BITS, 2)])
+    return F.when(F.size(least) == 2 << BIN_BITS, F.transform(places, full_bin)).otherwise(some)
 
-def tuples(placed: Column) -> Column:
-    """The tuples of the k-mers ``placed``. Of many the ones of low rank are
-    looked at; where they leave a bin without two, all are. Every step is
-    bound inside one expression, so no step's numbers are stored."""
+
+def tuples(placed: Column, foreign: tuple[int | None, ...] = (None,)) -> Column:
+    """The tuples of the sorted k-mers ``placed``, as an array of one array
+    per text. Of several texts, those that have bit ``foreign`` of a text set
+    are not its own.
+
+    Repeated k-mers and those of low rank are found once for all texts. Of
+    many the ones of low rank are looked at; where they leave a bin without
+    two, all are. Every step is bound inside one expression, so no step's
+    numbers are stored."""
     n, whole = F.size(placed), 1 << (64 - BIN_BITS)
-    most = F.when(n > ENOUGH, F.floor(F.lit(float(whole * ENOUGH)) / n)).otherwise(F.lit(whole))
+    first_looks = ENOUGH if len(foreign) == 1 else ENOUGH * 6 // 5  # some are of one text alone
+    most = F.when(n > first_looks, F.floor(F.lit(float(whole * first_looks)) / n)).otherwise(F.lit(whole))
+    low = F.lit(whole - 1)
+
+    def own(s: Column, mark: int | None) -> Column:
+        return s if mark is None else F.filter(s, lambda v: v.bitwiseAND(F.lit(mark)) == 0)
+
+    def of(s: Column, few: Column, again: Column, most: Column, mark: int | None) -> Column:
+        below = lambda m: F.filter(m, lambda v: v.bitwiseAND(low) < most)
+        some = lambda m: let(own(few, mark), lambda k: _least_two(k, below(m)))
+        every = lambda m: let(own(s, mark), lambda k: _least_two(k, m))
+        enough = lambda r: (most == whole) | (F.size(r) == 2 << BIN_BITS)
+        chosen = lambda m: let(some(m), lambda r: F.when(enough(r), r).otherwise(every(m)))
+        return let(let(let(own(again, mark), _numbered), chosen), _hashed)
 
-    def of(s: Column) -> Column:
-        again = F.filter(s, lambda v, i: F.shiftright(v.bitwiseXOR(F.get(s, i - 1)), 32) == 0)
-        every = lambda m: _least_two(s, m, F.lit(whole))
-        enough = lambda r: (n <= ENOUGH) | (F.size(r) == 2 << BIN_BITS)
-        chosen = lambda m: let(let(most, lambda t: _least_two(s, m, t)), lambda r: F.when(enough(r), r).otherwise(every(m)))
-        return let(let(let(again, _numbered), chosen), _hashed)
+    def each(s: Column, most: Column) -> Column:
+        few = F.filter(s, lambda v: v.bitwiseAND(low) < most)
+        return let(few, lambda f: let(_repeated(s), lambda g: F.array(*[of(s, f, g, most, m) for m in foreign])))
 
-    return let(F.sort_array(placed), of)
+    # read again and again, an array is quicker as a lambda's result than as a stored column
+    return let(F.transform(placed, lambda v: v), lambda s: let(most, lambda t: each(s, t)))
 
 
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the array ``out`` of tuples of column ``text``."""
-    return df.withColumn(out, let(placed_kmers(F.col(text)), tuples))
+    return df.withColumn(out, F.get(tuples(F.sort_array(placed_kmers(F.col(text)))), F.lit(0)))
 
 
 def as_text(tuples: str) -> Column:
@@ -198,22 +246,23 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(following, F.lit(1), quarter))
 
 
-def edited_kmers(text: Column, placed: Column, edited: Column) -> Column:
-    """The k-mers of the edited text: those of ``text`` inside what it keeps,
-    and those that reach into what is new."""
+def with_kmers_of_both(df: DataFrame, text: str, edited: str, out: str) -> DataFrame:
+    """``df`` with the array ``out`` of the k-mers of a text and its edited
+    text, sorted: those inside what it keeps once, the others with the bit
+    ``OLD`` or ``FRESH`` set."""
     n = F.length(text)
     kept = F.greatest(n - F.floor(n / 4).cast("int") - (KMER - 1), F.lit(0))
-    fresh = lambda k: placed_kmers(F.substring(edited, k + 1, F.length(edited)), k)
-    return let(kept, lambda k: F.concat(F.slice(placed, F.lit(1), k), fresh(k)))
+    df = df.withColumn("_kept", kept).withColumn("_old", F.col("_kept") + F.lit(OLD).cast("long")).withColumn("_fresh", F.col("_kept") + F.lit(FRESH))
+    head = placed_kmers(F.substring(text, F.lit(1), F.col("_kept") + (KMER - 1)), pattern=WHOLE_KMERS)
+    rest = lambda t, at: placed_kmers(F.substring(t, F.col("_kept") + 1, F.length(t)), F.col(at))
+    return df.withColumn(out, F.sort_array(F.concat(head, rest(text, "_old"), rest(edited, "_fresh")))).drop("_kept", "_old", "_fresh")
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     pairs = following(dealt(docs), ["text"]).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
-    kmers = placed_kmers(F.col("text"))
-    changed = lambda placed: edited_kmers(F.col("text"), placed, F.col("edited"))
-    two = let(kmers, lambda placed: F.array(tuples(placed), let(changed(placed), tuples)))
-    both = pairs.drop("next_text").withColumn("two", two)
+    both = with_kmers_of_both(pairs.drop("next_text"), "text", "edited", "_kmers")
+    both = both.withColumn("two", tuples(F.col("_kmers"), (FRESH, OLD)))
     both = both.select(
         "_range",
         "_sent",

@@ -192,3 +192,24 @@ def test_whole_table_by_force(spark, sf_dir):
         a, b = ({f[k : k + 8] for k in range(0, len(f), 8)} for f in (own, changed))
         filled = {int(x, 16) >> 26 for x in a | b}
         assert got[i]["near_edited"] == (len(a & b) / len(filled) if filled else 1.0)
+
+
+def test_text_and_edited_text_share_their_kmers(spark):
+    """Repeats inside what is kept, across its end, and only in what is new,
+    held against the fingerprints of both texts by themselves; the k-mers of
+    what is kept are read and sorted once."""
+    r = random.Random(5)
+    new = ["zebra " * 200, words(300, 9), "", "ab", "x" * 3000]
+    texts = ["", "abc", "abcdefghij", "of " * 400, words(200, 3) + " again and again" * 60, words(900, 2), "x" * 4000]
+    texts += ["".join(r.choice("ab ") for _ in range(n)) for n in (31, 800, 2500)]
+    rows = [(i, t, n) for i, (t, n) in enumerate((t, n) for t in texts for n in [*new, t])]
+    df = spark.createDataFrame(rows, "i long, x string, n string")
+    df = df.withColumn("y", omh.edited(df["x"], df["n"]))
+    both = omh.with_kmers_of_both(df, "x", "y", "k")
+    both = both.withColumn("t", omh.tuples(both["k"], (omh.FRESH, omh.OLD)))
+    both = both.select("i", "y", "k", both["t"][0].alias("own"), both["t"][1].alias("changed"))
+    both = both.select("i", "y", "k", omh.as_text("own").alias("a"), omh.as_text("changed").alias("b"))
+    for row, (i, text, _) in zip(both.orderBy("i").collect(), rows):
+        assert (row["a"], row["b"]) == (fingerprint_by_force(text), fingerprint_by_force(row["y"])), i
+        kept = max(len(text) - len(text) // 4 - 7, 0)
+        assert len(row["k"]) == len(text) + len(row["y"]) - kept and row["k"] == sorted(row["k"])

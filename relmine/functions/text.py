@@ -156,6 +156,8 @@ SENTENCE_BREAK_PY = r"(?<=[.!?])\s+"
 WS_TOKEN = r"[^\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]+"  # Python str.split(): runs of non-whitespace
 TFIDF_TOKEN = r"[\p{L}\p{N}_]{2,}"  # sklearn default token pattern (?u)\b\w\w+\b
 WORD_RUN = r"[\p{L}\p{N}_]+"  # maximal runs of Python word characters
+OTHER_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}&&[^ ]]+"  # Python whitespace but the plain space
+NO_WORD = r"[^ \p{L}\p{N}_]+"  # what parts word runs, but the plain space
 PLAIN_NUMBER = py_regex(PLAIN_NUMBER_PY)
 NUMBER_PCT = py_regex(NUMBER_PCT_PY)
 CAPITALISED_RUN = py_regex(CAPITALISED_RUN_PY)
@@ -173,6 +175,12 @@ def extract_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, _lit(pattern), F.lit(0))
 
 
+def _spaced(text: Column, gap: str) -> Column:
+    """What stands between gaps and plain spaces. Most gaps are plain spaces, so
+    that only the others need the pattern and the rest is cut at a character."""
+    return F.array_remove(F.split(F.regexp_replace(text, gap, " "), " "), "")
+
+
 def py_strip(text: Column) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace of any kind."""
     return F.regexp_replace(text, _lit(EDGE_SPACE), F.lit(""))
@@ -180,14 +188,14 @@ def py_strip(text: Column) -> Column:
 
 def ws_tokens(text: Column) -> Column:
     """TX1: Python ``split()`` tokens (no empty tokens)."""
-    return extract_all(text, WS_TOKEN)
+    return _spaced(text, OTHER_SPACE)
 
 
 def word_runs(text: Column) -> Column:
     """Maximal runs of word characters. A ``\\bw\\b`` match is exactly a run
     equal to ``w``, and TF-IDF tokens are the runs of length >= 2, so one
     extraction serves both."""
-    return extract_all(text, WORD_RUN)
+    return _spaced(text, NO_WORD)
 
 
 def count_words(runs_lower: Column, words) -> Column:
@@ -203,7 +211,7 @@ def tfidf_tokens_sql(text_sql: str) -> Column:
     length >= 2 minus the English stop list, duplicates kept (they are term
     counts). One SQL string is a single call instead of one per stop word when
     the plan is constructed; ``NOT IN`` becomes a hash-set lookup per token."""
-    return F.expr(f"filter(regexp_extract_all(lower({text_sql}), r'{TFIDF_TOKEN}', 0), t -> NOT t IN ({_STOP_SQL}))")
+    return tfidf_from_runs_sql(f"split(regexp_replace(lower({text_sql}), r'{NO_WORD}', ' '), ' ')")
 
 
 def tfidf_tokens(text: Column) -> Column:
@@ -248,7 +256,7 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def runs(sorted_arr: Column) -> Column:
+def runs(sorted_arr: Column, value: str = "v", count: str = "cnt") -> Column:
     """Run-length encode a sorted array: ``array<struct<v, cnt:int>>``.
 
     Linear after the sort: run starts are the positions whose element
@@ -267,7 +275,7 @@ def runs(sorted_arr: Column) -> Column:
         def counted(st):
             return F.transform(
                 F.slice(st, 1, F.greatest(F.size(st) - 1, F.lit(0))),
-                lambda p, k: F.struct(F.get(s, p).alias("v"), (F.get(st, k + 1) - p).alias("cnt")),
+                lambda p, k: F.struct(F.get(s, p).alias(value), (F.get(st, k + 1) - p).alias(count)),
             )
 
         return let(starts, counted)
@@ -277,4 +285,4 @@ def runs(sorted_arr: Column) -> Column:
 
 def term_counts(tokens: Column) -> Column:
     """Distinct terms with raw counts, ``array<struct<term, tf>>`` sorted by term."""
-    return F.transform(runs(F.sort_array(tokens)), lambda r: F.struct(r["v"].alias("term"), r["cnt"].alias("tf")))
+    return runs(F.sort_array(tokens), "term", "tf")

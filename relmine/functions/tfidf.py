@@ -11,7 +11,8 @@ Physical forms:
 
 * ``with_pair_cosine`` (here) — a two-document corpus per row. With n = 2 the
   idf takes only two values, so the whole computation is a row-local
-  projection (no shuffle), O(t log t) in the number of tokens.
+  projection (no shuffle), linear in the sorted tokens; only terms of more
+  than one token are handled one by one.
 * ``kept_terms`` and ``vectors`` — a corpus of bounded size held in one row
   (the sentences of a response, the documents of a small group): terms are
   sorted, counted, capped and weighed inside the row, O(t log t), so no row
@@ -146,40 +147,43 @@ def sums_before(values: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) <= SCAN_BLOCK, scan(v, F.lit(0.0))).otherwise(in_blocks(v)))
 
 
+# In a text of sorted tokens, each after a space and those of the second side
+# before a "!", all tokens of a term that occurs more than once. The loop is
+# possessive: a term of any number of tokens needs no stack.
+REPEATED = r" ([^ !]++)!?(?: \1!?(?![^ ]))++"
+
+
+def _occurrences(text: Column, mark: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))).cast("double")
+
 
 def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_features: int = MAX_FEATURES) -> DataFrame:
     """Add ``out`` = TF-IDF cosine of two token arrays fitted on the pair.
+    Tokens are made of word characters, each array is sorted.
 
     Empty vocabulary (no tokens on either side) gives 0.5 like the
     reference's fallback; a side without kept terms is a zero vector (0.0).
     Null token arrays give null.
+
+    Terms of more than one token are found by a pattern in the merged tokens
+    and weighed one by one. The others only add their squared weight to one
+    side, so it is enough to count those within the cap.
     """
-    def side(tokens: str, k: int) -> Column:
-        # distinct terms with counts, natively sorted strings (no lambda comparator)
-        return F.transform(
-            runs(F.sort_array(F.col(tokens))),
-            lambda r: F.struct(r["v"].alias("t"), F.lit(k).alias("side"), r["cnt"].alias("cnt")),
-        )
+    a, b = F.col(tok_a), F.col(tok_b)
+    marked = F.filter(F.split(F.concat(F.array_join(b, "! "), F.lit("!")), " "), lambda t: t != "!")
+    merged = F.concat(F.lit(" "), F.array_join(F.sort_array(F.concat(a, marked)), " "))
+    # terms of more than one token stand in lines of their own, at odd positions
+    found = df.withColumn("_m", F.split(F.regexp_replace(merged, REPEATED, "\n$0\n"), "\n"))
+    found = found.withColumn("_rep", F.filter("_m", lambda _, i: i % 2 == 1))
 
-    def merge(r):
-        # r: distinct terms of both sides sorted by (term, side); the A entry
-        # (side 0) of a shared term is directly followed by its B entry
-        def entry(x, i):
-            nxt = F.get(r, i + 1)
-            prv = F.get(r, i - 1)
-            return F.struct(
-                x["t"].alias("term"),
-                F.when(x["side"] == 0, x["cnt"]).otherwise(F.lit(0)).alias("a"),
-                F.when(x["side"] == 1, x["cnt"]).when(nxt["t"] == x["t"], nxt["cnt"]).otherwise(F.lit(0)).alias("b"),
-                ((i == 0) | (prv["t"] != x["t"])).alias("first"),
-            )
+    def counts(m):
+        return let(_occurrences(m, "!"), lambda y: F.struct((_occurrences(m, " ") - y).alias("a"), y.alias("b")))
 
-        return F.filter(F.transform(r, entry), lambda v: v["first"])
+    found = found.withColumn("_rep", F.transform("_rep", counts))
 
-    def cap(vocab):
+    def capped(vocab):
         # top ``max_features`` terms by total count, ties by term (the array
-        # is term-sorted): the cut-off count comes from a native int sort, no
-        # struct sort; vocabularies within the cap are returned as they are
+        # is term-sorted): the cut-off count comes from a native int sort
         def cut(kth):
             above = F.filter(vocab, lambda v: (v["a"] + v["b"]) > kth)
             at = F.filter(vocab, lambda v: (v["a"] + v["b"]) == kth)
@@ -189,27 +193,32 @@ def with_pair_cosine(df: DataFrame, tok_a: str, tok_b: str, out: str, max_featur
         big = let(F.element_at(F.sort_array(totals, asc=False), max_features), cut)
         return F.when(F.size(vocab) > max_features, big).otherwise(vocab)
 
-    idf_one_side = math.log(3.0 / 2.0) + 1.0  # ln((1+n)/(1+df)) + 1 with n = 2, df = 1 (df = 2 gives 1)
+    w = math.log(3.0 / 2.0) + 1.0  # ln((1+n)/(1+df)) + 1 with n = 2, df = 1 (df = 2 gives 1)
 
     def step(acc, v):
-        idf = F.when((v["a"] > 0) & (v["b"] > 0), F.lit(1.0)).otherwise(F.lit(idf_one_side))
-        wa = v["a"] * idf
-        wb = v["b"] * idf
+        f = F.when((v["a"] > 0) & (v["b"] > 0), F.lit(1.0)).otherwise(F.lit(w * w))
         return F.struct(
-            (acc["dot"] + wa * wb).alias("dot"), (acc["na"] + wa * wa).alias("na"), (acc["nb"] + wb * wb).alias("nb")
+            (acc["dot"] + v["a"] * v["b"]).alias("dot"), (acc["na"] + v["a"] * v["a"] * f).alias("na"), (acc["nb"] + v["b"] * v["b"] * f).alias("nb")
         )
 
     zero = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("na"), F.lit(0.0).alias("nb"))
+    # terms of one token on side a and b, how many terms the cap leaves them, and how many of those are on side b
+    ones_a = F.size(a) - F.aggregate("_rep", F.lit(0.0), lambda acc, v: acc + v["a"])
+    ones_b = F.size(b) - F.aggregate("_rep", F.lit(0.0), lambda acc, v: acc + v["b"])
+    found = found.withColumns({"_ones_a": ones_a, "_ones_b": ones_b, "_room": F.greatest(F.lit(max_features) - F.size("_rep"), F.lit(0))})
+    first = F.call_function("substring_index", F.array_join(F.filter("_m", lambda _, i: i % 2 == 0), ""), F.lit(" "), F.col("_room") + 1)
+    over = F.col("_ones_a") + F.col("_ones_b") > F.col("_room")
+    found = found.withColumn("_kept_b", F.when(over, _occurrences(first, "!")).otherwise(F.col("_ones_b")))
+    kept_a = F.when(over, F.col("_room") - F.col("_kept_b")).otherwise(F.col("_ones_a"))
+
+    def finish(st):
+        na, nb = st["na"] + kept_a * F.lit(w * w), st["nb"] + F.col("_kept_b") * F.lit(w * w)
+        return (
+            F.when(F.size(a) + F.size(b) == 0, F.lit(0.5))
+            .when((na == 0) | (nb == 0), F.lit(0.0))
+            .otherwise(st["dot"] / (F.sqrt(na) * F.sqrt(nb)))
+        )
 
-    def cosine(vocab):
-        def finish(st):
-            return (
-                F.when(F.size(vocab) == 0, F.lit(0.5))
-                .when((st["na"] == 0) | (st["nb"] == 0), F.lit(0.0))
-                .otherwise(st["dot"] / (F.sqrt(st["na"]) * F.sqrt(st["nb"])))
-            )
-
-        return let(F.aggregate(vocab, zero, step), finish)
-
-    vocab = let(let(F.sort_array(F.concat(side(tok_a, 0), side(tok_b, 1))), merge), cap)
-    return df.withColumn(out, F.when(F.col(tok_a).isNotNull() & F.col(tok_b).isNotNull(), let(vocab, cosine)))
+    cosine = let(F.aggregate(let(F.col("_rep"), capped), zero, step), finish)
+    found = found.withColumn(out, F.when(a.isNotNull() & b.isNotNull(), cosine))
+    return found.drop("_m", "_rep", "_ones_a", "_ones_b", "_room", "_kept_b")

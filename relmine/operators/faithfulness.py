@@ -25,43 +25,56 @@ WEIGHTS = (0.3, 0.2, 0.3, 0.2)  # coverage, fidelity, similarity, 1 - contradict
 METRICS = ["entity_coverage", "numeric_fidelity", "semantic_similarity", "contradiction_score", "novel_word_ratio"]
 
 
+READ = "_read"  # names the column that ``read`` adds
+
+
+def read(df: DataFrame, text: str) -> DataFrame:
+    """Add what the metrics need of a text, as one struct ``<text>_read`` (null
+    for a null text): a text of several pairs is read once."""
+    runs = df.withColumn("_runs", T.word_runs(F.lower(F.col(text))))
+    runs = runs.withColumn("_marks", F.filter("_runs", lambda t: t.isin(*NEGATION, *AMPLIFIER, *HEDGE)))
+    marks, t = F.col("_marks"), F.col(text)
+    features = F.struct(
+        T.entities(t).alias("e"),
+        T.percent_numbers(t).alias("p"),
+        F.array_distinct(T.plain_numbers(F.lower(t))).alias("f"),
+        T.count_words(marks, NEGATION).alias("neg"),
+        T.count_words(marks, AMPLIFIER).alias("amp"),
+        T.count_words(marks, HEDGE).alias("hed"),
+        F.array_distinct(T.ws_tokens(F.lower(t))).alias("w"),
+        F.sort_array(T.tfidf_from_runs_sql("_runs")).alias("t"),
+    )
+    return runs.withColumn(f"{text}{READ}", F.when(t.isNotNull(), features)).drop("_runs", "_marks")
+
+
 def _share(inter: Column, base: Column, empty_value: float) -> Column:
     return F.when(F.size(base) == 0, F.lit(empty_value)).otherwise(F.size(inter) / F.size(base))
 
 
 def faithfulness(df: DataFrame, context: str = "context", response: str = "response", threshold: float = 0.5) -> DataFrame:
-    """Add FG1–FG7 columns to a table of (context, response) rows.
+    """Add FG1–FG7 columns to a table of (context, response) rows. A side that
+    was read before (column ``context_read`` or ``response_read``) is not read
+    again.
 
     Null context or response yields null metrics (the reference raises).
     """
     require(df, [context, response], "faithfulness")
-    ctx, resp = F.col(context), F.col(response)
-    valid = ctx.isNotNull() & resp.isNotNull()
-    src_cols = df.columns
-    runs = df.select(
-        *src_cols,
-        T.word_runs(F.lower(ctx)).alias("_rc"),
-        T.word_runs(F.lower(resp)).alias("_rr"),
-    )
-    rc, rr = F.col("_rc"), F.col("_rr")
-    w = runs.select(
+    read_before = [f"{c}{READ}" for c in (context, response)]
+    src_cols = [c for c in df.columns if c not in read_before]
+    for c in (context, response):
+        if f"{c}{READ}" not in df.columns:
+            df = read(df, c)
+    c, r = (F.col(x) for x in read_before)
+    valid = c.isNotNull() & r.isNotNull()
+    w = df.select(
         *src_cols,
-        T.entities(ctx).alias("_ec"),
-        T.entities(resp).alias("_er"),
-        T.percent_numbers(ctx).alias("_pc"),
-        T.percent_numbers(resp).alias("_pr"),
-        F.array_distinct(T.plain_numbers(F.lower(ctx))).alias("_fc"),
-        F.array_distinct(T.plain_numbers(F.lower(resp))).alias("_fr"),
-        T.count_words(rc, NEGATION).alias("_negc"),
-        T.count_words(rr, NEGATION).alias("_negr"),
-        T.count_words(rc, AMPLIFIER).alias("_ampc"),
-        T.count_words(rr, HEDGE).alias("_hedr"),
-        F.array_distinct(T.ws_tokens(F.lower(ctx))).alias("_wc"),
-        F.array_except(T.ws_tokens(F.lower(resp)), F.array(*[F.lit(x) for x in FUNCTION_WORDS])).alias("_claims"),
-        T.tfidf_from_runs_sql("_rc").alias("_tc"),
-        T.tfidf_from_runs_sql("_rr").alias("_tr"),
+        *[c[x].alias(f"_{x}c") for x in ("e", "p", "f", "neg", "amp", "w", "t")],
+        *[r[x].alias(f"_{x}r") for x in ("e", "p", "f", "neg", "hed", "t")],
+        F.array_except(r["w"], F.array(*[F.lit(x) for x in FUNCTION_WORDS])).alias("_claims"),
+        valid.alias("_valid"),
     )
     w = with_pair_cosine(w, "_tc", "_tr", "_sim")
+    valid = F.col("_valid")
 
     coverage = _share(F.array_intersect(F.col("_ec"), F.col("_er")), F.col("_ec"), 1.0)
     fidelity = _share(F.array_intersect(F.col("_pc"), F.col("_pr")), F.col("_pc"), 1.0)

@@ -36,7 +36,7 @@ def full_analysis(
     # rules need the prompt features alone: fitted before the metrics are joined
     rules, tree = RR.fit(queries, SUMMARY_FEATURES, "is_hallucination", min_support, min_confidence)
     queries = RR.score(SC.analyze(queries, S.conversation_samples(spark, sf_dir)), tree)
-    rag = FG.faithfulness(S.document_pairs(spark, sf_dir))
+    rag = S.document_pairs(spark, sf_dir, FG.faithfulness, FG.read)
     drift = DR.label_sequences(S.event_sequences(spark, sf_dir), ["user_id"], ["ts", "event_id"], threshold=drift_threshold)
     results = {
         "query_analysis": queries,

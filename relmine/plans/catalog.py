@@ -56,7 +56,7 @@ def faithfulness_conversations(spark: SparkSession, sf: str) -> DataFrame:
 @register("faithfulness_documents", f"SELECT * FROM ({_FG_DOC_SQL})")
 def faithfulness_documents(spark: SparkSession, sf: str) -> DataFrame:
     """FG1–FG7 on long texts: document d+1 against document d, with quality labels."""
-    return FG.faithfulness(S.document_pairs(spark, sf)).select("doc_id", "is_faithful", *FG_COLS)
+    return S.document_pairs(spark, sf, FG.faithfulness, FG.read).select("doc_id", "is_faithful", *FG_COLS)
 
 
 @register(

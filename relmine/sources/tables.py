@@ -55,7 +55,9 @@ def _stored_bytes(df: DataFrame) -> int:
 PAIR_BUCKET = 64  # rows per bucket when pairing each row with its predecessor
 
 
-def adjacent_pairs(df: DataFrame, keys: list[str], pos: str, value: str, prev_value: str, bucket: int = PAIR_BUCKET) -> DataFrame:
+def adjacent_pairs(
+    df: DataFrame, keys: list[str], pos: str, value: str, prev_value: str, bucket: int = PAIR_BUCKET, read=None
+) -> DataFrame:
     """Rows of ``df`` that have a predecessor (same ``keys``, ``pos - 1``),
     with the predecessor's ``value`` as ``prev_value``.
 
@@ -64,6 +66,10 @@ def adjacent_pairs(df: DataFrame, keys: list[str], pos: str, value: str, prev_va
     copied into the next bucket, and ``lag`` inside a bucket finds the
     predecessor. One shuffle of ~(1 + 1/bucket) x the rows; a bucket holds
     at most ``bucket + 1`` rows, so long sequences spread over many tasks.
+
+    ``read(rows, value)`` adds a column ``<value>_read`` made of the value. It
+    runs behind that shuffle, once per row, and the predecessor's is found
+    like its value (``<prev_value>_read``).
     """
     b = F.floor(F.col(pos) / F.lit(bucket))
     own = df.select(*keys, pos, value, b.alias("_b"), F.lit(False).alias("_carry"))
@@ -72,8 +78,14 @@ def adjacent_pairs(df: DataFrame, keys: list[str], pos: str, value: str, prev_va
     )
     w = Window.partitionBy(*keys, "_b").orderBy(pos)
     both = own.unionByName(carried)
+    found = {value: prev_value}
+    if read is not None:
+        # a given number of parts is not reduced by their bytes: the work is in reading
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = read(both.repartition(parts, *keys, "_b").sortWithinPartitions(*keys, "_b", pos), value)
+        found[f"{value}_read"] = f"{prev_value}_read"
     paired = both.select(
-        *keys, pos, value, "_carry", F.lag(pos).over(w).alias("_ppos"), F.lag(value).over(w).alias(prev_value)
+        *keys, pos, *found, "_carry", F.lag(pos).over(w).alias("_ppos"), *[F.lag(c).over(w).alias(p) for c, p in found.items()]
     )
     return paired.filter(~F.col("_carry") & (F.col("_ppos") == F.col(pos) - 1)).drop("_carry", "_ppos")
 
@@ -87,13 +99,20 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_pairs(spark: SparkSession, sf_dir: str, score=None, read=None) -> DataFrame:
     """rag rows over documents: context = doc d, response = doc d+1,
-    ``is_faithful`` = quality label of the response document (null if unlabelled)."""
+    ``is_faithful`` = quality label of the response document (null if unlabelled).
+
+    ``score(pairs)`` adds columns before labels are joined, so that a label
+    table too large to be broadcast moves no texts; ``read`` as in
+    ``adjacent_pairs``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("is_faithful"))
-    pairs = adjacent_pairs(docs, [], "doc_id", "text", "context").withColumnRenamed("text", "response")
-    return pairs.join(labels, "doc_id", "left").select("doc_id", "context", "response", "is_faithful")
+    pairs = adjacent_pairs(docs, [], "doc_id", "text", "context", read=read)
+    pairs = pairs.withColumnsRenamed({"text": "response", "text_read": "response_read"})
+    scored = pairs if score is None else score(pairs)
+    added = [c for c in scored.columns if c not in ("doc_id", "context", "response")]
+    return scored.join(labels, "doc_id", "left").select("doc_id", "context", "response", "is_faithful", *added)
 
 
 # ------------------------------------------------------------ prompt tables

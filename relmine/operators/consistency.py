@@ -6,9 +6,10 @@ Plan shape:
   term counts, distinct lower-cased words, numbers, token count, the number of
   samples of its prompt, and a row number of its own, so that samples which
   repeat an index stay apart;
-* prompts of at most ``GROUP_DOCS`` samples travel once, by prompt, as these
-  compact rows. Facts (the sample itself, each number, each distinct word) are
-  counted, terms ranked and the few sample pairs formed behind that exchange;
+* prompts of at most ``GROUP_DOCS`` samples and ``GROUP_CHARS`` characters travel
+  once, by prompt, as these compact rows. Facts (the sample itself, each number,
+  each distinct word) are gathered in one row, terms ranked and the few sample
+  pairs formed behind that exchange;
 * larger prompts (a plan that is only built where there are any): facts and
   terms are counted with partial aggregation, and semantic consistency comes
   from sums alone. With unit vectors v, the cosines of a prompt add up to
@@ -56,21 +57,26 @@ METRICS = [
 def prepare_samples(queries: DataFrame, samples: DataFrame, pid: str = "prompt_id", sid: str = "sample_idx", text: str = "response") -> DataFrame:
     """SC1: samples of the queried prompts (orphans ignored, null text is not a
     sample), with their row-local features: term counts, distinct lower-cased
-    words, numbers, token count; ``n`` is the number of samples of the prompt.
+    words, numbers, token count; ``n`` and ``chars`` are the number of samples of
+    the prompt and of their characters.
     ``row`` tells apart samples that share a ``sample_idx``; it is fixed by the
     checkpoint that ``analyze`` sets."""
     require(queries, [pid], "consistency queries")
     require(samples, [pid, sid, text], "consistency samples")
     s = samples.filter(F.col(text).isNotNull())
-    asked = s.groupBy(pid).agg(F.count(F.lit(1)).alias("_n")).join(queries.select(pid).distinct(), pid, "left_semi")
-    return s.select(pid, text).join(asked, pid).select(
+    sizes = s.groupBy(pid).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length(text)).alias("_chars"))
+    asked = sizes.join(queries.select(pid).distinct(), pid, "left_semi")
+    # a text and its lower-cased form have as many words
+    s = s.select(pid, text).join(asked, pid).withColumn("_words", T.ws_tokens(F.lower(F.col(text))))
+    return s.select(
         F.col(pid).alias("gid"),
         F.monotonically_increasing_id().alias("row"),
         F.col("_n").alias("n"),
+        F.col("_chars").alias("chars"),
         T.term_counts(T.tfidf_tokens_sql(f"`{text}`")).alias("tc"),
-        F.array_distinct(T.ws_tokens(F.lower(F.col(text)))).alias("words"),
+        F.array_distinct("_words").alias("words"),
         T.plain_numbers(F.col(text)).alias("nums"),
-        F.size(T.ws_tokens(F.col(text))).cast("long").alias("ntok"),
+        F.size("_words").cast("long").alias("ntok"),
     )
 
 
@@ -115,6 +121,41 @@ def fact_stats(prepared: DataFrame) -> DataFrame:
     )
 
 
+def small_facts(dealt: DataFrame) -> DataFrame:
+    """The same counts for prompts of bounded size dealt by prompt: their
+    samples are gathered in one row, and their words met as whole arrays."""
+    first = F.try_element_at(F.col("nums"), F.lit(1)).cast("string")  # null when the sample has no number
+    g = dealt.groupBy("gid", "n").agg(
+        F.sum("ntok").alias("s1"),
+        F.sum(F.col("ntok") * F.col("ntok")).alias("s2"),
+        F.collect_list(first).alias("_firsts"),
+        F.flatten(F.collect_list("nums")).alias("_nums"),
+        F.collect_list("words").alias("_words"),
+    )
+    # spread of all numbers, by running mean
+    def step(acc, x):
+        off = x - acc["mean"]
+        return T.let(
+            F.struct((acc["k"] + 1).alias("k"), (acc["mean"] + off / (acc["k"] + 1)).alias("mean")),
+            lambda now: F.struct(now["k"].alias("k"), now["mean"].alias("mean"), (acc["m2"] + off * (x - now["mean"])).alias("m2")),
+        )
+
+    zero = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    spread = F.aggregate("_nums", zero, step, lambda acc: F.sqrt(F.try_divide(acc["m2"], acc["k"])))
+    words = F.col("_words")
+    return g.select(
+        "gid",
+        "n",
+        "s1",
+        "s2",
+        F.array_max(F.transform(T.runs(F.sort_array("_firsts")), lambda r: r["cnt"])).cast("long").alias("fmax"),
+        F.when(F.size("_firsts") > 0, F.size("_firsts").cast("long")).alias("fsum"),
+        spread.alias("num_std"),
+        F.size(F.array_distinct(F.flatten(words))).cast("long").alias("n_union"),
+        F.size(F.aggregate(words, F.get(words, F.lit(0)), F.array_intersect)).cast("long").alias("n_inter"),
+    )
+
+
 SEMANTIC = ["gid", "sem_sum", "sem_sum2", "sem_min"]
 
 
@@ -265,9 +306,9 @@ def prompt_metrics(prepared: DataFrame, max_features: int = MAX_FEATURES, group_
     checkpointed samples (``prepare_samples``)."""
     few = prepared.filter(F.col("n") >= 2)
     dealt = tfidf.small_groups(few, group_docs)
-    m = fact_stats(dealt).join(small_semantics(dealt, max_features), "gid", "left")
+    m = small_facts(dealt).join(small_semantics(dealt, max_features), "gid", "left")
     if tfidf.has_large(few, group_docs):
-        many = few.filter(F.col("n") > group_docs)
+        many = few.filter(tfidf.is_large(group_docs))
         m = m.unionByName(fact_stats(many).join(large_semantics(many, max_features), "gid", "left"))
     n = F.col("n")
     pairs = n * (n - 1) / 2.0

@@ -73,16 +73,29 @@ def counted(docs: DataFrame, gid: str, doc: str, text: str) -> DataFrame:
 
 
 def small_groups(docs: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Documents of the groups that are gathered, dealt by group."""
-    return docs.filter(F.col("n") <= group_docs).repartition("gid")
+    """Documents of the groups that are gathered, dealt by group. The number of
+    parts is given, so that they are not put together by their bytes: the work
+    behind this exchange is in the terms."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.filter(~is_large(group_docs)).repartition(parts, "gid")
 
 
 def group_terms(dealt: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """From documents dealt by group: a row per kept term with its rank, idf
-    and documents (``_in``: row, tf). No exchange."""
+    """From documents dealt by group (``row`` tells them apart): a row per kept
+    term with its rank, idf and documents (``_in``: row, tf). No exchange. A
+    term's rows are brought together by their hash, so that the sort hardly
+    ever compares terms; a hash aggregate would hold few lists of documents."""
     terms = dealt.select("gid", "n", "row", F.explode("tc").alias("_t")).select("gid", "n", "row", "_t.term", "_t.tf")
-    terms = terms.groupBy("gid", "n", "term").agg(F.collect_list(F.struct("row", "tf")).alias("_in"), F.sum("tf").alias("total"))
-    return ranked_terms(terms, "gid", F.col("n"), max_features)
+    of_term = Window.partitionBy("_h", "gid", "n", "term")
+    terms = terms.withColumn("_h", F.xxhash64("gid", "term")).select(
+        "gid",
+        "n",
+        "term",
+        F.collect_list(F.struct("row", "tf")).over(of_term).alias("_in"),
+        F.sum("tf").over(of_term).alias("total"),
+        (F.col("row") == F.min("row").over(of_term)).alias("_first"),
+    )
+    return ranked_terms(terms.filter("_first").drop("_first"), "gid", F.col("n"), max_features)
 
 
 def gathered(docs: DataFrame, by: list[str], *columns: str) -> DataFrame:
@@ -138,7 +151,7 @@ def large_weights(docs: DataFrame, max_features: int = MAX_FEATURES, hot_rows: i
 
 
 def has_large(docs: DataFrame, group_docs: int = GROUP_DOCS) -> bool:
-    return not docs.filter(F.col("n") > group_docs).select("n").isEmpty()
+    return not docs.filter(is_large(group_docs)).select("n").isEmpty()
 
 
 def is_large(group_docs: int = GROUP_DOCS) -> Column:
